@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import chat, ctw, decontam, exact, langid, packing, pfor, simhash, toxicity
+from headway.llm import chat, ctw, decontam, exact, langid, licenses, packing, pfor, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -61,6 +61,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    probability = F.round(F.array_max(F.transform("hits", lambda h: h["probability"])), 6)
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("hits").cast("long").alias("n_hits"),
+        "n_rejected",
+        F.array_join("families", ",").alias("families"),
+        F.array_join(F.transform("hits", lambda h: h["paragraph"].cast("string")), ",").alias("paragraphs"),
+        F.coalesce(probability, F.lit(0.0)).alias("probability"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
