@@ -2,9 +2,69 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from headway.llm import decontam, exact, langid, packing, simhash
+from headway.llm.common import cut, shared_path
+from headway.llm.queries import TOKENIZER, table
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids``; a null id equals a null id. Columns stay as they are."""
+    named = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(named, docs["doc_id"].eqNullSafe(named["_kept_id"]), "left_semi")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was found: those without text or without a letter go. ``lang`` stays the label it was."""
+    return _only(docs, langid.language_id(docs).filter(F.col("lang_pred") != langid.UNKNOWN))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the smallest id. Of rows that repeat id and text, any one stays."""
+    found = exact.exact_dedup(docs).filter("kept")
+    kept = cut(found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_times")).select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"), "_times"))
+    digest = F.sha2(exact.normalised(F.col("text")), 256)
+    rows = docs.withColumn("_text", digest)
+    at = rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows["_text"] == kept["_kept_text"])
+    once = rows.join(kept.filter("_times = 1"), at, "left_semi")
+    if not kept.filter("_times > 1").isEmpty():
+        once = once.union(rows.join(kept.filter("_times > 1"), at, "left_semi").dropDuplicates(["doc_id", "_text"]))
+    return once.drop("_text")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked fingerprints, the one with the smallest id."""
+    return _only(docs, simhash.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside an occurrence of a benchmark window."""
+    return _only(docs, decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit = 0"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("simhash", drop_near_copies),
+    ("decontaminate", drop_benchmark_leaks),
+    ("pack", pack),
+]
+#: SQL has no tokenizer, fingerprints or cuts; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each one's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
