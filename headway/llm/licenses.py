@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +82,7 @@ OTHERS = (
 #: Rows of the corpus that stand for no licence, at most about; grams in a row; rows of the calibration fold, one in so many.
 NEGATIVES, FOLD = 2000, 4
 #: Least calibrated probability; share of a template's pairs of words that must occur; passes and L1 strength of the fit.
-CERTAIN, COVERED, PASSES, STRENGTH = 0.5, 0.7, 60, 0.0005
+CERTAIN, COVERED, PASSES, STRENGTH = 0.5, 0.7, 40, 0.0005
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
 
 
@@ -104,16 +104,15 @@ def paragraphs(text: Column) -> Column:
 def known_grams(words: Column) -> Column:
     """The distinct grams of the vocabulary in a paragraph. Only words that begin one are followed up."""
     heads = sorted({g.split()[0] for g in VOCABULARY})
-    here = F.flatten(
-        F.transform(
-            words,
-            lambda w, i: F.when(
-                w.isin(heads),
-                F.array(F.concat_ws(" ", w, F.get(words, i + 1)), F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2))),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    return F.array_distinct(F.filter(here, lambda g: g.isin(VOCABULARY)))
+
+    def grams(words: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            two, three = F.concat_ws(" ", w, F.get(words, i + 1)), F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2))
+            return F.when(w.isin(heads), F.array(two, three)).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.filter(F.flatten(F.transform(words, at)), lambda g: g.isin(VOCABULARY)))
+
+    return _let(words, grams)
 
 
 def _let(value: Column, use) -> Column:
@@ -138,6 +137,10 @@ class Model:
     weights: list[dict[str, float]]
     temperature: float
 
+    def logits(self, grams: list[str]) -> list[float]:
+        """Of one paragraph, before the temperature."""
+        return [b + sum(w.get(g, 0.0) for g in grams) for b, w in zip(self.intercepts, self.weights)]
+
     def probabilities(self, grams: Column) -> Column:
         """Calibrated, in the order of the families."""
         logits = F.array(*[(F.lit(b) + _sum(grams, w)) / self.temperature for b, w in zip(self.intercepts, self.weights)])
@@ -193,20 +196,20 @@ def learn(docs: DataFrame, negatives: int = NEGATIVES, passes: int = PASSES, str
     rows = _training_rows(spark, docs.select("doc_id", "text"), negatives).select("label", "fold", known_grams(F.col("words")).alias("grams"))
     # rows of one label and grams weigh together, so that the fit sees few rows and in one order
     rows = rows.groupBy("label", "fold", "grams").agg(F.count("*").cast("double").alias("weight")).coalesce(1).sort("label", "fold", "grams")
-    rows = spark.createDataFrame(rows.collect(), rows.schema).coalesce(1)  # about as many rows as there are parts of templates
+    known = rows.collect()  # about as many rows as there are parts of templates
+    rows = spark.createDataFrame(known, rows.schema).coalesce(1)
     counted = CountVectorizerModel.from_vocabulary(VOCABULARY, inputCol="grams", outputCol="features").setBinary(True).transform(rows)
     fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=strength, maxIter=passes, standardization=False, weightCol="weight").fit(counted.filter("fold > 0 OR label > 0"))
-    held = fitted.transform(counted.filter("fold = 0")).select("label", "weight", vector_to_array("rawPrediction").alias("x"))
-
-    def loss(temperature: float) -> Column:
-        total = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.exp(v / temperature))
-        return F.sum(F.col("weight") * (F.log(total) - F.get("x", F.col("label").cast("int")) / temperature))
-
-    found = held.agg(*[loss(t).alias(str(i)) for i, t in enumerate(TEMPERATURES)]).first()
-    temperature = min(zip((x if x is not None else 0.0 for x in found), TEMPERATURES), key=lambda p: (round(p[0], 9), abs(p[1] - 1)))[1]
     table = fitted.coefficientMatrix.toArray()
     weights = [{VOCABULARY[i]: float(table[k, i]) for i in table[k].nonzero()[0]} for k in range(table.shape[0])]
-    return Model([UNKNOWN, *TEMPLATES], [float(x) for x in fitted.interceptVector], weights, temperature)
+    model = Model([UNKNOWN, *TEMPLATES], [float(x) for x in fitted.interceptVector], weights, 1.0)
+    held = [(r["label"], r["weight"], model.logits(r["grams"])) for r in known if r["fold"] == 0]
+
+    def loss(temperature: float) -> float:
+        return sum(w * (math.log(sum(math.exp((v - max(x)) / temperature) for v in x)) - (x[int(label)] - max(x)) / temperature) for label, w, x in held)
+
+    model.temperature = min(TEMPERATURES, key=lambda t: (round(loss(t), 9), abs(t - 1)))
+    return model
 
 
 def scan(docs: DataFrame, model: Model, certain: float = CERTAIN, covered: float = COVERED) -> DataFrame:
