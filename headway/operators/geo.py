@@ -90,7 +90,9 @@ def placed(points: DataFrame, line: str, order: list[str], stops: DataFrame) ->
     """Stops (line, place from 0, n) at equal shares of their line's length."""
     w = W.partitionBy(line).orderBy(*order)
     here = along(points, [line], order)
-    segments = here.withColumns({"_lat": F.lag("lat").over(w), "_lon": F.lag("lon").over(w), "_at": F.lag("at").over(w), "_seq": F.row_number().over(w)}).filter("_at IS NOT NULL")
+    segments = here.withColumns({"_lat": F.lag("lat").over(w), "_lon": F.lag("lon").over(w), "_at": F.lag("at").over(w), "_seq": F.row_number().over(w), "_last": F.lead("lat").over(w).isNull()})
+    # a line of one point is a segment from that point to itself
+    segments = segments.filter("_at IS NOT NULL OR _last").withColumns({"_lat": F.coalesce("_lat", "lat"), "_lon": F.coalesce("_lon", "lon"), "_at": F.coalesce("_at", F.lit(0.0))})
     whole = here.groupBy(line).agg(F.max("at").alias("_all"))
     wanted = stops.join(whole, line).withColumn("_t", F.when(F.col("n") > 1, F.col("_all") * F.col("place") / (F.col("n") - 1)).otherwise(F.lit(0.0)))
     hit = wanted.join(segments, line).filter(F.col("at") >= F.col("_t") - 1e-9).groupBy(line, "place", "n", "_t").agg(F.min_by(F.struct("_lat", "_lon", "lat", "lon", "_at", "step"), "_seq").alias("s"))

@@ -115,8 +115,8 @@ def bound(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
 def unwrapped(payload: Column, element: str) -> Column:
     """The rows of an API answer: a bare list, or one under rows, Rows, data, Data or features."""
     kind = f"array<{element}>"
-    tried = [F.from_json(payload, F.lit(kind)), *[F.from_json(F.get_json_object(payload, f"$.{k}"), F.lit(kind)) for k in ("rows", "Rows", "data", "Data", "features")]]
-    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in tried], F.array().cast(kind))
+    places = [payload, *[F.get_json_object(payload, f"$.{k}") for k in ("rows", "Rows", "data", "Data", "features")]]
+    return F.coalesce(*[F.when(F.ltrim(x).startswith("["), F.from_json(x, F.lit(kind))) for x in places], F.array().cast(kind))
 
 
 def hourly_columns(df: DataFrame, columns: list[str]) -> DataFrame:
