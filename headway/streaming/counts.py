@@ -10,9 +10,9 @@ def interval_counts(rows: DataFrame, minutes: int, late: str = "1 hour") -> Data
     """Successful validations by route and tumbling window from a stream of (route, ts, ok); a window closes once the watermark,
     ``late`` behind the newest time, has passed it. Also takes a batch."""
     if rows.isStreaming:
-        rows = rows.withWatermark("ts", late)
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)  # watermarks need an instant
     counted = rows.filter("ok").groupBy("route", F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("boardings"))
-    return counted.select("route", F.col("w.start").alias("start"), "boardings")
+    return counted.select("route", F.col("w.start").cast("timestamp_ntz").alias("start"), "boardings")
 
 
 def write(counts: DataFrame, path: str, checkpoint: str):
