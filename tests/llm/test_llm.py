@@ -208,7 +208,7 @@ def test_language_id(docs, edge, empty):
 
 
 def test_toxicity(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "toxic").collect()
     good, bad = ([r["score"] for r in rows if r["toxic"] == x] for x in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.9
