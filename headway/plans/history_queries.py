@@ -365,13 +365,15 @@ def _(spark, d):
 
 
 @dated_query("fc_13_selective_ensemble", f"""WITH {MODELS}, dl AS (SELECT route, date, sum(b) AS daily FROM w GROUP BY ALL), s AS (SELECT w.*, daily, CASE WHEN sum(a) OVER (PARTITION BY w.route, w.date) > 0 THEN a / sum(a) OVER (PARTITION BY w.route, w.date) ELSE 1 / 24.0 END AS share FROM w JOIN dl USING (route, date)),
-  mx AS (SELECT route, date, hour, b, 0.8 * a + 0.2 * daily * share AS x FROM s) SELECT route, date, hour, round(greatest(0.0, CASE route WHEN 1 THEN 0.65 * x + 0.35 * b WHEN 2 THEN 0.9 * x + 0.1 * b ELSE x END), 2) AS predicted FROM mx""")
+  mx AS (SELECT route, date, hour, b, 0.8 * a + 0.2 * daily * share AS x FROM s) SELECT route, date, hour, floor(greatest(0.0, CASE route WHEN 1 THEN 0.65 * x + 0.35 * b WHEN 2 THEN 0.9 * x + 0.1 * b ELSE x END) * 100 + 0.503) / 100 AS predicted FROM mx""")
 def _(spark, d):
     rows = two_models(spark, d)
     base = rows.select(*grid.KEYS, F.col("a").alias("predicted"))
     tree = rows.select(*grid.KEYS, F.col("b").alias("predicted"))
     daily = rows.groupBy("route", "date").agg(F.sum("b").alias("daily"))
-    return rounded(forecast.selective(base, daily, tree, {1: 0.35, 2: 0.1}), 2)
+    # to cents, with the border off the halves of cents that the weights make
+    mixed = forecast.selective(base, daily, tree, {1: 0.35, 2: 0.1})
+    return mixed.withColumn("predicted", F.floor(F.col("predicted") * 100 + 0.503) / 100)
 
 
 @dated_query("fc_9_spread_daily", f"""WITH {MODELS}, dl AS (SELECT route, date, sum(b) AS total FROM w GROUP BY ALL), s AS (SELECT route, date, hour, total, greatest(a - 1000, 0) AS share FROM w JOIN dl USING (route, date))
