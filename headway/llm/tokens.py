@@ -13,8 +13,8 @@ from tokenizers import Tokenizer
 from headway.llm.common import map_rows
 
 END = 1
-#: Words that a task remembers the ids of, of each kind.
-REMEMBERED = 250_000
+#: Words that a Python worker remembers the ids of, of each kind.
+REMEMBERED = 400_000
 
 #: Latin letters, then marks that are one token run: for these, lower case and byte spelling are known without the normaliser.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?&%$#*]*)")
@@ -31,6 +31,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.bytes_of = [x.tobytes() for x in np.arange(size, dtype=self.kind)]
         self.words: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {"": b""}
         probe = "aß Éb-c's\n12"
@@ -39,6 +40,8 @@ class Encoder:
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
         spelt = {x: self.tokenizer.pre_tokenizer.pre_tokenize_str(x) for x in letters} if self.by_word else {}
         self.spelling = {ord(x): s[0][0] for x, s in spelt.items() if len(s) == 1}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.ascii_as_is = all(self.spelling.get(c) == chr(c) for c in range(97, 123))
         # the model is asked directly only if that gives the same ids for a few words of such letters
         tried = ("a", "the", "été", "straße", "ñandú", "internationalisation")
         self.direct = self.by_word and all(self._model(x) == self._whole(x) for x in tried)
@@ -47,7 +50,8 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _model(self, run: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(run.translate(self.spelling))], self.kind).tobytes()
+        spelt = run if self.ascii_as_is and run.isascii() else run.translate(self.spelling)
+        return b"".join([self.bytes_of[t.id] for t in self.tokenize(spelt)])
 
     def _run(self, run: str, encode) -> bytes:
         found = self.runs.get(run)
@@ -61,7 +65,13 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word) if self.direct else None
-        found = self._run(plain[1].lower(), self._model) + self._run(plain[2], self._whole) if plain else self._whole(word)
+        if plain:
+            letters, marks = plain.groups()
+            found = self._run(letters.lower(), self._model)
+            if marks:
+                found += self._run(marks, self._whole)
+        else:
+            found = self._whole(word)
         if len(word) <= 40:
             if len(self.words) >= REMEMBERED:
                 self.words = {"": b""}
