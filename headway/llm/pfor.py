@@ -36,14 +36,14 @@ def encode_blocks(ids: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, by
     n = -(-len(ids) // BLOCK)
     if not n:
         return np.zeros(1, "<u8"), b""
-    table = np.full(n * BLOCK, ids[-1], np.int64)
+    table = np.full(n * BLOCK, ids[-1], "<u4")
     table[: len(ids)] = ids
     table = table.reshape(n, BLOCK)
     low = table.min(1)
     table -= low[:, None]
     rank = min(BLOCK - 1, int(np.ceil(share * BLOCK)) - 1)
     widths = _lengths(np.partition(table, rank, axis=1)[:, rank])
-    odd = table >> widths[:, None] != 0
+    odd = table > ((1 << widths.astype(np.int64)) - 1).astype("<u4")[:, None]
     patched = odd.sum(1)
     sizes = _HEAD + widths * (BLOCK // 8) + 5 * patched
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -53,15 +53,16 @@ def encode_blocks(ids: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, by
     out[at[:-1, None] + np.array([5, 6])] = patched.astype("<u2").view(np.uint8).reshape(n, 2)
     for width in np.unique(widths[widths > 0]).tolist():
         rows = np.flatnonzero(widths == width)
-        bits = (table[rows][:, :, None] >> np.arange(width)) & 1
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+        narrow = table[rows].astype("<u2" if width <= 16 else "<u4")
+        bits = np.unpackbits(narrow[:, :, None].view(np.uint8), axis=2, bitorder="little")[:, :, :width]
+        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
         out[(at[rows] + _HEAD)[:, None] + np.arange(packed.shape[1])] = packed
     row, place = np.nonzero(odd)
     if len(row):
         nth = np.arange(len(row)) - np.repeat(np.cumsum(patched) - patched, patched)
         behind = (at[:-1] + _HEAD + widths * (BLOCK // 8))[row]
         out[behind + nth] = place
-        high = (table[row, place] >> widths[row]).astype("<u4").view(np.uint8).reshape(-1, 4)
+        high = (table[row, place].astype(np.int64) >> widths[row]).astype("<u4").view(np.uint8).reshape(-1, 4)
         out[(behind + patched[row] + 4 * nth)[:, None] + np.arange(4)] = high
     return at.astype("<u8"), out.tobytes()
 
@@ -79,11 +80,10 @@ def decode_blocks(at: np.ndarray, data: bytes, count: int) -> np.ndarray:
     for width in np.unique(widths[widths > 0]).tolist():
         rows = np.flatnonzero(widths == width)
         packed = raw[(at[rows] + _HEAD)[:, None] + np.arange(width * BLOCK // 8)]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
-        values = np.zeros((len(rows), BLOCK), np.int64)
-        for k in range(width):
-            values |= bits[:, :, k].astype(np.int64) << k
-        table[rows] = values
+        kind = np.dtype("<u2" if width <= 16 else "<u4")
+        bits = np.zeros((len(rows), BLOCK, 8 * kind.itemsize), np.uint8)
+        bits[:, :, :width] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
+        table[rows] = np.packbits(bits, axis=2, bitorder="little").view(kind)[:, :, 0]
     if patched.any():
         row = np.repeat(np.arange(n), patched)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(patched) - patched, patched)
