@@ -109,6 +109,27 @@ def score_with(model, rows: DataFrame) -> DataFrame:
     return fitted.transform(rows).withColumn("predicted", F.greatest(F.lit(floor), F.col("_predicted"))).drop("_features", "_predicted")
 
 
+def bucketed(train: DataFrame, rows: DataFrame, inputs: list[str], target: str, ranges: list[tuple[int, int]], least: int = 80, **options) -> DataFrame:
+    """``predicted`` by a model of the row's horizon range; ranges with fewer than ``least`` training rows, and rows outside of all, take
+    the model of all rows. Ranges must not overlap."""
+    whole = boosted(train, inputs, target, **options)
+    inside = [F.coalesce(F.col("horizon").between(low, high), F.lit(False)) for low, high in ranges]
+    counts = train.filter(F.col(target).isNotNull()).agg(*[F.count_if(x) for x in inside]).first() if ranges else []
+    rest, out = F.lit(True), None
+    for x, n in zip(inside, counts):
+        if n >= least:
+            part = score_with(boosted(train.filter(x), inputs, target, **options), rows.filter(x))
+            rest, out = rest & ~x, part if out is None else out.unionByName(part)
+    other = score_with(whole, rows.filter(rest))
+    return other if out is None else out.unionByName(other)
+
+
+def corrected(train: DataFrame, rows: DataFrame, inputs: list[str], base: str = "base", actual: str = "actual", **options) -> DataFrame:
+    """``predicted``: a frozen forecast plus what trees, fitted to its errors, add; at least 0."""
+    model = boosted(train.withColumn("_left", F.col(actual) - F.col(base)), inputs, "_left", floor=float("-inf"), **options)
+    return score_with(model, rows).withColumn("predicted", F.greatest(F.lit(0.0), F.col(base) + F.col("predicted")))
+
+
 def scaler(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and population deviation of columns, deviations under 1e-6 as 1."""
     return rows.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.when(F.stddev_pop(c) < 1e-6, 1.0).otherwise(F.stddev_pop(c)).alias(f"{c}_std"))])

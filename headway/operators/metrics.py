@@ -91,23 +91,44 @@ def gate(folds: DataFrame, gain: float = 0.005, wins: int = 3, drop: float = 0.0
     return out.withColumn("accepted", F.coalesce(ok, F.lit(False)))
 
 
-def blend_search(rows: DataFrame, models: list[str], step: float = 0.1, keys: list[str] | None = None) -> DataFrame:
-    """The best weights on the simplex by weighted error, by keys; rows have actual and a column for each model.
+def _mixtures(rows: DataFrame, models: list[str], step: float, keys: list[str]) -> DataFrame:
+    """Absolute error and volume of each grid weight, by keys; ids follow the grid's order.
 
     The grid of weights is a handful of rows, so every row meets each of them within its task, and the sums are combined before the
-    shuffle. Ties go to the grid's first.
+    shuffle.
     """
     n, grid = round(1 / step), [()]
     for i in range(len(models)):
         grid = [g + (k,) for g in grid for k in range(n - sum(g) + 1) if i < len(models) - 1 or sum(g) + k == n]
-    keys = keys or []
     table = F.array(*[F.struct(F.lit(i).alias("id"), *[F.lit(k / n).alias(f"w_{m}") for m, k in zip(models, g)]) for i, g in enumerate(grid)])
     tried = rows.withColumn("_w", F.explode(table)).select(*keys, "actual", *models, "_w.*")
     mixed = sum((F.col(m) * F.col(f"w_{m}") for m in models[1:]), F.col(models[0]) * F.col(f"w_{models[0]}"))
-    scored = tried.groupBy(*keys, "id", *[f"w_{m}" for m in models]).agg(wape(F.col("actual"), mixed).alias("wape"))
+    return tried.groupBy(*keys, "id", *[f"w_{m}" for m in models]).agg(F.sum(F.abs(F.col("actual") - mixed)).alias("_error"), F.sum("actual").alias("_volume"))
+
+
+def blend_search(rows: DataFrame, models: list[str], step: float = 0.1, keys: list[str] | None = None) -> DataFrame:
+    """The best weights on the simplex by weighted error, by keys; rows have actual and a column for each model. Ties go to the grid's first."""
+    keys = keys or []
+    scored = _mixtures(rows, models, step, keys).withColumn("wape", F.try_divide("_error", F.nullif("_volume", F.lit(0)))).drop("_error", "_volume")
     return best(scored, keys or [F.lit(0)], [F.round("wape", 12).asc_nulls_last(), F.col("id")]).drop("id")
 
 
+def leave_one_out(rows: DataFrame, models: list[str], origin: str = "origin", step: float = 0.1) -> DataFrame:
+    """For each origin the weights that the other origins choose, with its own score by the first model (anchor) and by them (blend).
+
+    One pass over the rows: what the others sum to is the total less the origin's own. A score without volume is null.
+    """
+    each = _mixtures(rows, models, step, [origin])
+    same = W.partitionBy("id")
+    left = {c: F.sum(c).over(same) - F.col(c) for c in ("_error", "_volume")}
+    others = each.withColumn("_others", F.greatest(F.lit(0.0), 1 - left["_error"] / F.greatest(left["_volume"], F.lit(1.0))))
+    own = F.greatest(F.lit(0.0), 1 - F.try_divide("_error", F.nullif("_volume", F.lit(0))))
+    own = F.when(F.col("_volume") != 0, own)
+    chosen = best(others, [origin], [F.round("_others", 12).desc(), F.col("id")]).withColumn("blend", own)
+    anchor = each.filter(F.col(f"w_{models[0]}") == 1).select(origin, own.alias("anchor"))
+    return chosen.join(anchor, origin).select(origin, *[f"w_{m}" for m in models], "anchor", "blend")
+
+
 def sign_test(wins: int, n: int) -> float:
     """The chance of at least so many wins in ``n`` fair tosses."""
     from math import comb

@@ -357,6 +357,16 @@ def _(spark, d):
     return rounded(metrics.blend_search(two_models(spark, d), ["a", "b"], 0.1, ["route"]))
 
 
+@query("fc_11_leave_one_out", f"""WITH {MODELS}, wg AS (SELECT k AS id, k / 10.0 AS w_a, (10 - k) / 10.0 AS w_b FROM range(11) x(k)),
+  e AS (SELECT CAST(isoyear(date) * 100 + weekofyear(date) AS INT) AS origin, id, w_a, w_b, sum(abs(actual - a * w_a - b * w_b)) AS err, sum(actual) AS vol FROM w, wg GROUP BY ALL),
+  o AS (SELECT *, sum(err) OVER (PARTITION BY id) - err AS oe, sum(vol) OVER (PARTITION BY id) - vol AS ov FROM e),
+  r AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY round(greatest(0.0, 1 - oe / greatest(ov, 1)), 12) DESC, id) AS n FROM o)
+  SELECT r.origin, CAST(r.w_a AS DOUBLE) AS w_a, CAST(r.w_b AS DOUBLE) AS w_b, round(greatest(0.0, 1 - e.err / e.vol), 6) AS anchor, round(greatest(0.0, 1 - r.err / r.vol), 6) AS blend FROM r JOIN e ON e.origin = r.origin AND e.id = 10 WHERE n = 1""")
+def _(spark, d):
+    rows = forecast.fold_of(two_models(spark, d)).withColumn("origin", F.col("fold").cast("int"))
+    return metrics.leave_one_out(rows, ["a", "b"]).withColumns({c: F.round(c, 6) for c in ("anchor", "blend")})
+
+
 @query("agg_40_forecast_differences", f"WITH {MODELS} SELECT round(avg(abs(a - b)), 4) AS mae, round(max(abs(a - b)), 4) AS max_diff, round(sum(a) / greatest(sum(b), 1), 6) AS total_ratio, count(*) AS n FROM w")
 def _(spark, d):
     rows = two_models(spark, d)
@@ -405,3 +415,26 @@ def _(spark, d):
     cut = F.lit(B.CUTOFF).cast("date")
     model = forecast.boosted(rows.filter(F.col("date") <= cut), ["route", "dow", "mean7", "mean28", "std7", "std28"], "total", trees=10, depth=4)
     return forecast.score_with(model, rows.filter(F.col("date") > cut)).select("route", "date", F.round("total", 3).alias("total"), F.round("predicted", 3).alias("predicted"))
+
+
+def _horizons(spark, d):
+    rows = two_models(spark, d).withColumns({"horizon": F.datediff("date", F.lit(B.CUTOFF).cast("date")), "dow": F.weekday("date")})
+    half = F.lit("2001-06-01").cast("date")
+    return rows.filter(F.col("date") < half), rows.filter(F.col("date") >= half)
+
+
+@dated_query("fc_19_residual_trees")
+def _(spark, d):
+    """The frozen forecast corrected by trees of the first month's errors; MLlib, so no SQL."""
+    train, rows = _horizons(spark, d)
+    out = forecast.corrected(train, rows, ["route", "dow", "hour", "b"], "a", "actual", trees=5, depth=4)
+    return rounded(out.select(*grid.KEYS, "predicted"), 3)
+
+
+@dated_query("fc_24_horizon_buckets")
+def _(spark, d):
+    """Trees by range of the horizon, with those of all rows where a range has too few; MLlib, so no SQL."""
+    train, rows = _horizons(spark, d)
+    # the second month's rows take the range of a month before
+    out = forecast.bucketed(train, rows.withColumn("horizon", F.col("horizon") - 31), ["route", "dow", "hour", "a", "b"], "actual", [(1, 14), (15, 31)], trees=5, depth=4)
+    return rounded(out.select(*grid.KEYS, "predicted"), 3)

@@ -183,3 +183,23 @@ def test_sinks(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "l"), ";").count() == 2
     sinks.write_partitioned(df, str(tmp_path / "p"), ["route"])
     assert spark.read.parquet(str(tmp_path / "p")).filter("route = 1").first()["name"] == "a"
+
+
+def test_leave_one_out(spark):
+    rows = [(1, 10.0, 10.0, 0.0), (2, 10.0, 0.0, 10.0), (3, 10.0, 0.0, 10.0), (4, 0.0, 0.0, 0.0)]
+    got = {r["origin"]: r for r in metrics.leave_one_out(spark.createDataFrame(rows, "origin int, actual double, a double, b double"), ["a", "b"], step=0.5).collect()}
+    assert (got[1]["w_a"], got[1]["w_b"], got[1]["anchor"], got[1]["blend"]) == (0.0, 1.0, 1.0, 0.0)
+    assert (got[2]["w_a"], got[2]["anchor"], got[2]["blend"]) == (0.0, 0.0, 1.0)  # a tie goes to the grid's first
+    assert got[4]["anchor"] is None and got[4]["blend"] is None
+
+
+def test_trees_by_horizon_and_of_errors(spark):
+    rows = spark.range(200).select((F.col("id") % 2 * 10 + 1).cast("int").alias("horizon"), (F.col("id") % 5).cast("double").alias("x"))
+    rows = rows.withColumns({"actual": F.when(F.col("horizon") == 1, 3.0).otherwise(7.0), "base": F.lit(5.0)})
+    asked = spark.createDataFrame([(1, 1.0, 5.0), (11, 1.0, 5.0), (None, 1.0, 5.0), (1, 2.0, -9.0)], "horizon int, x double, base double")
+    got = [(r["horizon"], round(r["predicted"], 3)) for r in forecast.bucketed(rows, asked, ["x"], "actual", [(1, 5), (10, 15)], trees=1, depth=2).collect()]
+    assert got.count((1, 3.0)) == 2 and (11, 7.0) in got and len(got) == 4
+    alone = forecast.bucketed(rows, asked, ["x"], "actual", [(1, 5), (10, 15)], least=101, trees=1, depth=2).collect()
+    assert len({r["predicted"] for r in alone if r["x"] == 1.0}) == 1
+    fixed = forecast.corrected(rows.filter("horizon = 11"), asked, ["x"], trees=1, depth=2).collect()
+    assert sorted(round(r["predicted"], 3) for r in fixed) == [0.0, 7.0, 7.0, 7.0]
