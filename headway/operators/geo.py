@@ -106,22 +106,28 @@ def centroids(points: DataFrame, routes: DataFrame, default: tuple[float, float]
     return routes.select("route").distinct().join(mean, "route", "left").withColumns({"lat": F.coalesce("lat", F.lit(default[0])), "lon": F.coalesce("lon", F.lit(default[1]))})
 
 
-def clusters(stops: DataFrame, metres: float = 1600.0, rounds: int = 60) -> DataFrame:
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows without their lineage, in the checkpoint folder if one is set."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() is not None else rows.localCheckpoint()
+
+
+def clusters(stops: DataFrame, metres: float = 1600.0) -> DataFrame:
     """Stops (id, name, lat, lon) of one name that a chain of steps of at most ``metres`` joins, as one: cluster (least id), name, mean position, n.
 
-    Least labels move along the pairs until nothing changes; each round is written to the checkpoint folder if one is set.
+    Least labels move along the pairs until nothing changes. In each round a stop hands the least label it sees to the stop that its own
+    label names, and then takes that stop's label, so that whole clusters merge at once; each round is cut off.
     """
-    pairs = within(stops.select("id", "name", "lat", "lon"), stops.select("id", "name", "lat", "lon"), metres).filter((F.col("name") == F.col("r_name")) & (F.col("id") != F.col("r_id"))).select("id", F.col("r_id").alias("other"))
-    reliable = stops.sparkSession.sparkContext.getCheckpointDir() is not None
+    pairs = _cut(within(stops.select("id", "name", "lat", "lon"), stops.select("id", "name", "lat", "lon"), metres).filter((F.col("name") == F.col("r_name")) & (F.col("id") != F.col("r_id"))).select("id", F.col("r_id").alias("other")))
     labels = stops.select("id", F.col("id").alias("cluster"))
-    for _ in range(rounds):
+    while True:
         near = pairs.join(labels.withColumnRenamed("id", "other").withColumnRenamed("cluster", "_c"), "other").groupBy("id").agg(F.min("_c").alias("_c"))
-        moved = labels.join(near, "id", "left").select("id", "cluster", F.least("cluster", "_c").alias("next"))
-        moved = moved.checkpoint() if reliable else moved.persist()
-        done = moved.filter("next < cluster").isEmpty()
-        labels = moved.select("id", F.col("next").alias("cluster"))
-        if done:
+        seen = _cut(labels.join(near, "id", "left").select("id", "cluster", F.least("cluster", "_c").alias("low")))
+        if seen.filter("low < cluster").isEmpty():
             break
+        handed = seen.groupBy(F.col("cluster").alias("id")).agg(F.min("low").alias("_h"))
+        moved = _cut(seen.join(handed, "id", "left").select("id", F.least("low", "_h").alias("next")))
+        named = moved.select(F.col("id").alias("next"), F.col("next").alias("cluster"))
+        labels = moved.join(named, "next").select("id", "cluster")
     return stops.join(labels, "id").groupBy("cluster", "name").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"))
 
 

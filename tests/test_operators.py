@@ -111,6 +111,13 @@ def test_clusters_are_transitive(spark):
     assert sorted((r["cluster"], r["name"], r["n"]) for r in geo.clusters(stops).collect()) == [(1, "a", 3), (4, "a", 1), (5, "b", 1)]
 
 
+def test_clusters_of_long_chains(spark):
+    # 150 stops a kilometre apart, with ids along the line, and a second line whose ids are mixed
+    rows = [(i, "a", 55.0 + i * 0.009, 37.0) for i in range(150)] + [(1000 + i * 67 % 150, "b", 55.0 + i * 0.009, 37.0) for i in range(150)]
+    got = geo.clusters(spark.createDataFrame(rows, "id int, name string, lat double, lon double")).collect()
+    assert sorted((r["cluster"], r["name"], r["n"], round(r["lat"], 6)) for r in got) == [(0, "a", 150, 55.6705), (1000, "b", 150, 55.6705)]
+
+
 def test_nearest_beyond_the_broadcast(spark, monkeypatch):
     left = spark.createDataFrame([(1, 55.0, 37.0), (2, 57.0, 39.0)], "id int, lat double, lon double")
     right = spark.createDataFrame([("a", 55.001, 37.0), ("b", 56.0, 38.0)], "name string, lat double, lon double")
