@@ -93,6 +93,9 @@ def _grams(words: list[str]) -> list[str]:
 
 #: The grams that the classifier knows: every one of a template or of the other sentences.
 VOCABULARY = sorted({g for x in (*(t for family in TEMPLATES.values() for t in family), *OTHERS) for g in _grams(x.split())})
+#: Words of the longest template; the words that begin a gram.
+LONGEST = max(len(t.split()) for family in TEMPLATES.values() for t in family)
+HEADS = sorted({g.split()[0] for g in VOCABULARY})
 
 
 def paragraphs(text: Column) -> Column:
@@ -101,14 +104,50 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "")), lambda words: F.size(words) > 0)
 
 
+def blocks(text: Column) -> Column:
+    """The same lines as (words, opens): a line opens a block if it is the first or the one before has no word."""
+    raw = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\r\n|\n|\r"), lambda x: F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != ""))
+
+    def numbered(raw: Column) -> Column:
+        lines = F.transform(raw, lambda w, i: F.struct(w.alias("words"), (F.coalesce(F.size(F.get(raw, i - 1)), F.lit(0)) <= 0).alias("opens")))
+        return F.filter(lines, lambda s: F.size(s["words"]) > 0)
+
+    return _let(raw, numbered)
+
+
+def windows(lines: Column, own: Column) -> Column:
+    """(paragraph, last, grams) of each run of two or more lines of a block in which a wrapped template may stand.
+
+    A run goes on from its first line until as many words follow as the longest template has. It starts only at a line with a known gram
+    (``own`` has those of each line) or with a last word that begins one: no other line has a part of a template before its end.
+    """
+    kind = "array<struct<paragraph:int,last:int,grams:array<string>>>"
+    none = F.array().cast(kind)
+
+    def words(some: Column) -> Column:
+        return F.flatten(F.transform(some, lambda x: x["words"]))
+
+    def runs(s: Column, i: Column) -> Column:
+        def of(after: Column) -> Column:
+            stop = F.array_position(F.transform(after, lambda x: x["opens"]), True).cast("int")
+            n = F.when(stop > 0, stop - 1).otherwise(F.size(after))
+            ends = F.filter(F.sequence(F.lit(1), n), lambda k: F.size(words(F.slice(after, F.lit(1), k - 1))) < LONGEST)
+            made = F.transform(ends, lambda k: F.struct(i.alias("paragraph"), (i + k).alias("last"), known_grams(F.concat(s["words"], words(F.slice(after, F.lit(1), k)))).alias("grams")))
+            return F.when(n > 0, made.cast(kind)).otherwise(none)
+
+        starts = (F.size(F.get(own, i)) > 0) | F.element_at(s["words"], -1).isin(HEADS)
+        return F.when(starts, _let(F.slice(lines, i + 2, F.lit(LONGEST)), of)).otherwise(none)
+
+    # the shortest template has three pairs of words, and fewer grams than two cover none
+    return F.filter(F.flatten(F.transform(lines, runs)), lambda s: F.size(s["grams"]) > 1)
+
+
 def known_grams(words: Column) -> Column:
     """The distinct grams of the vocabulary in a paragraph. Only words that begin one are followed up."""
-    heads = sorted({g.split()[0] for g in VOCABULARY})
-
     def grams(words: Column) -> Column:
         def at(w: Column, i: Column) -> Column:
             two, three = F.concat_ws(" ", w, F.get(words, i + 1)), F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2))
-            return F.when(w.isin(heads), F.array(two, three)).otherwise(F.array().cast("array<string>"))
+            return F.when(w.isin(HEADS), F.array(two, three)).otherwise(F.array().cast("array<string>"))
 
         return F.array_distinct(F.filter(F.flatten(F.transform(words, at)), lambda g: g.isin(VOCABULARY)))
 
@@ -217,17 +256,15 @@ def scan(docs: DataFrame, model: Model, certain: float = CERTAIN, covered: float
 
     ``hits`` lists (paragraph from 0, family, probability, coverage) of each line that the classifier gives to a family with
     at least the probability ``certain`` and that covers ``covered`` of a template's pairs of words; ``families`` are theirs,
-    distinct and sorted. ``n_rejected`` counts the lines given to a family that no template confirmed or that were too
-    uncertain. A line without a known gram is unknown. A row is handled by itself: nothing is shuffled. Null and empty texts have no
-    paragraphs; repeated rows repeat; an empty table gives none.
+    distinct and sorted. A notice that wraps is judged over the lines together (``windows``) and listed with its first line, unless fewer of
+    these lines are a hit of the family already or another family's hit on one of them covers more. ``n_rejected`` counts the lines given to a family that no template confirmed or that
+    were too uncertain, and that no hit has. A line without a known gram is unknown. A row is handled by itself: nothing is shuffled. Null
+    and empty texts have no paragraphs; repeated rows repeat; an empty table gives none.
     """
-    lines = docs.select("doc_id", paragraphs(F.col("text")).alias("lines"))
-    kind = "array<struct<paragraph:int,grams:array<string>>>"
-    seen = lines.select(
-        "doc_id",
-        F.size("lines").cast("long").alias("n_paragraphs"),
-        F.filter(F.transform("lines", lambda w, i: F.struct(i.alias("paragraph"), known_grams(w).alias("grams"))), lambda s: F.size(s["grams"]) > 0).cast(kind).alias("seen"),
-    )
+    lines = docs.select("doc_id", blocks(F.col("text")).alias("lines")).withColumn("own", F.transform("lines", lambda s: known_grams(s["words"])))
+    kind = "array<struct<paragraph:int,last:int,grams:array<string>>>"
+    alone = F.filter(F.transform("own", lambda grams, i: F.struct(i.alias("paragraph"), i.alias("last"), grams.alias("grams"))), lambda s: F.size(s["grams"]) > 0).cast(kind)
+    seen = lines.select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), F.concat(alone, windows(F.col("lines"), F.col("own"))).alias("seen"))
     names = F.array(*map(F.lit, model.families))
 
     def judged(s: Column) -> Column:
@@ -235,20 +272,33 @@ def scan(docs: DataFrame, model: Model, certain: float = CERTAIN, covered: float
             return _let(F.array_max(p), lambda top: F.struct(F.get(names, (F.array_position(p, top) - 1).cast("int")).alias("family"), top.alias("probability")))
 
         best = _let(model.probabilities(s["grams"]), first_best)
-        return _let(best, lambda b: F.struct(s["paragraph"].alias("paragraph"), b["family"].alias("family"), b["probability"].alias("probability"), s["grams"].alias("grams")))
+        return _let(best, lambda b: F.struct(s["paragraph"].alias("paragraph"), s["last"].alias("last"), b["family"].alias("family"), b["probability"].alias("probability"), s["grams"].alias("grams")))
 
     best = F.transform("seen", judged)
-    compared = F.transform(F.filter("best", lambda s: s["family"] != UNKNOWN), lambda s: F.struct(s["paragraph"].alias("paragraph"), s["family"].alias("family"), s["probability"].alias("probability"), coverage(s["grams"], s["family"]).alias("coverage")))
+    compared = F.transform(F.filter("best", lambda s: s["family"] != UNKNOWN), lambda s: F.struct(s["paragraph"].alias("paragraph"), s["last"].alias("last"), s["family"].alias("family"), s["probability"].alias("probability"), coverage(s["grams"], s["family"]).alias("coverage")))
     # most rows have nothing to score: those skip it
     none = F.size("seen") == 0
     out = seen.withColumn("best", F.when(~none, best)).withColumn("compared", F.coalesce(F.when(~none, compared), F.array()))
-    out = out.withColumn("hits", F.filter("compared", lambda s: (s["probability"] >= certain) & (s["coverage"] >= covered)))
+    out = out.withColumn("found", F.filter("compared", lambda s: (s["probability"] >= certain) & (s["coverage"] >= covered)))
+
+    def within(a: Column, b: Column) -> Column:
+        return (a["paragraph"] >= b["paragraph"]) & (a["last"] <= b["last"])
+
+    least = F.filter("found", lambda s: ~F.exists("found", lambda o: (o["family"] == s["family"]) & within(o, s) & ~within(s, o)))
+    out = out.withColumn("fewest", F.array_sort(least))
+
+    def better(s: Column) -> Column:
+        """A hit of another family on a line of the run covers more, as where the run cuts an LGPL notice off and looks like GPL."""
+        return F.exists("fewest", lambda o: (o["family"] != s["family"]) & (o["paragraph"] <= s["last"]) & (o["last"] >= s["paragraph"]) & (o["coverage"] > s["coverage"]))
+
+    out = out.withColumn("least", F.filter("fewest", lambda s: (s["paragraph"] == s["last"]) | ~better(s)))
+    rejected = F.filter("compared", lambda s: (s["paragraph"] == s["last"]) & ~F.exists("least", lambda h: within(s, h)))
     return out.select(
         "doc_id",
         "n_paragraphs",
-        (F.size("compared") - F.size("hits")).cast("long").alias("n_rejected"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda s: s["family"]))).alias("families"),
-        "hits",
+        F.size(rejected).cast("long").alias("n_rejected"),
+        F.array_sort(F.array_distinct(F.transform("least", lambda s: s["family"]))).alias("families"),
+        F.transform("least", lambda s: F.struct(*[s[c].alias(c) for c in ("paragraph", "family", "probability", "coverage")])).alias("hits"),
     )
 
 

@@ -247,6 +247,18 @@ def test_licenses(spark, docs, texts, empty):
     assert licenses.scan(empty, model).count() == 0
 
 
+def test_wrapped_licenses(spark, docs):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    gpl = "you can redistribute it and/or modify\r\n# it under the terms of the GNU General Public License as published by\r\n# the Free Software Foundation"
+    word = mit.replace(",", "").replace(" ", "\n")
+    rows = [(1, mit), (2, "This program is free software:\n" + gpl), (3, "A line of prose above.\n" + mit + "\nAnd one below."), (4, word), (5, mit.replace("copy\n", "copy\n\n"))]
+    rows += [(6, "Released under the Apache License.\n" + mit), (7, gpl.replace("GNU General", "GNU Lesser\r\n# General")), (8, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.learn(docs)).collect()}
+    want = {1: ["mit"], 2: ["gpl"], 3: ["mit"], 4: ["mit"], 5: [], 6: ["apache", "mit"], 7: ["lgpl"], 8: ["cc-by-nc", "mit"]}
+    assert {i: r["families"] for i, r in got.items()} == want
+    assert [(h["paragraph"], h["family"]) for h in got[3]["hits"]] == [(1, "mit")] and (got[3]["n_paragraphs"], got[3]["n_rejected"]) == (4, 0)
+
+
 def test_pipeline_is_brute_force(spark, docs, texts):
     rows = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
     first = {}
