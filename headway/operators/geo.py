@@ -32,27 +32,41 @@ def within(left: DataFrame, right: DataFrame, metres: float, max_lat: float = 70
     return pairs.withColumn("metres", S.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
 
 
+def _ring(left: DataFrame, named: DataFrame, metres: float) -> DataFrame:
+    """Pairs at most ``metres`` apart anywhere on the sphere: the columns of a band of latitude are as wide as its cells need, and go round."""
+    angle = min(metres / S.EARTH_M, math.pi)
+    size = math.degrees(angle) * 1.001
+    row = lambda p: F.floor((F.col(p + "lat") + 90) / size)
+    # the most columns whose neighbours hold all within the radius, at the latitude of the band's neighbours that is nearest to a pole
+    polar = F.least(F.lit(90.0), F.greatest(F.abs((F.col("_row") - 1) * size - 90), F.abs((F.col("_row") + 2) * size - 90)))
+    share = math.sin(angle / 2) / F.cos(F.radians(polar))
+    columns = F.when(share < 1, F.floor(math.pi / 1.001 / F.asin(F.least(share, F.lit(1.0))))).otherwise(F.lit(1).cast("long"))
+    col = lambda p: F.floor(F.pmod(F.col(p + "lon"), F.lit(360.0)) / 360 * F.col("_n"))
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    spread = named.withColumn("_i", F.explode(around)).withColumn("_row", row("r_") + F.col("_i")).withColumn("_n", columns)
+    spread = spread.withColumn("_col", F.explode(F.array_distinct(F.transform(around, lambda j: F.pmod(col("r_") + j, F.col("_n")))))).drop("_i", "_n")
+    cells = left.withColumn("_row", row("")).withColumn("_n", columns).withColumn("_col", F.pmod(col(""), F.col("_n"))).drop("_n")
+    pairs = cells.join(spread, ["_row", "_col"]).drop("_row", "_col")
+    return pairs.withColumn("metres", S.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
+
+
 def nearest(left: DataFrame, key: str, right: DataFrame, order: list[str]) -> DataFrame:
     """For each left row (by ``key``) the nearest right point, ties by ``order``; right columns come prefixed ``r_``.
 
-    The right side is a dimension such as stations and is joined by broadcast only while its size, which is counted, allows it; beyond
-    that, rings of grid cells are searched outwards with ``within``, doubling the radius for those still without a neighbour.
+    Rings of grid cells are searched outwards, with four times the radius for those still without a neighbour, until all have one or the
+    ring is the whole sphere. Rows without coordinates stay, with nulls.
     """
     named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     by = F.struct("metres", *[F.col(f"r_{c}") for c in order])
-    keep = [F.min_by(F.struct("metres", *[F.col(f"r_{c}") for c in right.columns]), by).alias("_best")]
-    if right.count() <= 10_000:
-        pairs = left.join(F.broadcast(named)).withColumn("metres", S.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-        return pairs.groupBy(*left.columns).agg(*keep).select(*left.columns, "_best.*")
-    todo, out, radius = left, None, 500.0
-    while radius < 2.1e7:
-        found = within(todo, right, radius).groupBy(*left.columns).agg(*keep).select(*left.columns, "_best.*")
-        out = found if out is None else out.unionByName(found)
-        todo = left.join(out.select(key), key, "left_anti")
-        if todo.isEmpty():
-            break
+    keep = F.min_by(F.struct("metres", *named.columns), by).alias("_best")
+    todo, best, radius = left.filter("lat IS NOT NULL AND lon IS NOT NULL").select(key, "lat", "lon"), None, 500.0
+    while True:
+        found = _cut(_ring(todo, named, radius).groupBy(key).agg(keep).select(key, "_best.*"))
+        best = found if best is None else best.unionByName(found)
+        todo = _cut(todo.join(found.select(key), key, "left_anti"))
+        if radius > 2.1e7 or todo.isEmpty():
+            return left.join(best, key, "left").select(*left.columns, "metres", *named.columns)
         radius *= 4
-    return out
 
 
 def closest(left: DataFrame, key: list[str], right: DataFrame, metres: float, k: int, order: list[str]) -> DataFrame:

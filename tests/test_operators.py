@@ -126,6 +126,17 @@ def test_nearest_beyond_the_broadcast(spark, monkeypatch):
     assert {r["id"]: r["r_name"] for r in geo.nearest(left, "id", right, ["name"]).collect()} == plain == {1: "a", 2: "b"}
 
 
+def test_nearest_on_the_whole_sphere(spark):
+    left = [(1, 55.0, 179.999), (2, 89.99, 10.0), (3, 80.0, 37.0), (4, -89.9, -170.0), (5, 0.0, 0.0), (6, -40.0, -60.0)]
+    right = [("a", 55.0, -179.999), ("b", 55.0, 179.9), ("c", 89.99, -170.0), ("d", 80.0, 37.04), ("e", 79.9, 37.0), ("f", -89.9, 20.0)]
+    want = {i: min(right, key=lambda r: far((lat, lon), r[1:]))[0] for i, lat, lon in left} | {7: None}
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name}, lat double, lon double")
+    got = geo.nearest(frame([*left, (7, None, 37.0)], "id int"), "id", frame(right, "name string"), ["name"]).collect()
+    assert {r["id"]: r["r_name"] for r in got} == want
+    lone = geo.nearest(frame([(1, 0.0, 0.0)], "id int"), "id", frame([("z", 0.0, 179.0)], "name string"), ["name"]).collect()
+    assert [r["r_name"] for r in lone] == ["z"]
+
+
 def test_gate(spark):
     rows = [(i, "dev", 0.8, 0.81, 0.8, 0.8) for i in range(4)] + [(9, "lock", 0.8, 0.805, 0.8, 0.8)]
     schema = "fold int, kind string, base double, candidate double, base_workday double, candidate_workday double"
