@@ -9,19 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import cut
+from headway.llm.common import cut, shared_path
 
 #: Bytes of context.
 DEPTH = 5
 #: Bytes that UTF-8 never has: the context before a text, and the end of a text.
 BEFORE, END = 0xFE, 0xFF
-#: Bytes handled at once; counts held in a task; words broadcast; rows of the model broadcast at once.
-CHUNK, HELD, WORDS, ROWS = 1 << 21, 300_000, 1 << 16, 8_000_000
+#: Bytes handled at once; bytes of text in a block of documents, about; contexts weighed at once, about.
+CHUNK, BLOCK, BRANCH = 1 << 21, 16_000_000, 150_000
 
 _LONG = 64
+#: Bytes of context that all of a branch share.
+_TOP = 3
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -72,50 +75,61 @@ def chunks(texts: Iterator[list[bytes]]) -> Iterator[list[bytes]]:
         yield held
 
 
-def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(code, token, n) over all rows: how often each byte stands in each context (code), and how often each token occurs.
+def dealt(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows (doc_id, text, held_out) with a block number; a block has about ``block`` bytes of text.
 
-    A task adds up what it reads before it sends anything; what it holds is bounded by HELD, beyond which it sends and goes on.
+    The number comes from the row's content, so that it is the same whenever a lost task runs again.
     """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // block) or 1)).cast("int")
+    return docs.select(number.alias("block"), "doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
+
+
+def count(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(block, code, token, n): the distinct bytes in context (code) and tokens of each block, and how often they occur in its rows
+    that aren't held out, which may be never."""
+
+    def run(table: pa.Table) -> pa.Table:
+        codes, counts, tokens = [], [], Counter()
+        for batch in table.to_batches(max_chunksize=1000):
+            held = batch.column("held_out").to_pylist()
+            for out in (False, True):
+                seen: Counter = Counter()
+
+                def words(batch=batch, held=held, out=out, seen=seen):
+                    for t, h in zip(batch.column("text").to_pylist(), held):
+                        if h == out:
+                            words = words_of(t)
+                            seen.update(words)
+                            seen[b""] += 1
+                            yield words
+
+                for bodies in chunks(words()):
+                    keys, n = np.unique(grams(bodies, depth)[0], return_counts=True)
+                    codes.append(keys)
+                    counts.append(n * 0 if out else n)
+                    if sum(map(len, codes)) > 4_000_000:
+                        keys, n = merged(codes, counts)
+                        codes, counts = [keys], [n]
+                for w, n in seen.items():
+                    tokens[w] += 0 if out else n
+        keys, n = merged(codes, counts) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        block = table.column("block")[0].as_py()
+        return pa.table(
+            {
+                "block": pa.array([block] * (len(keys) + len(tokens)), pa.int32()),
+                "code": pa.chunked_array([pa.array(keys.astype(np.int64)), pa.nulls(len(tokens), pa.int64())]),
+                "token": pa.chunked_array([pa.nulls(len(keys), pa.string()), pa.array([token(w) for w in tokens], pa.string())]),
+                "n": pa.chunked_array([pa.array(n), pa.array(list(tokens.values()), pa.int64())]),
+            }
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(codes, tokens, n):
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(tokens, pa.string()), pa.array(n, pa.int64())], names=["code", "token", "n"])
-
-        for batch in batches:
-            seen: Counter = Counter()
-            codes, counts = [], []
-
-            def words(batch=batch, seen=seen):
-                for t in batch.column(0).to_pylist():
-                    words = words_of(t)
-                    seen.update(words)
-                    yield words
-
-            for bodies in chunks(words()):
-                keys, n = np.unique(grams(bodies, depth)[0], return_counts=True)
-                codes.append(keys)
-                counts.append(n)
-                if sum(map(len, codes)) > 4 * HELD:
-                    keys, n = merged(codes, counts)
-                    codes, counts = [keys], [n]
-                    if len(keys) > 2 * HELD:
-                        yield sent(keys.astype(np.int64), pa.nulls(len(keys), pa.string()), n)
-                        codes, counts = [], []
-                if len(seen) > HELD:
-                    yield sent(pa.nulls(len(seen), pa.int64()), [token(w) for w in seen], list(seen.values()))
-                    seen.clear()
-            if codes:
-                keys, n = merged(codes, counts)
-                yield sent(keys.astype(np.int64), pa.nulls(len(keys), pa.string()), n)
-            seen[b""] = batch.num_rows
-            yield sent(pa.nulls(len(seen), pa.int64()), [token(w) for w in seen], list(seen.values()))
-
-    return docs.select("text").mapInArrow(run, "code long, token string, n long").groupBy("code", "token").agg(F.sum("n").alias("n"))
+    return rows.groupBy("block").applyInArrow(run, "block int, code long, token string, n long")
 
 
 # The context tree. A node is a context of d bytes and the bits of the next byte so far (1 and then those bits); its key is
-# context << 8 | bits. It counts the zeros and ones that followed.
+# context << 8 | bits. It counts the zeros and ones that followed. A node that was never seen has counted none: its estimate is a
+# half, and so is all that its subtree gives. Bytes in context that are only to be scored stand in the tree as such nodes.
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -153,6 +167,10 @@ class Level:
         keys, self.parent, zeros, ones, below = _summed(self.keys & mask, self.zeros, self.ones, self.weighted)
         return Level(keys, zeros, ones, below)
 
+    def passed(self, done: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the mixture has and what it leaves to deeper nodes once these nodes have taken their share."""
+        return done + left * self.share * self.estimate, left * (1 - self.share)
+
 
 def leaves(codes: np.ndarray, counts: np.ndarray) -> Level:
     """The nodes of the deepest level."""
@@ -165,40 +183,172 @@ def leaves(codes: np.ndarray, counts: np.ndarray) -> Level:
     return Level(keys, zeros, ones)
 
 
-def mixtures(levels: list[Level], done: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
-    """For each level, from the upper to the deepest, the probability of a one where no deeper node is known.
+def branch(codes: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[Level]:
+    """The levels from contexts of ``top`` bytes to those of ``depth``."""
+    levels = [leaves(codes, counts)]
+    for d in range(depth - 1, top - 1, -1):
+        levels.insert(0, levels[0].above(d))
+    return levels
 
-    ``done`` and ``left`` are what the levels above have added and left over for the first level's nodes. A node's own estimate takes its share of what is left;
-    the deepest known node takes it all.
+
+def code_logs(codes: np.ndarray, levels: list[Level], done: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The log10 probability of each code's byte in its context: the mixture over all depths for each of its bits.
+
+    ``done`` and ``left`` are what the levels above have added and left over for the first level's nodes.
     """
-    out = []
     for i, level in enumerate(levels):
         if i:
             done, left = done[level.parent], left[level.parent]
-        out.append(done + left * level.estimate)
-        done, left = done + left * level.share * level.estimate, left * (1 - level.share)
-    return out
+        done, left = level.passed(done, left)
+    symbol, context = codes & np.uint64(255), codes >> np.uint64(8) << np.uint64(8)
+    logs = np.zeros(len(codes))
+    for k in range(8):
+        p = done[np.searchsorted(levels[-1].keys, context | (np.uint64(1 << k) | symbol >> np.uint64(8 - k)))]
+        logs += np.log10(np.where(symbol >> np.uint64(7 - k) & np.uint64(1), p, 1 - p))
+    return logs
 
 
-def branch(codes: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[Level]:
-    """The levels from contexts of ``top`` bytes to those of ``depth``."""
-    levels = [leaves(codes, counts)]
-    for d in range(depth - 1, top - 1, -1):
-        levels.insert(0, levels[0].above(d))
-    return levels
+def whole_tree(codes: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
+    """The log10 probability of each code, where all fit into memory."""
+    levels = branch(codes, counts, depth, 0)
+    return code_logs(codes, levels, np.zeros(len(levels[0].keys)), np.ones(len(levels[0].keys)))
+
+
+def weigh(codes: DataFrame, depth: int = DEPTH, branch_rows: int = BRANCH) -> DataFrame:
+    """(code, log) from rows (code, n), of which each code has one: the log10 probability of each code's byte in its context.
+
+    Contexts that share their last three bytes form a branch, and a task weighs some whole branches at a time, from the
+    leaves up. A branch has at most 256 ** 3 codes, however large the corpus. Its uppermost nodes then meet by their last
+    two bytes, at most 65,280 of them for one such pair, and give the nodes of one byte, of which the driver weighs at most 65,280.
+    What the upper levels add to the mixture goes the same way back down.
+    """
+    if not _TOP <= depth <= 6:
+        raise ValueError("the context is three to six bytes")
+    last = lambda key, n: F.shiftrightunsigned(key, 8).bitwiseAND((1 << 8 * n) - 1)
+    parts = F.lit(-(-codes.count() // branch_rows) or 1)
+    part = lambda key, n: F.pmod(F.xxhash64(last(key, n)), parts).alias("part")
+    branches = codes.select("code", "n", part("code", 3)).groupBy("part")
+
+    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+
+    def tops(table: pa.Table) -> pa.Table:
+        top = branch(*arrays(table), depth, _TOP)[0]
+        return pa.table({"key": top.keys.astype(np.int64), "zeros": top.zeros, "ones": top.ones, "below": top.weighted})
+
+    nodes = cut(branches.applyInArrow(tops, "key long, zeros double, ones double, below double"))
+    met = nodes.select("*", part("key", 2)).groupBy("part")
+
+    def second(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Level]:
+        """The nodes of three bytes, the row of each in the level of two, and that level."""
+        keys, *values = (table.column(c).to_numpy() for c in ("key", "zeros", "ones", "below"))
+        keys = keys.astype(np.uint64)
+        two, parent, zeros, ones, below = _summed(keys & np.uint64(0xFFFFFF), *values)
+        return keys, parent, Level(two, zeros, ones, below)
+
+    def firsts(table: pa.Table) -> pa.Table:
+        two = second(table)[2]
+        keys, _, zeros, ones, below = _summed(two.keys & np.uint64(0xFFFF), two.zeros, two.ones, two.weighted)
+        return pa.table({"key": keys.astype(np.int64), "zeros": zeros, "ones": ones, "below": below})
+
+    sums = met.applyInArrow(firsts, "key long, zeros double, ones double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).orderBy("key").toArrow()
+    one = Level(sums.column("key").to_numpy().astype(np.uint64), *(sums.column(c).to_numpy() for c in ("zeros", "ones", "below")))
+    none = one.above(0)
+    state = none.passed(np.zeros(len(none.keys)), np.ones(len(none.keys)))
+    upper = (one.keys, *one.passed(state[0][one.parent], state[1][one.parent]))
+
+    def down(table: pa.Table) -> pa.Table:
+        keys, parent, two = second(table)
+        at = np.searchsorted(upper[0], two.keys & np.uint64(0xFFFF))
+        done, left = two.passed(upper[1][at], upper[2][at])
+        return pa.table({"key": keys.astype(np.int64), "done": done[parent], "left": left[parent]})
+
+    states = met.applyInArrow(down, "key long, done double, left double").select("*", part("key", 3)).groupBy("part")
+
+    def logs(table: pa.Table, state: pa.Table) -> pa.Table:
+        codes, n = arrays(table)
+        levels = branch(codes, n, depth, _TOP)
+        order = np.argsort(state.column("key").to_numpy())  # the same keys as the first level's
+        done, left = (state.column(c).to_numpy()[order] for c in ("done", "left"))
+        return pa.table({"code": codes.astype(np.int64), "log": code_logs(codes, levels, done, left)})
+
+    return branches.cogroup(states).applyInArrow(logs, "code long, log double")
+
+
+def lm_score(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, branch_rows: int = BRANCH) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    The text that is scored is its words, A-Z in lower case, with single spaces between and an end behind; null is empty. Rows that
+    aren't held out are counted, all of them: each byte in its context of ``depth`` bytes for the context tree, each token for
+    the base. Documents are dealt into blocks of about ``block`` bytes by a hash of id and text. A block's distinct bytes in context
+    and tokens are rows, far fewer than its bytes; they meet the model, which is a table as large as the corpus makes it, in joins by key, and return to the
+    block, where each document's values are added up. So one pass counts, one scores, and no task holds more than a block or a branch.
+
+    Rows that repeat an id are scored each; an empty table gives no rows. A byte in a context that never occurred gets what the mixture has left for
+    unknown nodes, an even chance a bit; a table without a row to learn from gives every bit an even chance, and 0 as ``base_score``.
+    """
+    rows = dealt(docs, block)
+    path = shared_path(docs.sparkSession, "lm-counts")
+    count(rows, depth).write.parquet(path)
+    counts = docs.sparkSession.read.schema("block int, code long, token string, n long").parquet(path)
+    by_code, by_token = counts.filter("code IS NOT NULL"), counts.filter("token IS NOT NULL")
+    logs = weigh(by_code.groupBy("code").agg(F.sum("n").alias("n")), depth, branch_rows)
+    tokens = cut(by_token.groupBy("token").agg(F.sum("n").alias("c")).filter("c > 0"))
+    size = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total, below = size["n"], size["n"] + 0.5 * (size["v"] + 1)
+    values = by_code.select("block", "code").join(logs, "code").select("block", "code", F.lit(None).cast("string").alias("token"), F.col("log").alias("value"))
+    values = values.unionByName(by_token.select("block", "token").join(tokens, "token", "left").select("block", F.lit(None).cast("long").alias("code"), "token", F.coalesce("c", F.lit(0)).cast("double").alias("value")))
+
+    def score(texts: pa.Table, model: pa.Table) -> pa.Table:
+        known = model.filter(pa.compute.is_valid(model.column("code")))
+        codes, value = known.column("code").to_numpy().astype(np.uint64), known.column("value").to_numpy()
+        table = Table(codes, value)
+        words_known = model.filter(pa.compute.is_valid(model.column("token")))
+        seen = dict(zip(words_known.column("token").to_pylist(), words_known.column("value").to_pylist()))
+        cost = {w: math.log10((c + 0.5) / below) if total else 0.0 for w, c in seen.items()}
+        out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "bytes")}
+        for batch in texts.to_batches(max_chunksize=1000):
+
+            def words_in(batch=batch):
+                for t in batch.column("text").to_pylist():
+                    words = words_of(t)
+                    found = list(map(token, [*words, b""]))
+                    out["n_tokens"].append(len(found))
+                    out["n_known"].append(sum(seen[w] > 0 for w in found))
+                    out["base"].append(math.fsum(cost[w] for w in found))
+                    out["bytes"].append(sum(map(len, words)) + max(1, len(words)))
+                    yield words
+
+            for bodies in chunks(words_in()):
+                codes, sizes = grams(bodies, depth)
+                out["score"] += np.add.reduceat(table.find(codes), np.cumsum(sizes) - sizes).tolist()
+        return pa.table(
+            {
+                "doc_id": texts.column("doc_id"),
+                "held_out": texts.column("held_out"),
+                **{c: pa.array(out[c], pa.int64()) for c in ("n_tokens", "n_known")},
+                "train_tokens": pa.array([total] * texts.num_rows, pa.int64()),
+                "base_score": pa.array(out["base"], pa.float64()),
+                "score": pa.array(out["score"], pa.float64()),
+                "bits_per_byte": pa.array([-s / math.log10(2) / b for s, b in zip(out["score"], out["bytes"])], pa.float64()),
+            }
+        )
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, schema)
 
 
 class Table:
-    """Values by distinct 64-bit keys, found by open addressing for whole arrays at once."""
+    """Values by distinct 64-bit keys, found by open addressing for whole arrays at once. Each key asked for is one of these."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(1.25 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.free = np.uint64(2**64 - 1)  # no key is all ones
-        self.keys, self.values = np.full(1 << bits, self.free, np.uint64), np.zeros(1 << bits, np.float32)
+        free = np.uint64(2**64 - 1)  # no key is all ones
+        self.keys, self.values = np.full(1 << bits, free, np.uint64), np.zeros(1 << bits)
         todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
-            empty = np.flatnonzero(self.keys[slot] == self.free)
+            empty = np.flatnonzero(self.keys[slot] == free)
             self.keys[slot[empty]] = keys[todo[empty]]  # of several for one slot, the last is in
             self.values[slot[empty]] = values[todo[empty]]
             out = self.keys[slot] != keys[todo]
@@ -207,215 +357,14 @@ class Table:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each key's value, and the positions of the keys that have none."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
-        here = self.keys[slot]
         out = self.values[slot]
-        todo = np.flatnonzero(here != keys)
-        slot, here, none = slot[todo], here[todo], []
+        todo = np.flatnonzero(self.keys[slot] != keys)
+        slot = slot[todo]
         while len(todo):
-            gone = here == self.free
-            none.append(todo[gone])
-            todo, slot = todo[~gone], (slot[~gone] + 1) & self.mask
-            here = self.keys[slot]
-            hit = here == keys[todo]
+            slot = (slot + 1) & self.mask
+            hit = self.keys[slot] == keys[todo]
             out[todo[hit]] = self.values[slot[hit]]
-            todo, slot, here = todo[~hit], slot[~hit], here[~hit]
-        return out, np.concatenate(none) if none else todo
-
-
-class Model:
-    """Log10 probabilities of bytes in context."""
-
-    def __init__(self, depth: int, nodes: dict[int, tuple[np.ndarray, np.ndarray]], codes: np.ndarray, logs: np.ndarray, share: tuple[int, int] = (0, 1)):
-        self.depth, self.share = depth, share
-        self.raw, self.nodes, self.bytes = (nodes, codes, logs), {}, None
-
-    def ready(self) -> Model:
-        """Lay out the tables, which is done where they are used."""
-        if self.raw:
-            nodes, codes, logs = self.raw
-            self.raw, self.nodes, self.bytes = None, {d: Table(*x) for d, x in nodes.items()}, Table(codes, logs)
-        return self
-
-    def unseen(self, codes: np.ndarray) -> np.ndarray:
-        """Of bytes that a context never had before: each bit by the deepest known node."""
-        total = np.zeros(len(codes))
-        symbol, context = codes & np.uint64(255), codes >> np.uint64(8)
-        for k in range(8):
-            bits = np.uint64(1 << k) | symbol >> np.uint64(8 - k)
-            one, todo = np.full(len(codes), 0.5), np.arange(len(codes))
-            for d in range(self.depth, -1, -1):
-                if len(todo):
-                    found, none = self.nodes[d].find((context[todo] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | bits[todo])
-                    one[todo] = found
-                    todo = todo[none]
-            one[todo] = 0.5
-            total += np.log10(np.where(symbol >> np.uint64(7 - k) & np.uint64(1), one, 1 - one))
-        return total
-
-    def score(self, bodies: list[bytes]) -> np.ndarray:
-        """The log10 probability of each body and its end; where the model is dealt into parts, of this part's bytes."""
-        self.ready()
-        codes, sizes = grams(bodies, self.depth)
-        out = np.zeros(len(codes))
-        part, parts = self.share
-        mine = np.flatnonzero(part_of(codes, parts) == part) if parts > 1 else np.arange(len(codes))
-        found, none = self.bytes.find(codes[mine])
-        out[mine] = found
-        out[mine[none]] = self.unseen(codes[mine[none]])
-        return np.add.reduceat(out, np.cumsum(sizes) - sizes)
-
-
-def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
-    """Contexts with the same last two bytes are in one part."""
-    return ((codes >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(4)) % np.uint64(parts)
-
-
-def _upper(sums: list, depth: int) -> tuple[Level, Level]:
-    """The levels of no and of one byte of context, from sums over the level of two."""
-    rows = np.array([tuple(r) for r in sums], np.float64).reshape(-1, 4)
-    keys = rows[:, 0].astype(np.uint64)
-    order = np.argsort(keys)
-    one = Level(keys[order], rows[order, 1], rows[order, 2], rows[order, 3])
-    return one.above(0), one
-
-
-def train(grams_counted: DataFrame, depth: int = DEPTH, rows_at_once: int = ROWS) -> tuple[int, callable]:
-    """The number of parts of the model, and a function that gives one of them.
-
-    ``grams_counted`` has (code, n). Contexts with the same last two bytes form a branch, and a task weighs one branch at a time,
-    from the leaves up; its size is bounded by the bytes before those two. The two uppermost levels have at most 256 * 255 nodes
-    and are weighed on the driver. The tables go out in parts of about ``rows_at_once`` rows, so neither driver nor tasks hold more.
-    """
-    if not 2 <= depth <= 6:
-        raise ValueError("the context is two to six bytes")
-    branches = grams_counted.select("code", "n", F.shiftrightunsigned("code", 8).bitwiseAND(0xFFFF).alias("branch")).groupBy("branch")
-
-    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy()
-
-    def tops(table: pa.Table) -> pa.Table:
-        level = branch(*arrays(table), depth, 2)[0]
-        keys, _, zeros, ones, below = _summed(level.keys & np.uint64(0xFFFF), level.zeros, level.ones, level.weighted)
-        return pa.table({"key": keys.astype(np.int64), "zeros": zeros, "ones": ones, "below": below})
-
-    sums = branches.applyInArrow(tops, "key long, zeros double, ones double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).collect()
-    if not sums:
-        return 1, lambda part: Model(depth, {d: (np.zeros(0, np.uint64), np.zeros(0)) for d in range(depth + 1)}, np.zeros(0, np.uint64), np.zeros(0))
-    none, one = _upper(sums, depth)
-    start = np.zeros(len(none.keys)), np.ones(len(none.keys))
-    upper = mixtures([none, one], *start)
-    left0 = 1 - none.share
-    done1 = none.share * none.estimate
-    done1, left1 = done1[one.parent], left0[one.parent]
-    done1, left1 = done1 + left1 * one.share * one.estimate, left1 * (1 - one.share)
-    above = (one.keys, done1, left1)
-
-    def tables(table: pa.Table) -> pa.Table:
-        codes, n = arrays(table)
-        levels = branch(codes, n, depth, 2)
-        at = np.searchsorted(above[0], levels[0].keys & np.uint64(0xFFFF))
-        mixed = mixtures(levels, above[1][at], above[2][at])
-        symbol, context = codes & np.uint64(255), codes >> np.uint64(8) << np.uint64(8)
-        logs = np.zeros(len(codes))
-        for k in range(8):
-            p = mixed[-1][np.searchsorted(levels[-1].keys, context | (np.uint64(1 << k) | symbol >> np.uint64(8 - k)))]
-            logs += np.log10(np.where(symbol >> np.uint64(7 - k) & np.uint64(1), p, 1 - p))
-        keys = np.concatenate([codes, *(x.keys for x in levels)])
-        kind = np.repeat(np.arange(1, depth + 1), [len(codes), *(len(x.keys) for x in levels)]).astype(np.uint64)
-        return pa.table({"key": (kind << np.uint64(56) | keys).view(np.int64), "value": np.concatenate([logs, *mixed]).astype(np.float32)})
-
-    # the kind of a row, in the top byte of its key: 1 for bytes in context, else the depth of a node
-    rows = cut(branches.applyInArrow(tables, "key long, value float"))
-    parts = -(-rows.count() // rows_at_once)
-
-    def part(i: int) -> Model:
-        mine = rows
-        if parts > 1:
-            # the branch's two bytes stand after the symbol's or the node's one byte in either key
-            branch_of = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
-            mine = rows.filter(F.shiftrightunsigned(branch_of * 40503, 4) % parts == i)
-        table = mine.toArrow()
-        key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
-        kind, key = (key >> np.uint64(56)).astype(np.uint8), key & np.uint64((1 << 56) - 1)
-        found = {k: (key[kind == k], value[kind == k]) for k in range(1, depth + 1)}
-        codes, logs = found.pop(1)
-        return Model(depth, found | {0: (none.keys, upper[0]), 1: (one.keys, upper[1])}, codes, logs, (i, parts))
-
-    return parts, part
-
-
-def lm_score(docs: DataFrame, depth: int = DEPTH, words: int = WORDS, rows_at_once: int = ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
-
-    The text that is scored is its words, A-Z in lower case, with single spaces between and an end behind; null is empty. Rows that
-    aren't held out are counted, all of them: each byte in its context of ``depth`` bytes for the context tree, each token for
-    the base. The ``words`` most frequent tokens are broadcast; each other token of a document is a row that meets its count
-    in a join, and as it is rarer than all those, none is a hot key. Where the model has several parts, each takes a
-    pass over the documents and adds its bytes' share. Rows that repeat an id are scored each; an empty table
-    gives no rows, and a table without a row to learn from gives every bit an even chance.
-    """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
-    counts = cut(count(rows.filter(~F.col("held_out")), depth))
-    parts, part = train(counts.filter("code IS NOT NULL").select("code", "n"), depth, rows_at_once)
-    tokens = counts.filter("token IS NOT NULL").select("token", F.col("n").alias("c"))
-    size = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = {r["token"]: r["c"] for r in tokens.orderBy(F.desc("c"), "token").limit(words).collect()}
-    below = size["n"] + 0.5 * (size["v"] + 1)
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    names = ["row", "doc_id", "held_out", "token", "times", "n_tokens", "bytes", "score"]
-    schema = "row long, doc_id long, held_out boolean, token string, times long, n_tokens long, bytes long, score double, base double, known long"
-    total = None
-    for i in range(parts):
-        shared = spark.sparkContext.broadcast((part(i), {w: (c, math.log10((c + 0.5) / below)) for w, c in frequent.items()} if i == 0 and below else {}))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=i == 0) -> Iterator[pa.RecordBatch]:
-            model, known = shared.value
-            for batch in batches:
-                ids, doc_ids, texts, held = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "held_out"))
-                out = {k: [] for k in (*names, "base", "known")}
-
-                def words_in(texts=texts, ids=ids, doc_ids=doc_ids, held=held, out=out):
-                    for row, doc_id, h, t in zip(ids, doc_ids, held, texts):
-                        words = words_of(t)
-                        base, n_known = 0.0, 0
-                        if first:
-                            for w, n in Counter(map(token, [*words, b""])).items():
-                                if w in known:
-                                    base += n * known[w][1]
-                                    n_known += n
-                                else:
-                                    for k, v in zip(names, (row, doc_id, h, w, n, 0, 0, 0.0)):
-                                        out[k].append(v)
-                                    out["base"].append(0.0)
-                                    out["known"].append(0)
-                        for k, v in zip(names, (row, doc_id, h, None, 0, len(words) + 1 if first else 0, sum(map(len, words)) + max(1, len(words)) if first else 0, None)):
-                            out[k].append(v)
-                        out["base"].append(base)
-                        out["known"].append(n_known)
-                        yield words
-
-                scores = np.concatenate([model.score(bodies) for bodies in chunks(words_in())]).tolist()
-                at = iter(scores)
-                out["score"] = [next(at) if s is None else s for s in out["score"]]
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("token", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("score", pa.float64()), ("base", pa.float64()), ("known", pa.int64())]))
-
-        done = rows.select("row", "doc_id", "text", "held_out").mapInArrow(run, schema)
-        total = done if total is None else total.unionByName(done)
-    # rows that carry no token get keys of their own, so that they are dealt evenly
-    key = F.coalesce("token", F.concat(F.lit("\n"), F.col("row").cast("string")))
-    joined = total.withColumn("key", key).join(tokens.withColumnRenamed("token", "key"), "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    base = F.col("base") + F.when(F.col("times") > 0, F.col("times") * F.log10((c + 0.5) / F.lit(float(below or 1)))).otherwise(0.0)
-    return (
-        joined.withColumns({"base": base, "known": F.col("known") + F.when(c > 0, F.col("times")).otherwise(0)})
-        .groupBy("row", "doc_id", "held_out")
-        .agg(*[F.sum(x).alias(x) for x in ("n_tokens", "known", "base", "score", "bytes")])
-        .select(
-            "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
-            (-F.col("score") / math.log10(2) / F.col("bytes")).alias("bits_per_byte"),
-        )
-    )
+            todo, slot = todo[~hit], slot[~hit]
+        return out
