@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from headway.llm.common import cut, shared_path
 
@@ -19,10 +18,10 @@ from headway.llm.common import cut, shared_path
 DEPTH = 5
 #: Bytes that UTF-8 never has: the context before a text, and the end of a text.
 BEFORE, END = 0xFE, 0xFF
-#: Bytes handled at once; bytes of text in a block of documents, about; contexts weighed at once, about.
-CHUNK, BLOCK, BRANCH = 1 << 21, 16_000_000, 150_000
+#: Bytes handled at once; counts held in a task; contexts weighed at once, about; keys broadcast at most.
+CHUNK, HELD, BRANCH, FREQUENT = 1 << 21, 1_500_000, 150_000, 1_000_000
 
-_LONG = 64
+_TOKEN = np.uint64(1 << 63)
 #: Bytes of context that all of a branch share.
 _TOP = 3
 
@@ -36,11 +35,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def token(word: bytes) -> str:
-    """A word as a token; a very long one by its digest, which keeps rows short. The end is the empty string."""
-    return word.decode() if len(word) <= _LONG else "\n" + hashlib.blake2b(word, digest_size=16).hexdigest()
-
-
 def grams(bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Each byte and end with its context as one number, the byte lowest; and the number of these in each body."""
     pad = bytes([BEFORE]) * depth
@@ -57,17 +51,24 @@ def grams(bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], sizes
 
 
-def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate(codes), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate(counts), len(keys)).astype(np.int64)
+def hashed(words: list[bytes]) -> np.ndarray:
+    """A key for each token: 63 bits of its hash below a one, so that it is none of the codes. The end is the empty word."""
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)) | _TOKEN
+
 
+def keys_of(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of some texts and how many each has, and the tokens' keys and how many each has."""
+    codes, sizes = grams([b" ".join(w) for w in words], depth)
+    counts = np.array([len(w) + 1 for w in words])
+    return codes, sizes, hashed([x for w in words for x in (*w, b"")]), counts
 
-def chunks(texts: Iterator[list[bytes]]) -> Iterator[list[bytes]]:
-    """Lists of bodies of about CHUNK bytes."""
+
+def chunks(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
+    """The texts' words, in lists of about CHUNK bytes of text."""
     held, size = [], 0
-    for words in texts:
-        held.append(b" ".join(words))
-        size += len(held[-1]) + 1
+    for text in texts:
+        held.append(words_of(text))
+        size += len(text or "") + 1
         if size >= CHUNK:
             yield held
             held, size = [], 0
@@ -75,56 +76,40 @@ def chunks(texts: Iterator[list[bytes]]) -> Iterator[list[bytes]]:
         yield held
 
 
-def dealt(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows (doc_id, text, held_out) with a block number; a block has about ``block`` bytes of text.
+def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, n, m) over all rows (text, held_out): how often each byte in context and each token occurs, n in the rows that aren't held out, m in all.
 
-    The number comes from the row's content, so that it is the same whenever a lost task runs again.
+    A task adds up what it reads before it sends anything; what it holds is bounded by HELD, beyond which it sends and goes on.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // block) or 1)).cast("int")
-    return docs.select(number.alias("block"), "doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
 
+    def summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, *(np.bincount(where, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
 
-def count(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(block, code, token, n): the distinct bytes in context (code) and tokens of each block, and how often they occur in its rows
-    that aren't held out, which may be never."""
+        def sent() -> pa.RecordBatch:
+            keys, n, m = summed(parts)
+            parts.clear()
+            return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n, "m": m})
 
-    def run(table: pa.Table) -> pa.Table:
-        codes, counts, tokens = [], [], Counter()
-        for batch in table.to_batches(max_chunksize=1000):
-            held = batch.column("held_out").to_pylist()
+        for batch in batches:
+            held = np.array(batch.column("held_out").to_pylist(), bool)
+            texts = np.array(batch.column("text").to_pylist(), object)
             for out in (False, True):
-                seen: Counter = Counter()
-
-                def words(batch=batch, held=held, out=out, seen=seen):
-                    for t, h in zip(batch.column("text").to_pylist(), held):
-                        if h == out:
-                            words = words_of(t)
-                            seen.update(words)
-                            seen[b""] += 1
-                            yield words
-
-                for bodies in chunks(words()):
-                    keys, n = np.unique(grams(bodies, depth)[0], return_counts=True)
-                    codes.append(keys)
-                    counts.append(n * 0 if out else n)
-                    if sum(map(len, codes)) > 4_000_000:
-                        keys, n = merged(codes, counts)
-                        codes, counts = [keys], [n]
-                for w, n in seen.items():
-                    tokens[w] += 0 if out else n
-        keys, n = merged(codes, counts) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        block = table.column("block")[0].as_py()
-        return pa.table(
-            {
-                "block": pa.array([block] * (len(keys) + len(tokens)), pa.int32()),
-                "code": pa.chunked_array([pa.array(keys.astype(np.int64)), pa.nulls(len(tokens), pa.int64())]),
-                "token": pa.chunked_array([pa.nulls(len(keys), pa.string()), pa.array([token(w) for w in tokens], pa.string())]),
-                "n": pa.chunked_array([pa.array(n), pa.array(list(tokens.values()), pa.int64())]),
-            }
-        )
-
-    return rows.groupBy("block").applyInArrow(run, "block int, code long, token string, n long")
+                for words in chunks(texts[held == out]):
+                    codes, _, tokens, _ = keys_of(words, depth)
+                    keys, m = np.unique(np.concatenate([codes, tokens]), return_counts=True)
+                    parts.append((keys, m * 0 if out else m, m))
+                    if sum(len(p[0]) for p in parts) > 2 * HELD:
+                        parts[:] = [summed(parts)]
+                        if len(parts[0][0]) > HELD:
+                            yield sent()
+        if parts:
+            yield sent()
+
+    return docs.select("text", "held_out").mapInArrow(run, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 # The context tree. A node is a context of d bytes and the bits of the next byte so far (1 and then those bits); its key is
@@ -275,80 +260,114 @@ def weigh(codes: DataFrame, depth: int = DEPTH, branch_rows: int = BRANCH) -> Da
     return branches.cogroup(states).applyInArrow(logs, "code long, log double")
 
 
-def lm_score(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, branch_rows: int = BRANCH) -> DataFrame:
+def frequent(model: DataFrame, most: int) -> pa.Table:
+    """The rows of the model (key, value, m) that occur most often, at most ``most``: those with m above a bound that few enough pass.
+
+    The bound comes from a histogram of m, which has a row for each of a few hundred ranges.
+    """
+    scale = F.floor(F.log2("m") * 8).cast("int")
+    found, bound = 0, 1 << 30
+    for r in sorted(model.groupBy(scale.alias("range")).count().collect(), reverse=True):
+        found += r["count"]
+        if found > most:
+            break
+        bound = r["range"]
+    return model.filter(scale >= bound).select("key", "value").toArrow()
+
+
+def lm_score(docs: DataFrame, depth: int = DEPTH, branch_rows: int = BRANCH, most: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     The text that is scored is its words, A-Z in lower case, with single spaces between and an end behind; null is empty. Rows that
-    aren't held out are counted, all of them: each byte in its context of ``depth`` bytes for the context tree, each token for
-    the base. Documents are dealt into blocks of about ``block`` bytes by a hash of id and text. A block's distinct bytes in context
-    and tokens are rows, far fewer than its bytes; they meet the model, which is a table as large as the corpus makes it, in joins by key, and return to the
-    block, where each document's values are added up. So one pass counts, one scores, and no task holds more than a block or a branch.
+    aren't held out are counted, all of them: each byte in its context of ``depth`` bytes for the context tree, each token (by 63 bits of its hash) for
+    the base. Counts and values are a table as large as the corpus makes it. The ``most`` frequent keys at most are broadcast with their values, and a pass over the documents adds up
+    what they give; of what else a document has, each distinct key is a row that meets the table in a join, and as all these are rarer than the broadcast ones, none is
+    a hot key. The pass is written once, with numbers for its rows, and the rows' sums go on from there.
 
     Rows that repeat an id are scored each; an empty table gives no rows. A byte in a context that never occurred gets what the mixture has left for
     unknown nodes, an even chance a bit; a table without a row to learn from gives every bit an even chance, and 0 as ``base_score``.
     """
-    rows = dealt(docs, block)
-    path = shared_path(docs.sparkSession, "lm-counts")
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
+    path = shared_path(spark, "lm-counts")
     count(rows, depth).write.parquet(path)
-    counts = docs.sparkSession.read.schema("block int, code long, token string, n long").parquet(path)
-    by_code, by_token = counts.filter("code IS NOT NULL"), counts.filter("token IS NOT NULL")
-    logs = weigh(by_code.groupBy("code").agg(F.sum("n").alias("n")), depth, branch_rows)
-    tokens = cut(by_token.groupBy("token").agg(F.sum("n").alias("c")).filter("c > 0"))
-    size = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, below = size["n"], size["n"] + 0.5 * (size["v"] + 1)
-    values = by_code.select("block", "code").join(logs, "code").select("block", "code", F.lit(None).cast("string").alias("token"), F.col("log").alias("value"))
-    values = values.unionByName(by_token.select("block", "token").join(tokens, "token", "left").select("block", F.lit(None).cast("long").alias("code"), "token", F.coalesce("c", F.lit(0)).cast("double").alias("value")))
-
-    def score(texts: pa.Table, model: pa.Table) -> pa.Table:
-        known = model.filter(pa.compute.is_valid(model.column("code")))
-        codes, value = known.column("code").to_numpy().astype(np.uint64), known.column("value").to_numpy()
-        table = Table(codes, value)
-        words_known = model.filter(pa.compute.is_valid(model.column("token")))
-        seen = dict(zip(words_known.column("token").to_pylist(), words_known.column("value").to_pylist()))
-        cost = {w: math.log10((c + 0.5) / below) if total else 0.0 for w, c in seen.items()}
-        out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "bytes")}
-        for batch in texts.to_batches(max_chunksize=1000):
-
-            def words_in(batch=batch):
-                for t in batch.column("text").to_pylist():
-                    words = words_of(t)
-                    found = list(map(token, [*words, b""]))
-                    out["n_tokens"].append(len(found))
-                    out["n_known"].append(sum(seen[w] > 0 for w in found))
-                    out["base"].append(math.fsum(cost[w] for w in found))
-                    out["bytes"].append(sum(map(len, words)) + max(1, len(words)))
-                    yield words
-
-            for bodies in chunks(words_in()):
-                codes, sizes = grams(bodies, depth)
-                out["score"] += np.add.reduceat(table.find(codes), np.cumsum(sizes) - sizes).tolist()
-        return pa.table(
-            {
-                "doc_id": texts.column("doc_id"),
-                "held_out": texts.column("held_out"),
-                **{c: pa.array(out[c], pa.int64()) for c in ("n_tokens", "n_known")},
-                "train_tokens": pa.array([total] * texts.num_rows, pa.int64()),
-                "base_score": pa.array(out["base"], pa.float64()),
-                "score": pa.array(out["score"], pa.float64()),
-                "bits_per_byte": pa.array([-s / math.log10(2) / b for s, b in zip(out["score"], out["bytes"])], pa.float64()),
-            }
-        )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, schema)
+    counts = spark.read.schema("key long, n long, m long").parquet(path)
+    tokens, codes = counts.filter("key < 0"), counts.filter("key >= 0")
+    total, kinds = tokens.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    below = total + 0.5 * (kinds + 1)
+    logs = weigh(codes.select(F.col("key").alias("code"), "n"), depth, branch_rows).select(F.col("code").alias("key"), F.col("log").alias("value"))
+    path = shared_path(spark, "lm-values")
+    codes.select("key", "m").join(logs, "key").unionByName(tokens.select("key", "m", F.col("n").cast("double").alias("value"))).write.parquet(path)
+    model = spark.read.schema("key long, m long, value double").parquet(path)
+    known = frequent(model, most)
+    shared = spark.sparkContext.broadcast((known.column("key").to_numpy(), known.column("value").to_numpy()))
+
+    def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, np.cumsum(sizes) - sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = shared.value
+        table = Table(keys.view(np.uint64), values)
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "bytes", "keys", "times")}
+            for words in chunks(batch.column("text").to_pylist()):
+                codes, sizes, tokens, counts = keys_of(words, depth)
+                score, no_code = table.find(codes)
+                c, no_token = table.find(tokens)
+                c = np.where(no_token, 0.0, c)
+                base = np.where(no_token, 0.0, np.log10((c + 0.5) / below)) if total else c
+                out["n_tokens"].append(counts)
+                out["n_known"].append(summed((c > 0).astype(np.int64), counts))
+                out["base"].append(summed(base, counts))
+                out["score"].append(summed(np.where(no_code, 0.0, score), sizes))
+                out["bytes"].append(sizes - 1 + (sizes == 1))
+                # what is left of each text, its distinct keys and how often each stands there
+                at = np.concatenate([np.repeat(np.arange(len(words)), sizes)[no_code], np.repeat(np.arange(len(words)), counts)[no_token]])
+                left = np.concatenate([codes[no_code], tokens[no_token]])
+                order = np.lexsort((left, at))
+                at, left = at[order], left[order]
+                first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (at[1:] != at[:-1])]) if len(at) else at
+                times = np.diff(np.append(first, len(at)))
+                ends = np.searchsorted(at[first], np.arange(len(words) + 1))
+                for name, x in (("keys", left[first].view(np.int64)), ("times", times)):
+                    out[name].append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())))
+            n = batch.num_rows
+            columns = [pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("held_out")]
+            columns += [pa.array(np.concatenate(out[k]), t) for k, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64()))]
+            columns += [pa.concat_arrays(out[k]) for k in ("keys", "times")]
+            row += n
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bytes", "keys", "times"])
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bytes long, keys array<long>, times array<long>"
+    path = shared_path(spark, "lm-scores")
+    rows.select("doc_id", "text", "held_out").mapInArrow(run, schema).write.parquet(path)
+    done = spark.read.schema(schema).parquet(path)
+    each = done.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times")).join(model.select("key", "value"), "key")
+    is_token, times, value = F.col("key") < 0, F.col("times"), F.col("value")
+    zero = F.lit(0).cast("long")
+    base = F.when(is_token, times * F.log10((value + 0.5) / F.lit(float(below)))).otherwise(0.0) if total else F.lit(0.0)
+    rest = each.select("row", F.when(is_token & (value > 0), times).otherwise(zero).alias("n_known"), base.alias("base"), F.when(is_token, 0.0).otherwise(times * value).alias("score"))
+    rest = rest.groupBy("row").agg(*[F.sum(c).alias(f"{c}_") for c in ("n_known", "base", "score")])
+    both = done.drop("keys", "times").join(rest, "row", "left")
+    score = F.col("score") + F.coalesce("score_", F.lit(0.0))
+    return both.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n_known_", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("base_", F.lit(0.0))).alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.col("bytes")).alias("bits_per_byte"),
+    )
 
 
 class Table:
-    """Values by distinct 64-bit keys, found by open addressing for whole arrays at once. Each key asked for is one of these."""
+    """Values by distinct 64-bit keys, found by open addressing for whole arrays at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(1.25 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        free = np.uint64(2**64 - 1)  # no key is all ones
-        self.keys, self.values = np.full(1 << bits, free, np.uint64), np.zeros(1 << bits)
+        self.free = np.uint64(2**64 - 1)  # no code is all ones, and no token, as good as
+        self.keys, self.values = np.full(1 << bits, self.free, np.uint64), np.zeros(1 << bits)
         todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
-            empty = np.flatnonzero(self.keys[slot] == free)
+            empty = np.flatnonzero(self.keys[slot] == self.free)
             self.keys[slot[empty]] = keys[todo[empty]]  # of several for one slot, the last is in
             self.values[slot[empty]] = values[todo[empty]]
             out = self.keys[slot] != keys[todo]
@@ -357,14 +376,19 @@ class Table:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's value, and whether it has none."""
         slot = self._slot(keys)
-        out = self.values[slot]
-        todo = np.flatnonzero(self.keys[slot] != keys)
+        out, here = self.values[slot], self.keys[slot]
+        none = here == self.free
+        todo = np.flatnonzero((here != keys) & ~none)
         slot = slot[todo]
         while len(todo):
             slot = (slot + 1) & self.mask
-            hit = self.keys[slot] == keys[todo]
+            here = self.keys[slot]
+            hit, gone = here == keys[todo], here == self.free
             out[todo[hit]] = self.values[slot[hit]]
-            todo, slot = todo[~hit], slot[~hit]
-        return out
+            none[todo[gone]] = True
+            going = ~(hit | gone)
+            todo, slot = todo[going], slot[going]
+        return out, none
