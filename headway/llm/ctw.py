@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ DEPTH = 5
 #: Bytes that UTF-8 never has: the context before a text, and the end of a text.
 BEFORE, END = 0xFE, 0xFF
 #: Bytes handled at once; counts held in a task; contexts weighed at once, about; keys broadcast at most.
-CHUNK, HELD, BRANCH, FREQUENT = 1 << 21, 1_500_000, 150_000, 1_000_000
+CHUNK, HELD, BRANCH, FREQUENT = 1 << 20, 600_000, 150_000, 500_000
 
 _TOKEN = np.uint64(1 << 63)
 #: Bytes of context that all of a branch share.
@@ -63,6 +64,11 @@ def keys_of(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarra
     return codes, sizes, hashed([x for w in words for x in (*w, b"")]), counts
 
 
+def texts_of(batch: pa.RecordBatch) -> Iterator[str | None]:
+    for at in range(0, batch.num_rows, 256):
+        yield from batch.column("text").slice(at, 256).to_pylist()
+
+
 def chunks(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
     """The texts' words, in lists of about CHUNK bytes of text."""
     held, size = [], 0
@@ -95,10 +101,9 @@ def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n, "m": m})
 
         for batch in batches:
-            held = np.array(batch.column("held_out").to_pylist(), bool)
-            texts = np.array(batch.column("text").to_pylist(), object)
+            held = batch.column("held_out")
             for out in (False, True):
-                for words in chunks(texts[held == out]):
+                for words in chunks(texts_of(batch.filter(held if out else pa.compute.invert(held)))):
                     codes, _, tokens, _ = keys_of(words, depth)
                     keys, m = np.unique(np.concatenate([codes, tokens]), return_counts=True)
                     parts.append((keys, m * 0 if out else m, m))
@@ -311,7 +316,7 @@ def lm_score(docs: DataFrame, depth: int = DEPTH, branch_rows: int = BRANCH, mos
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "bytes", "keys", "times")}
-            for words in chunks(batch.column("text").to_pylist()):
+            for words in chunks(texts_of(batch)):
                 codes, sizes, tokens, counts = keys_of(words, depth)
                 score, no_code = table.find(codes)
                 c, no_token = table.find(tokens)
