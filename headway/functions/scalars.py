@@ -81,6 +81,97 @@ def density_tone(x: Column) -> Column:
     return F.when(x > 6, "hot").when(x >= 5, "warm").otherwise("ok")
 
 
+#: WMO weather codes as text, and those that call for an alert.
+WEATHER_TEXT = {
+    0: "ясно", 1: "преимущественно ясно", 2: "переменная облачность", 3: "пасмурно",
+    45: "туман", 48: "туман с изморозью",
+    51: "морось", 53: "морось", 55: "сильная морось",
+    61: "дождь", 63: "дождь", 65: "сильный дождь",
+    71: "снег", 73: "снег", 75: "сильный снег",
+    80: "ливень", 81: "ливень", 82: "сильный ливень",
+    85: "снежный заряд", 86: "сильный снежный заряд",
+    95: "гроза", 96: "гроза с градом", 99: "сильная гроза с градом",
+}
+ALERTS = (45, 48, 65, 67, 75, 82, 86, 95, 96, 99)
+#: Bounding boxes (south, north, west, east) of the city and of the region.
+CITY, REGION = (55.4, 56.1, 37.1, 38.0), (54.2, 56.6, 35.2, 40.5)
+
+
+def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float], strict: bool = False) -> Column:
+    """Whether a point lies in a box, its border included unless ``strict``; null coordinates don't."""
+    south, north, west, east = box
+    if strict:
+        inside = (lat > south) & (lat < north) & (lon > west) & (lon < east)
+    else:
+        inside = lat.between(south, north) & lon.between(west, east)
+    return F.coalesce(inside, F.lit(False))
+
+
+def weather_text(code: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in WEATHER_TEXT.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, code), F.concat(F.lit("код "), code.cast("string")))
+
+
+def weather_alert(code: Column) -> Column:
+    return F.coalesce(code.isin(*ALERTS), F.lit(False))
+
+
+def traffic_score(roads: Column, km: Column, accidents_per_km: Column) -> Column:
+    """Up to 6 for major roads a kilometre and up to 4 for accidents, to one place; by accidents alone where the roads are unknown."""
+    both = F.least(F.lit(6.0), roads / F.greatest(km, F.lit(0.5))) + F.least(F.lit(4.0), accidents_per_km / 3)
+    return F.round(F.when(roads.isNull(), F.least(F.lit(10.0), accidents_per_km / 2)).otherwise(both), 1)
+
+
+def log_level(x: Column) -> Column:
+    """log(1 + x) of what is above 0."""
+    return F.log1p(F.greatest(F.lit(0.0), x))
+
+
+def from_log_level(x: Column, most: float = 12.0) -> Column:
+    """The inverse, of a level held between 0 and ``most``."""
+    return F.expm1(F.least(F.lit(most), F.greatest(F.lit(0.0), x)))
+
+
+def hour_bounds(a: Column, b: Column) -> tuple[Column, Column]:
+    """Two hours held between 0 and 23, the earlier first."""
+    low, high = (F.least(F.lit(23), F.greatest(F.lit(0), x)) for x in (a, b))
+    return F.least(low, high), F.greatest(low, high)
+
+
+def sine_noise(seed: Column) -> Column:
+    """A number from 0 to 1 that looks random: the fraction of a large multiple of the seed's sine."""
+    x = F.sin(seed) * 10000
+    return x - F.floor(x)
+
+
+def traffic_tone(score: Column) -> Column:
+    return F.when(score >= 6, "hot").when(score >= 4, "warm").otherwise("ok")
+
+
+def repair_tone(repairs: Column) -> Column:
+    """By the number of repairs; ok where it is unknown."""
+    return F.when(repairs >= 20, "hot").when(repairs > 0, "warm").otherwise("ok")
+
+
+def station_tone(accidents: Column, tram_accidents: Column) -> Column:
+    return F.when(tram_accidents > 0, "hot").when(accidents > 0, "warm").otherwise("ok")
+
+
+def load_tone(load: Column) -> Column:
+    return F.when(load > 1, "hot").when(load >= 0.8, "warm").otherwise("ok")
+
+
+def station_load(base: Column, place: Column, n: Column) -> Column:
+    """The load of the place-th (from 0) of n stations of a line, least at its ends."""
+    at = F.when(n <= 1, 0.5).otherwise(place / F.greatest(n - 1, F.lit(1)))
+    return base * (0.62 + 0.72 * F.sin(at * math.pi))
+
+
+def week_offsets(day: Column, hour: Column) -> tuple[Column, Column]:
+    """Hours since the week's and the year's first."""
+    return F.weekday(day) * 24 + hour, (F.dayofyear(day) - 1) * 24 + hour
+
+
 def points(score: Column) -> Column:
     """The bands of a score that earn 0 to 5 points."""
     out = F.lit(5)

@@ -42,6 +42,14 @@ def flags(days: DataFrame, holidays: DataFrame) -> DataFrame:
     return rows.withColumns({"weekend": weekend.cast("int"), "holiday": holiday.cast("int"), "off_day": (weekend | holiday).cast("int"), "preholiday": F.col("_e").isNotNull().cast("int")}).drop("_h", "_e")
 
 
+def off_days(days: DataFrame, calendars: DataFrame) -> DataFrame:
+    """For each date and named calendar (calendar, date), whether it is a weekend or one of the calendar's days. Calendars don't replace each other."""
+    names = calendars.select("calendar").distinct().agg(F.array_sort(F.collect_set("calendar")).alias("_c"))  # one row
+    marked = calendars.distinct().withColumn("_off", F.lit(1))
+    rows = days.join(F.broadcast(names)).select("*", F.explode("_c").alias("calendar")).drop("_c").join(marked, ["calendar", "date"], "left")
+    return rows.withColumn("off_day", ((F.weekday("date") >= 5) | F.col("_off").isNotNull()).cast("int")).drop("_off")
+
+
 def in_interval(days: DataFrame, intervals: DataFrame) -> DataFrame:
     """For each date and system, whether any of the system's inclusive intervals holds the date. The intervals are turned into
     their days, so the join is one of equal keys."""
@@ -63,6 +71,30 @@ def nearest_marks(days: DataFrame, marks: DataFrame, cap: int) -> DataFrame:
     return days.join(near, "date", "left").withColumns({"since": F.coalesce("since", F.lit(cap)), "until": F.coalesce("until", F.lit(cap))})
 
 
+def interval_distances(days: DataFrame, intervals: DataFrame, cap: int = 21) -> DataFrame:
+    """For each date and system: days until the next interval starts and since the last one ended, 0 inside of one, at most ``cap``, and whether it lies
+    in the first week after one."""
+    rows = in_interval(days, intervals).select("date", "system", "inside")
+    near = lambda edge, first, last: intervals.select("system", F.col(edge).alias("_e"), F.explode(F.sequence(F.date_add(edge, first), F.date_add(edge, last))).alias("date")).groupBy("system", "date")
+    ahead = near("start", -cap, -1).agg(F.min(F.datediff("_e", "date")).alias("until"))
+    behind = near("end", 1, cap).agg(F.min(F.datediff("date", "_e")).alias("since"))
+    out = rows.join(ahead, ["system", "date"], "left").join(behind, ["system", "date"], "left")
+    inside = F.col("inside") == 1
+    held = {c: F.when(inside, 0).otherwise(F.coalesce(c, F.lit(cap))) for c in ("until", "since")}
+    return out.withColumns(held).withColumn("first_week", (~inside & (F.col("since") <= 7)).cast("int"))
+
+
+def by_year(holidays: DataFrame) -> DataFrame:
+    """Number of holidays a year."""
+    return holidays.groupBy(F.year("date").alias("year")).agg(F.count_distinct("date").alias("n"))
+
+
+def next_holiday(holidays: DataFrame, today: str) -> DataFrame:
+    """One row: the first holiday not before a day, and whether the day is one."""
+    day = F.lit(today).cast("date")
+    return holidays.filter(F.col("date") >= day).agg(F.min("date").alias("date")).withColumn("is_today", F.coalesce(F.col("date") == day, F.lit(False)))
+
+
 def nearest_name(days: DataFrame, names: DataFrame, reach: int = 3) -> DataFrame:
     """The name of the day itself, else of the nearest named day within ``reach``, the earlier of two as near."""
     spread = names.select("name", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_o"), F.col("date").alias("_n"))

@@ -4,32 +4,42 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from headway.functions.sessions import cut
 from headway.operators import history as H
 from headway.operators import metrics as M
+from headway.operators.grid import dense
+
+
+def _base(past: Column, how: str) -> Column:
+    """The median, mean or decayed mean (ewm) of a newest-first array; null if it is empty."""
+    ordered, half = F.array_sort(past), F.floor(F.size(past) / 2).cast("int")
+    return {
+        "ewm": lambda: H.decayed(past),
+        "mean": lambda: F.try_divide(F.aggregate(past, F.lit(0.0), lambda a, x: a + x), F.size(past)),
+        "median": lambda: F.when(F.size(past) % 2 == 1, F.get(ordered, half)).otherwise((F.get(ordered, half - 1) + F.get(ordered, half)) / 2),
+    }[how]()
+
+
+def _with_trend(targets: DataFrame, history: DataFrame, cutoff: str, fade: tuple[int, int]) -> DataFrame:
+    """``_trend`` of the route less 1, and how much of it is left at the target's horizon (``_keep``)."""
+    ahead = F.datediff("date", F.lit(cutoff).cast("date"))
+    keep = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (fade[1] - ahead) / (fade[1] - fade[0])))
+    ratio = H.trend(H.daily(history), cutoff).select("route", F.col("trend").alias("_t"))
+    return targets.join(ratio, "route", "left").withColumns({"_trend": F.coalesce("_t", F.lit(1.0)) - 1, "_keep": keep}).drop("_t")
 
 
 def seasonal_naive(targets: DataFrame, history: DataFrame, cutoff: str, k: int = 4, how: str = "ewm", trend: str = "none", fade: tuple[int, int] = (21, 45)) -> DataFrame:
     """``predicted`` from the newest ``k`` values of each target's weekday: their median, mean or decayed mean (ewm), times the
     route's trend, flat or fading to 1 between two horizons in days. Targets without a past get 0."""
-    rows = H.same_weekday(targets, history, cutoff, k)
-    total = F.aggregate("past", F.lit(0.0), lambda a, x: a + x)
-    ordered = F.array_sort("past")
-    half = F.floor(F.size("past") / 2).cast("int")
-    base = {
-        "ewm": H.decayed(F.col("past")),
-        "mean": F.try_divide(total, F.size("past")),
-        "median": F.when(F.size("past") % 2 == 1, F.get(ordered, half)).otherwise((F.get(ordered, half - 1) + F.get(ordered, half)) / 2),
-    }[how]
-    rows = rows.withColumn("predicted", F.coalesce(base, F.lit(0.0)))
+    rows = H.same_weekday(targets, history, cutoff, k).withColumn("predicted", F.coalesce(_base(F.col("past"), how), F.lit(0.0))).drop("past")
     if trend == "none":
-        return rows.drop("past")
-    ratio = H.trend(H.daily(history), cutoff).select("route", "trend")
-    ahead = F.datediff("date", F.lit(cutoff).cast("date"))
-    keep = F.lit(1.0) if trend == "flat" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (fade[1] - ahead) / (fade[1] - fade[0])))
-    return rows.join(ratio, "route", "left").withColumn("predicted", F.col("predicted") * (1 + (F.coalesce("trend", F.lit(1.0)) - 1) * keep)).drop("past", "trend")
+        return rows
+    rows = _with_trend(rows, history, cutoff, fade)
+    return rows.withColumn("predicted", F.col("predicted") * (1 + F.col("_trend") * (F.lit(1.0) if trend == "flat" else F.col("_keep")))).drop("_trend", "_keep")
 
 
 def champion(targets: DataFrame, history: DataFrame, holidays: DataFrame, cutoff: str, weeks: int = 4, pooled: int = 6) -> DataFrame:
@@ -39,14 +49,141 @@ def champion(targets: DataFrame, history: DataFrame, holidays: DataFrame, cutoff
     return H.pool(marked, history, holidays, cutoff, pooled).withColumn("predicted", F.when((F.col("_h") == 1) & (F.size("past") >= 2), H.decayed(F.col("past"))).otherwise(F.col("predicted"))).drop("_h", "past")
 
 
-def rule_grid(targets: DataFrame, history: DataFrame, cutoff: str, ks=(1, 2, 4, 8), hows=("median", "mean", "ewm"), trends=("none", "flat", "decay")) -> DataFrame:
-    """The score of each rule on targets that have an ``actual``, best first; the rules share one scan of the past by k."""
+def rule_grid(targets: DataFrame, history: DataFrame, cutoff: str, ks=(1, 2, 4, 8), hows=("median", "mean", "ewm"), trends=("none", "flat", "decay"), fade: tuple[int, int] = (21, 45)) -> DataFrame:
+    """The score of each rule on targets that have an ``actual``, best first. One plan serves all: each target's newest values are gathered once, and it
+    meets the rules, a few dozen, within its own row; the sums are combined before the shuffle."""
+    rows = _with_trend(H.same_weekday(targets, history, cutoff, max(ks)), history, cutoff, fade)
+    rules = [(k, h, t) for k in ks for h in hows for t in trends]
+    kept = {"none": F.lit(0.0), "flat": F.lit(1.0), "decay": F.col("_keep")}
+    bases = {(k, h): F.coalesce(_base(F.slice("past", 1, k), h), F.lit(0.0)).alias(f"_{k}_{h}") for k in ks for h in hows}
+    rows = rows.select("actual", "_trend", "_keep", *bases.values())
+    tried = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("k"), F.lit(h).alias("how"), F.lit(t).alias("trend"), (F.col(f"_{k}_{h}") * (1 + F.col("_trend") * kept[t])).alias("predicted")) for i, (k, h, t) in enumerate(rules)])
+    each = rows.select("actual", F.explode(tried).alias("r")).select("actual", "r.*")
+    scored = each.groupBy("rule", "k", "how", "trend").agg(M.score(F.col("actual"), F.col("predicted")).alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 12)), "rule")
+
+
+def pooled(targets: DataFrame, history: DataFrame, holidays: DataFrame, cutoff: str, weeks: int = 4, shape_weeks: int = 8, shape_decay: float = H.DECAY, share: float = 0.5, holiday_days: int = 6) -> DataFrame:
+    """The champion with its hourly shape mixed: ``share`` of the shape of the day's group (weekdays, Saturday, Sunday) over the last weeks without holidays, the rest its own.
+    Holidays keep the champion's forecast where it has any volume."""
+    made = champion(targets, history, holidays, cutoff, weeks, holiday_days).join(holidays.select("date").distinct().withColumn("_h", F.lit(1)), "date", "left")
+    recent = history.filter(F.col("date") > F.date_sub(F.lit(cutoff).cast("date"), 7 * shape_weeks)).join(holidays.select("date").distinct(), "date", "left_anti")
+    group = F.when(F.weekday("date") < 5, "weekday").when(F.weekday("date") == 5, "sat").otherwise("sun")
+    shapes = H.hour_shapes(recent, cutoff, shape_decay).select("route", "day_group", "hour", F.col("share").alias("_pool"))
+    rows = made.withColumn("day_group", group).join(shapes, ["route", "day_group", "hour"], "left")
+    day = F.sum("predicted").over(W.partitionBy("route", "date"))
+    own = F.when(day > 0, F.col("predicted") / day).otherwise(0.0)
+    mixed = day * ((1 - share) * own + share * F.coalesce("_pool", F.lit(0.0)))
+    return rows.withColumn("predicted", F.when((F.col("_h") == 1) & (day > 0), F.col("predicted")).otherwise(mixed)).drop("_h", "_pool", "day_group")
+
+
+def holiday_or_weekly(targets: DataFrame, history: DataFrame, names: DataFrame, cutoff: str, holiday_days: int = 6, weeks: int = 8, how: str = "ewm") -> DataFrame:
+    """The decayed mean (or mean) of the last days of the same holiday, if there are two at least, else of the last weeks. ``names`` has date and name."""
+    named = H.named_pool(targets, history, names, cutoff, holiday_days).withColumnRenamed("past", "_same")
+    rows = H.same_weekday(named, history, cutoff, weeks)
+    value = F.when(F.size("_same") >= 2, _base(F.col("_same"), how)).otherwise(_base(F.col("past"), how))
+    return rows.withColumn("predicted", F.coalesce(value, F.lit(0.0))).drop("_same", "past", "name")
+
+
+def profile_search(windows: list[tuple[DataFrame, DataFrame, str]], weeks=(1, 2, 4, 8), decays=(0.5, 0.75, 1.0), champion_=(4, 0.75), alpha: float = 0.1) -> DataFrame:
+    """Candidates (weeks, decay) by their gain over the champion's score: the best least gain over the windows first, then the best mean gain.
+
+    A window is (targets with ``actual``, history, cutoff). Each target's newest values are gathered once and meet the candidates within their row. ``wins``
+    counts windows with a gain, ``p_value`` is the sign test's, and the first row is ``accepted`` if it isn't the champion and p is at most ``alpha``.
+    """
+    rules = [(w, d) for w in weeks for d in decays]
+    each = None
+    for i, (targets, history, cutoff) in enumerate(windows):  # a handful
+        rows = H.same_weekday(targets, history, cutoff, max(weeks))
+        tried = F.array(*[F.struct(F.lit(w).alias("weeks"), F.lit(d).alias("decay"), F.coalesce(H.decayed(F.slice("past", 1, w), d), F.lit(0.0)).alias("predicted")) for w, d in rules])
+        one = rows.select("actual", F.explode(tried).alias("r")).select(F.lit(i).alias("window"), "actual", "r.*")
+        each = one if each is None else each.unionByName(one)
+    scored = each.groupBy("window", "weeks", "decay").agg(M.score(F.col("actual"), F.col("predicted")).alias("score"))
+    held = scored.filter((F.col("weeks") == champion_[0]) & (F.col("decay") == champion_[1])).select("window", F.col("score").alias("_c"))
+    gain = F.col("score") - F.col("_c")
+    found = scored.join(held, "window").groupBy("weeks", "decay").agg(F.min(gain).alias("least_gain"), F.avg(gain).alias("mean_gain"), F.count_if(gain > 1e-9).alias("wins"))
+    chance = F.create_map(*[F.lit(x) for n in range(len(windows) + 1) for x in (n, M.sign_test(n, len(windows)))])
+    order = W.partitionBy(F.lit(0)).orderBy(F.round("least_gain", 9).desc(), F.round("mean_gain", 9).desc(), "weeks", "decay")  # a row a candidate
+    first = F.row_number().over(order) == 1
+    found = found.withColumn("p_value", F.element_at(chance, F.col("wins").cast("int"))).withColumn("chosen", first)
+    other = (F.col("weeks") != champion_[0]) | (F.col("decay") != champion_[1])
+    return found.withColumn("accepted", F.col("chosen") & other & (F.col("p_value") <= alpha))
+
+
+def roll_forward(history: DataFrame, routes: DataFrame, first: date, last: date, make, step: int = 7) -> DataFrame:
+    """``predicted`` from ``first`` to ``last``, ``step`` days at a time: ``make(targets, history, cutoff)`` forecasts each stretch from the history and the
+    forecasts before it. Each stretch is written to the shared folder, so the plan of a later one doesn't grow."""
+    known, out, day = history.select("route", "date", "hour", F.col("value").cast("double").alias("value")), None, first
+    while day <= last:
+        end = min(last, day + timedelta(days=step - 1))
+        made = cut(make(dense(routes, str(day), str(end)), known, str(day - timedelta(days=1))).select("route", "date", "hour", "predicted"))
+        out = made if out is None else out.unionByName(made)
+        known = known.unionByName(made.withColumnRenamed("predicted", "value"))
+        day = end + timedelta(days=1)
+    return out
+
+
+def over_range(grid: DataFrame, baseline: DataFrame, new: DataFrame, without: tuple[int, ...] = ()) -> DataFrame:
+    """A whole number for each cell of the grid: the new forecast, else the baseline, else 0; at least 0, halves to even. Routes of ``without`` go."""
+    rows = grid.filter(~F.col("route").isin(*without)) if without else grid
+    for name, table in (("_new", new), ("_old", baseline)):
+        rows = rows.join(table.select("route", "date", "hour", F.col("predicted").alias(name)), ["route", "date", "hour"], "left")
+    value = F.greatest(F.lit(0.0), F.coalesce("_new", "_old", F.lit(0.0)))
+    return rows.withColumn("prediction", F.bround(value, 0).cast("long")).drop("_new", "_old")
+
+
+def submission(template: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The template's cells with a whole ``prediction``, at least 0, halves to even, and whether it is ``missing`` (then 0)."""
+    rows = template.select("route", "date", "hour").join(predictions.select("route", "date", "hour", F.col("predicted").alias("_p")), ["route", "date", "hour"], "left")
+    return rows.select("route", "date", "hour", F.bround(F.greatest(F.lit(0.0), F.coalesce("_p", F.lit(0.0))), 0).cast("long").alias("prediction"), F.col("_p").isNull().alias("missing"))
+
+
+def training_rows(rows: DataFrame) -> DataFrame:
+    """For each fold (ISO week) how many rows may train its model: for weekdays those of all other weeks, for weekends only those of earlier ones."""
+    each = fold_of(rows).groupBy("fold", (F.weekday("date") >= 5).alias("weekend")).agg(F.count("*").alias("n"))
+    kind = W.partitionBy("weekend")  # one row a week
+    before = F.coalesce(F.sum("n").over(kind.orderBy("fold").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumn("n_train", F.when(F.col("weekend"), before).otherwise(F.sum("n").over(kind) - F.col("n")))
+
+
+def n_linear(days: DataFrame, origin: str, horizon: int, lookback: int = 28, value: str = "total") -> DataFrame:
+    """``predicted`` daily totals of the days after the origin, by route: a linear map from the last ``lookback`` days to the next, both less the last value, by least
+    squares over all windows up to the origin that show a whole horizon. Routes with fewer windows than ``lookback`` repeat their last value.
+
+    A route's days, a few thousand numbers, meet in one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def fit(route: pd.DataFrame) -> pd.DataFrame:
+        past = route.sort_values("date")[value].to_numpy(float)
+        wide = np.lib.stride_tricks.sliding_window_view(past, lookback + horizon) if len(past) >= lookback + horizon else np.zeros((0, lookback + horizon))
+        last = past[-lookback:]
+        made = np.full(horizon, past[-1])
+        if len(wide) >= lookback:
+            centred = wide - wide[:, lookback - 1 : lookback]
+            made = np.maximum((last - last[-1]) @ np.linalg.lstsq(centred[:, :lookback], centred[:, lookback:], rcond=1e-2)[0] + last[-1], 0)
+        return pd.DataFrame({"route": route["route"].iloc[0], "ahead": range(1, horizon + 1), "predicted": made})
+
+    known = days.filter(F.col("date") <= F.lit(origin).cast("date")).select("route", "date", F.col(value).cast("double"))
+    made = known.groupBy("route").applyInPandas(fit, "route int, ahead int, predicted double")
+    return made.select("route", F.expr(f"date_add(DATE '{origin}', ahead)").alias("date"), "predicted")
+
+
+def importances(model, inputs: list[str], spark) -> DataFrame:
+    """How much each input of fitted trees counts, the greatest first."""
+    values = model[0].stages[-1].featureImportances.toArray()
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(inputs, values)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def search(train: DataFrame, valid: DataFrame, inputs: list[str], target: str, grid: list[dict]) -> DataFrame:
+    """The weighted error on ``valid`` of trees fitted with each of a few settings, the least first."""
     out = None
-    for i, (k, how, trend) in enumerate((k, h, t) for k in ks for h in hows for t in trends):
-        rows = seasonal_naive(targets, history, cutoff, k, how, trend)
-        one = rows.agg(M.score(F.col("actual"), F.col("predicted")).alias("score")).select(F.lit(i).alias("rule"), F.lit(k).alias("k"), F.lit(how).alias("how"), F.lit(trend).alias("trend"), "score")
+    for i, options in enumerate(grid):
+        rows = score_with(boosted(train, inputs, target, **options), valid)
+        one = rows.agg(M.wape(F.col(target), F.col("predicted")).alias("wape")).select(F.lit(i).alias("setting"), F.lit(str(sorted(options.items()))).alias("options"), "wape")
         out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc(F.round("score", 12)), "rule")
+    return out.orderBy(F.round("wape", 12), "setting")
 
 
 def copy_week(targets: DataFrame, history: DataFrame, value: str = "value") -> DataFrame:
@@ -58,8 +195,6 @@ def copy_week(targets: DataFrame, history: DataFrame, value: str = "value") -> D
 def spread_daily(totals: DataFrame, shapes: DataFrame, total: str = "total") -> DataFrame:
     """Daily totals dealt to hours by shares, which are clipped at 0 and scaled to 1; a day without shares is even."""
     rows = totals.join(shapes.select("route", "date", "hour", F.greatest(F.col("share"), F.lit(0.0)).alias("share")), ["route", "date"])
-    from pyspark.sql import Window as W
-
     whole = F.sum("share").over(W.partitionBy("route", "date"))
     return rows.withColumn("predicted", F.col(total) * F.when(whole > 0, F.col("share") / whole).otherwise(1 / 24))
 
@@ -93,14 +228,14 @@ def fold_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fold", F.extract(F.lit("YEAROFWEEK"), "date") * 100 + F.weekofyear("date"))
 
 
-def boosted(features: DataFrame, inputs: list[str], target: str, seed: int = 7, trees: int = 30, depth: int = 5, floor: float = 0.0):
-    """A fitted MLlib pipeline of gradient boosted trees with absolute loss; ``score_with`` applies it."""
+def boosted(features: DataFrame, inputs: list[str], target: str, seed: int = 7, trees: int = 30, depth: int = 5, floor: float = 0.0, loss: str = "absolute", rate: float = 0.1):
+    """A fitted MLlib pipeline of gradient boosted trees with absolute or squared loss; ``score_with`` applies it."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     gather = VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep")
-    trees_ = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="_predicted", lossType="absolute", maxIter=trees, maxDepth=depth, seed=seed)
+    trees_ = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="_predicted", lossType=loss, maxIter=trees, maxDepth=depth, seed=seed, stepSize=rate)
     return Pipeline(stages=[gather, trees_]).fit(features.filter(F.col(target).isNotNull())), floor
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
+from headway.functions.sessions import cut
 
 
 def cell(x: Column, size: float) -> Column:
@@ -16,24 +17,16 @@ def cell(x: Column, size: float) -> Column:
     return (x / size).cast("int")
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, max_lat: float = 70.0) -> DataFrame:
-    """Pairs of left and right points at most ``metres`` apart, with ``metres`` between them; right columns come prefixed ``r_``.
+def within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """Pairs of left and right points at most ``metres`` apart, anywhere on the sphere, with ``metres`` between them; right columns come prefixed ``r_``.
 
-    Both sides are put in cells at least as large as the radius (up to the latitude ``max_lat``), and the right side is given to its
-    nine cells, so the join is one of equal keys; a crowded cell is what adaptive skew handling splits.
+    Both sides are put in cells: bands of latitude as high as the radius, whose columns are as wide as the band needs and go round. The right side is
+    given to the cells around its own, so the join is one of equal keys; a crowded cell is what adaptive skew handling splits. Rows without coordinates have no pairs.
     """
-    lat_size = metres / S.DEGREE_M * 1.001
-    lon_size = lat_size / math.cos(math.radians(max_lat))
-    row, col = lambda p: F.floor(F.col(p + "lat") / lat_size), lambda p: F.floor(F.col(p + "lon") / lon_size)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    spread = named.withColumn("_o", F.explode(around)).withColumns({"_row": row("r_") + F.col("_o.i"), "_col": col("r_") + F.col("_o.j")}).drop("_o")
-    pairs = left.withColumns({"_row": row(""), "_col": col("")}).join(spread, ["_row", "_col"]).drop("_row", "_col")
-    return pairs.withColumn("metres", S.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
+    return _ring(left, right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), metres)
 
 
 def _ring(left: DataFrame, named: DataFrame, metres: float) -> DataFrame:
-    """Pairs at most ``metres`` apart anywhere on the sphere: the columns of a band of latitude are as wide as its cells need, and go round."""
     angle = min(metres / S.EARTH_M, math.pi)
     size = math.degrees(angle) * 1.001
     row = lambda p: F.floor((F.col(p + "lat") + 90) / size)
@@ -61,9 +54,9 @@ def nearest(left: DataFrame, key: str, right: DataFrame, order: list[str]) -> Da
     keep = F.min_by(F.struct("metres", *named.columns), by).alias("_best")
     todo, best, radius = left.filter("lat IS NOT NULL AND lon IS NOT NULL").select(key, "lat", "lon"), None, 500.0
     while True:
-        found = _cut(_ring(todo, named, radius).groupBy(key).agg(keep).select(key, "_best.*"))
+        found = cut(_ring(todo, named, radius).groupBy(key).agg(keep).select(key, "_best.*"))
         best = found if best is None else best.unionByName(found)
-        todo = _cut(todo.join(found.select(key), key, "left_anti"))
+        todo = cut(todo.join(found.select(key), key, "left_anti"))
         if radius > 2.1e7 or todo.isEmpty():
             return left.join(best, key, "left").select(*left.columns, "metres", *named.columns)
         radius *= 4
@@ -87,6 +80,16 @@ def lengths(points: DataFrame, line: list[str], order: list[str]) -> DataFrame:
     return along(points, line, order).groupBy(*line).agg((F.sum("step") / 1000).alias("km"), F.count("*").alias("n_points"))
 
 
+def boxes(points: DataFrame, keys: list[str], margin: float) -> DataFrame:
+    """The bounding box of each key's points, wider by a margin in degrees on each side."""
+    return points.groupBy(*keys).agg((F.min("lat") - margin).alias("south"), (F.max("lat") + margin).alias("north"), (F.min("lon") - margin).alias("west"), (F.max("lon") + margin).alias("east"))
+
+
+def part_lengths(points: DataFrame, line: str, part: str, order: list[str]) -> DataFrame:
+    """Kilometres of each line as the sum of its parts, without the gaps between them, and their number."""
+    return lengths(points, [line, part], order).groupBy(line).agg(F.sum("km").alias("km"), F.count("*").alias("n_parts"))
+
+
 def sampled(points: DataFrame, line: list[str], order: list[str], every: float) -> DataFrame:
     """Points every ``every`` metres along each line from its first, and its last point; segments of length 0 are skipped."""
     w = W.partitionBy(*line).orderBy(*order)
@@ -120,26 +123,21 @@ def centroids(points: DataFrame, routes: DataFrame, default: tuple[float, float]
     return routes.select("route").distinct().join(mean, "route", "left").withColumns({"lat": F.coalesce("lat", F.lit(default[0])), "lon": F.coalesce("lon", F.lit(default[1]))})
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """The rows without their lineage, in the checkpoint folder if one is set."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() is not None else rows.localCheckpoint()
-
-
 def clusters(stops: DataFrame, metres: float = 1600.0) -> DataFrame:
     """Stops (id, name, lat, lon) of one name that a chain of steps of at most ``metres`` joins, as one: cluster (least id), name, mean position, n.
 
     Least labels move along the pairs until nothing changes. In each round a stop hands the least label it sees to the stop that its own
     label names, and then takes that stop's label, so that whole clusters merge at once; each round is cut off.
     """
-    pairs = _cut(within(stops.select("id", "name", "lat", "lon"), stops.select("id", "name", "lat", "lon"), metres).filter((F.col("name") == F.col("r_name")) & (F.col("id") != F.col("r_id"))).select("id", F.col("r_id").alias("other")))
+    pairs = cut(within(stops.select("id", "name", "lat", "lon"), stops.select("id", "name", "lat", "lon"), metres).filter((F.col("name") == F.col("r_name")) & (F.col("id") != F.col("r_id"))).select("id", F.col("r_id").alias("other")))
     labels = stops.select("id", F.col("id").alias("cluster"))
     while True:
         near = pairs.join(labels.withColumnRenamed("id", "other").withColumnRenamed("cluster", "_c"), "other").groupBy("id").agg(F.min("_c").alias("_c"))
-        seen = _cut(labels.join(near, "id", "left").select("id", "cluster", F.least("cluster", "_c").alias("low")))
+        seen = cut(labels.join(near, "id", "left").select("id", "cluster", F.least("cluster", "_c").alias("low")))
         if seen.filter("low < cluster").isEmpty():
             break
         handed = seen.groupBy(F.col("cluster").alias("id")).agg(F.min("low").alias("_h"))
-        moved = _cut(seen.join(handed, "id", "left").select("id", F.least("low", "_h").alias("next")))
+        moved = cut(seen.join(handed, "id", "left").select("id", F.least("low", "_h").alias("next")))
         named = moved.select(F.col("id").alias("next"), F.col("next").alias("cluster"))
         labels = moved.join(named, "next").select("id", "cluster")
     return stops.join(labels, "id").groupBy("cluster", "name").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"))

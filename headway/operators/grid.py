@@ -14,6 +14,13 @@ def dense(routes: DataFrame, first: str, last: str, hours: range = range(24)) ->
     return routes.select("route", days).withColumn("hour", F.explode(F.array(*map(F.lit, hours))))
 
 
+def spanning(routes: DataFrame, rows: DataFrame, hours: range = range(24)) -> DataFrame:
+    """Every route and hour of each day from the first of ``rows`` to the last. The two ends are one row, which each route meets."""
+    ends = rows.agg(F.min("date").alias("_a"), F.max("date").alias("_b")).filter("_a IS NOT NULL")
+    days = routes.select("route").join(F.broadcast(ends)).select("route", F.explode(F.sequence("_a", "_b")).alias("date"))
+    return days.withColumn("hour", F.explode(F.array(*map(F.lit, hours))))
+
+
 def filled(grid: DataFrame, labels: DataFrame, value: str = "boardings") -> DataFrame:
     """The grid with its labels, 0 where there is none."""
     return grid.join(labels.select(*KEYS, value), KEYS, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))

@@ -52,6 +52,61 @@ def pool(targets: DataFrame, history: DataFrame, days: DataFrame, cutoff: str, k
     return targets.join(lists, ["route", "hour"], "left").withColumn("past", F.coalesce("past", F.array().cast("array<double>")))
 
 
+def named_pool(targets: DataFrame, history: DataFrame, names: DataFrame, cutoff: str, k: int, value: str = "value") -> DataFrame:
+    """The newest ``k`` values, up to the cutoff, of the days that bear the name of the target's day (date, name), by route and hour, as ``past``; empty for days
+    without a name. Targets must lie after the cutoff."""
+    known = history.join(names, "date").filter(F.col("date") <= F.lit(cutoff).cast("date"))
+    newest = F.row_number().over(W.partitionBy("route", "hour", "name").orderBy(F.desc("date")))
+    top = known.withColumn("_n", newest).filter(F.col("_n") <= k)
+    lists = top.groupBy("route", "hour", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("past"))
+    rows = targets.join(names, "date", "left").join(lists, ["route", "hour", "name"], "left")
+    return rows.withColumn("past", F.coalesce("past", F.array().cast("array<double>")))
+
+
+def with_profiles(rows: DataFrame, history: DataFrame, keys: dict[str, list[str]], columns: tuple[str, ...] = ("mean", "median")) -> DataFrame:
+    """The history's profiles by several key lists beside each row, as ``name_mean`` and so on; 0 where the history has none."""
+    for name, by in keys.items():
+        found = profile(history, by).select(*by, *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        rows = rows.join(found, by, "left").withColumns({f"{name}_{c}": F.coalesce(f"{name}_{c}", F.lit(0.0)) for c in columns})
+    return rows
+
+
+def with_weather(rows: DataFrame, weather: DataFrame) -> DataFrame:
+    """The weather of each row's date and hour; nulls where it is unknown. Of repeated weather rows any one counts."""
+    return rows.join(weather.dropDuplicates(["date", "hour"]), ["date", "hour"], "left")
+
+
+def frozen(rows: DataFrame, cutoff: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows with a date, in which those after the cutoff have the columns of the cutoff's day; null if that is absent."""
+    day = F.lit(cutoff).cast("date")
+    last = rows.filter(F.col("date") == day).select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+    return rows.join(last, keys, "left").withColumns({c: F.when(F.col("date") > day, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def weekday_lags(days: DataFrame, origin: str, n: int = 8, value: str = "total") -> DataFrame:
+    """For each route and weekday the newest ``n`` daily values up to the origin, newest first, as ``lags``, filled up with 0; over dense daily rows."""
+    known = days.filter(F.col("date") <= F.lit(origin).cast("date")).withColumn("dow", F.weekday("date"))
+    newest = F.row_number().over(W.partitionBy("route", "dow").orderBy(F.desc("date")))
+    top = known.withColumn("_n", newest).filter(F.col("_n") <= n).groupBy("route", "dow").agg(F.map_from_entries(F.collect_list(F.struct("_n", F.col(value).cast("double").alias("v")))).alias("_m"))
+    return top.select("route", "dow", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("lags"))
+
+
+def route_scale(history: DataFrame, value: str = "value") -> DataFrame:
+    """Mean level by route, at least 1."""
+    return history.groupBy("route").agg(F.greatest(F.lit(1.0), F.avg(value)).alias("scale"))
+
+
+def month_levels(history: DataFrame, value: str = "value") -> DataFrame:
+    """Mean daily volume by route and month."""
+    return history.groupBy("route", F.month("date").alias("month")).agg((F.sum(value) / F.count_distinct("date")).alias("level"))
+
+
+def without_volume(routes: DataFrame, history: DataFrame, value: str = "value") -> DataFrame:
+    """Routes that have no volume in the history."""
+    total = history.groupBy("route").agg(F.sum(value).alias("_v"))
+    return routes.select("route").join(total, "route", "left").filter("coalesce(_v, 0) <= 0").select("route")
+
+
 def step_back(targets: DataFrame, history: DataFrame, cutoff: str, step: int, value: str = "value", name: str = "lag") -> DataFrame:
     """The value so many steps of ``step`` days before each target as first reach the cutoff, at least one; absent: 0."""
     ahead = F.datediff("date", F.lit(cutoff).cast("date"))
@@ -61,25 +116,52 @@ def step_back(targets: DataFrame, history: DataFrame, cutoff: str, step: int, va
     return rows.join(past, ["route", "hour", "_d"], "left").withColumn(name, F.coalesce(name, F.lit(0))).drop("_d")
 
 
-def lag_features(rows: DataFrame, value: str = "value") -> DataFrame:
-    """Lags 1 to 4 over the same weekday and hour, their number, deviation, mean of up to eight, trend and ratio."""
+def lag_features(rows: DataFrame, value: str = "value", jump: float = 0.5) -> DataFrame:
+    """Lags 1 to 4 over the same weekday and hour, their number, deviation, mean of up to eight, trend, ratio to that mean, and whether that
+    ratio is a shock: off by more than ``jump``."""
     w = W.partitionBy("route", "hour", F.weekday("date")).orderBy("date")
     lags = {f"lag{i}": F.lag(value, i).over(w) for i in range(1, 5)}
     before = w.rowsBetween(-4, -1)
     out = rows.withColumns(lags | {"n_lags": F.count(value).over(before), "lag_std": F.stddev_pop(value).over(before), "deep_mean": F.avg(value).over(w.rowsBetween(-8, -1))})
-    return out.withColumns({"lag_trend": F.col("lag1") - F.col("lag2"), "lag_ratio": F.when(F.col("deep_mean") > 0, F.col("lag1") / F.col("deep_mean"))})
+    out = out.withColumns({"lag_trend": F.col("lag1") - F.col("lag2"), "lag_ratio": F.when(F.col("deep_mean") > 0, F.col("lag1") / F.col("deep_mean"))})
+    return out.withColumn("shock", F.abs(F.col("lag_ratio") - 1) > jump)
 
 
-def trailing(days: DataFrame, widths: tuple[int, ...] = (7, 14, 28, 56), value: str = "total") -> DataFrame:
-    """Mean and population deviation of the last days, today included, by route, over dense daily rows."""
+def trailing(days: DataFrame, widths: tuple[int, ...] = (7, 14, 28, 56), value: str = "total", medians: bool = False) -> DataFrame:
+    """Mean and population deviation, and if asked for the median, of the last days, today included, by route, over dense daily rows."""
     w = W.partitionBy("route").orderBy("date")
     out = {}
     for n in widths:
         last = w.rowsBetween(-(n - 1), 0)
         out |= {f"mean{n}": F.avg(value).over(last), f"std{n}": F.stddev_pop(value).over(last)}
+        if medians:  # of an array of at most n values
+            sorted_ = F.array_sort(F.collect_list(value).over(last))
+            half = F.floor(F.size(sorted_) / 2).cast("int")
+            out[f"median{n}"] = F.when(F.size(sorted_) % 2 == 1, F.get(sorted_, half)).otherwise((F.get(sorted_, half - 1) + F.get(sorted_, half)) / 2)
+    return days.withColumns(out)
+
+
+def window_ratios(days: DataFrame, widths: tuple[int, ...] = (7, 14, 28, 56), value: str = "total") -> DataFrame:
+    """Over dense daily rows: the network's total of the day, the route's share in it, and for each width the ratio of the last so many days to those before,
+    1 where these have no volume to speak of."""
+    w = W.partitionBy("route").orderBy("date")
+    network = F.sum(value).over(W.partitionBy("date"))
+    out = {"network": network, "route_share": F.when(network > 0, F.col(value) / network).otherwise(0.0)}
+    for n in widths:
+        last, before = F.sum(value).over(w.rowsBetween(-(n - 1), 0)), F.sum(value).over(w.rowsBetween(-(2 * n - 1), -n))
+        out[f"ratio{n}"] = F.when(before > 1, last / before).otherwise(1.0)
     return days.withColumns(out)
 
 
+def climatology(cells: DataFrame, history: DataFrame, levels: list[list[str]], value: str = "value") -> DataFrame:
+    """``value`` of each cell: the mean of the first of the key lists, the finest first, for which the history has any row."""
+    out = cells
+    for i, keys in enumerate(levels):
+        mean = history.groupBy(*keys).agg(F.avg(value).alias(f"_m{i}")) if keys else history.agg(F.avg(value).alias(f"_m{i}"))
+        out = out.join(mean, keys, "left") if keys else out.join(F.broadcast(mean))
+    return out.withColumn("value", F.coalesce(*[F.col(f"_m{i}") for i in range(len(levels))])).drop(*[f"_m{i}" for i in range(len(levels))])
+
+
 def trend(days: DataFrame, cutoff: str, width: int = 14, low: float = 0.88, high: float = 1.12, value: str = "total") -> DataFrame:
     """The ratio of the last ``width`` days up to the cutoff to those before, held between bounds; 1 without earlier volume."""
     ago = F.datediff(F.lit(cutoff).cast("date"), F.col("date"))

@@ -45,6 +45,12 @@ def by_slices(rows: DataFrame, origin: str) -> DataFrame:
     return by(rows.withColumn("slice", F.explode(F.array_compact(tags))), ["slice"])
 
 
+def by_models(rows: DataFrame, models: list[str], keys: list[str], actual: str = "actual") -> DataFrame:
+    """The error of several models' columns by keys, a row a key and model; each input row is counted for each model in one pass."""
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("_p")) for m in models])
+    return by(rows.select(*keys, actual, F.explode(each).alias("_m")).select(*keys, actual, "_m.*"), [*keys, "model"], actual, "_p")
+
+
 def weekly(rows: DataFrame, first: str) -> DataFrame:
     """The error of successive seven-day windows from ``first``."""
     return by(rows.withColumn("week", F.floor(F.datediff("date", F.lit(first).cast("date")) / 7)), ["week"])
@@ -76,6 +82,11 @@ def best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def best_fold(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key's folds (fold, score) the one with the best score, ties to the first. A choice by the score it reports is too good a guess of later scores."""
+    return best(rows, keys, [F.round("score", 12).desc_nulls_last(), F.col("fold")])
+
+
 def gate(folds: DataFrame, gain: float = 0.005, wins: int = 3, drop: float = 0.01, tolerance: float = 0.002) -> DataFrame:
     """Whether a candidate may replace the base: rows have fold, kind (dev or lock), base, candidate, base_workday, candidate_workday."""
     d = F.col("candidate") - F.col("base")

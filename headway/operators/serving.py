@@ -96,8 +96,9 @@ def risks(rows: DataFrame) -> DataFrame:
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each key, the last by the order: keyed upserts."""
-    w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")  # combined before the shuffle
+    return rows.groupBy(*keys).agg(best).select(*keys, "_r.*").select(*rows.columns)
 
 
 def scenario_coefficients(hours: DataFrame, weather: str, min_hours: int = 40, min_days: int = 8) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.operators import forecast, grid, labels
@@ -12,8 +12,9 @@ from headway.operators import forecast, grid, labels
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 CUTOFF, FIRST, LAST = "2001-04-30", "2001-05-01", "2001-06-30"
+#: Public holidays of the years of the tables.
 HOLIDAYS = ("2000-01-01", "2000-05-01", "2000-05-09", "2000-11-04", "2001-01-01", "2001-01-07", "2001-02-23", "2001-03-08", "2001-05-01", "2001-05-09", "2001-06-12")
-BREAKS = (("quarter", "2001-03-24", "2001-04-01"), ("quarter", "2001-05-26", "2001-08-31"), ("module", "2001-02-19", "2001-02-25"), ("module", "2001-04-09", "2001-04-15"), ("module", "2001-05-28", "2001-08-31"))
+BREAKS = (("quarter", "2001-03-19", "2001-03-29"), ("quarter", "2001-06-02", "2001-08-30"), ("module", "2001-02-12", "2001-02-20"), ("module", "2001-04-16", "2001-04-22"), ("module", "2001-06-04", "2001-08-30"))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -66,13 +67,14 @@ def validations(spark: SparkSession, d: str) -> DataFrame:
     return labels.parse(raw)
 
 
-# A long hourly history out of orders.
-HISTORY = "h AS (SELECT CAST(o_custkey % 3 AS INT) AS route, CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey % 24 AS INT) AS hour, sum(o_totalprice) AS value FROM orders GROUP BY ALL)"
+# A long hourly history out of orders. Values are money in whole cents, so that sums don't depend on the order.
+HISTORY = "h AS (SELECT CAST(o_custkey % 3 AS INT) AS route, CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey % 24 AS INT) AS hour, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS value FROM orders GROUP BY ALL)"
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.groupBy((F.col("o_custkey") % 3).cast("int").alias("route"), F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 24).cast("int").alias("hour")).agg(F.sum("o_totalprice").alias("value"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return o.groupBy((F.col("o_custkey") % 3).cast("int").alias("route"), F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 24).cast("int").alias("hour")).agg(F.sum(cents).cast("double").alias("value"))
 
 
 def grid_sql(name: str, first: str, last: str) -> str:
@@ -80,8 +82,9 @@ def grid_sql(name: str, first: str, last: str) -> str:
 
 
 TARGETS = grid_sql("t", FIRST, LAST)
-DENSE = HISTORY + ", " + grid_sql("g", "1999-01-01", LAST) + ", z AS (SELECT g.route, g.date, g.hour, coalesce(h.value, 0.0) AS value FROM g LEFT JOIN h USING (route, date, hour))"
-#: Daily totals over every day from 1999.
+#: The whole history without gaps, from its first day to its last.
+DENSE = HISTORY + ", g AS (SELECT CAST(r AS INT) AS route, CAST(d AS DATE) AS date, CAST(x AS INT) AS hour FROM range(3) a(r), (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM h) b, range(24) c(x)), z AS (SELECT g.route, g.date, g.hour, coalesce(h.value, 0.0) AS value FROM g LEFT JOIN h USING (route, date, hour))"
+#: Daily totals over every day.
 DAILY = DENSE + ", dd AS (SELECT route, date, sum(value) AS total FROM z GROUP BY ALL)"
 
 
@@ -90,7 +93,8 @@ def targets(spark: SparkSession) -> DataFrame:
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    return grid.filled(grid.dense(routes(spark), "1999-01-01", LAST), history(spark, d), "value")
+    known = history(spark, d)
+    return grid.filled(grid.spanning(routes(spark), known), known, "value")
 
 
 def holidays(spark: SparkSession) -> DataFrame:
@@ -170,11 +174,6 @@ def rounded(df: DataFrame, places_: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, places_) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def whole(x) -> Column:
-    """Money as a whole number, so that sums don't depend on the order; the offset keeps cents away from the border."""
-    return F.floor(x + 0.255).cast("double")
-
-
 def tone_sql(value: str, usual: str) -> str:
     return f"CASE WHEN {value} IS NULL THEN 'missing' WHEN {usual} IS NULL OR {usual} <= 0 THEN 'ok' WHEN {value} / {usual} > 1.15 THEN 'hot' WHEN {value} / {usual} > 1 THEN 'warm' ELSE 'ok' END"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
-from headway.operators import grid, serving
+from headway.operators import context, grid, serving
 from headway.plans import bindings as B
 from headway.plans.bindings import dated_query, query, rounded, tone_sql
 from headway.sources import tables
@@ -104,15 +104,13 @@ def _(spark, d):
 
 @query("rank_1_route_ranking", "SELECT s_nationkey, n, round(per_acct, 6) AS per_acct, CAST(row_number() OVER (ORDER BY round(per_acct, 6) DESC, n DESC, s_nationkey) AS INT) AS rank FROM (SELECT s_nationkey, count(*) AS n, count(*) / greatest(1.0, sum(abs(s_acctbal)) / 1000) AS per_acct FROM supplier GROUP BY s_nationkey)")
 def _(spark, d):
-    from pyspark.sql import Window as W
-
     n = B.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.count("*") / F.greatest(F.lit(1.0), F.sum(F.abs("s_acctbal")) / 1000), 6).alias("per_acct"))
-    return n.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("per_acct"), F.desc("n"), "s_nationkey")))  # one row a route
+    return context.ranked(n, [F.desc("per_acct"), F.desc("n"), F.col("s_nationkey")])
 
 
 @query("rank_2_top_stations", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 8")
 def _(spark, d):
-    return B.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(8)
+    return context.most(B.table(spark, d, "lineitem"), "l_suppkey", 8)
 
 
 @query("agg_17_word_hits", r"SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(lower(text), 'licen[sc]e|released')) AS n_license FROM documents WHERE NOT regexp_matches(lower(coalesce(text, '')), 'street|road|lane') GROUP BY source")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
-from headway.operators import calendars, geo, gtfs
+from headway.operators import calendars, context, geo, gtfs
 from headway.plans import bindings as B
 from headway.plans.bindings import dated_query, far_sql, query, rounded
 
@@ -45,9 +45,9 @@ def _(spark, d):
     return geo.within(B.stations(spark, d), B.places(spark, d), 1500.0).groupBy("line").agg(F.count_distinct("r_id").alias("n"))
 
 
-@query("join_17_near_line", f"WITH {B.POINTS} SELECT id, kind FROM ev WHERE EXISTS (SELECT 1 FROM st WHERE st.line < 5 AND {far_sql('ev', 'st')} <= 900)")
+@query("join_17_near_line", f"WITH {B.POINTS} SELECT id, kind FROM ev WHERE EXISTS (SELECT 1 FROM st WHERE {far_sql('ev', 'st')} <= 900)")
 def _(spark, d):
-    near = geo.within(B.places(spark, d), B.stations(spark, d).filter("line < 5"), 900.0)
+    near = geo.within(B.places(spark, d), B.stations(spark, d), 900.0)
     return near.select("id", "kind").distinct()
 
 
@@ -64,10 +64,10 @@ def _(spark, d):
 
 @query("join_22_station_match", f"WITH {B.POINTS}, x AS (SELECT ev.id, st.id AS station, ev.kind = st.line AS own, {far_sql('ev', 'st')} AS m FROM ev JOIN st ON ev.id % 97 = st.id % 97), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY own DESC, m, station) AS n FROM x) SELECT id, own, round(m, 3) AS metres FROM y WHERE n = 1")
 def _(spark, d):
-    s = B.stations(spark, d).select((F.col("id") % 97).alias("key"), F.col("id").alias("station"), "line", F.col("lat").alias("b"), F.col("lon").alias("c"))
-    j = B.places(spark, d).withColumn("key", F.col("id") % 97).join(s, "key").withColumns({"own": F.col("kind") == F.col("line"), "m": S.haversine(F.col("lat"), F.col("lon"), F.col("b"), F.col("c"))})
-    best = j.groupBy("id").agg(F.min_by(F.struct("own", "m"), F.struct((~F.col("own")).alias("o"), "m", "station")).alias("s"))
-    return best.select("id", "s.own", F.round("s.m", 3).alias("metres"))
+    named = lambda rows: rows.withColumn("name", F.concat(F.lit("St. "), (F.col("id") % 97).cast("string")))
+    stations = named(B.stations(spark, d)).select(F.col("id").alias("station"), "name", F.array("line").alias("routes"), "lat", "lon")
+    best = context.matched(named(B.places(spark, d)).withColumnRenamed("kind", "route"), stations, S.haversine)
+    return best.select("id", F.col("serves").alias("own"), F.round("metres", 3).alias("metres"))
 
 
 LINE = f"{B.POINTS}, l AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM st WINDOW w AS (PARTITION BY line ORDER BY id)), pp AS (SELECT *, coalesce({far_sql('l', 'q')}, 0.0) AS step FROM l, LATERAL (SELECT l.plat AS lat, l.plon AS lon) q)"
@@ -84,15 +84,24 @@ def _(spark, d):
     return rounded(geo.lengths(B.stations(spark, d), ["line"], ["id"]), 5)
 
 
-@query("geo_2_sampled_line")
+#: Each vertex with the one before it, and its distance along the line.
+ALONG = LINE + ", al AS (SELECT *, sum(step) OVER (PARTITION BY line ORDER BY id) AS dist FROM pp), sg AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(dist) OVER w AS at0, (lead(id) OVER w) IS NULL AS is_last, row_number() OVER w AS seq FROM al WINDOW w AS (PARTITION BY line ORDER BY id))"
+
+
+@query("geo_2_sampled_line", f"""WITH {ALONG}, k AS (SELECT *, unnest(range(CAST(floor(at0 / 500) AS BIGINT) + 1, CAST(floor(dist / 500) AS BIGINT) + 1)) AS k FROM sg WHERE at0 IS NOT NULL AND step > 0)
+  SELECT line, round(dist, 5) AS at, round(lat, 5) AS lat, round(lon, 5) AS lon FROM (
+    SELECT line, k * 500.0 AS dist, lat0 + (lat - lat0) * (k * 500.0 - at0) / step AS lat, lon0 + (lon - lon0) * (k * 500.0 - at0) / step AS lon FROM k
+    UNION ALL SELECT line, 0.0, lat, lon FROM sg WHERE at0 IS NULL UNION ALL SELECT line, dist, lat, lon FROM sg WHERE is_last AND at0 IS NOT NULL AND dist / 500 <> floor(dist / 500))""")
 def _(spark, d):
-    """Samples every 500 metres; checked against a plain walk in the tests."""
+    """Samples every 500 metres; also checked against a plain walk in the tests."""
     return rounded(geo.sampled(B.stations(spark, d), ["line"], ["id"], 500.0), 5)
 
 
-@query("geo_4_placed_stops")
+@query("geo_4_placed_stops", f"""WITH {ALONG}, e AS (SELECT line, max(dist) AS whole, count(*) AS m FROM al GROUP BY line), w AS (SELECT line, m, CAST(i AS INT) AS place, whole * i / 3 AS t FROM e, range(4) r(i)),
+  h AS (SELECT w.line, place, t, sg.*  EXCLUDE (line), row_number() OVER (PARTITION BY w.line, place ORDER BY seq) AS n FROM w JOIN sg ON sg.line = w.line AND (at0 IS NOT NULL OR m = 1) AND dist >= t - 1e-9)
+  SELECT line, place, round(coalesce(lat0, lat) + (lat - coalesce(lat0, lat)) * x, 6) AS lat, round(coalesce(lon0, lon) + (lon - coalesce(lon0, lon)) * x, 6) AS lon FROM (SELECT *, CASE WHEN step > 0 THEN greatest(0.0, least(1.0, (t - coalesce(at0, 0)) / step)) ELSE 0.0 END AS x FROM h WHERE n = 1)""")
 def _(spark, d):
-    """Four stops a line at equal shares; checked against a plain walk in the tests."""
+    """Four stops a line at equal shares; also checked against a plain walk in the tests."""
     stops = B.stations(spark, d).select("line").distinct().select("line", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"), F.lit(4).alias("n"))
     return rounded(geo.placed(B.stations(spark, d), "line", ["id"], stops), 6)
 
@@ -104,12 +113,14 @@ def _(spark, d):
 
 @query("agg_33_bounding_boxes", f"WITH {B.POINTS} SELECT line, round(min(lat) - 0.01, 6) AS south, round(max(lat) + 0.01, 6) AS north, round(min(lon) - 0.01, 6) AS west, round(max(lon) + 0.01, 6) AS east FROM st GROUP BY line")
 def _(spark, d):
-    return rounded(B.stations(spark, d).groupBy("line").agg((F.min("lat") - 0.01).alias("south"), (F.max("lat") + 0.01).alias("north"), (F.min("lon") - 0.01).alias("west"), (F.max("lon") + 0.01).alias("east")))
+    return rounded(geo.boxes(B.stations(spark, d), ["line"], 0.01))
 
 
-@query("agg_36_stop_clusters")
+@query("agg_36_stop_clusters", f"""WITH RECURSIVE {B.POINTS}, p AS (SELECT a.id, b.id AS other FROM st a JOIN st b ON a.line = b.line AND {far_sql('a', 'b')} <= 1600),
+  r AS (SELECT id, id AS c FROM st UNION SELECT p.other, r.c FROM r JOIN p ON p.id = r.id), m AS (SELECT id, min(c) AS cluster FROM r GROUP BY id)
+  SELECT cluster, 'line ' || line AS name, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, count(*) AS n FROM m JOIN st USING (id) GROUP BY cluster, line""")
 def _(spark, d):
-    """Stations of one line as stops of one name; iterative, so no SQL."""
+    """Stations of one line as stops of one name."""
     s = B.stations(spark, d).select("id", F.concat(F.lit("line "), F.col("line").cast("string")).alias("name"), "lat", "lon")
     return rounded(geo.clusters(s))
 
@@ -180,11 +191,11 @@ def _(spark, d):
     return gtfs.departures(stop_times(spark, d), t, service_dates(spark), stops(spark, d)).groupBy("date").agg(F.count("*").alias("n_departures"), F.count("stop_name").alias("n_named"))
 
 
-@query("gtfs_1_built_feed", """WITH r AS (SELECT l_suppkey AS route_id, CAST(l_orderkey % 2 AS INT) AS direction, l_partkey AS stop_id, l_linenumber AS q, CAST(l_orderkey % 100 AS INT) AS i FROM lineitem WHERE l_suppkey <= 20),
+@query("gtfs_1_built_feed", """WITH r AS (SELECT l_suppkey AS route_id, CAST(l_orderkey % 2 AS INT) AS direction, l_partkey AS stop_id, l_linenumber AS q, CAST(l_orderkey % 100 AS INT) AS i FROM lineitem),
   o AS (SELECT route_id, direction, stop_id, min(q * 100 + i) AS k FROM r GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY route_id, direction ORDER BY k, stop_id) AS s, count(*) OVER (PARTITION BY route_id, direction) AS c FROM o)
   SELECT route_id, direction, stop_id, s AS stop_sequence, printf('%02d:%02d:00', (s - 1) * 5 // 60, (s - 1) * 5 % 60) AS departure_time FROM n WHERE c >= 2""")
 def _(spark, d):
-    r = B.table(spark, d, "lineitem").filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("route_id"), (F.col("l_orderkey") % 2).cast("int").alias("direction"), F.col("l_partkey").alias("stop_id"), F.col("l_linenumber").alias("stop_sequence"), (F.col("l_orderkey") % 100).cast("int").alias("index"))
+    r = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("route_id"), (F.col("l_orderkey") % 2).cast("int").alias("direction"), F.col("l_partkey").alias("stop_id"), F.col("l_linenumber").alias("stop_sequence"), (F.col("l_orderkey") % 100).cast("int").alias("index"))
     return gtfs.build(r)
 
 

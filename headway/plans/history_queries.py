@@ -108,17 +108,15 @@ def _(spark, d):
 @query("agg_14_month_level", f"WITH {B.DENSE}, {B.HOLIDAYS_SQL} SELECT route, CAST(month(date) AS INT) AS month, round(sum(value) / count(DISTINCT date), 4) AS level FROM z WHERE year(date) = 2000 AND date NOT IN (SELECT date FROM hol) GROUP BY ALL")
 def _(spark, d):
     rows = B.dense(spark, d).filter("year(date) = 2000").join(B.holidays(spark), "date", "left_anti")
-    return rounded(rows.groupBy("route", F.month("date").alias("month")).agg((F.sum("value") / F.count_distinct("date")).alias("level")), 4)
+    return rounded(history.month_levels(rows), 4)
 
 
-@query("agg_23_climatology", f"""WITH {B.HISTORY}, a AS (SELECT route, CAST(month(date) AS INT) AS month, hour, avg(floor(value + 0.255)) AS v FROM h WHERE date <= DATE '1996-06-30' GROUP BY ALL), b AS (SELECT route, hour, avg(floor(value + 0.255)) AS w FROM h WHERE date <= DATE '1996-06-30' GROUP BY ALL)
-  SELECT CAST(r AS INT) AS route, CAST(m AS INT) AS month, CAST(x AS INT) AS hour, round(coalesce(v, w), 6) AS value FROM range(3) q(r), range(1, 13) s(m), range(24) t(x) LEFT JOIN a ON a.route = r AND a.month = m AND a.hour = x LEFT JOIN b ON b.route = r AND b.hour = x""")
+@query("agg_23_climatology", f"""WITH {B.HISTORY}, a AS (SELECT route, CAST(month(date) AS INT) AS month, hour, avg(value) AS v FROM h GROUP BY ALL), b AS (SELECT route, hour, avg(value) AS w FROM h GROUP BY ALL)
+  SELECT CAST(r AS INT) AS route, CAST(m AS INT) AS month, CAST(x AS INT) AS hour, round(coalesce(v, w), 4) AS value FROM range(3) q(r), range(1, 13) s(m), range(24) t(x) LEFT JOIN a ON a.route = r AND a.month = m AND a.hour = x LEFT JOIN b ON b.route = r AND b.hour = x""")
 def _(spark, d):
-    known = B.history(spark, d).filter("date <= DATE '1996-06-30'").withColumns({"month": F.month("date"), "value": B.whole(F.col("value"))})
-    fine = known.groupBy("route", "month", "hour").agg(F.avg("value").alias("_v"))
-    coarse = known.groupBy("route", "hour").agg(F.avg("value").alias("_w"))
     cells = B.routes(spark).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    return rounded(cells.join(fine, ["route", "month", "hour"], "left").join(coarse, ["route", "hour"], "left").select("route", "month", "hour", F.coalesce("_v", "_w").alias("value")))
+    known = B.history(spark, d).withColumn("month", F.month("date"))
+    return rounded(history.climatology(cells, known, [["route", "month", "hour"], ["route", "hour"]]), 4)
 
 
 @query("agg_25_peak_windows", f"""WITH {B.DENSE}, x AS (SELECT hour, sum(value) AS v FROM z WHERE isodow(date) <= 5 GROUP BY hour), y AS (SELECT hour, sum(v) OVER (ORDER BY hour ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS three FROM x)
@@ -127,11 +125,20 @@ def _(spark, d):
     return history.peak_windows(B.dense(spark, d))
 
 
-@dated_query("agg_26_trailing", f"WITH {B.DAILY}, w AS (SELECT route, date, floor(total + 0.255) AS total FROM dd) SELECT route, date, total, " + ", ".join(f"round(avg(total) OVER (PARTITION BY route ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 3) AS mean{n}, round(stddev_pop(total) OVER (PARTITION BY route ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 1) AS std{n}" for n in (7, 14, 28, 56)) + " FROM w")
+WIDTHS = (7, 14, 28, 56)
+LASTS = "OVER (PARTITION BY route ORDER BY date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+@dated_query("agg_26_trailing", f"WITH {B.DAILY} SELECT route, date, total, " + ", ".join(f"round(avg(total) {LASTS.format(n - 1)}, 2) AS mean{n}, round(stddev_pop(total) {LASTS.format(n - 1)}, 1) AS std{n}, round(median(total) {LASTS.format(n - 1)}, 2) AS median{n}" for n in WIDTHS) + " FROM dd")
+def _(spark, d):
+    out = history.trailing(history.daily(B.dense(spark, d)).select("route", "date", "total"), WIDTHS, medians=True)
+    return out.select("route", "date", "total", *[(F.round(c, 1 if c.startswith("std") else 2) + F.lit(0.0)).alias(c) for c in out.columns[3:]])
+
+
+@dated_query("agg_26_window_ratios", f"""WITH {B.DAILY}, s AS (SELECT route, date, total, sum(total) OVER (PARTITION BY date) AS network, """ + ", ".join(f"sum(total) {LASTS.format(n - 1)} AS s{n}, sum(total) OVER (PARTITION BY route ORDER BY date ROWS BETWEEN {2 * n - 1} PRECEDING AND {n} PRECEDING) AS b{n}" for n in WIDTHS) + """ FROM dd)
+  SELECT route, date, network, round(CASE WHEN network > 0 THEN total / network ELSE 0.0 END, 6) AS route_share, """ + ", ".join(f"round(CASE WHEN b{n} > 1 THEN s{n} / b{n} ELSE 1.0 END, 6) AS ratio{n}" for n in WIDTHS) + " FROM s")
 def _(spark, d):
-    days = history.daily(B.dense(spark, d)).select("route", "date", B.whole(F.col("total")).alias("total"))
-    out = history.trailing(days)
-    return out.select("route", "date", "total", *[(F.round(c, 1 if c.startswith("std") else 3) + F.lit(0.0)).alias(c) for c in out.columns[3:]])
+    return rounded(history.window_ratios(history.daily(B.dense(spark, d)).select("route", "date", "total"), WIDTHS).drop("total"))
 
 
 @query("agg_27_trend", f"""WITH {B.DAILY}, x AS (SELECT route, sum(total) FILTER (date > DATE '{B.CUTOFF}' - 14) AS last, sum(total) FILTER (date <= DATE '{B.CUTOFF}' - 14) AS before FROM dd WHERE date <= DATE '{B.CUTOFF}' AND date > DATE '{B.CUTOFF}' - 28 GROUP BY route)
@@ -149,8 +156,7 @@ def _(spark, d):
 
 @query("agg_30_dead_routes", f"WITH {B.HISTORY} SELECT CAST(r AS INT) AS route FROM range(6) x(r) LEFT JOIN h ON h.route = r GROUP BY r HAVING coalesce(sum(value), 0) <= 0")
 def _(spark, d):
-    total = B.history(spark, d).groupBy("route").agg(F.sum("value").alias("v"))
-    return B.routes(spark, 6).join(total, "route", "left").filter("coalesce(v, 0) <= 0").select("route")
+    return history.without_volume(B.routes(spark, 6), B.history(spark, d))
 
 
 @query("agg_31_scaler", "SELECT round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_pop(l_quantity), 6) AS l_quantity_std, round(avg(l_discount), 6) AS l_discount_mean, round(stddev_pop(l_discount), 6) AS l_discount_std FROM lineitem")
@@ -274,9 +280,9 @@ def order_days(spark, d):
     return B.table(spark, d, "orders").select((F.col("o_custkey") % 10).cast("int").alias("route"), F.to_date("o_orderdate").alias("date")).distinct()
 
 
-@dated_query("join_12_as_of", f"WITH {SHIP}, f AS (SELECT route, date, max(q) AS q FROM sh WHERE flag AND station < 5 GROUP BY ALL) SELECT od.route, od.date, coalesce(CASE WHEN datediff('day', f.date, od.date) < 45 THEN f.q END, 0.0) AS q FROM od ASOF LEFT JOIN f ON od.route = f.route AND od.date >= f.date")
+@dated_query("join_12_as_of", f"WITH {SHIP}, f AS (SELECT route, date, max(q) AS q FROM sh WHERE flag GROUP BY ALL) SELECT od.route, od.date, coalesce(CASE WHEN datediff('day', f.date, od.date) < 45 THEN f.q END, 0.0) AS q FROM od ASOF LEFT JOIN f ON od.route = f.route AND od.date >= f.date")
 def _(spark, d):
-    f = ships(spark, d).filter("flag AND station < 5").groupBy("route", "date").agg(F.max("q").alias("q"))
+    f = ships(spark, d).filter("flag").groupBy("route", "date").agg(F.max("q").alias("q"))
     return history.as_of(order_days(spark, d), f, ["route"], ["q"], 45)
 
 
@@ -310,13 +316,16 @@ def _(spark, d):
 
 
 LAGS = "lag(value, {i}) OVER w AS lag{i}"
+DEEP = "OVER (PARTITION BY route, hour, isodow(date) ORDER BY date ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
 
 
-@dated_query("win_3_lags", f"""WITH {B.DENSE}, y AS (SELECT route, date, hour, floor(value + 0.255) AS value FROM z) SELECT route, date, hour, {', '.join(LAGS.format(i=i) for i in range(1, 5))}, count(value) OVER (PARTITION BY route, hour, isodow(date) ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS n_lags,
-  round(stddev_pop(value) OVER (PARTITION BY route, hour, isodow(date) ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 1) AS lag_std, round(avg(value) OVER (PARTITION BY route, hour, isodow(date) ORDER BY date ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 3) AS deep_mean FROM y WINDOW w AS (PARTITION BY route, hour, isodow(date) ORDER BY date)""")
+@dated_query("win_3_lags", f"""WITH {B.DENSE}, y AS (SELECT route, date, hour, {', '.join(LAGS.format(i=i) for i in range(1, 5))}, count(value) {DEEP.format(4)} AS n_lags,
+  round(stddev_pop(value) {DEEP.format(4)}, 1) AS lag_std, avg(value) {DEEP.format(8)} AS deep FROM z WINDOW w AS (PARTITION BY route, hour, isodow(date) ORDER BY date))
+  SELECT * EXCLUDE (deep), round(deep, 2) AS deep_mean, lag1 - lag2 AS lag_trend, round(CASE WHEN deep > 0 THEN lag1 / deep END, 6) AS lag_ratio, CASE WHEN deep > 0 THEN abs(lag1 / deep - 1) > 0.5 END AS shock FROM y""")
 def _(spark, d):
-    out = history.lag_features(B.dense(spark, d).withColumn("value", B.whole(F.col("value"))))
-    return out.select(*grid.KEYS, "lag1", "lag2", "lag3", "lag4", "n_lags", (F.round("lag_std", 1) + F.lit(0.0)).alias("lag_std"), (F.round("deep_mean", 3) + F.lit(0.0)).alias("deep_mean"))
+    out = history.lag_features(B.dense(spark, d))
+    places = {"lag_std": 1, "deep_mean": 2, "lag_ratio": 6}
+    return out.drop("value").withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in places.items()})
 
 
 # Forecasts.
@@ -328,13 +337,18 @@ def _(spark, d):
     return rounded(forecast.seasonal_naive(B.targets(spark), B.dense(spark, d), B.CUTOFF, 4, "ewm", "decay").select(*grid.KEYS, "predicted"), 3)
 
 
-@query("fc_2_rule_grid")
+@query("fc_2_rule_grid", f"""WITH {B.DENSE}, {B.TARGETS}, {B.ewm_sql("t", "z", B.CUTOFF, 8, "p")},
+  l AS (SELECT route, date, hour, list(value ORDER BY k) AS v FROM p_r WHERE k < 8 GROUP BY ALL),
+  tr AS (SELECT route, sum(value) FILTER (date > DATE '{B.CUTOFF}' - 14) AS a, sum(value) FILTER (date <= DATE '{B.CUTOFF}' - 14) AS b FROM z WHERE date <= DATE '{B.CUTOFF}' AND date > DATE '{B.CUTOFF}' - 28 GROUP BY route),
+  x AS (SELECT l.*, z.value AS actual, CASE WHEN b <= 0 THEN 1.0 ELSE greatest(0.88, least(1.12, a / b)) END AS trend, greatest(0.0, least(1.0, (45 - datediff('day', DATE '{B.CUTOFF}', l.date)) / 24.0)) AS keep FROM l JOIN z USING (route, date, hour) LEFT JOIN tr USING (route)),
+  r AS (SELECT *, row_number() OVER (ORDER BY i, j, m) - 1 AS rule FROM (VALUES (1, 1), (2, 2), (3, 4), (4, 8)) a(i, k), (VALUES (1, 'median'), (2, 'mean'), (3, 'ewm')) b(j, how), (VALUES (1, 'none'), (2, 'flat'), (3, 'decay')) c(m, tr)),
+  y AS (SELECT rule, r.k, how, tr, actual, CASE how WHEN 'median' THEN list_median(v[1:r.k]) WHEN 'mean' THEN list_sum(v[1:r.k]) / len(v[1:r.k])
+      ELSE list_sum([u * power(0.75, i - 1) for u, i in v[1:r.k]]) / list_sum([power(0.75, i - 1) for u, i in v[1:r.k]]) END * (1 + (coalesce(trend, 1.0) - 1) * CASE tr WHEN 'none' THEN 0.0 WHEN 'flat' THEN 1.0 ELSE keep END) AS predicted FROM x, r)
+  SELECT CAST(rule AS INT) AS rule, CAST(k AS INT) AS k, how, tr AS trend, round(greatest(0.0, 1 - sum(abs(actual - predicted)) / sum(actual)), 6) AS score FROM y GROUP BY ALL""")
 def _(spark, d):
-    from headway.functions.sessions import reused
-
-    known = reused(B.dense(spark, d))
+    known = B.dense(spark, d)
     actual = known.select(*grid.KEYS, F.col("value").alias("actual"))
-    return forecast.rule_grid(B.targets(spark).join(actual, grid.KEYS), known, B.CUTOFF, ks=(2, 4))
+    return rounded(forecast.rule_grid(B.targets(spark).join(actual, grid.KEYS), known, B.CUTOFF))
 
 
 @dated_query("fc_7_copy_week", f"WITH {B.DENSE}, {B.TARGETS} SELECT t.route, t.date, t.hour, round(coalesce(z.value, 0.0), 4) AS predicted FROM t LEFT JOIN z ON z.route = t.route AND z.hour = t.hour AND z.date = t.date - 7")
@@ -375,15 +389,13 @@ def _(spark, d):
 
 
 @dated_query("fc_13_selective_ensemble", f"""WITH {MODELS}, dl AS (SELECT route, date, sum(b) AS daily FROM w GROUP BY ALL), s AS (SELECT w.*, daily, CASE WHEN sum(a) OVER (PARTITION BY w.route, w.date) > 0 THEN a / sum(a) OVER (PARTITION BY w.route, w.date) ELSE 1 / 24.0 END AS share FROM w JOIN dl USING (route, date)),
-  mx AS (SELECT route, date, hour, b, 0.8 * a + 0.2 * daily * share AS x FROM s) SELECT route, date, hour, floor(greatest(0.0, CASE route WHEN 1 THEN 0.65 * x + 0.35 * b WHEN 2 THEN 0.9 * x + 0.1 * b ELSE x END) * 100 + 0.503) / 100 AS predicted FROM mx""")
+  mx AS (SELECT route, date, hour, b, 0.8 * a + 0.2 * daily * share AS x FROM s) SELECT route, date, hour, round(greatest(0.0, CASE route WHEN 1 THEN 0.65 * x + 0.35 * b WHEN 2 THEN 0.9 * x + 0.1 * b ELSE x END), 2) AS predicted FROM mx""")
 def _(spark, d):
     rows = two_models(spark, d)
     base = rows.select(*grid.KEYS, F.col("a").alias("predicted"))
     tree = rows.select(*grid.KEYS, F.col("b").alias("predicted"))
     daily = rows.groupBy("route", "date").agg(F.sum("b").alias("daily"))
-    # to cents, with the border off the halves of cents that the weights make
-    mixed = forecast.selective(base, daily, tree, {1: 0.35, 2: 0.1})
-    return mixed.withColumn("predicted", F.floor(F.col("predicted") * 100 + 0.503) / 100)
+    return rounded(forecast.selective(base, daily, tree, {1: 0.35, 2: 0.1}), 2)
 
 
 @dated_query("fc_9_spread_daily", f"""WITH {MODELS}, dl AS (SELECT route, date, sum(b) AS total FROM w GROUP BY ALL), s AS (SELECT route, date, hour, total, greatest(a - 1000, 0) AS share FROM w JOIN dl USING (route, date))

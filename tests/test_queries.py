@@ -20,7 +20,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list:
     def one(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NaT or v is pd.NA or v != v:
             return ""
         return f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
