@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.llm.common import cut, map_rows
 
 #: Words in a k-gram, and words of a shared span that is always found.
 GRAM, SPAN = 5, 10
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark takes several passes.
-AT_ONCE = 64_000_000
+#: 64-bit words of a filter at least and at most (16 MB); words whose hash a task remembers.
+LEAST, MOST, REMEMBERED = 1 << 10, 1 << 21, 400_000
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,15 +31,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k consecutive word numbers."""
-    n = len(ids) - k + 1
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each k consecutive words, from the words' hashes."""
+    n = len(words) - k + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    ids = ids.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
+    h = np.full(n, k, np.uint64)
     for i in range(k):
-        h = _mixed(h + ids[i : i + n] + np.uint64(0x632BE59BD9B4E019))
+        h = _mixed(h + words[i : i + n] + np.uint64(0x632BE59BD9B4E019))
+    return h
+
+
+def window_hashes(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """The same for the k words from each of ``starts``."""
+    h = np.full(len(starts), k, np.uint64)
+    for i in range(k):
+        h = _mixed(h + words[starts + i] + np.uint64(0x632BE59BD9B4E019))
     return h
 
 
@@ -57,112 +63,183 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return best[np.r_[True, best[1:] != best[:-1]]]
 
 
-class Index:
-    """Fingerprints and windows of the benchmark's items, over numbers of the words that occur in them."""
+class Words:
+    """64-bit hashes of words, remembered for as long as the task lives."""
 
-    def __init__(self, items: list[tuple], gram: int = GRAM, span: int = SPAN):
-        self.gram, self.span = gram, span
-        self.names = [i for i, _ in items]
+    def __init__(self):
         self.numbers: dict[str, int] = {}
-        self.windows: dict[bytes, list[int]] = {}  # the words of a window of `span` words: the items that have it
-        self.short: dict[int, dict[bytes, list[int]]] = {}  # the same of shorter items, by their length
-        found = []
-        for at, (_, text) in enumerate(items):
-            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)], np.int32)
-            if not len(ids):
-                continue
-            if len(ids) < span:
-                self.short.setdefault(len(ids), {}).setdefault(ids.tobytes(), []).append(at)
-                continue
-            hashes = gram_hashes(ids, gram)
-            found.append(hashes[winnow(hashes, span - gram + 1)])
-            for p in range(len(ids) - span + 1):
-                rows = self.windows.setdefault(ids[p : p + span].tobytes(), [])
-                if not rows or rows[-1] != at:
-                    rows.append(at)
-        self.prints = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        self.starts = {n: np.unique(np.array([np.frombuffer(w, np.int32)[0] for w in rows])) for n, rows in self.short.items()}
-
-    def hits(self, text: str | None) -> tuple[int, np.ndarray, set[int]]:
-        """The number of words, which are hit, and the items with an occurring window."""
-        words = words_of(text)
-        n, span = len(words), self.span
-        ids = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int32, n)
-        change, items = np.zeros(n + 1, np.int64), set()
-        hashes = gram_hashes(ids, self.gram)
-        at = winnow(hashes, span - self.gram + 1)
-        if len(at) and len(self.prints):
-            place = np.minimum(np.searchsorted(self.prints, hashes[at]), len(self.prints) - 1)
-            at = at[self.prints[place] == hashes[at]]
-            # extend each hit to every window of words that its k-gram lies in, and look these up word for word
-            around = np.unique((at[:, None] - np.arange(span - self.gram + 1)[None, :]).ravel())
-            for p in around[(around >= 0) & (around <= n - span)].tolist():
-                if rows := self.windows.get(ids[p : p + span].tobytes()):
-                    change[p] += 1
-                    change[p + span] -= 1
-                    items.update(rows)
-        for length, rows in self.short.items():
-            for p in np.flatnonzero(np.isin(ids[: max(0, n - length + 1)], self.starts[length])).tolist():
-                if found := rows.get(ids[p : p + length].tobytes()):
-                    change[p] += 1
-                    change[p + length] -= 1
-                    items.update(found)
-        return n, np.cumsum(change[:-1]) > 0, items
-
-
-def _spans(hit: np.ndarray) -> list[int]:
-    """Starts and ends of the runs of hit words, one after the other."""
-    return np.flatnonzero(np.diff(np.r_[False, hit, False])).tolist()
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, span: int = SPAN, at_once: int = AT_ONCE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, spans (starts and ends of runs of hit words), items (item_ids
+        self.hashes = np.zeros(1 << 12, np.uint64)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.numbers) > REMEMBERED:
+            self.numbers.clear()
+        get = self.numbers.get
+        found = list(map(get, words))
+        if None in found:
+            new = list({w for w, i in zip(words, found) if i is None})
+            first = len(self.numbers)
+            while first + len(new) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.hashes[first : first + len(new)] = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new]
+            self.numbers.update(zip(new, range(first, first + len(new))))
+            found = list(map(get, words))
+        return self.hashes[np.fromiter(found, np.int32, len(found))]
+
+
+class Filter:
+    """A set of 64-bit hashes in a table of fixed size: a hash that was put in is always found, another one seldom."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.shift = table, np.uint64(64 - (len(table).bit_length() - 1))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        one = np.uint64(1)
+        bits = one << (h & np.uint64(63)) | one << (h >> np.uint64(6) & np.uint64(63))
+        return self.table[h >> self.shift] & bits == bits
+
+
+def filter_of(hashes: DataFrame, column: str) -> Filter:
+    """The filter of a column of longs. Tasks put their rows together by place in the table, of which there are at most MOST."""
+    size = LEAST
+    while size < min(hashes.count(), MOST):
+        size *= 2
+    place = F.shiftrightunsigned(column, 64 - (size.bit_length() - 1)).cast("int")
+    bits = F.expr(f"shiftleft(1L, cast({column} & 63 AS INT)) | shiftleft(1L, cast(shiftrightunsigned({column}, 6) & 63 AS INT))")
+    rows = hashes.select(place.alias("place"), bits.alias("bits")).groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size, np.int64)
+    table[rows.column("place").to_numpy()] = rows.column("bits").to_numpy()
+    return Filter(table.view(np.uint64))
+
+
+def _second(words: list[str], starts: np.ndarray, size: int) -> np.ndarray:
+    """A second hash, independent of the first, of the windows of ``size`` words at ``starts``."""
+    known: dict[str, int] = {}
+    inside = [[known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 77)) for w in words[p : p + size]] for p in starts.tolist()]
+    h = np.full(len(starts), size, np.uint64)
+    for column in np.array(inside, np.uint64).reshape(len(starts), size).T:
+        h = _mixed(h * np.uint64(0xD1342543DE82EF95) + column)
+    return h
+
+
+def _windows(items: DataFrame, gram: int, span: int) -> DataFrame:
+    """For each text (g, text): its fingerprints, its windows' hashes and their size."""
+
+    def make():
+        hashed = Words()
+
+        def step(c):
+            out = {k: [] for k in ("g", "prints", "size", "windows")}
+            for g, text in zip(*c):
+                words = words_of(text)
+                size = min(span, len(words))
+                if size:
+                    h = hashed(words)
+                    grams = gram_hashes(h, gram)
+                    first, second = gram_hashes(h, size), _second(words, np.arange(len(words) - size + 1), size)
+                    prints = np.unique(grams[winnow(grams, span - gram + 1)]) if size == span else np.zeros(0, np.uint64)
+                    rows = [{"h1": a, "h2": b} for a, b in zip(first.view(np.int64).tolist(), second.view(np.int64).tolist())]
+                    for k, v in zip(out, (g, prints.view(np.int64).tolist(), size, rows)):
+                        out[k].append(v)
+            return out
+
+        return step
+
+    return map_rows(items, ["g", "text"], make, "g long, prints array<long>, size int, windows array<struct<h1:long,h2:long>>")
+
+
+def _candidates(docs: DataFrame, prints: Filter, windows: Filter, short: list[int], gram: int, span: int, with_span: bool) -> DataFrame:
+    """doc_id, text_md5, n_words and, as ``found``, the windows that the filters let pass: hashes, size, starts."""
+    shared = docs.sparkSession.sparkContext.broadcast((prints, windows))
+
+    def make():
+        hashed, (prints, windows) = Words(), shared.value
+
+        def spots(h):
+            """(size, starts) of the windows to be looked up."""
+            if with_span and len(h) >= span:
+                grams = gram_hashes(h, gram)
+                at = winnow(grams, span - gram + 1)
+                at = at[prints.has(grams[at])]
+                # extend each hit to every window of words that its k-gram lies in
+                around = np.unique((at[:, None] - np.arange(span - gram + 1)[None, :]).ravel())
+                around = around[(around >= 0) & (around <= len(h) - span)]
+                if len(around):
+                    yield span, around, window_hashes(h, around, span)
+            for size in short:
+                if len(h) >= size:
+                    yield size, np.arange(len(h) - size + 1), gram_hashes(h, size)
+
+        def step(c):
+            out = {"doc_id": c[0], "text_md5": c[1], "n_words": [], "found": []}
+            for text in c[2]:
+                words, found = words_of(text), {}
+                for size, starts, first in spots(hashed(words)):
+                    here = np.flatnonzero(windows.has(first))
+                    if len(here):
+                        second = _second(words, starts[here], size).view(np.int64).tolist()
+                        for a, b, p in zip(first[here].view(np.int64).tolist(), second, starts[here].tolist()):
+                            found.setdefault((a, b, size), []).append(p)
+                out["n_words"].append(len(words))
+                out["found"].append([{"h1": a, "h2": b, "size": n, "starts": p} for (a, b, n), p in found.items()])
+            return out
+
+        return step
+
+    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "text")
+    return map_rows(rows, ["doc_id", "text_md5", "text"], make, "doc_id long, text_md5 string, n_words long, found array<struct<h1:long,h2:long,size:int,starts:array<int>>>")
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """(row, spans): starts and ends of the runs of words that the hits (size, starts) cover."""
+
+    def step(c):
+        spans = []
+        for found in c[1]:
+            start = np.concatenate([np.array(x["starts"], np.int64) for x in found])
+            end = start + np.repeat([x["size"] for x in found], [len(x["starts"]) for x in found])
+            order = np.argsort(start, kind="stable")
+            start, reach = start[order], np.maximum.accumulate(end[order])
+            first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+            spans.append(np.stack([start[first], reach[np.r_[first[1:] - 1, len(start) - 1]]], 1).ravel().tolist())
+        return {"row": c[0], "spans": spans}
+
+    return map_rows(hits, ["row", "hits"], lambda: step, "row long, spans array<int>")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, span: int = SPAN) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_md5, n_words, n_hit, spans (starts and ends of runs of hit words), items (item_ids
     as strings, sorted).
 
     A word is hit if it lies in an occurrence of ``span`` consecutive words of an item, or of a whole shorter item.
     Both sides are winnowed: of each window of k-gram hashes the least is kept, so that a shared span of ``span``
-    words shares a fingerprint. The items' fingerprints are joined to the documents' in each task (the benchmark is broadcast, after a look at
-    its size), and each hit is extended over the windows of words it lies in, which are compared word for word.
-    A benchmark of more than ``at_once`` bytes is dealt into parts of about that size, one pass over the documents for
-    each, whose outcome is written to the shared folder; so every item meets every document with bounded memory.
-
-    Null and empty texts have no words and no hits; items without words never occur. Repeated rows repeat in the result. Items that
+    words shares a fingerprint. The items' fingerprints and windows go out as two filters of bounded size, however large the benchmark is.
+    A document's fingerprint that its filter knows is extended to the windows of words it lies in, and those that
+    their filter knows become rows, one for each document and distinct window, which meet the items' windows in a join by two
+    independent 64-bit hashes. So filters only spare work: a full one lets more rows into the join, which decides.
+    Items of equal text are one, and equal sets of items are named once, so neither copies of items nor of documents make pairs.
+
+    Null and empty texts have no words and no hits; items without words never occur. Repeated rows repeat in the result; ``text_md5``
+    (a null text as empty) tells rows that share an id apart. Items that
     repeat an item_id count once; a null item_id is left out of ``items`` but its words are hit. Empty tables are allowed on both sides.
     """
-    items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // at_once) or 1
-    state = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for part in range(parts):
-        mine = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in mine.collect()], gram, span))
-        last = part == parts - 1
-
-        def make(index=index, last=last):
-            table = index.value
-
-            def step(c):
-                out = {k: [] for k in ("doc_id", "text", "n_words", "spans", "items")}
-                for doc_id, text, _, spans, names in zip(*c):
-                    n, hit, found = table.hits(text)
-                    for a, b in zip(spans[::2], spans[1::2]):
-                        hit[a:b] = True
-                    names = {*names, *(str(table.names[i]) for i in found if table.names[i] is not None)}
-                    for k, v in zip(out, (doc_id, None if last else text, n, _spans(hit), sorted(names))):
-                        out[k].append(v)
-                return out
-
-            return step
-
-        state = map_rows(state, ["doc_id", "text", "n_words", "spans", "items"], make, "doc_id long, text string, n_words long, spans array<int>, items array<string>")
-        state = state if last else cut(state)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # ends minus starts, as the signs alternate
-    return state.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
-
-
-def digest(items: list[str]) -> str:
-    """The lowercase hex SHA-256 of the ids, comma-joined."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    texts = benchmark.filter("text IS NOT NULL").groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    texts = cut(texts).withColumn("g", F.monotonically_increasing_id())  # numbered after the cut, so they stay what they are
+    made = cut(_windows(texts, gram, span))
+    each = made.select("g", "size", F.explode("windows").alias("w")).select("g", "size", "w.*")
+    windows = cut(each.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("g")).alias("gs")).withColumn("named", F.md5(F.to_json(F.struct("gs")))))
+    sizes = sorted(r["size"] for r in made.select("size").distinct().collect())  # at most `span`
+    prints = filter_of(made.select(F.explode("prints").alias("h1")).distinct(), "h1")
+    seen = cut(_candidates(docs, prints, filter_of(windows.select("h1"), "h1"), [n for n in sizes if n < span], gram, span, span in sizes))
+    rows = seen.withColumn("row", F.monotonically_increasing_id())
+    hits = rows.filter(F.size("found") > 0).select("row", F.explode("found").alias("w")).select("row", "w.*").join(windows.select("h1", "h2", "named"), ["h1", "h2"])
+    hits = cut(hits.groupBy("row").agg(F.collect_list(F.struct("size", "starts")).alias("hits"), F.collect_set("named").alias("sets")))
+    flat: Column = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids"))))
+    sets = windows.select("named", "gs").distinct().select("named", F.explode("gs").alias("g")).join(texts.select("g", "ids"), "g").groupBy("named").agg(flat.alias("ids"))
+    items = hits.select("row", F.explode("sets").alias("named")).join(sets, "named").groupBy("row").agg(flat.alias("items"))
+    out = rows.select("row", "doc_id", "text_md5", "n_words").join(_merged(hits), "row", "left").join(items, "row", "left")
+    spans = F.coalesce("spans", F.array().cast("array<int>"))
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: x - a)  # ends minus starts, as the signs alternate
+    return out.select("doc_id", "text_md5", "n_words", hit.alias("n_hit"), spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 SQL = r"""
