@@ -56,58 +56,73 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation from rows (conv_id, turn, role, parts): conv_id, formatted, mask, attachments, expanded_tokens.
 
     Turns are ordered by turn, then role, then content, so repeated rows and ties give one result; null turns come
-    first. ``mask`` lists (start, length) in code points of ``formatted`` for each assistant turn's content, which are the characters
-    that bear loss. ``attachments`` lists every attachment in order with the turn's position, its kind, its reference
+    first. ``mask`` lists (start, length) in code points of ``formatted`` for each text part of an assistant's turn, which are the characters
+    that bear loss; placeholders bear none. ``attachments`` lists every attachment in order with the turn's position, its kind, its reference
     and its expanded tokens; the n-th is the n-th placeholder. A null role is an empty role; null parts are no content. A null conv_id is a
     conversation of its own. An empty table gives no rows. A conversation is one training example, so its turns meet in
     one row; conversations don't meet.
     """
+    parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
     flat = turns.select(
         "conv_id",
         F.struct(
             "turn",
             F.coalesce("role", F.lit("")).alias("role"),
-            F.array_join(F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), visit), "").alias("body"),
-            F.transform(
-                F.filter(F.coalesce("parts", F.array().cast(f"array<{PART}>")), lambda p: ~p["kind"].eqNullSafe("text")),
-                lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")),
-            ).alias("attached"),
+            F.transform(parts, lambda p: F.struct(visit(p).alias("body"), p["kind"].eqNullSafe("text").alias("is_text"))).alias("pieces"),
+            F.transform(F.filter(parts, lambda p: ~p["kind"].eqNullSafe("text")), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))).alias("attached"),
         ).alias("t"),
     )
     chats = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    heads = F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")))
-    chats = chats.withColumn("heads", heads).withColumn("bodies", F.col("turns.body"))
-    # the lengths before each turn's content, as a running sum over the turns
-    sizes = F.transform("turns", lambda t, i: F.struct(F.length(F.get("heads", i)).alias("head"), F.length(t["body"]).alias("body"), (t["role"] == "assistant").alias("loss")))
+    # every string of the output in order, with whether it bears loss
+    strings = F.flatten(
+        F.transform(
+            "turns",
+            lambda t: F.concat(
+                F.array(F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("body"), F.lit(False).alias("loss"))),
+                F.transform(t["pieces"], lambda p: F.struct(p["body"].alias("body"), (p["is_text"] & (t["role"] == "assistant")).alias("loss"))),
+                F.array(F.struct(F.lit(END + "\n").alias("body"), F.lit(False).alias("loss"))),
+            ),
+        )
+    )
+    chats = chats.withColumn("strings", strings)
     spans = F.aggregate(
-        sizes,
+        "strings",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda a, s: F.struct(
-            (a["at"] + s["head"] + s["body"] + len(END) + 1).alias("at"),
-            F.when(s["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + s["head"]).alias("start"), s["body"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
+            (a["at"] + F.length(s["body"])).alias("at"),
+            F.when(s["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(s["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
         ),
     )["spans"]
     attached = F.flatten(F.transform("turns", lambda t, i: F.transform(t["attached"], lambda p: F.struct(i.alias("position"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))))
     return chats.select(
         "conv_id",
-        F.array_join(F.zip_with("heads", "bodies", lambda h, b: F.concat(h, b, F.lit(END + "\n"))), "").alias("formatted"),
+        F.array_join(F.transform("strings", lambda s: s["body"]), "").alias("formatted"),
         spans.alias("mask"),
         attached.alias("attachments"),
         F.coalesce(F.aggregate(attached, F.lit(0).cast("long"), lambda n, p: n + p["tokens"]), F.lit(0)).alias("expanded_tokens"),
     )
 
 
+#: A placeholder of an attachment; an escaped text has none.
+_PLACE = r"<\|([a-z]+)\|>"
+
+
+def read_parts(body: Column) -> Column:
+    """The parts of a turn's content as (kind, text): texts unescaped, attachments with a null text. Neighbouring texts are one, and empty ones are none."""
+    kinds = F.regexp_extract_all(body, F.lit(_PLACE), 1)
+    both = F.transform(
+        F.split(body, _PLACE, -1),
+        lambda x, i: F.array(F.struct(F.lit("text").alias("kind"), unescape(x).alias("text")), F.struct(F.get(kinds, i).alias("kind"), F.lit(None).cast("string").alias("text"))),
+    )
+    return F.filter(F.flatten(both), lambda p: F.when(p["kind"] == "text", p["text"] != "").otherwise(p["kind"].isNotNull()))
+
+
 def read_turns(formatted: Column) -> Column:
-    """The turns in a formatted string, as an array of (role, text), both unescaped."""
+    """The turns in a formatted string, as an array of (role, text, parts), unescaped; ``text`` joins the text parts."""
     ends = F.split(formatted, r"<\|im_end\|>\n", -1)
     bodies = F.filter(F.transform(ends, lambda x: F.struct(F.substring_index(x, "\n", 1).alias("head"), x.alias("all"))), lambda s: s["all"] != "")
-    return F.transform(
-        bodies,
-        lambda s: F.struct(
-            unescape_role(F.substr(s["head"], F.lit(len(START) + 1))).alias("role"),
-            unescape(F.substr(s["all"], F.length(s["head"]) + 2)).alias("text"),
-        ),
-    )
+    read = F.transform(bodies, lambda s: F.struct(unescape_role(F.substr(s["head"], F.lit(len(START) + 1))).alias("role"), read_parts(F.substr(s["all"], F.length(s["head"]) + 2)).alias("parts")))
+    return F.transform(read, lambda t: F.struct(t["role"].alias("role"), F.array_join(F.transform(t["parts"], lambda p: p["text"]), "").alias("text"), t["parts"].alias("parts")))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
@@ -119,11 +134,18 @@ SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+typed AS (SELECT *, CASE turn % 4 WHEN 1 THEN 'image' WHEN 2 THEN 'audio' WHEN 3 THEN 'document' END AS kind, 1 + turn % 3 AS units FROM turns),
+chats AS (
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
-FROM turns GROUP BY conv_id
+       CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars,
+       CAST(count(kind) AS BIGINT) AS n_attachments,
+       CAST(coalesce(sum(units * CASE kind WHEN 'image' THEN 256 WHEN 'audio' THEN 25 ELSE 512 END) FILTER (kind IS NOT NULL), 0) AS BIGINT) AS expanded_tokens,
+       sha256(coalesce(string_agg(kind || ':' || turn, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (kind IS NOT NULL), '')) AS refs_sha256,
+       CAST(coalesce(sum(4 + length(kind)), 0) AS BIGINT) AS placeholder_chars
+FROM typed GROUP BY conv_id)
+SELECT * EXCLUDE (placeholder_chars), formatted_chars + placeholder_chars AS typed_chars, loss_sha256 AS typed_loss_sha256, turns_sha256 AS typed_turns_sha256 FROM chats
 """

@@ -37,15 +37,36 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.union(spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string"))
-    chats = chat.format_chats(rows.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
-    read = chats.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("mask")), "").alias("loss"))
-    return read.select(
+    # each conversation twice: as it is, and with an attachment before or behind most turns' texts
+    turn = F.col("turn")
+    kind = F.when(turn % 4 == 1, "image").when(turn % 4 == 2, "audio").when(turn % 4 == 3, "document")
+    attached = F.array(F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("text"), F.concat(kind, F.lit(":"), turn.cast("string")).alias("ref"), (1 + turn % 3).cast("int").alias("units")))
+    text = chat.text_parts(F.col("text"))
+    parts = F.when(kind.isNull(), text).when(turn % 8 < 4, F.concat(text, attached)).otherwise(F.concat(attached, text))
+    both = F.array(F.struct(F.lit(False).alias("typed"), text.alias("parts")), F.struct(F.lit(True).alias("typed"), parts.alias("parts")))
+    rows = rows.select("conv_id", "turn", "role", F.explode(both).alias("x")).select(F.struct("conv_id", "x.typed").alias("conv_id"), "turn", "role", "x.parts")
+    chats = chat.format_chats(rows)
+    read = chats.select("conv_id.*", "formatted", "attachments", "expanded_tokens", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("mask")), "").alias("loss"))
+    digests = read.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "typed",
+        F.struct(
+            F.size("turns").cast("long").alias("n_turns"),
+            F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+            F.length("loss").cast("long").alias("loss_chars"),
+            F.sha2("loss", 256).alias("loss_sha256"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
+            F.aggregate("turns", F.lit(0), lambda n, t: n + F.size(F.filter(t["parts"], lambda p: p["kind"] != "text"))).cast("long").alias("n_attachments"),
+            "expanded_tokens",
+            F.sha2(F.array_join(F.transform("attachments", lambda a: a["ref"]), ","), 256).alias("refs_sha256"),
+        ).alias("d"),
+    )
+    one = digests.groupBy("conv_id").agg(F.max_by("d", ~F.col("typed")).alias("d"), F.max_by("d", "typed").alias("t"))
+    plain = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    typed = ("n_attachments", "expanded_tokens", "refs_sha256")
+    return one.select(
+        "conv_id", *[F.col(f"d.{c}") for c in plain], *[F.col(f"t.{c}") for c in typed],
+        F.col("t.formatted_chars").alias("typed_chars"), F.col("t.loss_sha256").alias("typed_loss_sha256"), F.col("t.turns_sha256").alias("typed_turns_sha256"),
     )
 
 
