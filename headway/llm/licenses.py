@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -14,6 +13,11 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 #: Notices and leading sentences of public licences, by family, in lower case as words of a-z and 0-9.
 TEMPLATES = {
+    "agpl": (
+        "licensed under the gnu affero general public license version 3",
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license",
+        "spdx license identifier agpl 3 0 or later",
+    ),
     "apache": (
         "licensed under the apache license version 2 0",
         "you may not use this file except in compliance with the license",
@@ -50,6 +54,11 @@ TEMPLATES = {
         "released under the gnu gpl version 3",
         "spdx license identifier gpl 3 0 or later",
     ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "licensed under the isc license",
+        "spdx license identifier isc",
+    ),
     "lgpl": (
         "this library is licensed under the gnu lesser general public license version 3",
         "under the terms of the gnu lesser general public license",
@@ -65,6 +74,10 @@ TEMPLATES = {
         "this source code form is subject to the terms of the mozilla public license v 2 0",
         "licensed under the mozilla public license version 2 0",
     ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain",
+        "released under the unlicense",
+    ),
 }
 #: Sentences near to the subject that grant nothing.
 OTHERS = (
@@ -78,12 +91,17 @@ OTHERS = (
     "the work is subject to change without notice",
     "copyright law differs between countries",
     "the film was released under the title of the book",
+    "permission to use the hall is granted by the council for any purpose",
+    "the software is distributed free of charge to any person who asks for it",
+    "the song was released into the public domain last year",
+    "you may not use this file after the date of the notice",
+    "the general public may redistribute the leaflet without any fee",
 )
 #: Rows of the corpus that stand for no licence, at most about; grams in a row; rows of the calibration fold, one in so many.
 NEGATIVES, FOLD = 2000, 4
 #: Least calibrated probability; share of a template's pairs of words that must occur; passes and L1 strength of the fit.
 CERTAIN, COVERED, PASSES, STRENGTH = 0.5, 0.7, 40, 0.0005
-TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
+TEMPERATURES = tuple(2 ** (k / 2) for k in range(-8, 7))
 
 
 def _grams(words: list[str]) -> list[str]:
@@ -216,7 +234,8 @@ def _training_rows(spark: SparkSession, docs: DataFrame, negatives: int) -> Data
         for text in texts:
             words = text.split()
             cuts = {(0, len(words))} | {(a, a + n) for n in (len(words) * 3 // 4, len(words) - 1) for a in range(len(words) - n + 1) if n >= 5}
-            made += [(float(label), words[a:b], 1 + i % (FOLD - 1) if (a, b) != (0, len(words)) else i % FOLD) for i, (a, b) in enumerate(sorted(cuts))]
+            # whole ones are always learned; of the parts, one in FOLD is kept for the calibration
+            made += [(float(label), words[a:b], 1 if (a, b) == (0, len(words)) else i % FOLD) for i, (a, b) in enumerate(sorted(cuts))]
     share = min(1.0, negatives / max(1, docs.count()))
     taken = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     lines = taken.select("doc_id", paragraphs(F.col("text")).alias("all")).filter(F.size("all") > 0)
@@ -238,7 +257,7 @@ def learn(docs: DataFrame, negatives: int = NEGATIVES, passes: int = PASSES, str
     known = rows.collect()  # about as many rows as there are parts of templates
     rows = spark.createDataFrame(known, rows.schema).coalesce(1)
     counted = CountVectorizerModel.from_vocabulary(VOCABULARY, inputCol="grams", outputCol="features").setBinary(True).transform(rows)
-    fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=strength, maxIter=passes, standardization=False, weightCol="weight").fit(counted.filter("fold > 0 OR label > 0"))
+    fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=strength, maxIter=passes, standardization=False, weightCol="weight").fit(counted.filter("fold > 0"))
     table = fitted.coefficientMatrix.toArray()
     weights = [{VOCABULARY[i]: float(table[k, i]) for i in table[k].nonzero()[0]} for k in range(table.shape[0])]
     model = Model([UNKNOWN, *TEMPLATES], [float(x) for x in fitted.interceptVector], weights, 1.0)
@@ -306,7 +325,3 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """Learn from the templates and a bounded sample of the corpus, and scan all rows."""
     return scan(docs, learn(docs))
 
-
-def words_of(text: str) -> list[str]:
-    """A paragraph's words, for tests."""
-    return re.findall("[a-z0-9]+", text.lower())
