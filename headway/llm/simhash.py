@@ -40,12 +40,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, print) for each row."""
+    """(doc_id, text_md5, print) for each row."""
 
     def make():
-        return lambda c: {"doc_id": c[0], "print": [fingerprint(t, shingle) for t in c[1]]}
+        return lambda c: {"doc_id": c[0], "text_md5": c[1], "print": [fingerprint(t, shingle) for t in c[2]]}
 
-    return map_rows(docs, ["doc_id", "text"], make, "doc_id long, print long")
+    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "text")
+    return map_rows(rows, ["doc_id", "text_md5", "text"], make, "doc_id long, text_md5 string, print long")
 
 
 def near(prints: np.ndarray, part: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +137,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK, per_k
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK, per_key: int = PER_KEY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links).
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links),
+    text_md5 (a null text as empty; it tells rows that share an id apart), root (the component's least fingerprint as a number).
 
     Equal fingerprints are one node, however many rows share it. A text without words, null or empty, has fingerprint 0
     and links like any other. A row with a null doc_id is linked too; its component's id is the least id that isn't null,
@@ -147,5 +149,5 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     roots = components(links(nodes.select("print"), distance, block, per_key))
     rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = cut(rooted.join(least, "root").select("print", "component_id"))
-    return prints.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    named = cut(rooted.join(least, "root").select("print", "component_id", "root"))
+    return prints.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "text_md5", "root")
