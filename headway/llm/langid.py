@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headway.llm.common import map_rows
 
 #: Dimensions; seed of the letters' vectors; labelled rows of a language that are learned from, about, at most.
 DIMENSIONS, SEED, PER_LANGUAGE = 1024, 9, 20_000
-#: Characters and documents compared at once.
-CHARACTERS, DOCUMENTS = 1 << 19, 256
+#: Labels that are learned at most, the most frequent ones: with PER_LANGUAGE it bounds the sample.
+LANGUAGES = 1000
+#: Characters, documents and trigrams handled at once.
+CHARACTERS, DOCUMENTS, SLICE = 1 << 19, 256, 4096
 UNKNOWN = "und"
 
 _SPACE, _BREAK = 32, 0
@@ -42,8 +47,8 @@ def _vector(letter: int, dimensions: int) -> np.ndarray:
     return np.random.default_rng([SEED, letter]).integers(0, 2, dimensions).astype(np.int8) * 2 - 1
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The alphabet (letters, ascending), the distinct trigrams as three places in it, and counts by text and trigram.
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The alphabet (letters, ascending), the distinct trigrams as three places in it, and of each occurrence its trigram and its text.
 
     Runs of other characters are one space, and a text begins and ends with one.
     """
@@ -57,7 +62,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = len(alphabet)
     middle = np.flatnonzero(a[1:-1] != _BREAK) + 1
     codes = (place[middle - 1].astype(np.int64) * k + place[middle]) * k + place[middle + 1]
-    if k**3 <= 1 << 24:
+    if k**3 <= 1 << 22:
         seen = np.zeros(k**3, bool)
         seen[codes] = True
         distinct = np.flatnonzero(seen)
@@ -66,19 +71,33 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         which = at[codes]
     else:
         distinct, which = np.unique(codes, return_inverse=True)
-    counts = np.bincount(text[middle] * len(distinct) + which, minlength=len(texts) * len(distinct)).reshape(len(texts), -1)
-    return alphabet, np.stack([distinct // (k * k), distinct // k % k, distinct % k]), counts
+    return alphabet, np.stack([distinct // (k * k), distinct // k % k, distinct % k]), which, text[middle]
 
 
-def profiles(texts: list[str], dimensions: int) -> np.ndarray:
-    """Each text's vector: the sum of its trigrams' vectors, of which each binds its letters' vectors, the first shifted by
-    two, the second by one."""
-    alphabet, grams, counts = trigrams(texts)
-    if not counts.size:
-        return np.zeros((len(texts), dimensions), np.float32)
+def bundled(texts: list[str], dimensions: int) -> np.ndarray:
+    """The sum of each text's trigrams' vectors, of which each binds its letters' vectors, the first shifted by two, the second by
+    one. Trigrams are bundled SLICE at a time, so memory doesn't grow with their number."""
+    alphabet, grams, which, text = trigrams(texts)
+    out = np.zeros((len(texts), dimensions), np.float32)
+    if not len(which):
+        return out
     letters = np.stack([_vector(int(x), dimensions) for x in alphabet])
-    bound = np.roll(letters, 2, 1)[grams[0]] * np.roll(letters, 1, 1)[grams[1]] * letters[grams[2]]
-    return counts.astype(np.float32) @ bound.astype(np.float32)
+    second, first = np.roll(letters, 1, 1), np.roll(letters, 2, 1)
+    for at in range(0, grams.shape[1], SLICE):
+        a, b, c = grams[:, at : at + SLICE]
+        here = slice(None) if grams.shape[1] <= SLICE else np.flatnonzero((which >= at) & (which < at + SLICE))
+        counts = np.bincount(text[here] * len(a) + which[here] - at, minlength=len(texts) * len(a)).reshape(len(texts), -1)
+        out += counts.astype(np.float32) @ (first[a] * second[b] * letters[c]).astype(np.float32)
+    return out
+
+
+def profiles(texts: list[str], dimensions: int) -> np.ndarray:
+    """Each text's vector; a text of more than CHARACTERS is the sum of pieces of so many, so no text takes more memory than these."""
+    pieces = [(i, t[p : p + CHARACTERS]) for i, t in enumerate(texts) for p in range(0, max(1, len(t)), CHARACTERS)]
+    out = np.zeros((len(texts), dimensions), np.float32)
+    for a, b in groups([t for _, t in pieces]):
+        np.add.at(out, [i for i, _ in pieces[a:b]], bundled([t for _, t in pieces[a:b]], dimensions))
+    return out
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -87,7 +106,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def groups(texts: list[str]):
-    """Ranges of texts to handle at once."""
+    """Ranges of texts to handle at once; a range has a text more than CHARACTERS need at most."""
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -98,20 +117,21 @@ def groups(texts: list[str]):
         yield at, len(texts)
 
 
-def learn(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages in order, and the prototype of each: the sum of its texts' profiles, each scaled to length one.
 
-    Of a language with more than ``per_language`` rows about so many are taken, by a hash of the id. Each task adds up its own
+    Of a language with more than ``per_language`` rows about so many are taken, by a hash of the id, and of more than ``languages`` labels the most
+    frequent, ties by name; these bound the sample. Each task adds up its own
     rows, so the rows that are added after it are one a task and language, however frequent a language is.
     """
     known = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in known.groupBy("lang").count().collect()}
-    names = sorted(share)
+    share = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    share = docs.sparkSession.createDataFrame(share.collect(), "lang string, count long")
+    names = sorted(r["lang"] for r in share.collect())
     if not names:
         return [], np.zeros((0, dimensions), np.float32)
-    taken = F.lit(False)
-    for name, part in share.items():
-        taken = taken | (F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("count") < (1 << 20) * per_language
+    taken = known.join(F.broadcast(share), "lang").filter(drawn)  # a row a label, at most `languages`
 
     def make():
         def step(c):
@@ -125,7 +145,7 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER
 
         return step
 
-    parts = map_rows(known.filter(taken), ["text", "lang"], make, "lang string, vector array<long>")
+    parts = map_rows(taken, ["text", "lang"], make, "lang string, vector array<long>")
     sums = parts.select("lang", F.posexplode("vector").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
     table = np.zeros((len(names), dimensions))
     for r in sums:
@@ -133,10 +153,10 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER
     return names, unit(table).astype(np.float32)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
+def marked(docs: DataFrame, model: tuple[list[str], np.ndarray], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The rows of ``docs``, whole, with the language found and its score as two more columns, whose names ``docs`` must not have.
 
-    ``lang_pred`` is the language whose prototype has the greatest cosine with the text's profile, the first by name of equal ones, and ``score`` that cosine,
+    The language is the one whose prototype has the greatest cosine with the text's profile, the first by name of equal ones, and the score that cosine,
     or 0 if negative. A text that is null or has no letter is ``und`` with score 0, and so is every text if no
     language was learned. Only the text is read for it. Repeated rows repeat; an empty table gives no rows.
     """
@@ -144,25 +164,30 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     dimensions = table.shape[1]
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def make():
-        def step(c):
-            texts = [t or "" for t in c[1]]
-            languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            letters = [any(x.isalpha() for x in t) for t in texts]
-            for a, b in groups(texts) if names else ():
-                cosine = unit(profiles(texts[a:b], dimensions)) @ shared.value.T
-                best = cosine.argmax(1)
-                for i, k in enumerate(best.tolist()):
-                    if letters[a + i]:
-                        languages[a + i], scores[a + i] = names[k], float(min(1, max(0, cosine[i, k])))
-            return {"doc_id": c[0], "held_out": c[2], "lang_pred": languages, "score": scores}
+    def found(texts: list[str]) -> tuple[list[str], list[float]]:
+        languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        letters = [any(x.isalpha() for x in t) for t in texts]
+        for a, b in groups(texts) if names else ():
+            cosine = unit(profiles(texts[a:b], dimensions)) @ shared.value.T
+            for i, k in enumerate(cosine.argmax(1).tolist()):
+                if letters[a + i]:
+                    languages[a + i], scores[a + i] = names[k], float(min(1, max(0, cosine[i, k])))
+        return languages, scores
 
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            languages, scores = found([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
-    rows = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
-    return map_rows(rows, ["doc_id", "text", "held_out"], make, "doc_id long, held_out boolean, lang_pred string, score double")
+
+def learned(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+    """What the rows that aren't held out teach."""
+    return learn(docs.filter(~is_held_out(F.col("doc_id"))), dimensions, per_language)
 
 
 def language_id(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Learn from the rows that aren't held out, and identify all."""
-    return identify(docs, learn(docs.filter(~is_held_out(F.col("doc_id"))), dimensions, per_language))
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score. Learns from the rows that aren't held out, and marks all."""
+    rows = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
+    return marked(rows, learned(docs, dimensions, per_language)).drop("text")
