@@ -126,6 +126,35 @@ def decode_file(data: bytes) -> tuple[list, list[np.ndarray]]:
     return [int(x) if k else None for x, k in zip(names, known)], np.split(ids, np.cumsum(sizes)[:-1]) if docs else []
 
 
+def decode_range(data: bytes, first: int, last: int) -> np.ndarray:
+    """The file's ids from ``first`` to before ``last``: only the blocks that hold them are read, found by the index."""
+    docs, count, blocks = (int(np.frombuffer(data, k, 1, o)[0]) for k, o in (("<u4", 4), ("<u8", 8), ("<u4", 16)))
+    first, last = max(0, first), min(last, count)
+    if first >= last:
+        return np.zeros(0, np.int64)
+    at = 20 + 17 * docs
+    a, b = first // BLOCK, -(-last // BLOCK)
+    index = np.frombuffer(data, "<u8", b - a + 1, at + 8 * a)
+    start = at + 8 * (blocks + 1)
+    found = decode_blocks(index - index[0], data[start + int(index[0]) : start + int(index[-1])], (b - a) * BLOCK)
+    return found[first - a * BLOCK : last - a * BLOCK]
+
+
+def read_range(spark, path: str, first: int, last: int) -> DataFrame:
+    """The ids from ``first`` to before ``last`` in the order of the files at ``path``: rows (start, ids), one a file that has any of them."""
+    files = spark.read.schema("run int, before long, n_ids long, data binary").parquet(path)
+    sizes = dict(files.groupBy("run").agg(F.sum("n_ids")).collect())  # one number a run
+    starts = F.create_map(*[F.lit(x) for run in sorted(sizes) for x in (run, sum(n for r, n in sizes.items() if r < run))]) if sizes else F.lit(None).cast("map<int,long>")
+    placed = files.withColumn("start", F.element_at(starts, F.col("run")) + F.col("before"))
+    mine = placed.filter((F.col("start") < last) & (F.col("start") + F.col("n_ids") > first))
+
+    def step(c):
+        ids = [decode_range(data, first - start, last - start).tolist() for start, data in zip(*c)]
+        return {"start": [max(first, start) for start in c[0]], "ids": ids}
+
+    return map_rows(mine, ["start", "data"], lambda: step, "start long, ids array<long>")
+
+
 def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = END, share: float = SHARE, file_ids: int = FILE) -> str:
     """Write all texts' ids, each followed by ``end``, in ascending doc_id order; return the path.
 
