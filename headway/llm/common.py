@@ -2,32 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a new local one."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="headway-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there, so that no lost executor makes Spark run the plan again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from headway.functions.sessions import cut, shared_dir, shared_path  # noqa: F401  used by the operators
 
 
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list[list]], dict]], schema: str) -> DataFrame:

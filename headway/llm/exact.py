@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _RUNS, " ")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def hash128(digest: Column) -> Column:
+    """128 bits of a hexadecimal SHA-256."""
+    return F.unhex(F.substring(digest, 1, 32))
+
+
+def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = hash128) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their normalised bytes are. The first aggregation groups by (128-bit hash, text), which combines
@@ -31,7 +38,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     An empty table gives no rows; other columns are not read.
     """
     body = docs.select("doc_id", normalised(F.col("text")).alias("body"))
-    rows = body.withColumn("text_sha256", F.sha2("body", 256)).withColumn("key", F.unhex(F.substring("text_sha256", 1, 32)))
+    rows = body.withColumn("text_sha256", F.sha2("body", 256)).withColumn("key", hashed(F.col("text_sha256")))
     groups = rows.groupBy("key", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     shared = cut(
         groups.groupBy("key")
