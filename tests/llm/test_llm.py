@@ -59,6 +59,13 @@ def test_exact_edges(edge, empty):
     assert exact.exact_dedup(empty).count() == 0
 
 
+def test_exact_splits_collisions(edge):
+    """With a hash that hardly tells texts apart, comparing the texts gives the same groups."""
+    plain = sorted(map(str, exact.exact_dedup(edge).collect()))
+    for hashed in (lambda digest: F.lit(b"x"), lambda digest: F.substring(digest, 1, 1).cast("binary")):
+        assert sorted(map(str, exact.exact_dedup(edge, hashed).collect())) == plain
+
+
 def test_decontaminate_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "A b C!", 0), (2, None, 0), (None, "x y z", 0), (3, " ".join(LONG.split()[:12]), 0)], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontam.decontaminate(edge, bench).collect()}
@@ -66,8 +73,49 @@ def test_decontaminate_edges(spark, edge, empty):
     assert {(1, 0, 0, ()), (2, 0, 0, ()), (3, 3, 3, ("1",)), (4, 3, 3, ("1",)), (None, 3, 3, ()), (5, 0, 0, ())} <= got
     assert {(d, w, i) for d, w, _, i in got if d in (6, 7)} == {(6, n, ("3",)), (7, n + 1, ("3",))}
     assert decontam.decontaminate(empty, bench).count() == 0 and decontam.decontaminate(edge, bench.limit(0)).filter("n_hit > 0").count() == 0
-    parts = decontam.decontaminate(edge, bench, at_once=20)
-    assert {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in parts.collect()} == got
+
+
+def brute_hits(text, items):
+    words = decontam.words_of(text)
+    hit, found = set(), set()
+    for name, item in items:
+        other = decontam.words_of(item)
+        n = min(10, len(other))
+        windows = {tuple(other[p : p + n]) for p in range(len(other) - n + 1)} if n else set()
+        for p in range(len(words) - n + 1 if n else 0):
+            if tuple(words[p : p + n]) in windows:
+                hit.update(range(p, p + n))
+                found.add(str(name))
+    return len(words), len(hit), sorted(found)
+
+
+def test_decontaminate_is_brute_force(spark, monkeypatch):
+    """Passages shared by many documents and many items, copies of both, items shorter than a window; with full filters too."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 40, n))
+    common = word(25)
+    items = [(i, word(rng.integers(1, 60))) for i in range(30)] + [(100 + i, f"{word(5)} {common} {word(3)}") for i in range(20)] + [(200 + i, common) for i in range(20)] + [(300, "w1"), (301, "w2 w3")]
+    texts = [word(rng.integers(0, 200)) for _ in range(40)] + [f"{word(30)} {common[3:80]} {word(9)} {items[k][1]}" for k in range(40)] + [common] * 30
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    for most in (decontam.MOST, 2):
+        monkeypatch.setattr(decontam, "MOST", most)
+        monkeypatch.setattr(decontam, "LEAST", min(most, decontam.LEAST))
+        got = {r["doc_id"]: r for r in decontam.decontaminate(docs, bench).collect()}
+        assert {i: (r["n_words"], r["n_hit"], r["items"]) for i, r in got.items()} == want
+        assert all(r["n_hit"] == sum(b - a for a, b in zip(r["spans"][::2], r["spans"][1::2])) for r in got.values())
+
+
+def test_filters_are_bounded(spark):
+    """A benchmark of many times the bound still has filters of its size: 64 bits a word, MOST words."""
+    rows = spark.range(300_000).select(F.xxhash64("id").alias("h1"))
+    old = decontam.MOST
+    try:
+        decontam.MOST = 1 << 11
+        made = decontam.filter_of(rows, "h1")
+        assert made.table.nbytes == 8 << 11 and made.has(np.array([r["h1"] for r in rows.limit(1000).collect()]).view(np.uint64)).all()
+    finally:
+        decontam.MOST = old
 
 
 def brute_print(text):
@@ -125,10 +173,20 @@ def test_token_files_round_trip(spark, docs, texts, edge, empty):
         start += len(ids)
     assert {r["doc_id"]: tuple(r)[1:] for r in queries.op5_token_output(spark, DIR).collect()} == want
     rows = pfor.read_ids(spark, pfor.write_ids(edge, queries.TOKENIZER)).collect()
-    assert sorted(r["n_tokens"] for r in rows) == sorted(len(ids_of(t)) for _, t in EDGE)
+    want = sorted(((i, crc(ids_of(t))) for i, t in EDGE), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    rows = sorted(rows, key=lambda r: r["start"])
+    assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in rows) == sorted((i or 0, c) for i, c in want) and [r["doc_id"] for r in rows] == [i for i, _ in want]
+    assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows[:-1]]]).tolist()
     assert pfor.read_ids(spark, pfor.write_ids(empty, queries.TOKENIZER)).count() == 0
 
 
+def test_token_files_read_a_range(spark, docs, texts):
+    path = pfor.write_ids(docs, queries.TOKENIZER, file_ids=20_000)
+    whole = [x for i in sorted(texts) for x in ids_of(texts[i])]
+    for first, last in ((0, 5), (19_990, 60_100), (len(whole) - 3, len(whole) + 9), (7, 7)):
+        assert [x for r in pfor.read_range(spark, path, first, last).orderBy("start").collect() for x in r["ids"]] == whole[first:last]
+
+
 @pytest.mark.parametrize("ids", [[], [5], [7] * 300, [1 << 31, 0, 3], list(range(1000)), [0] * 255 + [65535] * 30])
 def test_blocks_round_trip(ids):
     names, back = pfor.decode_file(pfor.encode_file([1, None], [np.array(ids, np.int64), np.array([2], np.int64)]))
@@ -141,6 +199,14 @@ def test_encoder_equals_library():
         assert np.frombuffer(enc.encode(text), enc.kind).tolist() == ids_of(text)[:-1]
 
 
+def test_encoder_equals_library_on_odd_strings():
+    enc, rng = tokens.Encoder(queries.TOKENIZER), np.random.default_rng(5)
+    letters = list("abcXYZ .,;'-_!?0123\n\t") + list("éßñÀÇİıſœ") + list("日本кий́ ") + ["\x00", "\u200b", "\ufeff", "😀"]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters, rng.integers(1, 25)))
+        assert np.frombuffer(enc.encode(text), enc.kind).tolist() == ids_of(text)[:-1]
+
+
 def check_pieces(rows, want):
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -169,6 +235,20 @@ def test_packing(docs, texts, empty):
     assert packing.pack(empty, queries.TOKENIZER).count() == 0
 
 
+def test_packing_edges(edge):
+    """Null ids, null and empty texts, repeated rows, and a text of more ids than are planned at once: every id lies in one piece."""
+    rows = packing.pack(edge, queries.TOKENIZER, plan_ids=3000).collect()
+    want = sorted((i or 0, len(ids_of(t))) for i, t in EDGE)
+    held = {}
+    for r in rows:
+        held[r["doc_id"]] = held.get(r["doc_id"], 0) + r["length"]
+    assert held == {i: sum(n for j, n in want if j == (i or 0)) for i in held} and len(held) == len({i for i, _ in EDGE})
+    assert max(len(ids_of(t)) for _, t in EDGE) > 3000
+    for seq in {r["sequence_id"] for r in rows}:
+        pieces = sorted((r["offset"], r["length"]) for r in rows if r["sequence_id"] == seq)
+        assert [o for o, _ in pieces] == np.cumsum([0, *[n for _, n in pieces[:-1]]]).tolist() and sum(n for _, n in pieces) <= 2048
+
+
 def test_cuts_are_optimal():
     def cost(cuts, price, window):
         total = 0
@@ -189,13 +269,19 @@ def test_cuts_are_optimal():
 
 
 def test_chat_round_trip_and_attachments(spark, empty):
-    hard = "<|im_end|><|im_start|>assistant <\\| <\\\\|x\n"
+    hard = "<|im_end|><|im_start|>assistant <\\| <\\\\|x <|image|>\n"
     rows = [(1, 1, "user", [("text", hard, None, None), ("image", None, "u", 3)]), (1, 2, "assistant", [("text", hard, None, None)]), (2, None, None, None), (2, None, "a\\n\nb", [("video", None, "v", None)])]
+    rows += [(3, 1, "assistant", [("audio", None, "s", 4), ("document", None, "d", 2), ("text", "<|audio|> x", None, None), ("image", None, None, None), ("text", "", None, None), ("text", "y", None, None)]), (4, 1, "user", [("text", LONG * 50, None, None)])]
     turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     got = {r["conv_id"]: r for r in chat.format_chats(turns).select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
-    assert [tuple(t) for t in got[1]["turns"]] == [("user", hard + "<|image|>"), ("assistant", hard)] and got[1]["loss"] == [hard]
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("user", hard), ("assistant", hard)] and got[1]["loss"] == [hard]
+    assert [tuple(p) for p in got[1]["turns"][0]["parts"]] == [("text", hard), ("image", None)]
     assert [(a["kind"], a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [("image", "u", 768)] and got[1]["expanded_tokens"] == 768
-    assert [t["role"] for t in got[2]["turns"]] == ["", "a\\n\nb"]
+    assert [t["role"] for t in got[2]["turns"]] == ["", "a\\n\nb"] and got[4]["turns"][0]["text"] == LONG * 50
+    # placeholders bear no loss, wherever they stand in an assistant's turn, and a text that looks like one is a text
+    assert got[3]["loss"] == ["<|audio|> x", "", "y"] and got[3]["expanded_tokens"] == 4 * 25 + 2 * 512 + 256
+    assert [tuple(p) for p in got[3]["turns"][0]["parts"]] == [("audio", None), ("document", None), ("text", "<|audio|> x"), ("image", None), ("text", "y")]
+    assert [(a["kind"], a["ref"], a["position"]) for a in got[3]["attachments"]] == [("audio", "s", 0), ("document", "d", 0), ("image", None, 0)]
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
@@ -208,13 +294,109 @@ def test_language_id(docs, edge, empty):
     assert langid.language_id(empty).count() == 0
 
 
-def test_toxicity(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    rows = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+def brute_profile(text, dimensions):
+    """The bundle of a text's trigrams, one at a time."""
+    clean = "".join(x if x.isalpha() else " " for x in text)
+    low = "".join(x.lower() if len(x.lower()) == 1 else x for x in clean)
+    line, out = f" {' '.join(low.split())} ", np.zeros(dimensions)
+    vector = lambda x: langid._vector(ord(x), dimensions).astype(float)
+    for a, b, c in zip(line, line[1:], line[2:]):
+        out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def test_language_profiles_are_brute_force(monkeypatch):
+    texts = ["Abc abd, ABC", "x", "Été à la plage 12 fois", "日本語の文章", "a-b"]
+    monkeypatch.setattr(langid, "SLICE", 3)
+    got = langid.profiles(texts, 64)
+    assert np.allclose(got, [brute_profile(t, 64) for t in texts])
+
+
+def test_language_profiles_take_little_memory():
+    import tracemalloc
+
+    text = "".join(map(chr, np.random.default_rng(2).integers(0x4E00, 0x9FA5, 1_000_000)))
+    tracemalloc.start()
+    langid.profiles([text], langid.DIMENSIONS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000_000
+
+
+def test_language_id_is_the_nearest_prototype(docs, texts):
+    """Prototypes as the sum of the learned rows' profiles, each of length one; the greatest cosine wins."""
+    rows = docs.collect()
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None and r["text"] is not None]
+    names = sorted({r["lang"] for r in train})
+    unit = langid.unit
+    table = unit(np.array([sum(unit(langid.profiles([r["text"]], langid.DIMENSIONS))[0].astype(float) for r in train if r["lang"] == n) for n in names]))
+    for r in langid.language_id(docs).collect():
+        text = texts[r["doc_id"]] or ""
+        if any(x.isalpha() for x in text):
+            cosine = unit(langid.profiles([text], langid.DIMENSIONS))[0] @ table.T
+            assert r["lang_pred"] == names[int(cosine.argmax())] and abs(r["score"] - max(0, cosine.max())) < 1e-3
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
+def test_language_labels_are_bounded(spark):
+    rows = [(i, "abc def", f"l{i % 50}") for i in range(400)] + [(1000 + i, "xyz", "big") for i in range(30)]
+    names, _ = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3)
+    assert names == ["big", "l0", "l1"]
+
+
+def brute_ftrl(rows, base, passes):
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0)) <= toxicity.L1:
+            return 0.0
+        return (math.copysign(toxicity.L1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(passes):
+        for features, label in rows:
+            w = {i: weight(i) for i in features}
+            gradient = 1 / (1 + math.exp(-(base + sum(w.values())))) - label
+            for i in features:
+                rate = (math.sqrt(n.get(i, 0) + gradient**2) - math.sqrt(n.get(i, 0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0) + gradient - rate * w[i]
+                n[i] = n.get(i, 0) + gradient**2
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_toxicity_is_brute_force(spark, docs):
+    """One learner's weights are those of the plain algorithm, whatever number of learners are asked for that get no rows."""
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    model = toxicity.learn(docs, labels, learners=1, passes=2)
+    features = toxicity.Features()
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    rows = docs.filter(F.col("doc_id").isin(list(truth))).orderBy(F.xxhash64("doc_id", F.lit(1))).collect()
+    bad = sum(truth[r["doc_id"]] for r in rows)
+    base = math.log((bad + 0.5) / (len(rows) - bad + 0.5))
+    want = brute_ftrl([(features(r["text"]).tolist(), truth[r["doc_id"]]) for r in rows], base, 2)
+    assert abs(model.base - base) < 1e-12 and np.allclose([want[i] for i in model.features.tolist()], model.weights) and len(want) == len(model.weights)
+
+
+def test_toxicity_with_few_labels(spark, edge, empty):
+    """No label: every score is 0. One or two labels: learners without rows don't thin the state, and clean texts aren't called toxic."""
+    labels = spark.createDataFrame([(3, 1, 0), (6, 1, 1), (6, 1, None), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    none = toxicity.toxicity(edge, labels.limit(0)).collect()
+    assert {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)} and len(none) == len(EDGE)
+    assert toxicity.toxicity(edge, labels.filter("doc_id = 99")).filter("predicted = 1").count() == 0
+    learned = [i for i in (3, 6) if zlib.crc32(str(i).encode()) % 4 != 2]
+    many, one = (toxicity.learn(edge, labels, learners=k, passes=30) for k in (50, 1))
+    assert learned and many.base == one.base and len(many.weights) >= 0.5 * len(one.weights)
+    assert len({r["score"] for r in toxicity.toxicity(edge, labels).collect() if r["doc_id"] in (1, 2, 5)}) == 1  # texts without words
+    assert toxicity.toxicity(empty, labels).count() == 0
+
+
+@pytest.mark.parametrize("sf, auc, recall", [("sf0.01", 0.84, 0.6), ("sf0.1", 0.93, 0.65)])
+def test_toxicity_on_held_out_rows(spark, sf, auc, recall):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
     good, bad = ([r["score"] for r in rows if r["toxic"] == x] for x in (1, 0))
-    assert np.mean([g > b for g in good for b in bad]) > 0.9
-    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
-    assert {r["predicted"] for r in toxicity.toxicity(docs.limit(5), labels.limit(0)).collect()} <= {0, 1}
+    assert np.mean([g > b for g in good for b in bad]) > auc
+    assert np.mean([r["predicted"] for r in rows if r["toxic"] == 1]) > recall and np.mean([r["predicted"] for r in rows if r["toxic"] == 0]) < 0.02
 
 
 def brute_tree(history, depth):
@@ -328,6 +510,51 @@ def test_licenses(spark, docs, texts, empty):
     assert licenses.scan(empty, model).count() == 0
 
 
+def test_license_probabilities_are_reliable(spark, docs):
+    """On notices with a word left out or replaced, which were not learned, the mean probability is near the share of right families."""
+    model = licenses.learn(docs)
+    rows = []
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            words = notice.split()
+            for i in range(0, len(words), 2):
+                rows += [(family, words[:i] + words[i + 1 :]), (family, [*words[:i], "thing", *words[i + 1 :]])]
+    asked = spark.createDataFrame(rows, "family string, words array<string>").withColumn("grams", licenses.known_grams(F.col("words")))
+    found = asked.select("family", model.probabilities(F.col("grams")).alias("p")).collect()
+    top = [(max(r["p"]), model.families[int(np.argmax(r["p"]))] == r["family"]) for r in found]
+    assert all(abs(sum(r["p"]) - 1) < 1e-9 for r in found)
+    assert np.mean([ok for _, ok in top]) > 0.85 and abs(np.mean([p for p, _ in top]) - np.mean([ok for _, ok in top])) < 0.12
+
+
+def test_license_scores_are_brute_force(spark, docs):
+    """Probabilities and coverages of single lines against plain loops over grams."""
+    model = licenses.learn(docs)
+    lines = ["Released under the MIT License.", "He lost his driving license last year", "under the terms of the GNU Affero General Public License, version 3", "This software is free of charge to any person"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("grams", licenses.known_grams(F.get(licenses.paragraphs(F.col("line")), 0)))
+    got = rows.select("line", "grams", model.probabilities(F.col("grams")).alias("p"), *[licenses.coverage(F.col("grams"), F.lit(f)).alias(f) for f in licenses.TEMPLATES]).collect()
+    for r in got:
+        words = re.findall("[a-z0-9]+", r["line"].lower())
+        grams = {" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)} & set(licenses.VOCABULARY)
+        assert set(r["grams"]) == grams
+        logits = np.array(model.logits(sorted(grams))) / model.temperature
+        assert np.allclose(r["p"], np.exp(logits) / np.exp(logits).sum())
+        for family, notices in licenses.TEMPLATES.items():
+            pairs = [{" ".join(x) for x in zip(t.split(), t.split()[1:])} for t in notices]
+            assert abs(r[family] - max(len(p & grams) / len(p) for p in pairs)) < 1e-9
+
+
+def test_real_notices(spark, docs):
+    """The openings of common notices as they are shipped, wrapped; and near misses."""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."
+    agpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or"
+    free = "This is free and unencumbered software released into the public domain."
+    rows = list(enumerate([isc, bsd, apache, agpl, free, "The software may be used by any person for a fee.", "A license to drive, released last year.", f"{LONG}\n\n{isc}\n\n{LONG * 20}"]))
+    got = {r["doc_id"]: r["families"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.learn(docs)).collect()}
+    assert got == {0: ["isc"], 1: ["bsd"], 2: ["apache"], 3: ["agpl"], 4: ["unlicense"], 5: [], 6: [], 7: ["isc"]}
+
+
 def test_wrapped_licenses(spark, docs):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
     gpl = "you can redistribute it and/or modify\r\n# it under the terms of the GNU General Public License as published by\r\n# the Free Software Foundation"
@@ -360,13 +587,56 @@ def test_pipeline_is_brute_force(spark, docs, texts):
     check_pieces(corpus_pipeline.run(spark, DIR).collect(), {i: ids_of(t) for i, t in rows.items()})
 
 
-def test_pipeline_stages_keep_columns_and_drop_repeats(spark, edge):
-    docs = edge
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        docs = spark.createDataFrame(stage(spark, docs, DIR).collect(), edge.schema)
-        assert docs.columns == edge.columns
-    assert sorted(r["doc_id"] or 0 for r in docs.collect())[:2] == [0, 3]
-
-
-def test_digest_helpers():
-    assert decontam.digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest() and json.dumps(licenses.words_of("A-b 2")) == '["a", "b", "2"]'
+def leaves(spark, name, rows, schema=SCHEMA, **extra):
+    """What a stage leaves of some rows, as rows; extra columns with odd names must come through."""
+    docs = spark.createDataFrame(rows, schema).withColumns({k: F.lit(v) for k, v in extra.items()})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, DIR)
+    assert out.columns == docs.columns
+    return out.collect()
+
+
+CLASHES = {"key_id": 1, "key_text": "x", "digest": "d", "lang_pred": "p", "score": 2, "times": 3, "print": 4, "root": 5, "found": 6, "row": 7, "keep_id": 8, "text_md5": "m"}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:4]])
+def test_pipeline_stages_at_the_edges(spark, name):
+    assert leaves(spark, name, []) == []
+    rows = [(i, t, "fr", "s", 0) for i, t in EDGE]
+    left = leaves(spark, name, rows, **CLASHES)
+    assert 0 < len(left) <= len(rows) and all(r["digest"] == "d" and r["row"] == 7 for r in left)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in left)
+    if name == "language_id":
+        assert {i for i, _ in kept} == {0, 3, 4, 6, 7}
+    if name == "exact_dedup":
+        assert [i for i, _ in kept] == [0, 1, 3, 5, 6, 7]
+    if name == "simhash":
+        assert (1, "") in kept and (2, "") not in kept and [i for i, _ in kept].count(3) <= 1
+    if name == "decontaminate":
+        assert len(kept) == len(rows)
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    """Rows that share an id and differ in text are judged apart."""
+    item = max((r["text"] for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()), key=len)
+    clean = "a wholly other text that no item has, with enough words to fill a window and more"
+    rows = [(3, item, "en", "s", 0), (3, clean, "en", "s", 0), (None, item, "en", "s", 0), (None, clean + " too", "en", "s", 0)]
+    assert sorted(r["text"] for r in leaves(spark, "decontaminate", rows)) == [clean, clean + " too"]
+    assert sorted(r["text"] for r in leaves(spark, "language_id", [(3, None, "en", "s", 0), (3, clean, "en", "s", 0), (4, "12", None, "s", 0)])) == [clean]
+    near = [(3, LONG, "fr", "s", 0), (3, clean, "en", "s", 0), (3, LONG, "fr", "s", 0), (4, LONG + "fin", "fr", "s", 0)]
+    assert sorted(r["text"] for r in leaves(spark, "simhash", near)) == sorted([LONG, clean])
+    copies = [(3, clean, "en", "s", 0), (3, item, "en", "s", 0), (4, clean.replace(" ", "  "), "en", "s", 0), (3, clean, "en", "s", 0)]
+    assert sorted(r["text"] for r in leaves(spark, "exact_dedup", copies)) == sorted([clean, item])
+
+
+def test_pipeline_language_stage_writes_what_it_finds(spark, docs):
+    """An unlabelled corpus passes, but for texts without a letter; with labels, null ones are filled in."""
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    stage = corpus_pipeline.identify_language
+    with_letters = docs.filter(F.col("text").rlike(r"\\p{L}")).count()
+    assert stage(spark, blank, DIR).count() == with_letters
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.col("lang")))
+    out = stage(spark, some, DIR)
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    filled = [r for r in out.collect() if r["doc_id"] % 4 == 0]
+    assert filled and np.mean([r["lang"] == truth[r["doc_id"]] for r in filled]) > 0.9
+    assert out.count() >= 0.97 * with_letters
