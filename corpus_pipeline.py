@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import decontam, exact, langid, packing, simhash
@@ -10,38 +10,78 @@ from headway.llm.common import cut, shared_path
 from headway.llm.queries import TOKENIZER, table
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``; a null id equals a null id. Columns stay as they are."""
-    named = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_kept_id"]), "left_semi")
+#: The least cosine with the language found: below it a text is in none of the languages that the corpus names.
+LEAST = 0.1
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of ``docs`` has."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name
+
+
+def _same(docs: DataFrame, digest: Column, keys: DataFrame) -> Column:
+    """Whether a row of ``docs`` is one that a key (key_id, key_text) names; null ids are equal. An id alone doesn't name a row, since ids may repeat."""
+    return docs["doc_id"].eqNullSafe(keys["key_id"]) & (digest == keys["key_text"])
+
+
+def _md5(docs: DataFrame) -> Column:
+    return F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+
+
+def _once(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
+    """The rows that ``keys`` (key_id, key_text, times) name, once each: of rows that repeat id and text, any one."""
+    once = docs.join(keys.filter("times = 1"), _same(docs, digest, keys), "left_semi")
+    if keys.filter("times > 1").isEmpty():
+        return once
+    name = _free(docs, "digest")
+    many = docs.join(keys.filter("times > 1"), _same(docs, digest, keys), "left_semi").withColumn(name, digest).dropDuplicates(["doc_id", name])
+    return once.union(many.drop(name))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found: those without text or without a letter go. ``lang`` stays the label it was."""
-    return _only(docs, langid.language_id(docs).filter(F.col("lang_pred") != langid.UNKNOWN))
+    """Documents in which a language was found. Those without text or without a letter go, and those whose cosine with the language found is under LEAST.
+
+    ``lang`` stays where it is set, and is the language found where it is null. In a corpus without labels none can be found: then all
+    documents with a letter stay as they are. Rows are judged each by its own text, so rows that share an id don't matter to each other; repeated rows
+    repeat, an empty table stays empty, and further columns are kept.
+    """
+    model = langid.learned(docs)
+    if not model[0]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    pred, score = _free(docs, "lang_pred"), _free(docs, "score")
+    found = langid.marked(docs, model, pred, score).filter((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST))
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the smallest id. Of rows that repeat id and text, any one stays."""
+    """One document of each group of equal texts, the one with the smallest id; null text equals empty text.
+
+    Of rows that repeat id and text, any one stays; rows that share an id and differ in text are apart. A row with a null id stays only where its whole
+    group has none. An empty table stays empty; further columns are kept.
+    """
     found = exact.exact_dedup(docs).filter("kept")
-    kept = cut(found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_times")).select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"), "_times"))
-    digest = F.sha2(exact.normalised(F.col("text")), 256)
-    rows = docs.withColumn("_text", digest)
-    at = rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows["_text"] == kept["_kept_text"])
-    once = rows.join(kept.filter("_times = 1"), at, "left_semi")
-    if not kept.filter("_times > 1").isEmpty():
-        once = once.union(rows.join(kept.filter("_times > 1"), at, "left_semi").dropDuplicates(["doc_id", "_text"]))
-    return once.drop("_text")
+    keys = cut(found.groupBy(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_text")).agg(F.count("*").alias("times")))
+    return _once(docs, F.sha2(exact.normalised(docs["text"]), 256), keys)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, the one with the smallest id."""
-    return _only(docs, simhash.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each component of linked fingerprints, the one with the smallest id; of its rows, if the id repeats, the one whose text has the
+    least digest. Null ids come last. An empty table stays empty; further columns are kept."""
+    found = simhash.near_dedup(docs)
+    each = found.groupBy("root", "doc_id", "text_md5").agg(F.count("*").alias("times"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5", "times")).alias("k"))
+    keys = cut(first.select(F.col("k.doc_id").alias("key_id"), F.col("k.text_md5").alias("key_text"), F.col("k.times").alias("times")))
+    return _once(docs, _md5(docs), keys)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside an occurrence of a benchmark window."""
-    return _only(docs, decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit = 0"))
+    """Documents without a word inside an occurrence of a benchmark window. A row goes for its own text only, whichever rows share its id; null and empty
+    texts stay, repeated rows repeat, an empty table stays empty, and further columns are kept."""
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
+    keys = cut(found.select(F.col("doc_id").alias("key_id"), F.col("text_md5").alias("key_text")).distinct())
+    return docs.join(keys, _same(docs, _md5(docs), keys), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
