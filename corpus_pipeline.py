@@ -10,8 +10,8 @@ from headway.llm.common import cut, shared_path
 from headway.llm.queries import TOKENIZER, table
 
 
-#: The least cosine with the language found: below it a text is in none of the languages that the corpus names.
-LEAST = 0.1
+#: The cosine with the language found that a text must exceed: one that leans towards no prototype is in none of the corpus' languages.
+LEAST = 0.0
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -41,7 +41,7 @@ def _once(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found. Those without text or without a letter go, and those whose cosine with the language found is under LEAST.
+    """Documents in which a language was found. Those without text or without a letter go, and those whose cosine with the language found isn't above LEAST.
 
     ``lang`` stays where it is set, and is the language found where it is null. In a corpus without labels none can be found: then all
     documents with a letter stay as they are. Rows are judged each by its own text, so rows that share an id don't matter to each other; repeated rows
@@ -51,7 +51,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model[0]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     pred, score = _free(docs, "lang_pred"), _free(docs, "score")
-    found = langid.marked(docs, model, pred, score).filter((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST))
+    found = langid.marked(docs, model, pred, score).filter((F.col(pred) != langid.UNKNOWN) & (F.col(score) > LEAST))
     return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
