@@ -77,7 +77,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
     Documents stay in ascending doc_id order. Each run of ids is planned in parts of about ``plan_ids`` that end with a document; a part's last
     window may take padding, which the binary steps keep small. ``sequence_id`` is unique and ascends with the order. A null or
-    empty text is the end id alone. Rows that repeat an id are packed each. An empty table gives no rows.
+    empty text is the end id alone. Rows that repeat an id are packed each. An empty table gives no rows. Where the runs of ids
+    are parted follows from the ids (``tokens.id_bounds``), so other rows may shift windows and ``sequence_id``, but settings of the session don't.
     """
     rows = encoded_in_order(docs, tokenizer, end)
     enc = encoder(tokenizer)

@@ -13,6 +13,8 @@ from tokenizers import Tokenizer
 from headway.llm.common import map_rows
 
 END = 1
+#: Rows in a run, about, and runs at most.
+RUN, RUNS = 2000, 20_000
 #: Words that a Python worker remembers the ids of, of each kind.
 REMEMBERED = 400_000
 
@@ -95,14 +97,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def id_bounds(docs: DataFrame, parts: int) -> list[int]:
-    """Ids that part the rows into at most ``parts`` runs of ascending doc_id of about the same number of rows.
+def id_bounds(docs: DataFrame, rows: int = RUN, runs: int = RUNS) -> list[int]:
+    """Ids that part the rows into runs of ascending doc_id of about ``rows`` rows, or into ``runs`` larger ones.
 
-    Only the ids are read. The driver gets at most ``parts`` numbers, which doesn't depend on the rows.
+    Only the ids are read. The driver gets fewer numbers than ``runs``. The parts follow from the ids alone, not from settings of the session.
     """
+    parts = min(runs, -(-docs.count() // rows))
     if parts < 2:
         return []
-    at = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("at")).first()["at"]
+    at = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("at")).first()["at"]
     return sorted(set(at or []))
 
 
@@ -112,8 +115,7 @@ def encoded_in_order(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     The ids are shuffled, not the texts. A null text is empty; a null doc_id sorts first; rows that repeat an id are
     ordered by their ids' bytes.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = id_bounds(docs, parts)
+    bounds = id_bounds(docs)
 
     def make():
         enc = encoder(path)
@@ -128,6 +130,3 @@ def encoded_in_order(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     rows = map_rows(docs, ["doc_id", "text"], make, "run int, doc_id long, ids binary")
     return rows.repartitionById(len(bounds) + 1, F.col("run")).sortWithinPartitions("doc_id", "ids")
 
-
-def id_kind(path: str) -> np.dtype:
-    return encoder(path).kind
