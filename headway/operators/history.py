@@ -197,13 +197,17 @@ def peak_windows(history: DataFrame, value: str = "value") -> DataFrame:
 
 
 def as_of(rows: DataFrame, facts: DataFrame, keys: list[str], columns: list[str], days: int) -> DataFrame:
-    """The newest fact at or before each row's date and at most ``days`` days old, by keys; zeros where there is none.
+    """The newest fact at or before each row's date and less than ``days`` days old, by keys; zeros where there is none.
 
-    Both sides go through one window by key and date, so each is shuffled once. Of several facts on one date the last by columns counts.
+    Both sides go through one window by key and stretch of ``days`` days, so each is shuffled once, and a key that holds many of the rows is spread over its stretches.
+    A fact is given to the one or two stretches in which it can still count. Of several facts on one date the last by columns counts.
     """
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    stretch = lambda day: F.floor(day / days).alias("_s")
     fact = F.struct("date", *columns)
-    both = facts.select(*keys, "date", fact.alias("_f"), F.lit(None).alias("_r")).unionByName(rows.select(*keys, "date", F.lit(None).alias("_f"), F.struct(*[rows[c] for c in rows.columns]).alias("_r")))
-    order = W.partitionBy(*keys).orderBy(F.col("date"), F.col("_r").isNotNull(), "_f").rowsBetween(W.unboundedPreceding, 0)
+    spread = facts.select(*keys, "date", fact.alias("_f"), F.lit(None).alias("_r"), F.explode(F.array_distinct(F.array(stretch(number("date")), stretch(number("date") + days - 1)))).alias("_s"))
+    both = spread.unionByName(rows.select(*keys, "date", F.lit(None).alias("_f"), F.struct(*[rows[c] for c in rows.columns]).alias("_r"), stretch(number("date"))))
+    order = W.partitionBy(*keys, "_s").orderBy(F.col("date"), F.col("_r").isNotNull(), "_f").rowsBetween(W.unboundedPreceding, 0)
     seen = both.withColumn("_f", F.last("_f", ignorenulls=True).over(order)).filter("_r IS NOT NULL")
     fresh = F.datediff("date", "_f.date") < days
     return seen.select("_r.*", *[F.coalesce(F.when(fresh, F.col(f"_f.{c}")), F.lit(0)).alias(c) for c in columns])

@@ -118,14 +118,6 @@ def test_clusters_of_long_chains(spark):
     assert sorted((r["cluster"], r["name"], r["n"], round(r["lat"], 6)) for r in got) == [(0, "a", 150, 55.6705), (1000, "b", 150, 55.6705)]
 
 
-def test_nearest_beyond_the_broadcast(spark, monkeypatch):
-    left = spark.createDataFrame([(1, 55.0, 37.0), (2, 57.0, 39.0)], "id int, lat double, lon double")
-    right = spark.createDataFrame([("a", 55.001, 37.0), ("b", 56.0, 38.0)], "name string, lat double, lon double")
-    plain = {r["id"]: r["r_name"] for r in geo.nearest(left, "id", right, ["name"]).collect()}
-    monkeypatch.setattr(type(right), "count", lambda self: 20_000)
-    assert {r["id"]: r["r_name"] for r in geo.nearest(left, "id", right, ["name"]).collect()} == plain == {1: "a", 2: "b"}
-
-
 def test_nearest_on_the_whole_sphere(spark):
     left = [(1, 55.0, 179.999), (2, 89.99, 10.0), (3, 80.0, 37.0), (4, -89.9, -170.0), (5, 0.0, 0.0), (6, -40.0, -60.0)]
     right = [("a", 55.0, -179.999), ("b", 55.0, 179.9), ("c", 89.99, -170.0), ("d", 80.0, 37.04), ("e", 79.9, 37.0), ("f", -89.9, 20.0)]
@@ -137,6 +129,91 @@ def test_nearest_on_the_whole_sphere(spark):
     assert [r["r_name"] for r in lone] == ["z"]
 
 
+def test_within_on_the_whole_sphere(spark):
+    rng = __import__("random").Random(4)
+    spot = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(85, 90), rng.uniform(-90, -88)]), rng.choice([rng.uniform(-180, 180), rng.uniform(179.9, 180), rng.uniform(-180, -179.9)]))
+    left, right = ([(i, *spot()) for i in range(150)] for _ in range(2))
+    for metres in (1_500.0, 400_000.0, 9_000_000.0):
+        want = {(a, b) for a, *p in left for b, *q in right if far(p, q) <= metres}
+        frames = (spark.createDataFrame([*rows, (999, None, 1.0)], "id int, lat double, lon double") for rows in (left, right))
+        got = [(r["id"], r["r_id"]) for r in geo.within(*frames, metres).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_as_of_is_brute_force(spark):
+    """Facts on one date, gaps longer than the reach, a key that holds most rows."""
+    rng = __import__("random").Random(8)
+    day = lambda n: date.fromordinal(730_000 + n)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), day(rng.randrange(400)), i) for i in range(300)]
+    facts = [(rng.choice([1, 1, 2]), day(rng.randrange(400)), rng.randrange(9)) for _ in range(60)]
+    want = {}
+    for route, at, i in rows:
+        seen = [(d, q) for r, d, q in facts if r == route and d <= at and (at - d).days < 20]
+        want[i] = max(seen)[1] if seen else 0
+    got = history.as_of(spark.createDataFrame(rows, "route int, date date, i int"), spark.createDataFrame(facts, "route int, date date, q int"), ["route"], ["q"], 20)
+    assert {r["i"]: r["q"] for r in got.collect()} == want
+
+
+def test_n_linear_is_a_plain_loop(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    days = [(r, date.fromordinal(730_000 + i), float(100 + 20 * (i % 7) + rng.integers(0, 9) + r)) for r in (1, 2) for i in range(90 if r == 1 else 20)]
+    origin = date.fromordinal(730_089)
+    got = {}
+    for r in forecast.n_linear(spark.createDataFrame(days, "route int, date date, total double"), str(origin), 5, 14).collect():
+        got.setdefault(r["route"], {})[(r["date"] - origin).days] = r["predicted"]
+    past = np.array([v for r, _, v in days if r == 1])
+    xs = [past[e - 13 : e + 1] - past[e] for e in range(13, len(past) - 5)]
+    ys = [past[e + 1 : e + 6] - past[e] for e in range(13, len(past) - 5)]
+    want = np.maximum((past[-14:] - past[-1]) @ np.linalg.lstsq(np.array(xs), np.array(ys), rcond=1e-2)[0] + past[-1], 0)
+    assert np.allclose([got[1][k] for k in range(1, 6)], want) and set(got[2].values()) == {[v for r, _, v in days if r == 2][-1]}
+
+
+def test_roll_forward_feeds_itself(spark):
+    known = [(1, date(2024, 1, d), 8, float(d)) for d in range(1, 15)]
+    make = lambda t, h, c: forecast.seasonal_naive(t, h, c, 2, "mean")
+    out = forecast.roll_forward(spark.createDataFrame(known, "route int, date date, hour int, value double"), spark.createDataFrame([(1,)], "route int"), date(2024, 1, 15), date(2024, 1, 30), make)
+    got = {(r["date"].day, r["hour"]): r["predicted"] for r in out.collect()}
+    assert len(got) == 16 * 24 and got[15, 8] == 4.5 and got[22, 8] == (8 + 4.5) / 2 and got[29, 8] == (4.5 + 6.25) / 2 and got[29, 9] == 0
+
+
+def test_submission_must_be_whole(spark, tmp_path):
+    template = grid.dense(spark.createDataFrame([(1,)], "route int"), "2024-01-01", "2024-01-01", range(3))
+    some = spark.createDataFrame([(1, date(2024, 1, 1), 0, 2.5), (1, date(2024, 1, 1), 1, -3.0)], "route int, date date, hour int, predicted double")
+    made = forecast.submission(template, some)
+    assert sorted((r["hour"], r["prediction"], r["missing"]) for r in made.collect()) == [(0, 2, False), (1, 0, False), (2, 0, True)]
+    with pytest.raises(ValueError, match="1 of them missing"):
+        sinks.write_submission(made, str(tmp_path / "s"), 3)
+    assert sinks.write_submission(made.filter("NOT missing"), str(tmp_path / "t"), 2) == 2
+    with pytest.raises(ValueError, match="3 rows are expected"):
+        sinks.write_submission(made.filter("NOT missing"), str(tmp_path / "u"), 3)
+
+
+def test_stop_names(spark):
+    from headway.functions import text as T
+
+    cases = {"Парк - Вокзал": ["Парк", "Вокзал"], "Покровское - Стрешнево - Сокол": ["Покровское - Стрешнево", "Сокол"], "Метро - северный выход - Метро": ["Метро - северный выход", "Метро"], "А - А - А-Б": ["А", "А-Б"], "Свято - Данилов монастырь": ["Свято - Данилов монастырь"], " - ": [], None: []}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.stop_names(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == cases
+
+
+def test_first_source_that_has_rows(spark):
+    def fails():
+        raise OSError("down")
+
+    assert tables.first_of(fails, lambda: spark.range(0), lambda: spark.range(3)).count() == 3
+    with pytest.raises(OSError, match="down"):
+        tables.first_of(lambda: spark.range(0), fails)
+
+
+def test_board_file(spark, tmp_path):
+    rows = spark.createDataFrame([("08:00", 5), ('a"b', 7)], "period string, n int")
+    sinks.board_csv(rows, str(tmp_path / "b"), {"period": "период", "n": "посадки"}, "period", sums=("n",), order=("period",))
+    text = next((tmp_path / "b").glob("part-*")).read_bytes().decode()
+    assert text == '\ufeffпериод;посадки\r\n"08:00";"5"\r\n"a""b";"7"\r\n"итого";"12"\r\n'
+
+
 def test_gate(spark):
     rows = [(i, "dev", 0.8, 0.81, 0.8, 0.8) for i in range(4)] + [(9, "lock", 0.8, 0.805, 0.8, 0.8)]
     schema = "fold int, kind string, base double, candidate double, base_workday double, candidate_workday double"
@@ -171,7 +248,7 @@ def test_lag_as_of_without_facts(spark):
 def test_csv(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_bytes("﻿route,name\r\n1,\"a \"\"b\"\",\nc\"\r\n,\r\n2,\r\n".encode())
-    assert [tuple(r) for r in tables.read_csv(spark, str(path)).collect()] == [("1", 'a "b",\nc'), ("2", None)]
+    assert [tuple(r) for r in tables.read_csv(spark, str(path), line_feeds=True).collect()] == [("1", 'a "b",\nc'), ("2", None)]
     assert tables.sniffed_separator(spark, str(path)) == ","
 
 
@@ -179,20 +256,25 @@ def test_geojson(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"type":"FeatureCollection","features":[{"properties":{"RouteNumber":"7"},"geometry":{"type":"MultiLineString","coordinates":[[[37.1,55.1],[37.2,55.2]],[[37.3,55.3]]]}}]}')
     got = tables.read_geojson(spark, str(tmp_path / "r.json")).orderBy("part", "seq").collect()
     assert [(r["part"], r["seq"], r["lon"], r["lat"]) for r in got] == [(0, 0, 37.1, 55.1), (0, 1, 37.2, 55.2), (1, 0, 37.3, 55.3)]
+    (tmp_path / "l.json").write_text('[{"properties":{"n":"1"},"geometry":{"type":"Point","coordinates":[37.1, 55.1]}},{"properties":{"n":"2"},"geometry":{"type":"LineString","coordinates":[[1,2],[3,4]]}}]')
+    got = tables.read_geojson(spark, str(tmp_path / "l.json")).orderBy("feature", "seq").collect()
+    assert [(r["properties"]["n"], r["part"], r["seq"], r["lon"], r["lat"]) for r in got] == [("1", 0, 0, 37.1, 55.1), ("2", 0, 0, 1.0, 2.0), ("2", 0, 1, 3.0, 4.0)]
 
 
 def test_feed(spark, tmp_path):
     import zipfile
 
     with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
-        z.writestr("stops.txt", "stop_id,stop_name,stop_lat,stop_lon\n1,\"A, B\",55.5,37.5\n2,C,x,\n")
+        z.writestr("stops.txt", "\ufeffstop_id,stop_name,stop_lat,stop_lon\r\n1,\"A, B\",55.5,37.5\r\n\r\n2,\"C\nD\",x,\r\n3\r\n")
+        z.writestr("in/trips.txt", "trip_id,direction_id\n7,1\n8,\n")
     feed = tables.read_feed(spark, str(tmp_path / "f.zip"))
-    assert [tuple(r) for r in feed["stops"].orderBy("stop_id").collect()] == [("1", "A, B", 55.5, 37.5), ("2", "C", None, None)]
+    assert [tuple(r) for r in feed["stops"].orderBy("stop_id").collect()] == [("1", "A, B", 55.5, 37.5), ("2", "C\nD", None, None), ("3", None, None, None)]
+    assert sorted(tuple(r) for r in feed["trips"].collect()) == [("7", 1), ("8", 0)] and "routes" not in feed
 
 
 def test_unwrapped_payloads(spark):
-    df = spark.createDataFrame([('[{"a":1}]',), ('{"rows":[{"a":2}]}',), ('{"data":[{"a":3}]}',), ("{}",)], "p string")
-    assert [[x["a"] for x in r[0]] for r in df.select(tables.unwrapped(F.col("p"), "struct<a:int>")).collect()] == [[1], [2], [3], []]
+    df = spark.createDataFrame([('[{"a":1}]',), ('{"rows":[{"a":2}]}',), ('{"data":[{"a":3}]}',), ("{}",), ('{"features":[{"id":1,"attributes":{"a":4}},{"properties":{"a":5}}]}',)], "p string")
+    assert [[x["a"] for x in r[0]] for r in df.select(tables.unwrapped(F.col("p"), "struct<a:int>")).collect()] == [[1], [2], [3], [], [4, 5]]
 
 
 def test_sinks(spark, tmp_path):
