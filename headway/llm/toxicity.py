@@ -17,8 +17,8 @@ from headway.llm.common import cut, map_rows
 
 #: Bits of a feature's number; labelled rows learned from, about, at most; learners that are averaged; passes over the rows.
 BITS, SAMPLE, LEARNERS, PASSES = 18, 20_000, 4, 8
-#: Learning rate and its offset, L1 and L2.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 0.1
+#: Learning rate and its offset, L1 and L2, chosen on a third of the rows that may be learned from.
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 0.1
 THRESHOLD = 0.3
 #: Words whose hash a task remembers.
 REMEMBERED = 400_000

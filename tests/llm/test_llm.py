@@ -396,8 +396,10 @@ def test_toxicity_on_held_out_rows(spark, sf, auc, recall):
     docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
     good, bad = ([r["score"] for r in rows if r["toxic"] == x] for x in (1, 0))
-    assert np.mean([g > b for g in good for b in bad]) > auc
-    assert np.mean([r["predicted"] for r in rows if r["toxic"] == 1]) > recall and np.mean([r["predicted"] for r in rows if r["toxic"] == 0]) < 0.02
+    found, alarms = (np.mean([r["predicted"] for r in rows if r["toxic"] == x]) for x in (1, 0))
+    ranked = np.mean([g > b for g in good for b in bad])
+    print(f"{sf}: AUC {ranked:.3f}, recall {found:.3f} of {len(good)}, false alarms {alarms:.4f} of {len(bad)}")
+    assert ranked > auc and found > recall and alarms < 0.02
 
 
 def brute_tree(history, depth):
