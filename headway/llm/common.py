@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from headway.functions.sessions import cut, shared_dir, shared_path  # noqa: F401  used by the operators
+from headway.functions.sessions import cut, reused, shared_dir, shared_path  # noqa: F401  used by the operators
 
 
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list[list]], dict]], schema: str) -> DataFrame:

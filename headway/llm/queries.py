@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import chat, ctw, decontam, exact, langid, licenses, packing, pfor, simhash, toxicity
+from headway.llm import chat, ctw, decontam, exact, hamerly, langid, licenses, mixing, packing, pfor, phrases, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -108,9 +108,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontam.SQL, "op3_chat_format": chat.SQL, "op6_exact_dedup": exact.SQL}
+    return {"op1_decontaminate": decontam.SQL, "op3_chat_format": chat.SQL, "op6_exact_dedup": exact.SQL, "op11_collocations": phrases.SQL, "op12_centroids": hamerly.SQL, "op13_mix": mixing.SQL}
