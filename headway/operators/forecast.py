@@ -1,4 +1,4 @@
-"""Seasonal forecasts, their blends, and model fitting by MLlib."""
+"""Seasonal forecasts, their blends, and forecasts by trees."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headway.functions.sessions import cut
+from headway.operators import boosting
 from headway.operators import history as H
 from headway.operators import metrics as M
 from headway.operators.grid import dense
@@ -85,31 +86,6 @@ def holiday_or_weekly(targets: DataFrame, history: DataFrame, names: DataFrame,
     return rows.withColumn("predicted", F.coalesce(value, F.lit(0.0))).drop("_same", "past", "name")
 
 
-def profile_search(windows: list[tuple[DataFrame, DataFrame, str]], weeks=(1, 2, 4, 8), decays=(0.5, 0.75, 1.0), champion_=(4, 0.75), alpha: float = 0.1) -> DataFrame:
-    """Candidates (weeks, decay) by their gain over the champion's score: the best least gain over the windows first, then the best mean gain.
-
-    A window is (targets with ``actual``, history, cutoff). Each target's newest values are gathered once and meet the candidates within their row. ``wins``
-    counts windows with a gain, ``p_value`` is the sign test's, and the first row is ``accepted`` if it isn't the champion and p is at most ``alpha``.
-    """
-    rules = [(w, d) for w in weeks for d in decays]
-    each = None
-    for i, (targets, history, cutoff) in enumerate(windows):  # a handful
-        rows = H.same_weekday(targets, history, cutoff, max(weeks))
-        tried = F.array(*[F.struct(F.lit(w).alias("weeks"), F.lit(d).alias("decay"), F.coalesce(H.decayed(F.slice("past", 1, w), d), F.lit(0.0)).alias("predicted")) for w, d in rules])
-        one = rows.select("actual", F.explode(tried).alias("r")).select(F.lit(i).alias("window"), "actual", "r.*")
-        each = one if each is None else each.unionByName(one)
-    scored = each.groupBy("window", "weeks", "decay").agg(M.score(F.col("actual"), F.col("predicted")).alias("score"))
-    held = scored.filter((F.col("weeks") == champion_[0]) & (F.col("decay") == champion_[1])).select("window", F.col("score").alias("_c"))
-    gain = F.col("score") - F.col("_c")
-    found = scored.join(held, "window").groupBy("weeks", "decay").agg(F.min(gain).alias("least_gain"), F.avg(gain).alias("mean_gain"), F.count_if(gain > 1e-9).alias("wins"))
-    chance = F.create_map(*[F.lit(x) for n in range(len(windows) + 1) for x in (n, M.sign_test(n, len(windows)))])
-    order = W.partitionBy(F.lit(0)).orderBy(F.round("least_gain", 9).desc(), F.round("mean_gain", 9).desc(), "weeks", "decay")  # a row a candidate
-    first = F.row_number().over(order) == 1
-    found = found.withColumn("p_value", F.element_at(chance, F.col("wins").cast("int"))).withColumn("chosen", first)
-    other = (F.col("weeks") != champion_[0]) | (F.col("decay") != champion_[1])
-    return found.withColumn("accepted", F.col("chosen") & other & (F.col("p_value") <= alpha))
-
-
 def roll_forward(history: DataFrame, routes: DataFrame, first: date, last: date, make, step: int = 7) -> DataFrame:
     """``predicted`` from ``first`` to ``last``, ``step`` days at a time: ``make(targets, history, cutoff)`` forecasts each stretch from the history and the
     forecasts before it. Each stretch is written to the shared folder, so the plan of a later one doesn't grow."""
@@ -138,14 +114,6 @@ def submission(template: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.select("route", "date", "hour", F.bround(F.greatest(F.lit(0.0), F.coalesce("_p", F.lit(0.0))), 0).cast("long").alias("prediction"), F.col("_p").isNull().alias("missing"))
 
 
-def training_rows(rows: DataFrame) -> DataFrame:
-    """For each fold (ISO week) how many rows may train its model: for weekdays those of all other weeks, for weekends only those of earlier ones."""
-    each = fold_of(rows).groupBy("fold", (F.weekday("date") >= 5).alias("weekend")).agg(F.count("*").alias("n"))
-    kind = W.partitionBy("weekend")  # one row a week
-    before = F.coalesce(F.sum("n").over(kind.orderBy("fold").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return each.withColumn("n_train", F.when(F.col("weekend"), before).otherwise(F.sum("n").over(kind) - F.col("n")))
-
-
 def n_linear(days: DataFrame, origin: str, horizon: int, lookback: int = 28, value: str = "total") -> DataFrame:
     """``predicted`` daily totals of the days after the origin, by route: a linear map from the last ``lookback`` days to the next, both less the last value, by least
     squares over all windows up to the origin that show a whole horizon. Routes with fewer windows than ``lookback`` repeat their last value.
@@ -170,10 +138,10 @@ def n_linear(days: DataFrame, origin: str, horizon: int, lookback: int = 28, val
     return made.select("route", F.expr(f"date_add(DATE '{origin}', ahead)").alias("date"), "predicted")
 
 
-def importances(model, inputs: list[str], spark) -> DataFrame:
+def importances(model, spark) -> DataFrame:
     """How much each input of fitted trees counts, the greatest first."""
-    values = model[0].stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(inputs, values)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    found = boosting.importances(model[0])
+    return spark.createDataFrame(list(found.items()), "feature string, importance double").orderBy(F.desc(F.round("importance", 12)), "feature")
 
 
 def search(train: DataFrame, valid: DataFrame, inputs: list[str], target: str, grid: list[dict]) -> DataFrame:
@@ -181,7 +149,8 @@ def search(train: DataFrame, valid: DataFrame, inputs: list[str], target: str, g
     out = None
     for i, options in enumerate(grid):
         rows = score_with(boosted(train, inputs, target, **options), valid)
-        one = rows.agg(M.wape(F.col(target), F.col("predicted")).alias("wape")).select(F.lit(i).alias("setting"), F.lit(str(sorted(options.items()))).alias("options"), "wape")
+        named = sorted((k, v.name if isinstance(v, boosting.Loss) else v) for k, v in options.items())
+        one = rows.agg(M.wape(F.col(target), F.col("predicted")).alias("wape")).select(F.lit(i).alias("setting"), F.lit(str(named)).alias("options"), "wape")
         out = one if out is None else out.unionByName(one)
     return out.orderBy(F.round("wape", 12), "setting")
 
@@ -223,25 +192,14 @@ def origins(last_known: date, n: int, horizon: int) -> list[tuple[date, date, da
     return out[::-1]
 
 
-def fold_of(rows: DataFrame) -> DataFrame:
-    """ISO year and week as fold; a week is left out as a whole."""
-    return rows.withColumn("fold", F.extract(F.lit("YEAROFWEEK"), "date") * 100 + F.weekofyear("date"))
-
-
-def boosted(features: DataFrame, inputs: list[str], target: str, seed: int = 7, trees: int = 30, depth: int = 5, floor: float = 0.0, loss: str = "absolute", rate: float = 0.1):
-    """A fitted MLlib pipeline of gradient boosted trees with absolute or squared loss; ``score_with`` applies it."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    gather = VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep")
-    trees_ = GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="_predicted", lossType=loss, maxIter=trees, maxDepth=depth, seed=seed, stepSize=rate)
-    return Pipeline(stages=[gather, trees_]).fit(features.filter(F.col(target).isNotNull())), floor
+def boosted(features: DataFrame, inputs: list[str], target: str, trees: int = 30, depth: int = 5, floor: float = 0.0, loss: boosting.Loss | None = None, rate: float = 0.1, **options):
+    """Boosted trees by absolute loss, or another, on the rows whose target isn't null; ``score_with`` applies them and holds results to ``floor`` at least."""
+    return boosting.fit(features, inputs, target, loss or boosting.absolute(), trees=trees, depth=depth, rate=rate, **options), floor
 
 
 def score_with(model, rows: DataFrame) -> DataFrame:
     fitted, floor = model
-    return fitted.transform(rows).withColumn("predicted", F.greatest(F.lit(floor), F.col("_predicted"))).drop("_features", "_predicted")
+    return boosting.predict(fitted, rows).withColumn("predicted", F.greatest(F.lit(floor), F.col("predicted")))
 
 
 def bucketed(train: DataFrame, rows: DataFrame, inputs: list[str], target: str, ranges: list[tuple[int, int]], least: int = 80, **options) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
-from headway.operators import calendars, forecast, grid, history, labels, metrics
+from headway.operators import calendars, folds, forecast, grid, history, labels, metrics
 from headway.plans import bindings as B
 from headway.plans.bindings import dated_query, query, rounded
 
@@ -377,7 +379,7 @@ def _(spark, d):
   r AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY round(greatest(0.0, 1 - oe / greatest(ov, 1)), 12) DESC, id) AS n FROM o)
   SELECT r.origin, CAST(r.w_a AS DOUBLE) AS w_a, CAST(r.w_b AS DOUBLE) AS w_b, round(greatest(0.0, 1 - e.err / e.vol), 6) AS anchor, round(greatest(0.0, 1 - r.err / r.vol), 6) AS blend FROM r JOIN e ON e.origin = r.origin AND e.id = 10 WHERE n = 1""")
 def _(spark, d):
-    rows = forecast.fold_of(two_models(spark, d)).withColumn("origin", F.col("fold").cast("int"))
+    rows = folds.fold_of(two_models(spark, d)).withColumn("origin", F.col("fold").cast("int"))
     return metrics.leave_one_out(rows, ["a", "b"]).withColumns({c: F.round(c, 6) for c in ("anchor", "blend")})
 
 
@@ -406,9 +408,10 @@ def _(spark, d):
     return rounded(forecast.spread_daily(totals, rows.select(*grid.KEYS, (F.col("a") - 1000).alias("share"))).select(*grid.KEYS, "predicted"), 3)
 
 
-@query("fc_15_week_folds", f"WITH {B.TARGETS} SELECT route, CAST(isoyear(date) * 100 + weekofyear(date) AS INT) AS fold, count(*) AS n FROM t GROUP BY ALL")
+@query("fc_15_week_folds", "SELECT CAST(o_custkey % 3 AS INT) AS route, CAST(isoyear(o_orderdate) * 100 + weekofyear(o_orderdate) AS INT) AS fold, count(*) AS n FROM orders GROUP BY ALL")
 def _(spark, d):
-    return forecast.fold_of(B.targets(spark)).groupBy("route", F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("n"))
+    rows = B.table(spark, d, "orders").select((F.col("o_custkey") % 3).cast("int").alias("route"), F.to_date("o_orderdate").alias("date"))
+    return folds.fold_of(rows).groupBy("route", F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("n"))
 
 
 @query("fc_22_points", f"WITH {CHAMPION}, s AS (SELECT route, greatest(0.0, 1 - sum(abs(actual - predicted)) / sum(actual)) AS score FROM sc GROUP BY route) SELECT route, CAST(CASE WHEN score <= .48 THEN 0 WHEN score <= .60 THEN 1 WHEN score <= .70 THEN 2 WHEN score <= .80 THEN 3 WHEN score <= .88 THEN 4 ELSE 5 END AS INT) AS points FROM s")
@@ -418,7 +421,7 @@ def _(spark, d):
 
 @dated_query("fc_23_daily_trees")
 def _(spark, d):
-    """Gradient boosted trees on daily totals; MLlib, so no SQL."""
+    """Gradient boosted trees on daily totals; a plain loop tests the trees."""
     days = history.trailing(history.daily(B.dense(spark, d)).select("route", "date", "total"), (7, 28)).withColumn("dow", F.weekday("date"))
     from pyspark.sql import Window as W
 
@@ -435,9 +438,21 @@ def _horizons(spark, d):
     return rows.filter(F.col("date") < half), rows.filter(F.col("date") >= half)
 
 
+def by_origin(spark, d, origin: str, days: int = 61):
+    """Each hour of the days after an origin: its actual, the champion's forecast and the copied week as the origin knew them, and the horizon."""
+    first, last = str(date.fromisoformat(origin) + timedelta(days=1)), str(date.fromisoformat(origin) + timedelta(days=days))
+    targets, known = grid.dense(B.routes(spark), first, last), B.dense(spark, d)
+    rows = forecast.seasonal_naive(targets, known, origin).withColumnRenamed("predicted", "a")
+    ahead = F.datediff("date", F.lit(origin).cast("date"))
+    rows = rows.withColumns({"horizon": ahead, "dow": F.weekday("date"), "_back": F.date_sub("date", (7 * F.ceil(ahead / 7)).cast("int"))})
+    back = known.select("route", "hour", F.col("date").alias("_back"), F.col("value").alias("b"))
+    rows = rows.join(back, ["route", "hour", "_back"]).drop("_back")
+    return rows.join(known.withColumnRenamed("value", "actual"), grid.KEYS)
+
+
 @dated_query("fc_19_residual_trees")
 def _(spark, d):
-    """The frozen forecast corrected by trees of the first month's errors; MLlib, so no SQL."""
+    """The frozen forecast corrected by trees of the first month's errors; a plain loop tests the trees."""
     train, rows = _horizons(spark, d)
     out = forecast.corrected(train, rows, ["route", "dow", "hour", "b"], "a", "actual", trees=5, depth=4)
     return rounded(out.select(*grid.KEYS, "predicted"), 3)
@@ -445,8 +460,7 @@ def _(spark, d):
 
 @dated_query("fc_24_horizon_buckets")
 def _(spark, d):
-    """Trees by range of the horizon, with those of all rows where a range has too few; MLlib, so no SQL."""
-    train, rows = _horizons(spark, d)
-    # the second month's rows take the range of a month before
-    out = forecast.bucketed(train, rows.withColumn("horizon", F.col("horizon") - 31), ["route", "dow", "hour", "a", "b"], "actual", [(1, 14), (15, 31)], trees=5, depth=4)
+    """Trees by range of the horizon, learned from two earlier origins that show the whole of it; a plain loop tests the trees."""
+    train = by_origin(spark, d, "2000-12-31").unionByName(by_origin(spark, d, "2001-02-28"))
+    out = forecast.bucketed(train, by_origin(spark, d, B.CUTOFF), ["route", "dow", "hour", "a", "b"], "actual", [(1, 14), (15, 61)], trees=4, depth=3)
     return rounded(out.select(*grid.KEYS, "predicted"), 3)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import date
+from math import comb
 
 from pyspark.sql import functions as F
 
-from headway.operators import calendars, forecast, grid, history, metrics
+from headway.functions.sessions import cut
+from headway.operators import boosting, calendars, folds, forecast, grid, history, metrics, sampling, selection
 from headway.plans import bindings as B
 from headway.plans.bindings import dated_query, query, rounded
 from headway.plans.history_queries import CHAMPION, ERROR, MODELS, _error, scored, two_models
@@ -159,7 +161,7 @@ def _(spark, d):
 
 @query("rank_8_best_fold", f"WITH {CHAMPION}, s AS (SELECT route, CAST(isoyear(date) * 100 + weekofyear(date) AS INT) AS fold, round(greatest(0.0, 1 - sum(abs(actual - predicted)) / sum(actual)), 9) AS score FROM sc GROUP BY ALL) SELECT route, fold, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, fold) AS k FROM s) WHERE k = 1")
 def _(spark, d):
-    each = metrics.by(forecast.fold_of(scored(spark, d)).withColumn("fold", F.col("fold").cast("int")), ["route", "fold"])
+    each = metrics.by(folds.fold_of(scored(spark, d)).withColumn("fold", F.col("fold").cast("int")), ["route", "fold"])
     return rounded(metrics.best_fold(each.select("route", "fold", "score"), ["route"]))
 
 
@@ -171,28 +173,50 @@ def _(spark, d):
     return rounded(forecast.pooled(B.targets(spark), B.dense(spark, d), B.holidays(spark), B.CUTOFF).select(*grid.KEYS, "predicted"), 1)
 
 
-WINDOWS = (("2000-06-30", "2000-07-01", "2000-08-30"), ("2000-10-31", "2000-11-01", "2000-12-31"), ("2001-02-28", "2001-03-01", "2001-04-30"), (B.CUTOFF, B.FIRST, B.LAST))
+SPANS = [
+    selection.Span(*x)
+    for x in (
+        ("2000-06-30", "2000-08-30", "dev"), ("2000-08-31", "2000-10-31", "dev"), ("2000-10-31", "2000-12-31", "dev"), ("2001-02-28", "2001-04-30", "dev"),
+        (B.CUTOFF, B.LAST, "lock"), ("2001-05-14", B.LAST, "check"), ("2001-05-28", B.LAST, "check"),
+    )
+]
+SETTINGS = {"weeks": (3, 4, 6), "decays": (0.6, 0.75), "holidays": (4, 6), "shares": (0.0, 0.5), "shape_weeks": (2, 4), "shape_decays": (1.0,)}
 
 
 def _search_sql() -> str:
-    grids = ", ".join(B.grid_sql(f"t{i}", first, last) for i, (_, first, last) in enumerate(WINDOWS))
-    pasts = ", ".join(B.ewm_sql(f"t{i}", "z", cutoff, 8, f"p{i}") for i, (cutoff, _, _) in enumerate(WINDOWS))
-    rows = " UNION ALL ".join(f"SELECT {i} AS w, r.route, r.date, r.hour, r.value, r.k, z.value AS actual FROM p{i}_r r JOIN z ON z.route = r.route AND z.date = r.date AND z.hour = r.hour WHERE r.k < 8" for i in range(len(WINDOWS)))
-    return f"""WITH {B.DENSE}, {grids}, {pasts}, a AS ({rows}), c AS (SELECT CAST(n AS INT) AS weeks, CAST(d AS DOUBLE) AS decay FROM (VALUES (1), (2), (4), (8)) q(n), (VALUES (0.5), (0.75), (1.0)) s(d)),
-  f AS (SELECT a.w, weeks, decay, route, date, hour, any_value(actual) AS actual, sum(value * power(decay, k)) / sum(power(decay, k)) AS p FROM a JOIN c ON a.k < c.weeks GROUP BY ALL),
-  s AS (SELECT w, weeks, decay, greatest(0.0, 1 - sum(abs(actual - p)) / sum(actual)) AS score FROM f GROUP BY ALL),
-  gn AS (SELECT s.weeks, s.decay, s.score - o.score AS gain FROM s JOIN s o ON o.w = s.w AND o.weeks = 4 AND o.decay = 0.75),
-  e AS (SELECT weeks, decay, min(gain) AS least, avg(gain) AS mean, count(*) FILTER (gain > 1e-9) AS wins FROM gn GROUP BY ALL),
-  v AS (SELECT *, CASE wins WHEN 0 THEN 1.0 WHEN 1 THEN 15 / 16.0 WHEN 2 THEN 11 / 16.0 WHEN 3 THEN 5 / 16.0 ELSE 1 / 16.0 END AS p, row_number() OVER (ORDER BY round(least, 9) DESC, round(mean, 9) DESC, weeks, decay) = 1 AS chosen FROM e)
-  SELECT weeks, decay, round(least, 6) AS least_gain, round(mean, 6) AS mean_gain, wins, CAST(p AS DOUBLE) AS p_value, chosen, chosen AND (weeks <> 4 OR decay <> 0.75) AND p <= 0.1 AS accepted FROM v"""
+    """The rule as it is stated: profiles fixed at each origin, chosen on dev, confirmed by all spans and the lock."""
+    values = lambda xs, kind: ", ".join(f"(CAST({x} AS {kind}))" for x in xs)
+    spans = ", ".join(f"({i}, DATE '{s.origin}', DATE '{s.last}', '{s.role}')" for i, s in enumerate(SPANS))
+    n = len(SPANS)
+    chance = " ".join(f"WHEN {k} THEN {sum(comb(n, j) for j in range(k, n + 1))} / {2**n}.0" for k in range(n + 1))
+    return f"""WITH {B.DENSE}, {B.HOLIDAYS_SQL}, sp AS (SELECT * FROM (VALUES {spans}) v(span, origin, last, role)),
+  zz AS (SELECT *, CAST(isodow(date) AS INT) AS dow, CASE WHEN isodow(date) <= 5 THEN 0 ELSE isodow(date) - 5 END AS grp, date IN (SELECT date FROM hol) AS free, value / greatest(sum(value) OVER (PARTITION BY route, date), 1e-6) AS part FROM z),
+  w AS (SELECT span, route, hour, dow, value, row_number() OVER (PARTITION BY span, route, hour, dow ORDER BY date DESC) - 1 AS k FROM zz JOIN sp ON date <= origin),
+  hd AS (SELECT span, route, hour, value, row_number() OVER (PARTITION BY span, route, hour ORDER BY date DESC) - 1 AS k FROM zz JOIN sp ON date <= origin WHERE free),
+  ds AS (SELECT * FROM (VALUES {values(SETTINGS["decays"], "DOUBLE")}) v(decay)), ws AS (SELECT * FROM (VALUES {values(SETTINGS["weeks"], "INT")}) v(weeks)), hs AS (SELECT * FROM (VALUES {values(SETTINGS["holidays"], "INT")}) v(holidays)), ss AS (SELECT * FROM (VALUES {values(SETTINGS["shape_weeks"], "INT")}) v(shape_weeks)),
+  wp AS (SELECT span, route, hour, dow, weeks, decay, sum(value * power(decay, k)) / sum(power(decay, k)) AS base FROM w JOIN ws ON k < weeks, ds GROUP BY ALL),
+  wt AS (SELECT *, sum(base) OVER (PARTITION BY span, route, dow, weeks, decay) AS total FROM wp),
+  hp AS (SELECT span, route, hour, holidays, decay, CASE WHEN count(*) >= 2 THEN sum(value * power(decay, k)) / sum(power(decay, k)) END AS held FROM hd JOIN hs ON k < holidays, ds GROUP BY ALL),
+  ht AS (SELECT *, sum(held) OVER (PARTITION BY span, holidays, decay) AS volume FROM hp),
+  sh AS (SELECT span, route, hour, grp, shape_weeks, avg(part) AS p FROM zz JOIN sp ON date <= origin, ss WHERE NOT free AND date > origin - CAST(7 * shape_weeks AS INT) GROUP BY ALL),
+  st AS (SELECT * REPLACE (p / greatest(sum(p) OVER (PARTITION BY span, route, grp, shape_weeks), 1e-9) AS p) FROM sh),
+  c AS (SELECT weeks, decay, holidays, 0.0 AS share, CAST(4 AS INT) AS shape_weeks FROM ws, ds, hs UNION ALL SELECT weeks, decay, holidays, 0.5, shape_weeks FROM ws, ds, hs, ss),
+  f AS (SELECT t.span, t.role, c.*, t.value AS actual, greatest(0.0, CASE WHEN t.free AND ht.volume > 0 THEN ht.held WHEN share = 0 THEN wt.base ELSE wt.total * (0.5 * wt.base / greatest(wt.total, 1e-6) + 0.5 * coalesce(st.p, 0.0)) END) AS predicted
+    FROM (SELECT span, role, zz.* FROM zz JOIN sp ON date > origin AND date <= last) t JOIN c ON TRUE
+    JOIN wt ON wt.span = t.span AND wt.route = t.route AND wt.hour = t.hour AND wt.dow = t.dow AND wt.weeks = c.weeks AND wt.decay = c.decay
+    LEFT JOIN ht ON ht.span = t.span AND ht.route = t.route AND ht.hour = t.hour AND ht.holidays = c.holidays AND ht.decay = c.decay
+    LEFT JOIN st ON st.span = t.span AND st.route = t.route AND st.hour = t.hour AND st.grp = t.grp AND st.shape_weeks = c.shape_weeks),
+  s AS (SELECT span, role, weeks, decay, holidays, share, shape_weeks, greatest(0.0, 1 - sum(abs(actual - predicted)) / sum(actual)) AS score FROM f GROUP BY ALL),
+  gn AS (SELECT s.*, round(s.score - o.score, 9) AS gain FROM s JOIN s o ON o.span = s.span AND o.weeks = 4 AND o.decay = 0.75 AND o.holidays = 6 AND o.share = 0),
+  e AS (SELECT weeks, decay, holidays, share, shape_weeks, min(gain) FILTER (role = 'dev') AS least, round(avg(gain) FILTER (role = 'dev'), 9) AS mean, count(*) FILTER (gain > 1e-9) AS wins, min(gain) FILTER (role = 'lock') AS lock_gain FROM gn GROUP BY ALL),
+  v AS (SELECT *, CAST(CASE wins {chance} END AS DOUBLE) AS p, row_number() OVER (ORDER BY least DESC, mean DESC, weeks, decay, holidays, share, shape_weeks) = 1 AS chosen FROM e)
+  SELECT weeks, CAST(decay AS DOUBLE) AS decay, holidays, CAST(share AS DOUBLE) AS share, shape_weeks, CAST(1.0 AS DOUBLE) AS shape_decay, round(least, 6) AS least_gain, round(mean, 6) AS mean_gain, wins, round(lock_gain, 6) AS lock_gain, CAST({n} AS INT) AS windows, round(p, 6) AS p_value, chosen,
+    chosen AND NOT (weeks = 4 AND decay = 0.75 AND holidays = 6 AND share = 0) AND p <= 0.05 AND lock_gain >= 0 AS accepted FROM v"""
 
 
 @query("fc_5_profile_search", _search_sql())
 def _(spark, d):
-    known = B.dense(spark, d)
-    actual = known.select(*grid.KEYS, F.col("value").alias("actual"))
-    windows = [(grid.dense(B.routes(spark), first, last).join(actual, grid.KEYS), known, cutoff) for cutoff, first, last in WINDOWS]
-    return rounded(forecast.profile_search(windows))
+    return rounded(selection.search(B.dense(spark, d), B.holidays(spark), SPANS, selection.profiles(**SETTINGS)))
 
 
 @dated_query("fc_8_roll_forward", f"""WITH RECURSIVE {B.DENSE}, r AS (SELECT a.route, a.hour, a.date, b.value AS prev, a.value AS cur, 0 AS step FROM z a JOIN z b ON b.route = a.route AND b.hour = a.hour AND b.date = a.date - 7 WHERE a.date > DATE '{B.CUTOFF}' - 7 AND a.date <= DATE '{B.CUTOFF}'
@@ -208,14 +232,14 @@ FOLDS = f"{MODELS}, fo AS (SELECT CAST(isoyear(date) * 100 + weekofyear(date) AS
 
 @query("fc_12_gate", f"WITH {FOLDS}, ga AS (SELECT avg(candidate - base) FILTER (NOT lock) AS mean_gain, count(*) FILTER (NOT lock AND candidate > base) AS wins, max(base - candidate) FILTER (NOT lock) AS worst_drop, min(candidate - base) FILTER (lock) AS lock_gain, min(cw - bw) FILTER (NOT lock) AS workday_gain FROM fk) SELECT round(mean_gain, 6) AS mean_gain, wins, round(worst_drop, 6) AS worst_drop, round(lock_gain, 6) AS lock_gain, round(workday_gain, 6) AS workday_gain, mean_gain >= 0.005 AND wins >= 3 AND worst_drop <= 0.01 AND lock_gain > 0 AND workday_gain >= -0.002 AS accepted FROM ga")
 def _(spark, d):
-    rows = forecast.fold_of(two_models(spark, d).filter("date < DATE '2001-06-25'"))
+    rows = folds.fold_of(two_models(spark, d).filter("date < DATE '2001-06-25'"))
     work = F.weekday("date") < 5
     only = lambda c: F.when(work, F.col(c))
-    folds = rows.groupBy("fold").agg(
+    each = rows.groupBy("fold").agg(
         metrics.score(F.col("actual"), F.col("b")).alias("base"), metrics.score(F.col("actual"), F.col("a")).alias("candidate"),
         metrics.score(only("actual"), only("b")).alias("base_workday"), metrics.score(only("actual"), only("a")).alias("candidate_workday"),
     )
-    return rounded(metrics.gate(folds.withColumn("kind", F.when(F.col("fold") >= 200125, "lock").otherwise("dev"))))
+    return rounded(metrics.gate(each.withColumn("kind", F.when(F.col("fold") >= 200125, "lock").otherwise("dev"))))
 
 
 @dated_query("fc_14_over_range", f"""WITH {MODELS}, r AS ({B.grid_sql('x', '2001-04-01', B.LAST).split(' AS (', 1)[1]} SELECT r.route, r.date, r.hour, CAST(round_even(greatest(0.0, coalesce(w.a, o.value / 2, 0.0)), 0) AS BIGINT) AS prediction FROM r LEFT JOIN (SELECT * FROM w WHERE date >= DATE '2001-05-20') w ON w.route = r.route AND w.date = r.date AND w.hour = r.hour LEFT JOIN (SELECT * FROM z WHERE date < DATE '2001-06-01') o ON o.route = r.route AND o.date = r.date AND o.hour = r.hour WHERE r.route <> 2""")
@@ -225,9 +249,21 @@ def _(spark, d):
     return forecast.over_range(grid.dense(B.routes(spark), "2001-04-01", B.LAST), old, new, without=(2,))
 
 
-@query("fc_15_training_rows", f"WITH {B.TARGETS}, f AS (SELECT CAST(isoyear(date) * 100 + weekofyear(date) AS INT) AS fold, isodow(date) >= 6 AS weekend, count(*) AS n FROM t GROUP BY ALL) SELECT fold, weekend, n, CAST(CASE WHEN weekend THEN coalesce(sum(n) OVER (PARTITION BY weekend ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE sum(n) OVER (PARTITION BY weekend) - n END AS BIGINT) AS n_train FROM f")
+FOLD_DAYS = "DATE '2001-01-01' AND DATE '2001-06-30'"
+
+
+@dated_query("fc_15_out_of_fold", f"""WITH {B.DENSE}, r AS (SELECT z.route, z.date, z.hour, z.value AS y, p.value AS x, CAST(isoyear(z.date) * 100 + weekofyear(z.date) AS INT) AS fold, isodow(z.date) >= 6 AS weekend FROM z JOIN z p ON p.route = z.route AND p.hour = z.hour AND p.date = z.date - 7 WHERE z.date BETWEEN {FOLD_DAYS}),
+  gr AS (SELECT route, weekend, fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM r GROUP BY ALL),
+  q AS (SELECT route, weekend, fold, """ + ", ".join(f"CASE WHEN weekend THEN coalesce(sum({c}) OVER (PARTITION BY route, weekend ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE sum({c}) OVER (PARTITION BY route, weekend) - {c} END AS {c}" for c in ("n", "sx", "sy", "sxx", "sxy")) + """ FROM gr),
+  b AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM q WHERE n >= 24)
+  SELECT r.route, r.date, r.hour, CAST(q.n AS BIGINT) AS n_train, CASE WHEN slope IS NOT NULL THEN round(greatest(0.0, (b.sy - slope * b.sx) / b.n + slope * x), 1) END AS predicted FROM r JOIN q USING (route, weekend, fold) LEFT JOIN b USING (route, weekend, fold)""")
 def _(spark, d):
-    return forecast.training_rows(B.targets(spark)).withColumn("fold", F.col("fold").cast("int"))
+    """Each hour from the same hour of the week before, by route: weekdays fitted on all other weeks, weekends on earlier ones."""
+    rows = B.dense(spark, d).filter("date BETWEEN DATE '2000-12-25' AND DATE '2001-06-30'")
+    past = rows.select("route", "hour", F.date_add("date", 7).alias("date"), F.col("value").alias("x"))
+    rows = folds.fold_of(rows.filter(f"date BETWEEN {FOLD_DAYS}").join(past, grid.KEYS))
+    out = folds.out_of_fold(rows, ["x"], "value", forward=F.weekday("date") >= 5, by=["route"], least=24)
+    return rounded(out.select(*grid.KEYS, "n_train", "predicted"), 1)
 
 
 @query("fc_16_origins", "WITH m AS (SELECT CAST(d AS DATE) - 1 AS c FROM generate_series(DATE '2000-01-01', DATE '2001-07-01', INTERVAL 1 MONTH) x(d)) SELECT CAST(c AS VARCHAR) AS cutoff, CAST(c + 1 AS VARCHAR) AS first, CAST(c + 61 AS VARCHAR) AS last FROM m WHERE c + 61 <= DATE '2001-06-30' ORDER BY c DESC LIMIT 5")
@@ -247,31 +283,79 @@ def _halves(spark, d):
     return rows.filter(F.col("date") < half), rows.filter(F.col("date") >= half)
 
 
+LINES = ["l_quantity", "discount", "tax"]
+#: Bins of the line items' inputs, as steps: 10 of the quantity, each per cent of discount and tax.
+EDGES = [[float(x) for x in range(5, 50, 5)], [float(x) for x in range(10)], [float(x) for x in range(8)]]
+
+
+def lines(spark, d):
+    return B.table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("l_quantity"), *[F.round(100 * F.col(f"l_{c}")).alias(c) for c in ("discount", "tax")], F.round(F.col("l_extendedprice")).alias("price"))
+
+
+def _split_sql() -> str:
+    """The root's split gains for squared loss: sums of what the mean leaves, below and above each edge."""
+    cuts = " UNION ALL ".join(f"SELECT {i} AS feature, {k} AS bin, {c} <= {e} AS below, g FROM x" for i, (c, edges) in enumerate(zip(LINES, EDGES)) for k, e in enumerate(edges))
+    return f"""WITH l AS (SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, round(100 * l_discount) AS discount, round(100 * l_tax) AS tax, round(l_extendedprice) AS price FROM lineitem), x AS (SELECT *, (SELECT avg(price) FROM l) - price AS g FROM l),
+  c AS (SELECT feature, bin, count(*) FILTER (below) AS n_left, sum(g) FILTER (below) AS gl, count(*) AS n, sum(g) AS g FROM ({cuts}) GROUP BY ALL)
+  SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, n_left, n - n_left AS n_right, round((gl * gl / (n_left + 1.0) + (g - gl) * (g - gl) / (n - n_left + 1.0) - g * g / (n + 1.0)) / n, 3) AS gain FROM c WHERE n_left >= 20 AND n - n_left >= 20"""
+
+
+@query("fc_18_split_gains", _split_sql())
+def _(spark, d):
+    """What each split of the first tree's root would gain, by row, over all line items."""
+    known, loss = lines(spark, d).select(F.col("price").alias("_y"), *LINES), boosting.squared()
+    mean = known.agg(loss.start(F.col("_y"))).first()[0]
+    rows = known.select("_y", F.lit(mean).alias("_raw"), F.array(*[boosting.bin_of(F.col(c), e) for c, e in zip(LINES, EDGES)]).alias("_bins"))
+    tried = boosting.split_gains(boosting.histograms(rows, boosting.Tree(), [1], loss), 1.0, 20)[1]  # a row a bin
+    made = [(f, b, left[2], right[2], gain / (left[2] + right[2])) for gain, f, b, left, right in tried]
+    return rounded(spark.createDataFrame(made, "feature int, bin int, n_left long, n_right long, gain double"), 3)
+
+
 @query("fc_18_losses")
 def _(spark, d):
-    """The error of trees by absolute and by squared loss; MLlib, so no SQL."""
-    train, valid = _halves(spark, d)
-    return rounded(forecast.search(train, valid, ["route", "dow", "hour", "a", "b"], "actual", [{"trees": 5, "depth": 4, "loss": x} for x in ("absolute", "squared")]))
+    """The mean loss and the weighted error over all line items of trees by each loss, and the share of prices under the prediction; a plain loop tests the trees."""
+    rows, out = lines(spark, d), None
+    price = F.col("price")
+    for loss in (boosting.squared(), boosting.absolute(), boosting.quantile(0.7), boosting.huber(5000.0), boosting.fair(5000.0), boosting.poisson(), boosting.tweedie(1.5)):
+        model = boosting.fit(rows, LINES, "price", loss, trees=3, depth=2, rate=0.5, edges=EDGES)
+        made = boosting.predict(model, rows)
+        flat = boosting.Model(model.inputs, model.edges, loss, model.start, model.rate, [])
+        one = made.agg(F.avg(loss.value(price, boosting.raw(flat))).alias("loss_before"), F.avg(loss.value(price, boosting.raw(model))).alias("loss_after"), metrics.wape(price, F.col("predicted")).alias("wape"), F.avg((price <= F.col("predicted")).cast("double")).alias("share_below"))
+        one = one.select(F.lit(loss.name).alias("loss"), (F.col("loss_after") < F.col("loss_before")).alias("falls"), "wape", "share_below")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 @query("fc_21_parameter_search")
 def _(spark, d):
-    """The error of trees by depth and rate; MLlib, so no SQL."""
+    """Settings of trees tried by a sampler that learns from the errors so far; a plain loop tests the sampler."""
     train, valid = _halves(spark, d)
-    return rounded(forecast.search(train, valid, ["route", "dow", "hour", "a", "b"], "actual", [{"trees": 4, "depth": n, "rate": r} for n in (3, 5) for r in (0.1, 0.3)]))
+    train, valid = cut(train), cut(valid)
+    inputs = ["route", "dow", "hour", "a", "b"]
+    space = [sampling.Real("rate", 0.05, 0.5, log=True), sampling.Whole("depth", 1, 4), sampling.Choice("loss", ("absolute", "quantile", "squared"))]
+    losses = {"absolute": boosting.absolute(), "quantile": boosting.quantile(0.55), "squared": boosting.squared()}
+
+    def error(setting: dict) -> float:
+        model = boosting.fit(train, inputs, "actual", losses[setting["loss"]], trees=3, depth=setting["depth"], rate=setting["rate"], bins=16)
+        made = boosting.predict(model, valid).agg(metrics.wape(F.col("actual"), F.greatest(F.lit(0.0), F.col("predicted"))).alias("wape"))
+        return made.first()["wape"]
+
+    trials = sampling.search(spark, space, error, trials=8, batch=4, seed=7)
+    made = [(t.number, float(t.setting["rate"]), int(t.setting["depth"]), t.setting["loss"], t.value) for t in trials]
+    return rounded(spark.createDataFrame(made, "trial int, rate double, depth int, loss string, wape double"))
 
 
 @query("agg_44_importances")
 def _(spark, d):
-    """How much the inputs of fitted trees count; MLlib, so no SQL."""
+    """How much the inputs of fitted trees count; a plain loop tests the trees."""
     train, _ = _halves(spark, d)
     inputs = ["route", "dow", "hour", "a", "b"]
-    return rounded(forecast.importances(forecast.boosted(train, inputs, "actual", trees=5, depth=4), inputs, spark))
+    return rounded(forecast.importances(forecast.boosted(train, inputs, "actual", trees=5, depth=4), spark))
 
 
 @dated_query("fc_23_mean_trees")
 def _(spark, d):
-    """Trees on the mean hour of a day, times its hours; MLlib, so no SQL."""
+    """Trees on the mean hour of a day, times its hours; a plain loop tests the trees."""
     days = history.daily(B.dense(spark, d)).withColumns({"dow": F.weekday("date"), "month": F.month("date")})
     model = forecast.boosted(days.filter(PAST), ["route", "dow", "month"], "mean", trees=5, depth=4)
     out = forecast.score_with(model, days.filter(f"NOT ({PAST})"))
