@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The type of a content part, and of a turn's parts. ``ref`` names an attachment; ``units`` is its size in the unit that costs tokens.
 PART = "struct<kind:string,text:string,ref:string,units:int>"
 START, END = "<|im_start|>", "<|im_end|>"
+#: Code points in a block of a formatted string that is read back.
+BLOCK = 4096
 #: Tokens that an attachment's placeholder expands to, per unit (image tiles, seconds of audio, document pages).
 TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 512}
 
@@ -68,41 +70,39 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.struct(
             "turn",
             F.coalesce("role", F.lit("")).alias("role"),
-            F.transform(parts, lambda p: F.struct(visit(p).alias("body"), p["kind"].eqNullSafe("text").alias("is_text"))).alias("pieces"),
-            F.transform(F.filter(parts, lambda p: ~p["kind"].eqNullSafe("text")), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))).alias("attached"),
+            F.transform(parts, lambda p: F.struct(visit(p).alias("body"), p["kind"].eqNullSafe("text").alias("is_text"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))).alias("pieces"),
         ).alias("t"),
     )
     chats = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # every string of the output in order, with whether it bears loss
-    strings = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.concat(
-                F.array(F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("body"), F.lit(False).alias("loss"))),
-                F.transform(t["pieces"], lambda p: F.struct(p["body"].alias("body"), (p["is_text"] & (t["role"] == "assistant")).alias("loss"))),
-                F.array(F.struct(F.lit(END + "\n").alias("body"), F.lit(False).alias("loss"))),
-            ),
-        )
-    )
-    chats = chats.withColumn("strings", strings)
-    spans = F.aggregate(
-        "strings",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, s: F.struct(
-            (a["at"] + F.length(s["body"])).alias("at"),
-            F.when(s["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(s["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    attached = F.flatten(F.transform("turns", lambda t, i: F.transform(t["attached"], lambda p: F.struct(i.alias("position"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))))
-    return chats.select(
+    # every string of the output in order, with whether it bears loss and what is attached there; all that follows stays where the turns have met
+    each = chats.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", "turn", F.posexplode(_strings(F.col("t"), F.col("turn"))).alias("part", "s"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.select("conv_id", F.struct("turn", "part", F.coalesce(F.sum(F.length("s.body")).over(before), F.lit(0)).cast("int").alias("start"), "s").alias("p"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    attached = F.transform(F.filter("p", lambda x: x["s"]["attached"].isNotNull()), lambda x: x["s"]["attached"])
+    return whole.select(
         "conv_id",
-        F.array_join(F.transform("strings", lambda s: s["body"]), "").alias("formatted"),
-        spans.alias("mask"),
+        F.array_join(F.transform("p", lambda x: x["s"]["body"]), "").alias("formatted"),
+        F.transform(F.filter("p", lambda x: x["s"]["loss"]), lambda x: F.struct(x["start"].alias("start"), F.length(x["s"]["body"]).alias("length"))).alias("mask"),
         attached.alias("attachments"),
         F.coalesce(F.aggregate(attached, F.lit(0).cast("long"), lambda n, p: n + p["tokens"]), F.lit(0)).alias("expanded_tokens"),
     )
 
 
+def _strings(turn: Column, position: Column) -> Column:
+    """What a turn adds to the output: its head, its pieces and its end, as (body, loss, attached)."""
+    attached = "struct<position:int,kind:string,ref:string,tokens:bigint>"
+
+    def fixed(body: Column) -> Column:
+        return F.array(F.struct(body.alias("body"), F.lit(False).alias("loss"), F.lit(None).cast(attached).alias("attached")))
+
+    def piece(p: Column) -> Column:
+        here = F.struct(position.cast("int").alias("position"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))
+        return F.struct(p["body"].alias("body"), (p["is_text"] & (turn["role"] == "assistant")).alias("loss"), F.when(~p["is_text"], here).cast(attached).alias("attached"))
+
+    return F.concat(fixed(F.concat(F.lit(START), escape_role(turn["role"]), F.lit("\n"))), F.transform(turn["pieces"], piece), fixed(F.lit(END + "\n")))
+
+
 #: A placeholder of an attachment; an escaped text has none.
 _PLACE = r"<\|([a-z]+)\|>"
 
@@ -126,8 +126,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """The texts under the loss mask, unescaped, in order."""
-    return F.transform(mask, lambda m: unescape(F.substr(formatted, m["start"] + 1, m["length"])))
+    """The texts under the loss mask, unescaped, in order. The string is cut into blocks once, so that a span is read from its blocks and not from the start."""
+
+    def spans(blocks: Column) -> Column:
+        def text(m: Column) -> Column:
+            first, last = F.floor(m["start"] / BLOCK).cast("int"), F.floor((m["start"] + m["length"]) / BLOCK).cast("int")
+            return unescape(F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), m["start"] - first * BLOCK + 1, m["length"]))
+
+        return F.transform(mask, text)
+
+    return F.transform(F.array(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))), spans)[0]
 
 
 SQL = r"""
