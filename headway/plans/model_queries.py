@@ -255,7 +255,7 @@ FOLD_DAYS = "DATE '2001-01-01' AND DATE '2001-06-30'"
 @dated_query("fc_15_out_of_fold", f"""WITH {B.DENSE}, r AS (SELECT z.route, z.date, z.hour, z.value AS y, p.value AS x, CAST(isoyear(z.date) * 100 + weekofyear(z.date) AS INT) AS fold, isodow(z.date) >= 6 AS weekend FROM z JOIN z p ON p.route = z.route AND p.hour = z.hour AND p.date = z.date - 7 WHERE z.date BETWEEN {FOLD_DAYS}),
   gr AS (SELECT route, weekend, fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM r GROUP BY ALL),
   q AS (SELECT route, weekend, fold, """ + ", ".join(f"CASE WHEN weekend THEN coalesce(sum({c}) OVER (PARTITION BY route, weekend ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE sum({c}) OVER (PARTITION BY route, weekend) - {c} END AS {c}" for c in ("n", "sx", "sy", "sxx", "sxy")) + """ FROM gr),
-  b AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM q WHERE n >= 24)
+  b AS (SELECT *, coalesce((n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0), 0.0) AS slope FROM q WHERE n >= 24)
   SELECT r.route, r.date, r.hour, CAST(q.n AS BIGINT) AS n_train, CASE WHEN slope IS NOT NULL THEN round(greatest(0.0, (b.sy - slope * b.sx) / b.n + slope * x), 1) END AS predicted FROM r JOIN q USING (route, weekend, fold) LEFT JOIN b USING (route, weekend, fold)""")
 def _(spark, d):
     """Each hour from the same hour of the week before, by route: weekdays fitted on all other weeks, weekends on earlier ones."""
