@@ -191,4 +191,6 @@ def test_ranks_without_one_group(spark):
     assert got == {i: 1 + sum(w > v for w in values.values()) for i, v in values.items()}
     order = [r["id"] for r in sorted(ranking.numbered(frame, [F.col("v").asc_nulls_last(), F.col("id")], "n").collect(), key=lambda r: r["n"])]
     assert order == [i for i, v in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))]
+    parts = ranking.numbered_by(frame.withColumn("k", F.when(F.col("id") < 150, "big").otherwise("small")), ["k"], [F.col("id").desc()], "n").collect()
+    assert all(r["n"] == (149 - r["id"] if r["k"] == "big" else 199 - r["id"]) for r in parts) and len(parts) == 200
     assert ranking.ranked(frame.limit(0), [F.col("v")], "r").count() == 0
