@@ -3,34 +3,40 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headway.llm.common import cut
+
 UNKNOWN = "unknown"
 #: Notices and leading sentences of public licences, by family, in lower case as words of a-z and 0-9.
 TEMPLATES = {
     "agpl": (
         "licensed under the gnu affero general public license version 3",
         "you can redistribute it and or modify it under the terms of the gnu affero general public license",
-        "spdx license identifier agpl 3 0 or later",
+        "gnu affero general public license version 3 19 november 2007",
     ),
     "apache": (
         "licensed under the apache license version 2 0",
         "you may not use this file except in compliance with the license",
         "distributed on an as is basis without warranties or conditions of any kind either express or implied",
         "released under the apache license",
-        "spdx license identifier apache 2 0",
+        "apache license version 2 0 january 2004",
+    ),
+    "boost": (
+        "boost software license version 1 0 august 17th 2003",
+        "distributed under the boost software license version 1 0",
     ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted",
         "redistributions of source code must retain the above copyright notice",
         "released under the bsd license",
         "licensed under the bsd 3 clause license",
-        "spdx license identifier bsd 3 clause",
     ),
     "cc-by": (
         "licensed under cc by 4 0",
@@ -44,6 +50,14 @@ TEMPLATES = {
         "licensed under cc by sa 4 0",
         "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     ),
+    "epl": (
+        "eclipse public license v 2 0",
+        "the accompanying materials are made available under the terms of the eclipse public license",
+    ),
+    "gfdl": (
+        "gnu free documentation license version 1 3",
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
+    ),
     "cc0": (
         "to the extent possible under law the author has waived all copyright and related rights to this work",
         "released under cc0 1 0 universal",
@@ -52,33 +66,81 @@ TEMPLATES = {
         "this work is licensed under the gnu general public license version 3",
         "you can redistribute it and or modify it under the terms of the gnu general public license",
         "released under the gnu gpl version 3",
-        "spdx license identifier gpl 3 0 or later",
+        "gnu general public license version 3 29 june 2007",
+        "gnu general public license version 2 june 1991",
     ),
     "isc": (
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
         "licensed under the isc license",
-        "spdx license identifier isc",
     ),
     "lgpl": (
         "this library is licensed under the gnu lesser general public license version 3",
         "under the terms of the gnu lesser general public license",
-        "spdx license identifier lgpl 3 0 or later",
+        "gnu lesser general public license version 3 29 june 2007",
+        "gnu lesser general public license version 2 1 february 1999",
     ),
     "mit": (
         "released under the mit license",
         "licensed under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-        "spdx license identifier mit",
+        "the mit license mit",
     ),
     "mpl": (
         "this source code form is subject to the terms of the mozilla public license v 2 0",
         "licensed under the mozilla public license version 2 0",
+        "mozilla public license version 2 0",
     ),
     "unlicense": (
         "this is free and unencumbered software released into the public domain",
         "released under the unlicense",
     ),
+    "wtfpl": (
+        "do what the fuck you want to public license",
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed",
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty",
+        "in no event will the authors be held liable for any damages arising from the use of this software",
+        "licensed under the zlib license",
+    ),
+}
+#: The short identifiers of licences, by family.
+IDENTIFIERS = {
+    "agpl": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "apache": ("Apache-2.0",),
+    "boost": ("BSL-1.0",),
+    "bsd": ("BSD-2-Clause", "BSD-3-Clause"),
+    "cc-by": ("CC-BY-2.0", "CC-BY-2.5", "CC-BY-3.0", "CC-BY-4.0"),
+    "cc-by-nc": ("CC-BY-NC-2.0", "CC-BY-NC-2.5", "CC-BY-NC-3.0", "CC-BY-NC-4.0"),
+    "cc-by-sa": ("CC-BY-SA-2.0", "CC-BY-SA-2.5", "CC-BY-SA-3.0", "CC-BY-SA-4.0"),
+    "cc0": ("CC0-1.0",),
+    "epl": ("EPL-1.0", "EPL-2.0"),
+    "gfdl": ("GFDL-1.2", "GFDL-1.3", "GFDL-1.3-only", "GFDL-1.3-or-later"),
+    "gpl": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "isc": ("ISC",),
+    "lgpl": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "mit": ("MIT",),
+    "mpl": ("MPL-2.0",),
+    "unlicense": ("Unlicense",),
+    "wtfpl": ("WTFPL",),
+    "zlib": ("Zlib",),
 }
+#: The words that stand before an identifier, however the line names it.
+DECLARES = "spdx license identifier"
+
+
+def _with_identifiers() -> dict[str, tuple[str, ...]]:
+    """The notices of each family, and a template for each of its identifiers; those of Creative Commons stand alone, too."""
+    out = {}
+    for family, notices in TEMPLATES.items():
+        short = [re.sub("[^a-z0-9]+", " ", x.lower()) for x in IDENTIFIERS[family]]
+        alone = [x for x in short if x.startswith("cc by")]
+        out[family] = tuple(dict.fromkeys([*notices, *(f"{DECLARES} {x}" for x in short), *alone, *(f"licensed under {x}" for x in alone)]))
+    return out
+
+
+#: What a line is compared with: notices and identifiers.
+PATTERNS = _with_identifiers()
 #: Sentences near to the subject that grant nothing.
 OTHERS = (
     "he lost his driving license last year",
@@ -96,7 +158,14 @@ OTHERS = (
     "the song was released into the public domain last year",
     "you may not use this file after the date of the notice",
     "the general public may redistribute the leaflet without any fee",
+    "the software is not released under the license of the institute",
+    "this version 2 0 of the document is provided as is by the office",
+    "do what you want to do in public",
 )
+#: A notice that says what does not hold.
+NEGATED = r"\b(not|never|nor|neither|no longer|isn t|aren t|wasn t|cannot be)( [a-z0-9]+){0,2} (released|licensed|distributed|available|provided|offered|published|covered|redistributed)\b"
+#: A line that names licences by their identifiers, and what parts these.
+DECLARED, PARTED = r"(?:spdx-license-identifier|licen[sc]e)[\"']?\s*[:=]\s*(\S.*)$", r"\s+(?:or|and|with)\s+|[()/,|]+"
 #: Rows of the corpus that stand for no licence, at most about; grams in a row; rows of the calibration fold, one in so many.
 NEGATIVES, FOLD = 2000, 4
 #: Least calibrated probability; share of a template's pairs of words that must occur; passes and L1 strength of the fit.
@@ -110,9 +179,9 @@ def _grams(words: list[str]) -> list[str]:
 
 
 #: The grams that the classifier knows: every one of a template or of the other sentences.
-VOCABULARY = sorted({g for x in (*(t for family in TEMPLATES.values() for t in family), *OTHERS) for g in _grams(x.split())})
+VOCABULARY = sorted({g for x in (*(t for family in PATTERNS.values() for t in family), *OTHERS) for g in _grams(x.split())})
 #: Words of the longest template; the words that begin a gram.
-LONGEST = max(len(t.split()) for family in TEMPLATES.values() for t in family)
+LONGEST = max(len(t.split()) for family in PATTERNS.values() for t in family)
 HEADS = sorted({g.split()[0] for g in VOCABULARY})
 
 
@@ -123,23 +192,40 @@ def paragraphs(text: Column) -> Column:
 
 
 def blocks(text: Column) -> Column:
-    """The same lines as (words, opens): a line opens a block if it is the first or the one before has no word."""
-    raw = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\r\n|\n|\r"), lambda x: F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != ""))
+    """The same lines as (words, opens, declared): a line opens a block if it is the first or the one before has no word; ``declared`` has, for each identifier of a line
+    that names licences by them, the words of a line that would name it alone."""
+
+    def declared(x: Column) -> Column:
+        parts = F.split(F.regexp_extract(x, DECLARED, 1), PARTED)
+        words = F.filter(F.transform(parts, lambda p: F.filter(F.split(p, "[^a-z0-9]+"), lambda w: w != "")), lambda w: F.size(w) > 0)
+        named = F.transform(words, lambda w: F.concat(F.array(*map(F.lit, DECLARES.split())), w))
+        return F.when(F.contains(x, F.lit("licen")) & x.rlike(DECLARED), named).otherwise(F.array().cast("array<array<string>>"))
+
+    raw = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\r\n|\n|\r"), lambda x: F.struct(F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "").alias("words"), declared(x).alias("declared")))
 
     def numbered(raw: Column) -> Column:
-        lines = F.transform(raw, lambda w, i: F.struct(w.alias("words"), (F.coalesce(F.size(F.get(raw, i - 1)), F.lit(0)) <= 0).alias("opens")))
+        lines = F.transform(raw, lambda s, i: F.struct(s["words"].alias("words"), (F.coalesce(F.size(F.get(raw, i - 1)["words"]), F.lit(0)) <= 0).alias("opens"), s["declared"].alias("declared")))
         return F.filter(lines, lambda s: F.size(s["words"]) > 0)
 
     return _let(raw, numbered)
 
 
+def negated(words: Column) -> Column:
+    """Whether the words say that something is not licensed."""
+    return F.array_join(words, " ").rlike(NEGATED)
+
+
+#: Lines of a text that are judged together, the grams in them, and whether they deny.
+SEGMENTS = "array<struct<paragraph:int,last:int,grams:array<string>,negated:boolean>>"
+
+
 def windows(lines: Column, own: Column) -> Column:
-    """(paragraph, last, grams) of each run of two or more lines of a block in which a wrapped template may stand.
+    """(paragraph, last, grams, negated) of each run of two or more lines of a block in which a wrapped template may stand.
 
     A run goes on from its first line until as many words follow as the longest template has. It starts only at a line with a known gram
-    (``own`` has those of each line) or with a last word that begins one: no other line has a part of a template before its end.
+    (``own`` has their number in each line) or with a last word that begins one: no other line has a part of a template before its end.
     """
-    kind = "array<struct<paragraph:int,last:int,grams:array<string>>>"
+    kind = SEGMENTS
     none = F.array().cast(kind)
 
     def words(some: Column) -> Column:
@@ -150,10 +236,13 @@ def windows(lines: Column, own: Column) -> Column:
             stop = F.array_position(F.transform(after, lambda x: x["opens"]), True).cast("int")
             n = F.when(stop > 0, stop - 1).otherwise(F.size(after))
             ends = F.filter(F.sequence(F.lit(1), n), lambda k: F.size(words(F.slice(after, F.lit(1), k - 1))) < LONGEST)
-            made = F.transform(ends, lambda k: F.struct(i.alias("paragraph"), (i + k).alias("last"), known_grams(F.concat(s["words"], words(F.slice(after, F.lit(1), k)))).alias("grams")))
+            def joined(k: Column) -> Column:
+                return _let(F.concat(s["words"], words(F.slice(after, F.lit(1), k))), lambda w: F.struct(i.alias("paragraph"), (i + k).alias("last"), known_grams(w).alias("grams"), negated(w).alias("negated")))
+
+            made = F.transform(ends, joined)
             return F.when(n > 0, made.cast(kind)).otherwise(none)
 
-        starts = (F.size(F.get(own, i)) > 0) | F.element_at(s["words"], -1).isin(HEADS)
+        starts = (F.get(own, i) > 0) | F.element_at(s["words"], -1).isin(HEADS)
         return F.when(starts, _let(F.slice(lines, i + 2, F.lit(LONGEST)), of)).otherwise(none)
 
     # the shortest template has three pairs of words, and fewer grams than two cover none
@@ -212,7 +301,7 @@ class Model:
 
 def _shares(grams: Column, family: str) -> list[Column]:
     """For each of the family's templates, the share of its pairs of words that is among the grams."""
-    pairs = [[g for g in _grams(t.split()) if g.count(" ") == 1] for t in TEMPLATES[family]]
+    pairs = [[g for g in _grams(t.split()) if g.count(" ") == 1] for t in PATTERNS[family]]
     return [F.size(F.array_intersect(grams, F.array(*map(F.lit, p)))) / len(p) for p in pairs]
 
 
@@ -230,7 +319,7 @@ def _training_rows(spark: SparkSession, docs: DataFrame, negatives: int) -> Data
     The sample takes ids by hash, one paragraph of each, at most about ``negatives``; a paragraph that covers a template is left out.
     """
     made = []
-    for label, (_, texts) in enumerate([(UNKNOWN, OTHERS), *TEMPLATES.items()]):
+    for label, (_, texts) in enumerate([(UNKNOWN, OTHERS), *PATTERNS.items()]):
         for text in texts:
             words = text.split()
             cuts = {(0, len(words))} | {(a, a + n) for n in (len(words) * 3 // 4, len(words) - 1) for a in range(len(words) - n + 1) if n >= 5}
@@ -270,55 +359,71 @@ def learn(docs: DataFrame, negatives: int = NEGATIVES, passes: int = PASSES, str
     return model
 
 
+def segments(docs: DataFrame) -> DataFrame:
+    """doc_id, n_paragraphs and the parts of the text to judge: lines with a known gram, identifiers that a line declares, and runs of lines. Each text is handled by
+    itself and its lines are formed once."""
+
+    def of(lines: Column) -> Column:
+        def alone(s: Column, i: Column) -> Column:
+            def one(w: Column) -> Column:
+                return F.struct(i.alias("paragraph"), i.alias("last"), known_grams(w).alias("grams"), negated(w).alias("negated"))
+
+            return F.transform(F.concat(F.array(s["words"]), s["declared"]), one)
+
+        def all_(single: Column) -> Column:
+            parts = F.filter(F.flatten(single), lambda x: F.size(x["grams"]) > 0).cast(SEGMENTS)
+            runs = _let(F.transform(single, lambda x: F.size(F.get(x, 0)["grams"])), lambda own: windows(lines, own))
+            return F.struct(F.size(lines).cast("long").alias("n_paragraphs"), F.concat(parts, runs).alias("seen"))
+
+        return _let(F.transform(lines, alone), all_)
+
+    return docs.select("doc_id", _let(blocks(F.col("text")), of).alias("s")).select("doc_id", "s.n_paragraphs", "s.seen")
+
+
+def judged(kinds: DataFrame, model: Model) -> DataFrame:
+    """(grams, family, probability, coverage) of distinct sets of grams: the most probable family, and how much of one of its templates is there."""
+    names = F.array(*map(F.lit, model.families))
+
+    def first_best(p: Column) -> Column:
+        return _let(F.array_max(p), lambda top: F.struct(F.get(names, (F.array_position(p, top) - 1).cast("int")).alias("family"), top.alias("probability")))
+
+    best = kinds.select("grams", _let(model.probabilities(F.col("grams")), first_best).alias("b")).select("grams", "b.*")
+    return best.filter(F.col("family") != UNKNOWN).withColumn("coverage", coverage(F.col("grams"), F.col("family")))
+
+
 def scan(docs: DataFrame, model: Model, certain: float = CERTAIN, covered: float = COVERED) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_paragraphs, n_rejected, families, hits.
 
     ``hits`` lists (paragraph from 0, family, probability, coverage) of each line that the classifier gives to a family with
-    at least the probability ``certain`` and that covers ``covered`` of a template's pairs of words; ``families`` are theirs,
-    distinct and sorted. A notice that wraps is judged over the lines together (``windows``) and listed with its first line, unless fewer of
-    these lines are a hit of the family already or another family's hit on one of them covers more. ``n_rejected`` counts the lines given to a family that no template confirmed or that
-    were too uncertain, and that no hit has. A line without a known gram is unknown. A row is handled by itself: nothing is shuffled. Null
+    at least the probability ``certain``, that covers ``covered`` of a template's pairs of words and doesn't deny it; ``families`` are theirs,
+    distinct and sorted. A line that declares identifiers has a hit for each family that they name. A notice that wraps is judged over the lines together (``windows``) and listed with its first line, unless fewer of
+    these lines are a hit of the family already or another family's hit on one of them covers more. ``n_rejected`` counts the lines given to a family that no template confirmed, that deny it or that
+    were too uncertain, and that no hit has. A line without a known gram is unknown. Null
     and empty texts have no paragraphs; repeated rows repeat; an empty table gives none.
-    """
-    lines = docs.select("doc_id", blocks(F.col("text")).alias("lines")).withColumn("own", F.transform("lines", lambda s: known_grams(s["words"])))
-    kind = "array<struct<paragraph:int,last:int,grams:array<string>>>"
-    alone = F.filter(F.transform("own", lambda grams, i: F.struct(i.alias("paragraph"), i.alias("last"), grams.alias("grams"))), lambda s: F.size(s["grams"]) > 0).cast(kind)
-    seen = lines.select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), F.concat(alone, windows(F.col("lines"), F.col("own"))).alias("seen"))
-    names = F.array(*map(F.lit, model.families))
 
-    def judged(s: Column) -> Column:
-        def first_best(p: Column) -> Column:
-            return _let(F.array_max(p), lambda top: F.struct(F.get(names, (F.array_position(p, top) - 1).cast("int")).alias("family"), top.alias("probability")))
-
-        best = _let(model.probabilities(s["grams"]), first_best)
-        return _let(best, lambda b: F.struct(s["paragraph"].alias("paragraph"), s["last"].alias("last"), b["family"].alias("family"), b["probability"].alias("probability"), s["grams"].alias("grams")))
-
-    best = F.transform("seen", judged)
-    compared = F.transform(F.filter("best", lambda s: s["family"] != UNKNOWN), lambda s: F.struct(s["paragraph"].alias("paragraph"), s["last"].alias("last"), s["family"].alias("family"), s["probability"].alias("probability"), coverage(s["grams"], s["family"]).alias("coverage")))
-    # most rows have nothing to score: those skip it
-    none = F.size("seen") == 0
-    out = seen.withColumn("best", F.when(~none, best)).withColumn("compared", F.coalesce(F.when(~none, compared), F.array()))
-    out = out.withColumn("found", F.filter("compared", lambda s: (s["probability"] >= certain) & (s["coverage"] >= covered)))
-
-    def within(a: Column, b: Column) -> Column:
-        return (a["paragraph"] >= b["paragraph"]) & (a["last"] <= b["last"])
-
-    least = F.filter("found", lambda s: ~F.exists("found", lambda o: (o["family"] == s["family"]) & within(o, s) & ~within(s, o)))
-    out = out.withColumn("fewest", F.array_sort(least))
-
-    def better(s: Column) -> Column:
-        """A hit of another family on a line of the run covers more, as where the run cuts an LGPL notice off and looks like GPL."""
-        return F.exists("fewest", lambda o: (o["family"] != s["family"]) & (o["paragraph"] <= s["last"]) & (o["last"] >= s["paragraph"]) & (o["coverage"] > s["coverage"]))
-
-    out = out.withColumn("least", F.filter("fewest", lambda s: (s["paragraph"] == s["last"]) | ~better(s)))
-    rejected = F.filter("compared", lambda s: (s["paragraph"] == s["last"]) & ~F.exists("least", lambda h: within(s, h)))
-    return out.select(
-        "doc_id",
-        "n_paragraphs",
-        F.size(rejected).cast("long").alias("n_rejected"),
-        F.array_sort(F.array_distinct(F.transform("least", lambda s: s["family"]))).alias("families"),
-        F.transform("least", lambda s: F.struct(*[s[c].alias(c) for c in ("paragraph", "family", "probability", "coverage")])).alias("hits"),
-    )
+    Texts are cut into parts where they are. Equal sets of grams are judged once. Hits of a text meet by their first line, each looking at no more than the lines
+    that a template may span, so the time grows with their number and not with its square.
+    """
+    rows = cut(segments(docs).withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
+    kinds = cut(judged(each.select("grams").distinct(), model))
+    known = cut(each.join(kinds, "grams").groupBy("row", "paragraph", "last", "family", "negated").agg(F.max("probability").alias("probability"), F.max("coverage").alias("coverage")))
+    found = known.filter((F.col("probability") >= certain) & (F.col("coverage") >= covered) & ~F.col("negated"))
+    inside = Window.partitionBy("row", "family").orderBy(F.desc("paragraph"), "last").rowsBetween(Window.unboundedPreceding, -1)
+    fewest = found.withColumn("_least", F.min("last").over(inside)).filter("_least IS NULL OR _least > last").drop("_least")
+    near = Window.partitionBy("row").orderBy("paragraph").rangeBetween(-LONGEST, LONGEST)
+    fewest = fewest.withColumn("_near", F.collect_list(F.struct("family", "paragraph", "last", "coverage")).over(near))
+    # a hit of another family on a line of the run covers more, as where the run cuts an LGPL notice off and looks like GPL
+    better = F.exists("_near", lambda o: (o["family"] != F.col("family")) & (o["paragraph"] <= F.col("last")) & (o["last"] >= F.col("paragraph")) & (o["coverage"] > F.col("coverage")))
+    hits = fewest.filter((F.col("paragraph") == F.col("last")) | ~better).drop("_near")
+    lines = known.filter("paragraph = last").select("row", "paragraph", F.lit(None).cast("int").alias("_to")).distinct()
+    reach = F.max("_to").over(Window.partitionBy("row").orderBy("paragraph").rangeBetween(Window.unboundedPreceding, 0))
+    marked = lines.union(hits.select("row", "paragraph", F.col("last").alias("_to"))).withColumn("_reach", reach).filter("_to IS NULL")
+    rejected = marked.filter("_reach IS NULL OR _reach < paragraph").groupBy("row").agg(F.count("*").alias("n_rejected"))
+    listed = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("paragraph", "family", "probability", "coverage"))).alias("hits"))
+    out = rows.join(rejected, "row", "left").join(listed, "row", "left")
+    hits_ = F.coalesce("hits", F.array().cast("array<struct<paragraph:int,family:string,probability:double,coverage:double>>"))
+    return out.select("doc_id", "n_paragraphs", F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), F.array_sort(F.array_distinct(F.transform(hits_, lambda h: h["family"]))).alias("families"), hits_.alias("hits"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
