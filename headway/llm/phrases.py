@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.llm.common import cut
 from headway.llm.decontam import Filter, filter_of
+from headway.operators.ranking import numbered_by
 
 #: Occurrences that make a phrase a candidate, words of the longest phrase, per cent of a phrase that a longer one must reach to swallow it, phrases
 #: returned for each language.
@@ -21,8 +22,6 @@ LEAST, LONGEST, SWALLOW, TOP = 10, 3, 50, 2000
 CHUNK, REMEMBERED = 1_500_000, 1_000_000
 #: Pointers of a part of a hot prefix: a share of all words, within bounds; so there are at most 2**20 hot prefixes.
 PART_SHARE, PART_MOST, HOT_SHARE = 1 << 12, 4_000_000, 1 << 20
-#: Parts of each language in which its best phrases are found before they meet.
-SALTS = 64
 
 #: Bytes in place of bytes: A-Z in lower case, the ends of pieces as one full stop, a tab as a space.
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
@@ -290,9 +289,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sw
     named = named.groupBy("ids").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     rows = kept.join(named, "ids")
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    first = rows.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).filter(F.col("rank") <= top)
-    # at most SALTS * top rows of a language meet
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).filter(F.col("rank") <= top)
+    ranked = numbered_by(rows, ["lang"], best, "rank").filter(F.col("rank") < top).withColumn("rank", F.col("rank") + 1)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
