@@ -146,40 +146,70 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER
         return step
 
     parts = map_rows(taken, ["text", "lang"], make, "lang string, vector array<long>")
-    sums = parts.select("lang", F.posexplode("vector").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
-    table = np.zeros((len(names), dimensions))
-    for r in sums:
-        table[names.index(r["lang"]), r["at"]] = r["value"]
+    sums = parts.select("lang", F.posexplode("vector").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    # a row a language, packed: at most languages x dimensions numbers of eight bytes
+    packed = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v")).select("lang", F.transform("v", lambda x: x["value"]).alias("v")).toArrow()
+    found = {lang: packed.column("v").combine_chunks()[i].values.to_numpy() for i, lang in enumerate(packed.column("lang").to_pylist())}
+    table = np.array([found.get(n, np.zeros(dimensions)) for n in names], float)
     return names, unit(table).astype(np.float32)
 
 
-def marked(docs: DataFrame, model: tuple[list[str], np.ndarray], pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The rows of ``docs``, whole, with the language found and its score as two more columns, whose names ``docs`` must not have.
+#: Distinct trigrams that a text needs to be judged, and the cosine that its language must reach, and lead the second by, in deviations of chance
+#: (1 / sqrt(dimensions)): unrelated profiles stay under it.
+VARIETY, LEAST, LEAD = 25, 4.0, 1.0
+#: Verdicts: a language was found; the text says too little, or leans to two; it is in none of the languages.
+FOUND, UNSURE, NONE = "found", "unsure", "none"
+
+
+def verdict_of(text: str, best: float, second: float, dimensions: int) -> str:
+    """What a text with letters says: its language, too little, or none of the languages.
+
+    A cosine under LEAST deviations is what chance gives. A text of at least VARIETY distinct trigrams is then in none of the languages; one of fewer, such as a word or the same word over and over, is
+    left unjudged. Otherwise a language is found if it leads the second by LEAD deviations.
+    """
+    deviation = dimensions**-0.5
+    if best >= LEAST * deviation:
+        return FOUND if best - second >= LEAD * deviation else UNSURE
+    low = text.lower()
+    return NONE if len({x for x in zip(low, low[1:], low[2:]) if x[1].isalpha()}) >= VARIETY else UNSURE
+
+
+def marked(docs: DataFrame, model: tuple[list[str], np.ndarray], pred: str = "lang_pred", score: str = "score", verdict: str | None = None) -> DataFrame:
+    """The rows of ``docs``, whole, with the language found and its score as two more columns, and if asked for a third with the verdict (``verdict_of``), whose names
+    ``docs`` must not have.
 
     The language is the one whose prototype has the greatest cosine with the text's profile, the first by name of equal ones, and the score that cosine,
-    or 0 if negative. A text that is null or has no letter is ``und`` with score 0, and so is every text if no
+    or 0 if negative. A text that is null or has no letter is ``und`` with score 0 and verdict none, and every text is ``und``, with letters unsure, if no
     language was learned. Only the text is read for it. Repeated rows repeat; an empty table gives no rows.
     """
     names, table = model
     dimensions = table.shape[1]
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def found(texts: list[str]) -> tuple[list[str], list[float]]:
+    def found(texts: list[str]) -> tuple[list[str], list[float], list[str]]:
         languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         letters = [any(x.isalpha() for x in t) for t in texts]
+        verdicts = [UNSURE if x else NONE for x in letters]
         for a, b in groups(texts) if names else ():
             cosine = unit(profiles(texts[a:b], dimensions)) @ shared.value.T
+            second = np.partition(cosine, -2, 1)[:, -2] if len(names) > 1 else np.full(b - a, -1.0)
             for i, k in enumerate(cosine.argmax(1).tolist()):
                 if letters[a + i]:
                     languages[a + i], scores[a + i] = names[k], float(min(1, max(0, cosine[i, k])))
-        return languages, scores
+                    if verdict:
+                        verdicts[a + i] = verdict_of(texts[a + i], float(cosine[i, k]), float(second[i]), dimensions)
+        return languages, scores, verdicts
+
+    more = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(verdict, T.StringType())] if verdict else [])]
+    schema = T.StructType([*docs.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, scores = found([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
+            made = found([t or "" for t in batch.column("text").to_pylist()])
+            new = [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), *([pa.array(made[2], pa.string())] if verdict else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(run, schema)
 
 
 def learned(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
