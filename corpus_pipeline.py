@@ -10,10 +10,6 @@ from headway.llm.common import cut, shared_path
 from headway.llm.queries import TOKENIZER, table
 
 
-#: The cosine with the language found that a text must exceed: one that leans towards no prototype is in none of the corpus' languages.
-LEAST = 0.0
-
-
 def _free(docs: DataFrame, name: str) -> str:
     """The name, or one like it that no column of ``docs`` has."""
     while name.lower() in [c.lower() for c in docs.columns]:
@@ -30,29 +26,35 @@ def _md5(docs: DataFrame) -> Column:
     return F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
 
 
-def _once(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
-    """The rows that ``keys`` (key_id, key_text, times) name, once each: of rows that repeat id and text, any one."""
-    once = docs.join(keys.filter("times = 1"), _same(docs, digest, keys), "left_semi")
-    if keys.filter("times > 1").isEmpty():
-        return once
+def _without(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
+    """The rows that no key (key_id, key_text) names. Rows that are dropped are few beside those that stay, so the keys are theirs."""
+    return docs.join(keys.select("key_id", "key_text").distinct(), _same(docs, digest, keys), "left_anti")
+
+
+def _once(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
+    """``docs`` without what repeats: of rows with one id and text that stay, any one. ``kept`` (key_id, key_text) names every row that stays."""
+    repeated = cut(kept.groupBy("key_id", "key_text").agg(F.count("*").alias("times")).filter("times > 1"))
+    if repeated.isEmpty():
+        return docs
     name = _free(docs, "digest")
-    many = docs.join(keys.filter("times > 1"), _same(docs, digest, keys), "left_semi").withColumn(name, digest).dropDuplicates(["doc_id", name])
-    return once.union(many.drop(name))
+    many = docs.join(repeated, _same(docs, digest, repeated), "left_semi").withColumn(name, digest).dropDuplicates(["doc_id", name])
+    return _without(docs, digest, repeated).union(many.drop(name))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found. Those without text or without a letter go, and those whose cosine with the language found isn't above LEAST.
+    """Documents in the corpus' languages. Those without text or without a letter go, and those with enough text to judge whose profile comes no nearer to any learned
+    language than chance does (``langid.verdict_of``): other scripts, other languages, keyboard junk. Texts too short or too uniform to judge stay.
 
-    ``lang`` stays where it is set, and is the language found where it is null. In a corpus without labels none can be found: then all
+    ``lang`` stays where it is set, and is the language found where it is null and the verdict is sure. In a corpus without labels none can be found: then all
     documents with a letter stay as they are. Rows are judged each by its own text, so rows that share an id don't matter to each other; repeated rows
     repeat, an empty table stays empty, and further columns are kept.
     """
     model = langid.learned(docs)
     if not model[0]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    pred, score = _free(docs, "lang_pred"), _free(docs, "score")
-    found = langid.marked(docs, model, pred, score).filter((F.col(pred) != langid.UNKNOWN) & (F.col(score) > LEAST))
-    return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
+    pred, score, verdict = _free(docs, "lang_pred"), _free(docs, "score"), _free(docs, "verdict")
+    found = langid.marked(docs, model, pred, score, verdict).filter(F.col(verdict) != langid.NONE)
+    return found.withColumn("lang", F.coalesce("lang", F.when(F.col(verdict) == langid.FOUND, F.col(pred)))).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,27 +63,30 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat id and text, any one stays; rows that share an id and differ in text are apart. A row with a null id stays only where its whole
     group has none. An empty table stays empty; further columns are kept.
     """
-    found = exact.exact_dedup(docs).filter("kept")
-    keys = cut(found.groupBy(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_text")).agg(F.count("*").alias("times")))
-    return _once(docs, F.sha2(exact.normalised(docs["text"]), 256), keys)
+    found = exact.exact_dedup(docs).select(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_text"), "kept")
+    digest = F.sha2(exact.normalised(docs["text"]), 256)
+    found = cut(found)
+    return _once(_without(docs, digest, found.filter("NOT kept")), digest, found.filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked fingerprints, the one with the smallest id; of its rows, if the id repeats, the one whose text has the
     least digest. Null ids come last. An empty table stays empty; further columns are kept."""
-    found = simhash.near_dedup(docs)
-    each = found.groupBy("root", "doc_id", "text_md5").agg(F.count("*").alias("times"))
-    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5", "times")).alias("k"))
-    keys = cut(first.select(F.col("k.doc_id").alias("key_id"), F.col("k.text_md5").alias("key_text"), F.col("k.times").alias("times")))
-    return _once(docs, _md5(docs), keys)
+    found = cut(simhash.near_dedup(docs).select("root", F.col("doc_id").alias("key_id"), F.col("text_md5").alias("key_text")))
+    order = F.struct(F.col("key_id").isNull().alias("none"), "key_id", "key_text")
+    # the least row of each component of two and more; rows alone in theirs stay without a look
+    first = cut(found.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("n")).filter("n > 1"))
+    shared = found.join(first, "root")
+    dropped = shared.filter(~F.struct(F.col("key_id").isNull().alias("none"), "key_id", "key_text").eqNullSafe(F.col("k")))
+    kept = shared.filter(F.struct(F.col("key_id").isNull().alias("none"), "key_id", "key_text").eqNullSafe(F.col("k")))
+    return _once(_without(docs, _md5(docs), cut(dropped)), _md5(docs), kept)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside an occurrence of a benchmark window. A row goes for its own text only, whichever rows share its id; null and empty
     texts stay, repeated rows repeat, an empty table stays empty, and further columns are kept."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    keys = cut(found.select(F.col("doc_id").alias("key_id"), F.col("text_md5").alias("key_text")).distinct())
-    return docs.join(keys, _same(docs, _md5(docs), keys), "left_anti")
+    return _without(docs, _md5(docs), cut(found.select(F.col("doc_id").alias("key_id"), F.col("text_md5").alias("key_text"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
