@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
+from headway.operators import intervals as I
+
+#: Days of a stretch in which marks are looked for.
+STRETCH = 64
 
 
 def parts(day: Column) -> dict[str, Column]:
@@ -50,38 +54,39 @@ def off_days(days: DataFrame, calendars: DataFrame) -> DataFrame:
     return rows.withColumn("off_day", ((F.weekday("date") >= 5) | F.col("_off").isNotNull()).cast("int")).drop("_off")
 
 
-def in_interval(days: DataFrame, intervals: DataFrame) -> DataFrame:
-    """For each date and system, whether any of the system's inclusive intervals holds the date. The intervals are turned into
-    their days, so the join is one of equal keys."""
-    held = intervals.select("system", F.explode(F.sequence("start", "end")).alias("date")).distinct().withColumn("_in", F.lit(1))
-    systems = intervals.select("system").distinct().agg(F.array_sort(F.collect_set("system")).alias("_s"))
-    return days.join(systems).select("*", F.explode("_s").alias("system")).drop("_s").join(held, ["system", "date"], "left").withColumn("inside", F.coalesce("_in", F.lit(0))).drop("_in")
+def _each_system(days: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Each date with each system of the calendar, of which there are a handful, as ``_at``."""
+    systems = intervals.select("system").distinct().agg(F.array_sort(F.collect_set("system")).alias("_s"))  # one row
+    return days.join(F.broadcast(systems)).select("*", F.explode("_s").alias("system")).drop("_s").withColumn("_at", I.position(F.col("date")))
+
 
+def in_interval(days: DataFrame, intervals: DataFrame) -> DataFrame:
+    """For each date and system, whether any of the system's inclusive intervals (system, start, end) holds the date."""
+    rows = _each_system(days, intervals)
+    held = I.stabbed(rows, intervals.select("system", I.position(F.col("start")).alias("_start"), I.position(F.col("end")).alias("_end")), ["system"])
+    return rows.join(held, ["system", "_at"], "left").withColumn("inside", (F.coalesce("n", F.lit(0)) > 0).cast("int")).drop("_at", "n")
 
-def nearest_marks(days: DataFrame, marks: DataFrame, cap: int) -> DataFrame:
-    """Days since the last and until the next mark, the day itself being 0, at most ``cap``.
 
-    The days are dated by month into partitions only through ``cap``: each mark is given to the days around it, and the least distance is kept.
-    """
-    spread = marks.select(F.col("date").alias("_m"), F.explode(F.sequence(F.date_sub("date", cap), F.date_add("date", cap))).alias("date"))
-    near = spread.groupBy("date").agg(
-        F.min(F.when(F.col("_m") <= F.col("date"), F.datediff("date", "_m"))).alias("since"),
-        F.min(F.when(F.col("_m") >= F.col("date"), F.datediff("_m", "date"))).alias("until"),
-    )
-    return days.join(near, "date", "left").withColumns({"since": F.coalesce("since", F.lit(cap)), "until": F.coalesce("until", F.lit(cap))})
+def nearest_marks(days: DataFrame, marks: DataFrame, cap: int, keys: list[str] | None = None) -> DataFrame:
+    """Days since the last and until the next mark, of the same keys if any, the day itself being 0, at most ``cap``."""
+    keys = keys or []
+    one = [*keys, "_all"]
+    rows, m = ((t.withColumn("_at", I.position(F.col("date"))).withColumn("_all", F.lit(0))) for t in (days, marks))
+    near = I.around(rows, m.select(*one, "_at"), one, STRETCH)
+    since, until = F.col("_at") - F.col("_last"), F.col("_next") - F.col("_at")
+    return near.withColumns({"since": F.coalesce(F.least(since, F.lit(cap)), F.lit(cap)).cast("int"), "until": F.coalesce(F.least(until, F.lit(cap)), F.lit(cap)).cast("int")}).drop("_at", "_last", "_next", "_all")
 
 
 def interval_distances(days: DataFrame, intervals: DataFrame, cap: int = 21) -> DataFrame:
     """For each date and system: days until the next interval starts and since the last one ended, 0 inside of one, at most ``cap``, and whether it lies
     in the first week after one."""
-    rows = in_interval(days, intervals).select("date", "system", "inside")
-    near = lambda edge, first, last: intervals.select("system", F.col(edge).alias("_e"), F.explode(F.sequence(F.date_add(edge, first), F.date_add(edge, last))).alias("date")).groupBy("system", "date")
-    ahead = near("start", -cap, -1).agg(F.min(F.datediff("_e", "date")).alias("until"))
-    behind = near("end", 1, cap).agg(F.min(F.datediff("date", "_e")).alias("since"))
-    out = rows.join(ahead, ["system", "date"], "left").join(behind, ["system", "date"], "left")
+    rows = in_interval(days, intervals).withColumn("_at", I.position(F.col("date")))
+    marks = lambda edge: intervals.select("system", I.position(F.col(edge)).alias("_at"))
+    ahead = I.around(rows, marks("start"), ["system"], STRETCH).withColumn("until", F.col("_next") - F.col("_at")).drop("_last", "_next")
+    both = I.around(ahead, marks("end"), ["system"], STRETCH).withColumn("since", F.col("_at") - F.col("_last")).drop("_last", "_next", "_at")
     inside = F.col("inside") == 1
-    held = {c: F.when(inside, 0).otherwise(F.coalesce(c, F.lit(cap))) for c in ("until", "since")}
-    return out.withColumns(held).withColumn("first_week", (~inside & (F.col("since") <= 7)).cast("int"))
+    held = {c: F.when(inside, 0).otherwise(F.coalesce(F.least(F.col(c), F.lit(cap)), F.lit(cap))).cast("int") for c in ("until", "since")}
+    return both.withColumns(held).withColumn("first_week", (~inside & (F.col("since") <= 7)).cast("int"))
 
 
 def by_year(holidays: DataFrame) -> DataFrame:
@@ -103,12 +108,16 @@ def nearest_name(days: DataFrame, names: DataFrame, reach: int = 3) -> DataFrame
     return days.join(best, "date", "left")
 
 
+def day_strings(rows: DataFrame) -> DataFrame:
+    """Rows with a first day and a string of 0 and 1, one character a day, as a row a day: date and day_off beside the other columns. Other characters raise."""
+    checked = F.when(F.col("marks").rlike("^[01]*$"), F.col("marks")).otherwise(F.raise_error(F.lit("only 0 and 1 may occur")).cast("string"))
+    each = rows.withColumn("marks", checked).select("*", F.posexplode(F.split("marks", "")).alias("_i", "_c")).filter("_c <> ''")
+    return each.withColumns({"date": F.date_add("first", F.col("_i")), "day_off": F.col("_c").cast("int")}).drop("first", "marks", "_i", "_c")
+
+
 def day_string(first: str, marks: str, spark) -> DataFrame:
-    """A year as a string of 0 and 1, one character a day, as rows date and day_off. Other characters raise."""
-    if set(marks) - {"0", "1"}:
-        raise ValueError("only 0 and 1 may occur")
-    one = spark.createDataFrame([(marks,)], "marks string")
-    return one.select(F.posexplode(F.split("marks", "")).alias("_i", "c")).filter("c <> ''").select(F.date_add(F.lit(first).cast("date"), F.col("_i")).alias("date"), F.col("c").cast("int").alias("day_off"))
+    """One such string."""
+    return day_strings(spark.createDataFrame([(first, marks)], "first string, marks string").withColumn("first", F.col("first").cast("date")))
 
 
 def expand_service(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:

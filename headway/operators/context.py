@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
 from headway.functions import text as T
 from headway.operators import geo
+from headway.operators.ranking import numbered
 
 
 def places_near(stops: DataFrame, places: DataFrame, metres: float = 300.0) -> DataFrame:
@@ -67,10 +70,8 @@ def totals(events: DataFrame, kind: str, kinds: list[str]) -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """The place of each row by a total order; rows are one a route or station type, so they meet in one window."""
-    from pyspark.sql import Window as W
-
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
+    """The place of each row by a total order, without one group for all."""
+    return numbered(rows, order, name).withColumn(name, (F.col(name) + 1).cast("int"))
 
 
 def most(events: DataFrame, key: str, k: int) -> DataFrame:
@@ -80,15 +81,8 @@ def most(events: DataFrame, key: str, k: int) -> DataFrame:
 
 def by_traffic(routes: DataFrame) -> DataFrame:
     """Routes (route, traffic_score, repairs) by traffic score and, as ``repair_place``, by repairs, unknown ones after none; ties by route."""
-    from pyspark.sql import Window as W
-
-    all_ = W.partitionBy(F.lit(0))  # a row a route
-    return routes.withColumns(
-        {
-            "traffic_place": F.row_number().over(all_.orderBy(F.desc("traffic_score"), "route")),
-            "repair_place": F.row_number().over(all_.orderBy(F.coalesce("repairs", F.lit(-1)).desc(), "route")),
-        }
-    )
+    first = ranked(routes, [F.desc("traffic_score"), F.col("route")], "traffic_place")
+    return ranked(first, [F.coalesce("repairs", F.lit(-1)).desc(), F.col("route")], "repair_place")
 
 
 def fleets(registry: Column) -> Column:
@@ -107,30 +101,67 @@ def _number(x: Column) -> Column:
     return F.coalesce(F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string")), F.lit("—"))
 
 
+@dataclass(frozen=True)
+class Factor:
+    """How a card shows a fact: its label, the column, a unit behind the value, a note (a column's text or a fixed one, with ``tail`` behind), the column that must be known for
+    the note to stand, what stands in for it otherwise, whether a plus goes before what is above 0, and whether nothing (0, false, unknown) turns the factor off."""
+
+    label: str
+    fact: str
+    unit: str = ""
+    note: str | None = None
+    tail: str = ""
+    needs: str | None = None
+    stand_in: str = ""
+    signed: bool = False
+    can_be_off: bool = False
+
+
+#: The labels, units and texts of a route's card, in its order, and its words for yes, no, today and an unknown value.
+ROUTE_CARD = (
+    Factor("Погода", "temperature", "°", "weather", stand_in="нет данных", signed=True),
+    Factor("Ветер", "wind", tail="км/ч"),
+    Factor("Праздник", "holiday_today", note="holiday_day", stand_in="нет даты", can_be_off=True),
+    Factor("Аварии", "accidents", note="accidents_per_km", tail=" на км", stand_in="— на км"),
+    Factor("Ремонт", "repairs", tail="у линии", needs="repairs", stand_in="нет выгрузки", can_be_off=True),
+    Factor("Пробки", "traffic_score", tail="из 10", needs="repairs", stand_in="по ДТП"),
+    Factor("Места", "poi_count", note="poi_example", stand_in="в радиусе линии", can_be_off=True),
+    Factor("Трамвай", "tram_accidents", tail="в описании ДТП", can_be_off=True),
+)
+YES, NO, TODAY, UNKNOWN = "да", "нет", "сегодня", "—"
+
+
+def cards(facts: DataFrame, key: str, factors: tuple[Factor, ...]) -> DataFrame:
+    """A row per key and factor: place from 1, label, value, note, and whether the factor is off."""
+    kinds = dict(facts.dtypes)
+
+    def text(c: str) -> Column:
+        return F.col(c) if kinds[c] == "string" else F.when(F.col(c), YES).otherwise(NO) if kinds[c] == "boolean" else _number(F.col(c))
+
+    def shown(i: int, f: Factor) -> Column:
+        value = text(f.fact)
+        if f.signed:
+            value = F.when(F.col(f.fact) > 0, F.concat(F.lit("+"), value)).otherwise(value)
+        value = F.when(F.col(f.fact).isNull(), NO if kinds[f.fact] == "boolean" else UNKNOWN).otherwise(F.concat(value, F.lit(f.unit)))
+        note = F.concat(F.when(F.col(f.note).isNotNull(), text(f.note)), F.lit(f.tail)) if f.note else F.lit(f.tail)
+        if f.needs:
+            note = F.when(F.col(f.needs).isNotNull(), note)
+        nothing = ~F.col(f.fact) if kinds[f.fact] == "boolean" else F.col(f.fact) == 0
+        off = F.coalesce(nothing, F.lit(kinds[f.fact] == "boolean" or f.needs == f.fact)) if f.can_be_off else F.lit(False)
+        return F.struct(F.lit(i).alias("place"), F.lit(f.label).alias("label"), value.alias("value"), F.coalesce(note, F.lit(f.stand_in)).alias("note"), off.alias("off"))
+
+    return facts.select(key, F.explode(F.array(*[shown(i, f) for i, f in enumerate(factors, 1)])).alias("x")).select(key, "x.*")
+
+
 def route_card(facts: DataFrame) -> DataFrame:
-    """Eight rows a route: place, label, value, note, and whether the factor is off.
+    """The factors of each route (``ROUTE_CARD``).
 
     ``facts`` has route, temperature, weather, wind, holiday_today, next_holiday, accidents, accidents_per_km, repairs, traffic_score, poi_count, poi_examples (joined by
     semicolons) and tram_accidents. Unknown values are dashes.
     """
-    c = F.col
-    known = c("repairs").isNotNull()
-    sample = F.coalesce(F.get(F.filter(F.transform(F.split(F.coalesce("poi_examples", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""), 0), F.lit("в радиусе линии"))
-    today, never = F.coalesce("holiday_today", F.lit(False)), F.lit(False)
-    degrees = F.when(c("temperature").isNull(), "—").otherwise(F.concat(F.when(c("temperature") > 0, "+").otherwise(""), _number(c("temperature")), F.lit("°")))
-    day = F.when(today, "сегодня").otherwise(F.coalesce(F.substring("next_holiday", 1, 10), F.lit("нет даты")))
-    rows = (
-        ("Погода", degrees, F.coalesce("weather", F.lit("нет данных")), never),
-        ("Ветер", _number(c("wind")), F.lit("км/ч"), never),
-        ("Праздник", F.when(today, "да").otherwise("нет"), day, ~today),
-        ("Аварии", _number(c("accidents")), F.concat(_number(c("accidents_per_km")), F.lit(" на км")), never),
-        ("Ремонт", _number(c("repairs")), F.when(known, "у линии").otherwise("нет выгрузки"), ~known | (c("repairs") == 0)),
-        ("Пробки", _number(c("traffic_score")), F.when(known, "из 10").otherwise("по ДТП"), never),
-        ("Места", _number(c("poi_count")), T.shortened(sample, 22), c("poi_count") == 0),
-        ("Трамвай", _number(c("tram_accidents")), F.lit("в описании ДТП"), c("tram_accidents") == 0),
-    )
-    card = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("label"), v.alias("value"), note.alias("note"), F.coalesce(off, never).alias("off")) for i, (name, v, note, off) in enumerate(rows, 1)])
-    return facts.select("route", F.explode(card).alias("x")).select("route", "x.*")
+    examples = F.filter(F.transform(F.split(F.coalesce("poi_examples", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    known = facts.withColumns({"holiday_day": F.when(F.col("holiday_today"), TODAY).otherwise(F.substring("next_holiday", 1, 10)), "poi_example": T.shortened(F.get(examples, 0), 22)})
+    return cards(known, "route", ROUTE_CARD)
 
 
 def station_cards(stops: DataFrame, stations: DataFrame, weather: DataFrame, roads: DataFrame, places: DataFrame, metres: float = 500.0, k: int = 5) -> DataFrame:

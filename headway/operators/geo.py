@@ -43,6 +43,94 @@ def _ring(left: DataFrame, named: DataFrame, metres: float) -> DataFrame:
     return pairs.withColumn("metres", S.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
 
 
+def _bands(metres: float) -> tuple:
+    """Cells for a radius: (row of a latitude, columns of a row, column of a longitude in so many columns). Bands are as high as the radius, and their columns as
+    wide as the band and its neighbours need, going round."""
+    angle = min(metres / S.EARTH_M, math.pi)
+    size = math.degrees(angle) * 1.001
+
+    def columns(row: Column) -> Column:
+        polar = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * size - 90), F.abs((row + 2) * size - 90)))
+        share = math.sin(angle / 2) / F.cos(F.radians(polar))
+        return F.when(share < 1, F.floor(math.pi / 1.001 / F.asin(F.least(share, F.lit(1.0))))).otherwise(F.lit(1).cast("long"))
+
+    return lambda lat: F.floor((lat + 90) / size), columns, lambda lon, n: F.floor(F.pmod(lon, F.lit(360.0)) / 360 * n)
+
+
+def _vector(lat: Column, lon: Column) -> list[Column]:
+    """A point of the unit sphere."""
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def to_segment(p: list[Column], a: list[Column], b: list[Column]) -> Column:
+    """Metres from p to the nearest point of the arc from a to b, all unit vectors: to the great circle if the foot of the perpendicular lies on the arc, else to the nearer end."""
+    n = _cross(a, b)
+    length = F.sqrt(_dot(n, n))
+    ends = F.least(*[2 * F.asin(F.least(F.lit(1.0), F.sqrt(_dot(d, d)) / 2)) for d in ([x - y for x, y in zip(p, a)], [x - y for x, y in zip(p, b)])])
+    beside = (_dot(_cross(n, a), p) >= 0) & (_dot(_cross(b, n), p) >= 0)
+    across = F.asin(F.least(F.lit(1.0), F.abs(_dot(p, n)) / length))
+    return S.EARTH_M * F.when((length > 0) & beside, across).otherwise(ends)
+
+
+def segments(points: DataFrame, line: list[str], order: list[str]) -> DataFrame:
+    """The arcs (line, _a, _b: unit vectors) between neighbours of each line; a line of one point is an arc of no length. Arcs are shorter than half the equator."""
+    w = W.partitionBy(*line).orderBy(*order)
+    rows = points.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumns({"_to_lat": F.lead("lat").over(w), "_to_lon": F.lead("lon").over(w), "_n": F.row_number().over(w)})
+    rows = rows.filter("_to_lat IS NOT NULL OR _n = 1")
+    end = [F.coalesce("_to_lat", "lat"), F.coalesce("_to_lon", "lon")]
+    return rows.select(*line, F.array(*_vector(F.col("lat"), F.col("lon"))).alias("_a"), F.array(*_vector(*end)).alias("_b")).distinct()
+
+
+def _parts(c: str) -> list[Column]:
+    return [F.col(c)[i] for i in range(3)]
+
+
+def line_cells(arcs: DataFrame, metres: float) -> tuple[DataFrame, tuple]:
+    """Each arc in the cells that it crosses and those around them, once each: marks along it stand no farther apart than the radius, so what lies within it of the
+    arc is within one and a half of a mark."""
+    bands = row, columns, column = _bands(1.5 * metres)
+    angle = 2 * F.asin(F.least(F.lit(1.0), F.sqrt(_dot([x - y for x, y in zip(_parts("_a"), _parts("_b"))], [x - y for x, y in zip(_parts("_a"), _parts("_b"))])) / 2))
+    steps = F.greatest(F.lit(1), F.ceil(F.col("_angle") * S.EARTH_M / metres).cast("int"))
+    marks = arcs.withColumn("_angle", angle).withColumn("_steps", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_steps"))))
+    share = F.col("_k") / F.col("_steps")
+    wa, wb = (F.when(F.col("_angle") > 0, F.sin(x * F.col("_angle")) / F.sin("_angle")).otherwise(y) for x, y in ((1 - share, F.lit(1.0)), (share, F.lit(0.0))))
+    at = [wa * x + wb * y for x, y in zip(_parts("_a"), _parts("_b"))]
+    marks = marks.withColumns({"_lat": F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at[2])))), "_lon": F.degrees(F.atan2(at[1], at[0]))})
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    spread = marks.withColumn("_i", F.explode(around)).withColumn("_row", row(F.col("_lat")) + F.col("_i"))
+    spread = spread.withColumn("_m", columns(F.col("_row"))).withColumn("_col", F.explode(F.array_distinct(F.transform(around, lambda j: F.pmod(column(F.col("_lon"), F.col("_m")) + j, F.col("_m"))))))
+    return spread.drop("_angle", "_steps", "_k", "_lat", "_lon", "_i", "_m").distinct(), bands
+
+
+def _celled(points: DataFrame, bands: tuple) -> DataFrame:
+    row, columns, column = bands
+    rows = points.withColumn("_row", row(F.col("lat"))).withColumn("_m", columns(F.col("_row")))
+    return rows.withColumn("_col", F.pmod(column(F.col("lon"), F.col("_m")), F.col("_m"))).drop("_m").withColumn("_p", F.array(*_vector(F.col("lat"), F.col("lon"))))
+
+
+def near_lines(points: DataFrame, arcs: DataFrame, metres: float) -> DataFrame:
+    """The points at most so many metres from any arc (``segments``), each once: a semi join of equal cells with the exact distance to the arc, anywhere on the sphere."""
+    spread, bands = line_cells(arcs.select("_a", "_b").distinct(), metres)
+    rows, named = _celled(points, bands), spread.select(F.col("_row").alias("_r"), F.col("_col").alias("_c"), "_a", "_b")
+    near = (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")) & (to_segment(_parts("_p"), _parts("_a"), _parts("_b")) <= metres)
+    return rows.join(named, near, "left_semi").select(*points.columns)
+
+
+def by_line(points: DataFrame, key: str, arcs: DataFrame, line: list[str], metres: float) -> DataFrame:
+    """(line, key): the points within so many metres of each line, each once."""
+    spread, bands = line_cells(arcs, metres)
+    rows = _celled(points.select(key, "lat", "lon"), bands).join(spread, ["_row", "_col"])
+    return rows.filter(to_segment(_parts("_p"), _parts("_a"), _parts("_b")) <= metres).select(*line, key).distinct()
+
+
 def nearest(left: DataFrame, key: str, right: DataFrame, order: list[str]) -> DataFrame:
     """For each left row (by ``key``) the nearest right point, ties by ``order``; right columns come prefixed ``r_``.
 

@@ -71,9 +71,10 @@ def with_profiles(rows: DataFrame, history: DataFrame, keys: dict[str, list[str]
     return rows
 
 
-def with_weather(rows: DataFrame, weather: DataFrame) -> DataFrame:
-    """The weather of each row's date and hour; nulls where it is unknown. Of repeated weather rows any one counts."""
-    return rows.join(weather.dropDuplicates(["date", "hour"]), ["date", "hour"], "left")
+def with_weather(rows: DataFrame, weather: DataFrame, columns: list[str]) -> DataFrame:
+    """The weather of each row's date and hour; nulls where it is unknown. Of repeated readings of an hour the greatest by ``columns`` counts, whole."""
+    once = weather.groupBy("date", "hour").agg(F.max(F.struct(*columns)).alias("_w")).select("date", "hour", "_w.*")
+    return rows.join(once, ["date", "hour"], "left")
 
 
 def frozen(rows: DataFrame, cutoff: str, keys: list[str], columns: list[str]) -> DataFrame:

@@ -49,6 +49,14 @@ def days(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date"))
 
 
+#: The dates of the orders, each once, as ``ds`` (date).
+DATES = "ds AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"
+
+
+def dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+
+
 def routes(spark: SparkSession, n: int = 3) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("route"))
 

@@ -125,11 +125,15 @@ def _(spark, d):
     return B.table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
 
 
-@dated_query("src_14_day_string", "SELECT CAST(DATE '2025-01-01' + CAST(i AS INT) AS DATE) AS date, CAST(substr('11111111001100000110000011', CAST(i AS INT) + 1, 1) AS INT) AS day_off FROM range(26) x(i)")
+@dated_query("src_14_day_string", """WITH s AS (SELECT CAST(o_custkey % 100 AS INT) AS customer, CAST(min(o_orderdate) AS DATE) AS first, string_agg(CAST(o_orderkey % 2 AS VARCHAR), '' ORDER BY o_orderkey) AS marks FROM orders GROUP BY 1)
+  SELECT customer, CAST(first + CAST(i AS INT) AS DATE) AS date, CAST(marks[CAST(i AS INT) + 1] AS INT) AS day_off FROM s, LATERAL (SELECT unnest(range(length(marks))) AS i)""")
 def _(spark, d):
-    from headway.operators.calendars import day_string
+    """Strings of 0 and 1 that the orders of each of a hundred groups of customers form."""
+    from headway.operators.calendars import day_strings
 
-    return day_string("2025-01-01", "11111111001100000110000011", spark)
+    o = B.table(spark, d, "orders").groupBy((F.col("o_custkey") % 100).cast("int").alias("customer"))
+    marks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_orderkey") % 2).cast("string").alias("m")))), lambda x: x["m"]), "")
+    return day_strings(o.agg(F.to_date(F.min("o_orderdate")).alias("first"), marks.alias("marks"))).select("customer", "date", "day_off")
 
 
 @query("src_16_links", r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS t FROM pages),
@@ -143,3 +147,9 @@ def _(spark, d):
 def _(spark, d):
     """The batch form; tests/test_streaming.py runs the same operator as a stream."""
     return counts.interval_counts(B.validations(spark, d), 15)
+
+
+@query("stream_1_vehicle_counts", "SELECT CAST(user_id % 10 AS INT) AS route, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) FILTER (event_type = 'purchase') AS boardings, count(DISTINCT user_id) AS active_trams, count(*) AS n_rows FROM events GROUP BY ALL")
+def _(spark, d):
+    """The batch form; tests/test_streaming.py runs the same operator as a stream."""
+    return counts.vehicle_counts(B.validations(spark, d))

@@ -188,13 +188,6 @@ def _(spark, d):
     return rounded(feed(spark, d)["stops"])
 
 
-@query("gtfs_4_demo_feed", "SELECT 'stop_' || (i + 1) || '_' || (j + 1) AS stop_id, (i + 1) || ' · остановка ' || (j + 1) AS stop_name, round(55.75 + (j + 1) * 0.01 * sin(i * (2 * pi() / 9)), 5) AS lat, round(37.62 + (j + 1) * 0.018 * cos(i * (2 * pi() / 9)), 5) AS lon, 'trip-route_' || (i + 1) || '-0' AS trip_id, CAST(j + 1 AS BIGINT) AS stop_sequence, printf('00:%02d:00', j * 5) AS departure_time FROM range(9) a(i), range(6) b(j)")
-def _(spark, d):
-    tables = gtfs.demo(spark)
-    rows = tables["stop_times"].join(tables["stops"], "stop_id")
-    return rounded(rows.select("stop_id", "stop_name", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"), "trip_id", "stop_sequence", "departure_time"), 5)
-
-
 @query("join_26_first_seen_routes", "WITH s AS (SELECT l_partkey AS stop_id, s_nationkey AS route, min(l_orderkey * 10 + l_linenumber) AS k FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL) SELECT stop_id, string_agg(CAST(route AS VARCHAR), ',' ORDER BY k, route) AS routes FROM s GROUP BY stop_id")
 def _(spark, d):
     times = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("trip_id"), F.col("l_partkey").alias("stop_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seen"))
@@ -202,10 +195,9 @@ def _(spark, d):
     return gtfs.routes_as_seen(trips, times, "seen")
 
 
-@query("scl_7_named_calendars", f"WITH {B.HOLIDAYS_SQL}, x AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2001-01-01', DATE '{B.LAST}', INTERVAL 1 DAY) y(d)), c AS (SELECT 'holidays' AS calendar, date FROM hol UNION ALL SELECT 'short', CAST(date - 1 AS DATE) FROM hol UNION ALL SELECT 'summer', date FROM x WHERE month(date) = 6) SELECT calendar, count(*) AS n_days, CAST(sum(CAST(isodow(x.date) >= 6 OR EXISTS (SELECT 1 FROM c c2 WHERE c2.calendar = k.calendar AND c2.date = x.date) AS INT)) AS BIGINT) AS n_off FROM x, (SELECT DISTINCT calendar FROM c) k GROUP BY calendar")
+@query("scl_7_named_calendars", f"WITH {B.HOLIDAYS_SQL}, {B.DATES}, c AS (SELECT 'holidays' AS calendar, date FROM hol UNION ALL SELECT 'short', CAST(date - 1 AS DATE) FROM hol UNION ALL SELECT 'summer', date FROM ds WHERE month(date) = 6) SELECT calendar, count(*) AS n_days, CAST(sum(CAST(isodow(ds.date) >= 6 OR EXISTS (SELECT 1 FROM c c2 WHERE c2.calendar = k.calendar AND c2.date = ds.date) AS INT)) AS BIGINT) AS n_off FROM ds, (SELECT DISTINCT calendar FROM c) k GROUP BY calendar")
 def _(spark, d):
-    h = B.holidays(spark)
-    named = {"holidays": h, "short": h.select(F.date_sub("date", 1).alias("date")), "summer": B.days(spark, "2001-06-01", "2001-06-30")}
+    h, days = B.holidays(spark), B.dates(spark, d)
+    named = {"holidays": h, "short": h.select(F.date_sub("date", 1).alias("date")), "summer": days.filter("month(date) = 6")}
     calendar = records.stacked(*[v.select(F.lit(k).alias("calendar"), "date") for k, v in named.items()])
-    out = calendars.off_days(B.days(spark, "2001-01-01", B.LAST), calendar)
-    return out.groupBy("calendar").agg(F.count("*").alias("n_days"), F.sum("off_day").alias("n_off"))
+    return calendars.off_days(days, calendar).groupBy("calendar").agg(F.count("*").alias("n_days"), F.sum("off_day").alias("n_off"))

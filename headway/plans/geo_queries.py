@@ -45,10 +45,25 @@ def _(spark, d):
     return geo.within(B.stations(spark, d), B.places(spark, d), 1500.0).groupBy("line").agg(F.count_distinct("r_id").alias("n"))
 
 
-@query("join_17_near_line", f"WITH {B.POINTS} SELECT id, kind FROM ev WHERE EXISTS (SELECT 1 FROM st WHERE {far_sql('ev', 'st')} <= 900)")
+# Lines through the stations by id, as arcs of great circles; distances by vectors of the unit sphere, as SQL has no other way.
+ARCS = f"""{B.POINTS}, vp AS (SELECT id, line, [cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat))] AS v FROM st), va AS (SELECT line, v AS a, coalesce(lead(v) OVER w, v) AS b, (lead(v) OVER w) IS NOT NULL OR count(*) OVER (PARTITION BY line) = 1 AS keep FROM vp WINDOW w AS (PARTITION BY line ORDER BY id)),
+  pe AS (SELECT id, kind, [cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat))] AS p FROM ev),
+  cr AS (SELECT id, kind, line, a, b, p, [a[2] * b[3] - a[3] * b[2], a[3] * b[1] - a[1] * b[3], a[1] * b[2] - a[2] * b[1]] AS n FROM pe, va WHERE keep),
+  ds AS (SELECT *, sqrt(list_dot_product(n, n)) AS len, [n[2] * a[3] - n[3] * a[2], n[3] * a[1] - n[1] * a[3], n[1] * a[2] - n[2] * a[1]] AS na, [b[2] * n[3] - b[3] * n[2], b[3] * n[1] - b[1] * n[3], b[1] * n[2] - b[2] * n[1]] AS bn FROM cr),
+  am AS (SELECT id, kind, line, 6371000.0 * CASE WHEN len > 0 AND list_dot_product(na, p) >= 0 AND list_dot_product(bn, p) >= 0 THEN asin(least(1.0, abs(list_dot_product(p, n)) / len)) ELSE 2 * asin(least(1.0, least(list_distance(p, a), list_distance(p, b)) / 2)) END AS m FROM ds)"""
+
+
+@query("join_17_near_line", f"WITH {ARCS} SELECT DISTINCT id, kind FROM am WHERE m <= 300")
+def _(spark, d):
+    """The places at most 300 metres from any line."""
+    arcs = geo.segments(B.stations(spark, d), ["line"], ["id"])
+    return geo.near_lines(B.places(spark, d), arcs, 300.0).select("id", "kind")
+
+
+@query("join_18_places_by_line", f"WITH {ARCS} SELECT line, count(DISTINCT id) AS n FROM am WHERE m <= 300 GROUP BY line")
 def _(spark, d):
-    near = geo.within(B.places(spark, d), B.stations(spark, d), 900.0)
-    return near.select("id", "kind").distinct()
+    arcs = geo.segments(B.stations(spark, d), ["line"], ["id"])
+    return geo.by_line(B.places(spark, d), "id", arcs, ["line"], 300.0).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("join_19_nearest_station", f"WITH {B.POINTS}, x AS (SELECT ev.id, ev.kind, st.name AS station, {far_sql('ev', 'st')} AS m, st.lat, st.lon FROM ev, st), y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, station, lat, lon) AS n FROM x) SELECT id, kind, round(m, 3) AS metres FROM y WHERE n = 1")
@@ -138,8 +153,8 @@ def _(spark, d):
     return near.groupBy(F.col("id").alias("station")).agg(F.count("*").alias("n"), F.count_if(F.col("r_kind") % 5 == 0).alias("n_tram"), F.round(F.avg("r_size"), 2).alias("mean_size"), F.array_join(F.slice(titles, 1, 8), ",").alias("kinds"))
 
 
-# Feeds: nations are routes, suppliers trips, parts stops, line items stop times.
-FEED = "tr AS (SELECT s_nationkey AS route_id, s_suppkey AS trip_id FROM supplier), ti AS (SELECT l_suppkey AS trip_id, l_partkey AS stop_id, l_linenumber AS stop_sequence, l_orderkey AS k FROM lineitem), sp AS (SELECT p_partkey AS stop_id, p_name AS stop_name FROM part WHERE p_partkey % 10 <> 0)"
+# Feeds: nations are routes, suppliers trips, parts stops, line items stop times, of which a tenth name a stop that the feed doesn't have.
+FEED = "tr AS (SELECT s_nationkey AS route_id, s_suppkey AS trip_id FROM supplier), ti AS (SELECT l_suppkey AS trip_id, CASE WHEN l_orderkey % 10 = 0 THEN -l_partkey ELSE l_partkey END AS stop_id, l_linenumber AS stop_sequence, l_orderkey AS k FROM lineitem), sp AS (SELECT p_partkey AS stop_id, p_name AS stop_name FROM part)"
 
 
 def trips(spark, d):
@@ -147,11 +162,11 @@ def trips(spark, d):
 
 
 def stop_times(spark, d):
-    return B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("trip_id"), F.col("l_partkey").alias("stop_id"), F.col("l_linenumber").alias("stop_sequence"))
+    return B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("trip_id"), F.when(F.col("l_orderkey") % 10 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("stop_id"), F.col("l_linenumber").alias("stop_sequence"))
 
 
 def stops(spark, d):
-    return B.table(spark, d, "part").filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("stop_id"), F.col("p_name").alias("stop_name"))
+    return B.table(spark, d, "part").select(F.col("p_partkey").alias("stop_id"), F.col("p_name").alias("stop_name"))
 
 
 @query("join_25_first_trip_stops", f"WITH {FEED}, f AS (SELECT route_id, min(trip_id) AS trip_id FROM tr GROUP BY route_id) SELECT route_id, trip_id, stop_sequence, stop_id, stop_name FROM ti JOIN f USING (trip_id) JOIN sp USING (stop_id)")
@@ -180,9 +195,17 @@ def service_dates(spark):
     return calendars.expand_service(ca, ex)
 
 
-@dated_query("gtfs_2_service_dates", f"WITH {SERVICE} SELECT service_id, date FROM sd")
+@dated_query("gtfs_2_service_dates", """WITH c AS (SELECT s_suppkey AS service_id, DATE '2000-01-01' + CAST(s_suppkey % 60 AS INT) AS first FROM supplier), e AS (SELECT DISTINCT l_suppkey AS service_id, CAST(l_shipdate AS DATE) AS date, l_returnflag = 'R' AS added FROM lineitem),
+  r AS (SELECT service_id, CAST(unnest(generate_series(first, first + 45, INTERVAL 1 DAY)) AS DATE) AS date FROM c)
+  SELECT service_id, date FROM (SELECT service_id, date FROM r WHERE (service_id >> CAST(isodow(date) - 1 AS INT)) & 1 = 1 UNION SELECT service_id, date FROM e WHERE added) WHERE (service_id, date) NOT IN (SELECT (service_id, date) FROM e WHERE NOT added)""")
 def _(spark, d):
-    return service_dates(spark)
+    """Suppliers as services that run on some weekdays for 46 days; shipments are exceptions, returned ones add a day and others take one away."""
+    week = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+    k = F.col("s_suppkey")
+    first = F.expr("date_add(DATE '2000-01-01', cast(s_suppkey % 60 AS int))")
+    calendar = B.table(spark, d, "supplier").select(k.alias("service_id"), *[F.shiftright(k, i).bitwiseAND(F.lit(1).cast("long")).alias(x) for i, x in enumerate(week)], first.alias("start_date"), F.date_add(first, 45).alias("end_date"))
+    shipped = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("service_id"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_returnflag") == "R", 1).otherwise(2).alias("exception_type")).distinct()
+    return calendars.expand_service(calendar, shipped)
 
 
 @dated_query("gtfs_3_departures", f"WITH {FEED}, {SERVICE} SELECT date, count(*) AS n_departures, count(stop_name) AS n_named FROM ti JOIN tr USING (trip_id) JOIN sd ON sd.service_id = tr.route_id % 3 LEFT JOIN sp USING (stop_id) GROUP BY date")

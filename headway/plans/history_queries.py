@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
 from headway.operators import calendars, folds, forecast, grid, history, labels, metrics
+from headway.operators import intervals as I
 from headway.plans import bindings as B
 from headway.plans.bindings import dated_query, query, rounded
 
@@ -107,9 +108,9 @@ def _(spark, d):
     return metrics.histogram(B.table(spark, d, "lineitem"), "l_extendedprice")
 
 
-@query("agg_14_month_level", f"WITH {B.DENSE}, {B.HOLIDAYS_SQL} SELECT route, CAST(month(date) AS INT) AS month, round(sum(value) / count(DISTINCT date), 4) AS level FROM z WHERE year(date) = 2000 AND date NOT IN (SELECT date FROM hol) GROUP BY ALL")
+@query("agg_14_month_level", f"WITH {B.DENSE}, {B.HOLIDAYS_SQL} SELECT route, CAST(month(date) AS INT) AS month, round(sum(value) / count(DISTINCT date), 4) AS level FROM z WHERE date NOT IN (SELECT date FROM hol) GROUP BY ALL")
 def _(spark, d):
-    rows = B.dense(spark, d).filter("year(date) = 2000").join(B.holidays(spark), "date", "left_anti")
+    rows = B.dense(spark, d).join(B.holidays(spark), "date", "left_anti")
     return rounded(history.month_levels(rows), 4)
 
 
@@ -175,9 +176,9 @@ def _(spark, d):
 
 # Calendars and scalars.
 @dated_query("scl_3_calendar_parts", f"""SELECT CAST(d AS DATE) AS date, CAST(isodow(d) - 1 AS INT) AS dow, CAST(day(d) AS INT) AS day, CAST(month(d) AS INT) AS month, CAST(dayofyear(d) AS INT) AS doy, CAST(weekofyear(d) AS INT) AS week, CAST(quarter(d) AS INT) AS quarter,
-  CAST(day(d) = 1 AS INT) AS month_start, CAST(CAST(d AS DATE) = last_day(d) AS INT) AS month_end FROM generate_series(DATE '1999-01-01', DATE '{B.LAST}', INTERVAL 1 DAY) x(d)""")
+  CAST(day(d) = 1 AS INT) AS month_start, CAST(CAST(d AS DATE) = last_day(d) AS INT) AS month_end FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)""")
 def _(spark, d):
-    return B.days(spark, "1999-01-01", B.LAST).withColumns(calendars.parts(F.col("date")))
+    return B.dates(spark, d).withColumns(calendars.parts(F.col("date")))
 
 
 def _cycles_sql() -> str:
@@ -189,14 +190,14 @@ def _cycles_sql() -> str:
     return ", ".join(out)
 
 
-@dated_query("scl_5_6_cycles", f"WITH {B.TARGETS} SELECT route, date, hour, {_cycles_sql()} FROM t")
+@dated_query("scl_5_6_cycles", f"WITH {B.HISTORY} SELECT route, date, hour, {_cycles_sql()} FROM h")
 def _(spark, d):
-    return rounded(B.targets(spark).withColumns(calendars.cycles(F.col("date"), F.col("hour"))))
+    return rounded(B.history(spark, d).drop("value").withColumns(calendars.cycles(F.col("date"), F.col("hour"))))
 
 
-@dated_query("scl_7_calendar_flags", f"WITH {B.HOLIDAYS_SQL} SELECT CAST(d AS DATE) AS date, CAST(isodow(d) >= 6 AS INT) AS weekend, CAST(CAST(d AS DATE) IN (SELECT date FROM hol) AS INT) AS holiday, CAST(isodow(d) >= 6 OR CAST(d AS DATE) IN (SELECT date FROM hol) AS INT) AS off_day, CAST(CAST(d AS DATE) + 1 IN (SELECT date FROM hol) AS INT) AS preholiday FROM generate_series(DATE '2000-01-01', DATE '{B.LAST}', INTERVAL 1 DAY) x(d)")
+@dated_query("scl_7_calendar_flags", f"WITH {B.HOLIDAYS_SQL} SELECT CAST(d AS DATE) AS date, CAST(isodow(d) >= 6 AS INT) AS weekend, CAST(CAST(d AS DATE) IN (SELECT date FROM hol) AS INT) AS holiday, CAST(isodow(d) >= 6 OR CAST(d AS DATE) IN (SELECT date FROM hol) AS INT) AS off_day, CAST(CAST(d AS DATE) + 1 IN (SELECT date FROM hol) AS INT) AS preholiday FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)")
 def _(spark, d):
-    return calendars.flags(B.days(spark, "2000-01-01", B.LAST), B.holidays(spark))
+    return calendars.flags(B.dates(spark, d), B.holidays(spark))
 
 
 @query("scl_11_rounding", "SELECT l_orderkey, CAST(floor(l_quantity / 2 + 0.5) AS BIGINT) AS half_up, round_even(l_quantity / 2, 0) AS half_even, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -253,22 +254,58 @@ def _(spark, d):
     return rounded(grid.long_rows(grid.vectors(B.history(spark, d), "value")), 4)
 
 
-@dated_query("join_9_school_breaks", f"WITH {B.BREAKS_SQL}, s AS (SELECT DISTINCT system FROM br) SELECT CAST(d AS DATE) AS date, s.system, CAST(EXISTS (SELECT 1 FROM br WHERE br.system = s.system AND CAST(d AS DATE) BETWEEN first AND last) AS INT) AS inside FROM generate_series(DATE '2001-01-01', DATE '2001-06-30', INTERVAL 1 DAY) x(d), s")
+@dated_query("join_9_school_breaks", f"WITH {B.BREAKS_SQL}, {B.DATES}, s AS (SELECT DISTINCT system FROM br) SELECT date, s.system, CAST(EXISTS (SELECT 1 FROM br WHERE br.system = s.system AND date BETWEEN first AND last) AS INT) AS inside FROM ds, s")
 def _(spark, d):
-    return calendars.in_interval(B.days(spark, "2001-01-01", B.LAST), B.breaks(spark)).select("date", "system", "inside")
+    return calendars.in_interval(B.dates(spark, d), B.breaks(spark)).select("date", "system", "inside")
 
 
-@dated_query("join_11_nearest_holiday", f"""WITH {B.HOLIDAYS_SQL}, x AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2000-01-01', DATE '{B.LAST}', INTERVAL 1 DAY) y(d))
-  SELECT date, CAST(least(21, coalesce((SELECT min(datediff('day', hol.date, x.date)) FROM hol WHERE hol.date <= x.date), 21)) AS INT) AS since, CAST(least(21, coalesce((SELECT min(datediff('day', x.date, hol.date)) FROM hol WHERE hol.date >= x.date), 21)) AS INT) AS until FROM x""")
+# Orders are open from their date to the last shipping date of their lines.
+OPEN = "op AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS first, CAST(max(l_shipdate) AS DATE) AS last FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
+
+
+def open_orders(spark, d):
+    last = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("last"))
+    return B.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("first")).join(last, "o_orderkey")
+
+
+@query("join_9_open_orders", f"WITH {OPEN} SELECT o.o_orderkey, count(op.o_orderkey) AS n_open FROM orders o LEFT JOIN op ON op.o_custkey = o.o_custkey AND CAST(o.o_orderdate AS DATE) BETWEEN op.first AND op.last GROUP BY o.o_orderkey")
+def _(spark, d):
+    """How many orders of the customer are open on the date of each order."""
+    orders = B.table(spark, d, "orders").select("o_orderkey", "o_custkey", I.position(F.col("o_orderdate")).alias("_at"))
+    held = I.stabbed(orders, open_orders(spark, d).select("o_custkey", I.position(F.col("first")).alias("_start"), I.position(F.col("last")).alias("_end")), ["o_custkey"])
+    return orders.join(held, ["o_custkey", "_at"], "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_open"))
+
+
+@query("join_9_instants", "WITH p AS (SELECT user_id, ts AS first, ts + INTERVAL (1 + event_id % 600) MINUTE AS last FROM events WHERE event_type = 'purchase') SELECT e.event_id, count(p.user_id) AS n FROM events e LEFT JOIN p ON p.user_id = e.user_id AND e.ts BETWEEN p.first AND p.last GROUP BY e.event_id")
+def _(spark, d):
+    """In how many spans that a purchase of the user opens, minutes to hours long, each event falls."""
+    events = B.table(spark, d, "events").select("event_id", "user_id", "event_type", I.position(F.col("ts"), instant=True).alias("_at"))
+    spans = events.filter("event_type = 'purchase'").select("user_id", F.col("_at").alias("_start"), (F.col("_at") + (1 + F.col("event_id") % 600) * 60_000_000).alias("_end"))
+    held = I.stabbed(events, spans, ["user_id"])
+    return events.join(held, ["user_id", "_at"], "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@dated_query("join_11_nearest_holiday", f"""WITH {B.HOLIDAYS_SQL}, {B.DATES}
+  SELECT date, CAST(least(21, coalesce((SELECT min(datediff('day', hol.date, ds.date)) FROM hol WHERE hol.date <= ds.date), 21)) AS INT) AS since, CAST(least(21, coalesce((SELECT min(datediff('day', ds.date, hol.date)) FROM hol WHERE hol.date >= ds.date), 21)) AS INT) AS until FROM ds""")
+def _(spark, d):
+    return calendars.nearest_marks(B.dates(spark, d), B.holidays(spark), 21)
+
+
+@query("join_11_nearest_shipment", """WITH s AS (SELECT DISTINCT CAST(l_suppkey % 100 AS INT) AS route, CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_returnflag = 'R'), o AS (SELECT o_orderkey, CAST(o_custkey % 100 AS INT) AS route, CAST(o_orderdate AS DATE) AS date FROM orders),
+  a AS (SELECT o.*, s.date AS before FROM o ASOF LEFT JOIN s ON s.route = o.route AND o.date >= s.date), b AS (SELECT a.*, s.date AS after FROM a ASOF LEFT JOIN s ON s.route = a.route AND a.date <= s.date)
+  SELECT o_orderkey, CAST(least(400, coalesce(datediff('day', before, date), 400)) AS INT) AS since, CAST(least(400, coalesce(datediff('day', date, after), 400)) AS INT) AS until FROM b""")
 def _(spark, d):
-    return calendars.nearest_marks(B.days(spark, "2000-01-01", B.LAST), B.holidays(spark), 21)
+    """Days from each order back and ahead to the nearest returned shipment of its route."""
+    orders = B.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).cast("int").alias("route"), F.to_date("o_orderdate").alias("date"))
+    ships_ = B.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_suppkey") % 100).cast("int").alias("route"), F.to_date("l_shipdate").alias("date"))
+    return calendars.nearest_marks(orders, ships_, 400, ["route"]).select("o_orderkey", "since", "until")
 
 
-@dated_query("scl_19_transferred_holidays", f"""WITH {B.HOLIDAYS_SQL}, x AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2001-01-01', DATE '{B.LAST}', INTERVAL 1 DAY) y(d))
-  SELECT date, (SELECT strftime(hol.date, '%m-%d') FROM hol WHERE abs(datediff('day', hol.date, x.date)) <= 3 ORDER BY abs(datediff('day', hol.date, x.date)), hol.date LIMIT 1) AS name FROM x""")
+@dated_query("scl_19_transferred_holidays", f"""WITH {B.HOLIDAYS_SQL}, {B.DATES}
+  SELECT date, (SELECT strftime(hol.date, '%m-%d') FROM hol WHERE abs(datediff('day', hol.date, ds.date)) <= 3 ORDER BY abs(datediff('day', hol.date, ds.date)), hol.date LIMIT 1) AS name FROM ds""")
 def _(spark, d):
     named = B.holidays(spark).withColumn("name", F.date_format("date", "MM-dd"))
-    return calendars.nearest_name(B.days(spark, "2001-01-01", B.LAST), named)
+    return calendars.nearest_name(B.dates(spark, d), named)
 
 
 SHIP = "sh AS (SELECT CAST(l_suppkey % 10 AS INT) AS route, CAST(l_shipdate AS DATE) AS date, CAST(l_partkey % 50 AS INT) AS station, l_returnflag = 'R' AS flag, l_quantity AS q FROM lineitem), od AS (SELECT DISTINCT CAST(o_custkey % 10 AS INT) AS route, CAST(o_orderdate AS DATE) AS date FROM orders)"

@@ -59,17 +59,18 @@ def _(spark, d):
     return rounded(metrics.weekday_hours(scored(spark, d).withColumn("error", F.abs(F.col("actual") - F.col("predicted"))), "error"), 0)
 
 
-WEATHER = "wt AS (SELECT CAST(d AS DATE) AS date, CAST(x AS INT) AS hour, CAST((dayofyear(d) * 7 + x) % 25 AS INT) AS temp FROM generate_series(DATE '2001-05-01', DATE '2001-06-15', INTERVAL 1 DAY) a(d), range(0, 24, 2) b(x))"
+#: Temperatures by date and hour out of the orders, in which hours without an order are unknown.
+WEATHER = "wt AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey % 24 AS INT) AS hour, CAST(max(o_custkey % 41) - 20 AS INT) AS temp FROM orders GROUP BY ALL)"
 
 
-def weather(spark):
-    days = B.days(spark, "2001-05-01", "2001-06-15").withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(22), F.lit(2))))
-    return days.withColumn("temp", ((F.dayofyear("date") * 7 + F.col("hour")) % 25).cast("int"))
+def weather(spark, d):
+    return B.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"), (F.col("o_orderkey") % 24).cast("int").alias("hour"), (F.col("o_custkey") % 41 - 20).cast("int").alias("temp"))
 
 
 @dated_query("join_3_weather", f"WITH {B.TARGETS}, {WEATHER} SELECT route, date, hour, temp FROM t LEFT JOIN wt USING (date, hour)")
 def _(spark, d):
-    return history.with_weather(B.targets(spark), weather(spark)).select(*grid.KEYS, "temp")
+    """Repeated readings of an hour: the warmest counts."""
+    return history.with_weather(B.targets(spark), weather(spark, d), ["temp"]).select(*grid.KEYS, "temp")
 
 
 HALVES = "b AS (SELECT t.route, t.date, t.hour, z.value / 2 AS p FROM t JOIN z ON z.route = t.route AND z.hour = t.hour AND z.date = t.date - 7)"
@@ -85,11 +86,11 @@ def _(spark, d):
     return out.groupBy("route").agg(F.count("*").alias("n"), F.count_if("missing").alias("n_missing"), F.sum("prediction").alias("total"))
 
 
-@dated_query("join_10_break_distances", f"""WITH {B.BREAKS_SQL}, s AS (SELECT DISTINCT system FROM br), x AS (SELECT CAST(d AS DATE) AS date, system FROM generate_series(DATE '2001-01-01', DATE '{B.LAST}', INTERVAL 1 DAY) y(d), s),
+@dated_query("join_10_break_distances", f"""WITH {B.BREAKS_SQL}, {B.DATES}, s AS (SELECT DISTINCT system FROM br), x AS (SELECT date, system FROM ds, s),
   y AS (SELECT x.*, CAST(EXISTS (SELECT 1 FROM br WHERE br.system = x.system AND x.date BETWEEN first AND last) AS INT) AS inside, (SELECT min(datediff('day', x.date, first)) FROM br WHERE br.system = x.system AND first > x.date) AS u, (SELECT min(datediff('day', last, x.date)) FROM br WHERE br.system = x.system AND last < x.date) AS s FROM x),
   z AS (SELECT date, system, inside, CAST(CASE WHEN inside = 1 THEN 0 ELSE least(21, coalesce(u, 21)) END AS INT) AS until, CAST(CASE WHEN inside = 1 THEN 0 ELSE least(21, coalesce(s, 21)) END AS INT) AS since FROM y) SELECT *, CAST(inside = 0 AND since <= 7 AS INT) AS first_week FROM z""")
 def _(spark, d):
-    return calendars.interval_distances(B.days(spark, "2001-01-01", B.LAST), B.breaks(spark))
+    return calendars.interval_distances(B.dates(spark, d), B.breaks(spark))
 
 
 @dated_query("join_13_frozen", f"WITH {B.DAILY} SELECT a.route, a.date, round(CASE WHEN a.date > DATE '{B.CUTOFF}' THEN c.total ELSE a.total END, 2) AS total FROM dd a LEFT JOIN (SELECT route, total FROM dd WHERE date = DATE '{B.CUTOFF}') c USING (route)")
@@ -120,17 +121,19 @@ def _(spark, d):
     return rounded(forecast.holiday_or_weekly(B.targets(spark), B.dense(spark, d), named(spark), B.CUTOFF).select(*grid.KEYS, "predicted"), 2)
 
 
-@query("agg_18_holiday_years", f"WITH {B.HOLIDAYS_SQL} SELECT CAST(year(date) AS INT) AS year, count(DISTINCT date) AS n, CAST((SELECT min(date) FROM hol WHERE date >= DATE '2001-02-23') AS VARCHAR) AS next, (SELECT min(date) FROM hol WHERE date >= DATE '2001-02-23') = DATE '2001-02-23' AS is_today FROM hol GROUP BY 1")
+@query("agg_18_holiday_years", f"WITH {B.HOLIDAYS_SQL} SELECT CAST(year(date) AS INT) AS year, count(DISTINCT date) AS n, CAST((SELECT min(date) FROM hol WHERE date >= DATE '2001-02-23') AS VARCHAR) AS next, (SELECT min(date) FROM hol WHERE date >= DATE '2001-02-23') = DATE '2001-02-23' AS is_today FROM hol WHERE year(date) IN (SELECT year(o_orderdate) FROM orders) GROUP BY 1")
 def _(spark, d):
+    """The years that the orders have."""
     upcoming = calendars.next_holiday(B.holidays(spark), "2001-02-23").select(F.col("date").cast("string").alias("next"), "is_today")
-    return calendars.by_year(B.holidays(spark)).join(F.broadcast(upcoming))
+    years = B.dates(spark, d).select(F.year("date").alias("year")).distinct()
+    return calendars.by_year(B.holidays(spark)).join(years, "year", "left_semi").join(F.broadcast(upcoming))
 
 
-@dated_query("agg_24_climatology", f"""WITH {B.HISTORY}, {B.TARGETS}, k AS (SELECT *, month(date) AS m, isodow(date) AS w FROM h WHERE {PAST} AND date >= DATE '2000-05-01' AND hour % 2 = 0), a AS (SELECT route, hour, m, w, avg(value) AS v FROM k GROUP BY ALL), b AS (SELECT route, hour, w, avg(value) AS v FROM k GROUP BY ALL), c AS (SELECT route, hour, avg(value) AS v FROM k GROUP BY ALL)
+@dated_query("agg_24_climatology", f"""WITH {B.HISTORY}, {B.TARGETS}, k AS (SELECT *, month(date) AS m, isodow(date) AS w FROM h WHERE {PAST} ), a AS (SELECT route, hour, m, w, avg(value) AS v FROM k GROUP BY ALL), b AS (SELECT route, hour, w, avg(value) AS v FROM k GROUP BY ALL), c AS (SELECT route, hour, avg(value) AS v FROM k GROUP BY ALL)
   SELECT t.route, t.date, t.hour, round(coalesce(a.v, b.v, c.v), 2) AS value FROM t LEFT JOIN a ON a.route = t.route AND a.hour = t.hour AND a.m = month(t.date) AND a.w = isodow(t.date) LEFT JOIN b ON b.route = t.route AND b.hour = t.hour AND b.w = isodow(t.date) LEFT JOIN c ON c.route = t.route AND c.hour = t.hour""")
 def _(spark, d):
     parts = {"month": F.month("date"), "dow": F.weekday("date")}
-    known = B.history(spark, d).filter(f"{PAST} AND date >= DATE '2000-05-01' AND hour % 2 = 0").withColumns(parts)
+    known = B.history(spark, d).filter(PAST).withColumns(parts)
     out = history.climatology(B.targets(spark).withColumns(parts), known, [["route", "hour", "month", "dow"], ["route", "hour", "dow"], ["route", "hour"]])
     return rounded(out.select(*grid.KEYS, "value"), 2)
 
@@ -266,9 +269,10 @@ def _(spark, d):
     return rounded(out.select(*grid.KEYS, "n_train", "predicted"), 1)
 
 
-@query("fc_16_origins", "WITH m AS (SELECT CAST(d AS DATE) - 1 AS c FROM generate_series(DATE '2000-01-01', DATE '2001-07-01', INTERVAL 1 MONTH) x(d)) SELECT CAST(c AS VARCHAR) AS cutoff, CAST(c + 1 AS VARCHAR) AS first, CAST(c + 61 AS VARCHAR) AS last FROM m WHERE c + 61 <= DATE '2001-06-30' ORDER BY c DESC LIMIT 5")
+@query("fc_16_origins", "WITH e AS (SELECT CAST(max(o_orderdate) AS DATE) AS last FROM orders), m AS (SELECT CAST(date_trunc('month', last) - INTERVAL (i) MONTH AS DATE) - 1 AS c, last FROM e, range(0, 12) r(i)) SELECT CAST(c AS VARCHAR) AS cutoff, CAST(c + 1 AS VARCHAR) AS first, CAST(c + 61 AS VARCHAR) AS last FROM m WHERE c + 61 <= last ORDER BY c DESC LIMIT 5")
 def _(spark, d):
-    return spark.createDataFrame([tuple(map(str, w)) for w in forecast.origins(date(2001, 6, 30), 5, 61)], "cutoff string, first string, last string")
+    last = B.table(spark, d, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0]
+    return spark.createDataFrame([tuple(map(str, w)) for w in forecast.origins(last, 5, 61)], "cutoff string, first string, last string")
 
 
 @dated_query("fc_17_n_linear")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
 from headway.functions import text as T
-from headway.operators import gtfs, records
+from headway.operators import context, gtfs, records
 from headway.plans import bindings as B
 from headway.plans.bindings import dated_query, query, rounded
 
@@ -167,16 +167,19 @@ def _(spark, d):
 
 
 # Shapes and sets.
-@dated_query("rsh_6_date_hours", f"WITH {B.TARGETS} SELECT date, hour, printf('%s %02d:00:00', CAST(date AS VARCHAR), hour) AS at, count(*) AS n FROM t GROUP BY ALL")
+@dated_query("rsh_6_date_hours", f"WITH {B.HISTORY} SELECT date, hour, printf('%s %02d:00:00', CAST(date AS VARCHAR), hour) AS at, count(*) AS n FROM h GROUP BY ALL")
 def _(spark, d):
-    return B.targets(spark).groupBy("date", "hour", T.date_hour(F.col("date"), F.col("hour")).alias("at")).agg(F.count("*").alias("n"))
+    return B.history(spark, d).groupBy("date", "hour", T.date_hour(F.col("date"), F.col("hour")).alias("at")).agg(F.count("*").alias("n"))
 
 
-@dated_query("win_10_offsets", f"WITH {B.TARGETS} SELECT DISTINCT date, hour, CAST((isodow(date) - 1) * 24 + hour AS INT) AS of_week, CAST((dayofyear(date) - 1) * 24 + hour AS INT) AS of_year, CAST(datediff('day', DATE '{B.CUTOFF}', date) AS INT) AS horizon, CASE WHEN date - DATE '{B.CUTOFF}' <= 7 THEN '1-7' WHEN date - DATE '{B.CUTOFF}' <= 14 THEN '8-14' WHEN date - DATE '{B.CUTOFF}' <= 28 THEN '15-28' WHEN date - DATE '{B.CUTOFF}' <= 42 THEN '29-42' ELSE '43-61' END AS bucket FROM t")
+@dated_query("win_10_offsets", f"WITH {B.HISTORY}, x AS (SELECT DISTINCT date, hour, datediff('day', (SELECT min(date) FROM h) - 1, date) AS ahead FROM h) SELECT date, hour, CAST((isodow(date) - 1) * 24 + hour AS INT) AS of_week, CAST((dayofyear(date) - 1) * 24 + hour AS INT) AS of_year, CAST(ahead AS INT) AS horizon, CASE WHEN ahead <= 7 THEN '1-7' WHEN ahead <= 14 THEN '8-14' WHEN ahead <= 28 THEN '15-28' WHEN ahead <= 42 THEN '29-42' ELSE '43-61' END AS bucket FROM x")
 def _(spark, d):
+    """Horizons from the day before the first order."""
     week, year = S.week_offsets(F.col("date"), F.col("hour"))
-    ahead = F.datediff("date", F.lit(B.CUTOFF).cast("date"))
-    return B.targets(spark).select("date", "hour", week.alias("of_week"), year.alias("of_year"), ahead.alias("horizon"), S.horizon_bucket(ahead).alias("bucket")).distinct()
+    rows = B.history(spark, d).select("date", "hour").distinct()
+    first = rows.agg(F.date_sub(F.min("date"), 1).alias("_o"))  # one row
+    ahead = F.datediff("date", F.col("_o"))
+    return rows.join(F.broadcast(first)).select("date", "hour", week.alias("of_week"), year.alias("of_year"), ahead.alias("horizon"), S.horizon_bucket(ahead).alias("bucket"))
 
 
 @query("rsh_4_overwritten", "SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN -1.0 ELSE o_totalprice END AS price FROM orders")
@@ -218,10 +221,10 @@ def _(spark, d):
     return records.by_part(rows, [0, 1, 2], "route", lambda x: x.groupBy("route").agg(F.max("v").alias("top")))
 
 
-@dated_query("set_4_calendar_days", f"WITH {B.HOLIDAYS_SQL}, x AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2001-01-01', DATE '{B.LAST}', INTERVAL 1 DAY) y(d)) SELECT date FROM (SELECT date FROM x WHERE isodow(date) >= 6 UNION SELECT date FROM hol WHERE year(date) = 2001) WHERE date <> DATE '2001-03-10'")
+@dated_query("set_4_calendar_days", f"WITH {B.HOLIDAYS_SQL}, {B.DATES} SELECT date FROM (SELECT date FROM ds WHERE isodow(date) >= 6 UNION SELECT date FROM hol) WHERE date NOT IN (SELECT date FROM ds WHERE day(date) = 10)")
 def _(spark, d):
-    days = B.days(spark, "2001-01-01", B.LAST)
-    return records.calendar_days(days.filter("weekday(date) >= 5"), B.holidays(spark).filter("year(date) = 2001"), days.filter("date = DATE '2001-03-10'"))
+    days = B.dates(spark, d)
+    return records.calendar_days(days.filter("weekday(date) >= 5"), B.holidays(spark), days.filter("day(date) = 10"))
 
 
 @query("set_6_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -233,7 +236,5 @@ def _(spark, d):
 
 @query("rank_4_listed_routes", "SELECT s_nationkey, CAST(row_number() OVER (ORDER BY length(CAST(s_nationkey AS VARCHAR)), CAST(s_nationkey AS VARCHAR)) AS INT) AS place FROM (SELECT DISTINCT s_nationkey FROM supplier)")
 def _(spark, d):
-    rows = records.in_order(B.table(spark, d, "supplier").select("s_nationkey", F.col("s_nationkey").cast("string").alias("route")).distinct(), "route")
-    from pyspark.sql import Window as W
-
-    return rows.select("s_nationkey", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.length("route"), "route")).alias("place"))  # one row a route
+    rows = B.table(spark, d, "supplier").select("s_nationkey", F.col("s_nationkey").cast("string").alias("route")).distinct()
+    return context.ranked(rows, [F.length("route"), F.col("route")], "place").select("s_nationkey", "place")
