@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _OTHER = r"[^\p{L}\p{N}]+"
-#: Names that go on after " - " although the next word has a capital.
-PAIRS = (("Покровское", "Глебово"), ("Покровское", "Стрешнево"), ("Свято", "Данилов"))
+#: Names that go on after " - " although the next word has a capital: the first part, and a pattern of the whole second one.
+PAIRS = (("Покровское", "Глебово"), ("Покровское", "Стрешнево"), ("Свято", "Данилов.*"))
 #: Words of titles that name a street.
 STREETS = ("улица", "переулок", "проезд", "проспект", "шоссе", "тупик", "набережная", "бульвар", "аллея")
 #: Classes of roads that count as major; the placeholder for a place without a name.
@@ -42,7 +42,7 @@ def numbers(text: Column) -> Column:
 def stop_names(track: Column, pairs: tuple[tuple[str, str], ...] = PAIRS) -> Column:
     """The stops of a line as it is described, split at hyphens with blanks around.
 
-    A part that starts in lower case, or follows the first name of a pair and starts with the second, goes on the name before it; a name equal to the
+    A part that starts in lower case, or follows the first name of a pair and is wholly what the second describes, goes on the name before it; a name equal to the
     one before is left out. Null has none.
     """
     parts = F.filter(F.transform(F.split(F.coalesce(track, F.lit("")), r"\s+-\s+"), lambda x: F.trim(x)), lambda x: x != "")
@@ -51,7 +51,7 @@ def stop_names(track: Column, pairs: tuple[tuple[str, str], ...] = PAIRS) -> Col
         last = F.element_at(names, -1)
         goes_on = part.rlike(r"^\p{Ll}")
         for first, second in pairs:
-            goes_on = goes_on | ((last == first) & part.startswith(second))
+            goes_on = goes_on | ((last == first) & part.rlike(f"^(?:{second})$"))
         joined = F.concat(F.slice(names, F.lit(1), F.size(names) - 1), F.array(F.concat_ws(" - ", last, part)))
         return F.when(F.size(names) == 0, F.array(part)).when(goes_on, joined).when(last == part, names).otherwise(F.concat(names, F.array(part)))
 

@@ -32,9 +32,9 @@ def _(spark, d):
 
 @query("src_2_plain_csv", "SELECT CAST(p_partkey AS VARCHAR) AS key, '\"' || p_name AS name FROM part")
 def _(spark, d):
-    rows = B.table(spark, d, "part").select(F.concat_ws(";", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_name")).alias("line"))
+    rows = B.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit('"'), "p_name").alias("name"))
     path = shared_path(spark, "plain")
-    spark.createDataFrame([("key;name",)], "line string").union(rows).coalesce(1).write.text(path)
+    rows.write.options(header=True, sep=";", quote="").csv(path)  # each part file has the header
     return tables.read_csv(spark, path, ";", quoted=False)
 
 
@@ -57,7 +57,8 @@ def raw_validations(spark, d):
     whole = F.concat_ws(";", *[cell.get(c, F.lit("x")) for c in tables.VALIDATIONS])
     path = shared_path(spark, "validations")
     rows = B.table(spark, d, "events").select(F.when(n % 7 == 0, F.concat(n.cast("string"), F.lit(";x;y"))).otherwise(whole).alias("line"))
-    spark.createDataFrame([(";".join(tables.VALIDATIONS),)], "line string").union(rows).coalesce(1).write.text(path)
+    # one column whose name is the header: each part file has it, and any number of tasks writes
+    rows.withColumnRenamed("line", ";".join(tables.VALIDATIONS)).write.options(header=True, sep="\x01", quote="").csv(path)
     return path
 
 

@@ -21,13 +21,14 @@ def _(spark, d):
     return rows.select("p_partkey", T.normalised(F.col("t")).alias("plain"), T.slug(F.col("t")).alias("slug"), T.shortened(F.col("t"), 22).alias("short"), F.array_join(T.listed(F.col("t")), "|").alias("parts"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0").alias("padded"))
 
 
-@query("scl_2_stop_names", r"""WITH x AS (SELECT p_partkey, 'Depot ' || p_brand || ' - ' || p_name || '  -  ' || p_type || ' - ' || p_type || CASE WHEN p_partkey % 3 = 0 THEN ' - loop' ELSE ' - End' END AS track FROM part),
+@query("scl_2_stop_names", r"""WITH x AS (SELECT p_partkey, 'Depot ' || p_brand || ' - ' || p_name || '  -  ' || p_type || ' - ' || p_type || CASE p_partkey % 6 WHEN 0 THEN ' - Покровское - Стрешнево' WHEN 1 THEN ' - Покровское - Стрешнево-2' WHEN 2 THEN ' - Свято - Данилов монастырь' WHEN 3 THEN ' - loop' WHEN 4 THEN ' - Покровское - Данилов' ELSE ' - End' END AS track FROM part),
   y AS (SELECT p_partkey, unnest(string_split_regex(track, '\s+-\s+')) AS part, generate_subscripts(string_split_regex(track, '\s+-\s+'), 1) AS i FROM x),
-  g AS (SELECT *, sum(CASE WHEN regexp_matches(part, '^\p{Ll}') OR part = prev THEN 0 ELSE 1 END) OVER (PARTITION BY p_partkey ORDER BY i) AS g FROM (SELECT *, lag(part) OVER (PARTITION BY p_partkey ORDER BY i) AS prev FROM y)),
+  g AS (SELECT *, sum(CASE WHEN regexp_matches(part, '^\p{Ll}') OR part = prev OR (prev = 'Покровское' AND part IN ('Глебово', 'Стрешнево')) OR (prev = 'Свято' AND starts_with(part, 'Данилов')) THEN 0 ELSE 1 END) OVER (PARTITION BY p_partkey ORDER BY i) AS g FROM (SELECT *, lag(part) OVER (PARTITION BY p_partkey ORDER BY i) AS prev FROM y)),
   n AS (SELECT p_partkey, g, string_agg(part, ' - ' ORDER BY i) AS name FROM g WHERE part IS DISTINCT FROM prev GROUP BY ALL)
   SELECT p_partkey, string_agg(name, '|' ORDER BY g) AS stops, count(*) AS n FROM n GROUP BY p_partkey""")
 def _(spark, d):
-    end = F.when(F.col("p_partkey") % 3 == 0, " - loop").otherwise(" - End")
+    k = F.col("p_partkey") % 6
+    end = F.when(k == 0, " - Покровское - Стрешнево").when(k == 1, " - Покровское - Стрешнево-2").when(k == 2, " - Свято - Данилов монастырь").when(k == 3, " - loop").when(k == 4, " - Покровское - Данилов").otherwise(" - End")
     track = F.concat(F.lit("Depot "), "p_brand", F.lit(" - "), "p_name", F.lit("  -  "), "p_type", F.lit(" - "), "p_type", end)
     stops = B.table(spark, d, "part").select("p_partkey", T.stop_names(track).alias("stops"))
     return stops.select("p_partkey", F.array_join("stops", "|").alias("stops"), F.size("stops").cast("long").alias("n"))
@@ -218,7 +219,7 @@ def _(spark, d):
 @query("set_2_by_route", "WITH x AS (SELECT CAST(o_custkey % 3 AS INT) AS route, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders) SELECT route, max(v) AS top FROM x GROUP BY route")
 def _(spark, d):
     rows = B.table(spark, d, "orders").select((F.col("o_custkey") % 3).cast("int").alias("route"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
-    return records.by_part(rows, [0, 1, 2], "route", lambda x: x.groupBy("route").agg(F.max("v").alias("top")))
+    return records.by_part(rows, "route", [F.max("v").alias("top")])
 
 
 @dated_query("set_4_calendar_days", f"WITH {B.HOLIDAYS_SQL}, {B.DATES} SELECT date FROM (SELECT date FROM ds WHERE isodow(date) >= 6 UNION SELECT date FROM hol) WHERE date NOT IN (SELECT date FROM ds WHERE day(date) = 10)")

@@ -27,12 +27,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_submission(rows: DataFrame, path: str, expected: int) -> int:
-    """A submission (route, date, hour, prediction, missing) as CSV in key order; the number of its rows. Raises, once it is written, if a prediction is missing or the
-    number of rows isn't the expected one."""
-    write_labels(rows.select("route", F.col("date").cast("string").alias("date"), "hour", "prediction"), path, ["route", "date", "hour"])
+    """A submission (route, date, hour, prediction, missing) as CSV in key order; the number of its rows. If a prediction is missing or the
+    number of rows isn't the expected one, it raises and leaves the target as it is."""
     n, missing = rows.agg(F.count("*"), F.count_if("missing")).first()
     if missing or n != expected:
         raise ValueError(f"submission of {n} rows, {missing} of them missing; {expected} rows are expected")
+    write_labels(rows.select("route", F.col("date").cast("string").alias("date"), "hour", "prediction"), path, ["route", "date", "hour"])
     return n
 
 

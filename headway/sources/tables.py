@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,7 +142,8 @@ def read_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def first_of(*sources):
     """The rows of the first source, a function without parameters, that can be read and has any; the last one's error if none can.
 
-    Sources are tried one after the other as in a chain of a service, a file and built-in data.
+    Sources are tried one after the other as in a chain of a service, a file and built-in data. Only what Spark and the system raise for sources that are absent or can't be
+    read passes to the next one; any other error is raised.
     """
     error = None
     for source in sources:
@@ -148,7 +151,7 @@ def first_of(*sources):
             rows = source()
             if not rows.isEmpty():
                 return rows
-        except Exception as e:  # noqa: BLE001  any failure passes to the next source
+        except (AnalysisException, Py4JJavaError, SparkRuntimeException, OSError) as e:
             error = e
     raise error or ValueError("no source has rows")
 
