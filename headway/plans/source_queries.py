@@ -10,7 +10,7 @@ from headway.plans import bindings as B
 from headway.plans.bindings import dated_query, query, rounded
 from headway.plans.board_queries import cells
 from headway.plans.model_queries import HALVES, halves
-from headway.sources import sinks, tables
+from headway.sources import intake, sinks, tables
 
 PART = "CAST(p_partkey AS VARCHAR) AS key, p_name || ', \"' || p_brand || '\"' AS name"
 
@@ -213,3 +213,21 @@ def _(spark, d):
     path = shared_path(spark, "rounded")
     sinks.write_rounded(history.daily(B.dense(spark, d)).select("route", "date", (F.col("total") / 700).alias("total")), path)
     return rounded(tables.read_csv(spark, path, ";", schema="route int, date date, total double"), 2)
+
+
+@query("src_15_cached_answers", f"WITH {B.POINTS} SELECT 'node/' || id AS event_id, CASE WHEN kind % 3 = 0 THEN 'primary' ELSE c_name END AS title, round(lat, 6) AS lat, round(lon, 6) AS lon, kind % 3 = 0 AS major FROM ev JOIN customer ON c_custkey = id WHERE id % 40 <> 7")
+def _(spark, d):
+    """Customers as features in forty cached files, of which one can't be read; taken in twice, the second time without opening a file."""
+    k = F.col("c_custkey")
+    where = B.places(spark, d).select(F.col("id").alias("c_custkey"), "kind", "lat", "lon")
+    rows = B.table(spark, d, "customer").select("c_custkey", "c_name").join(where, "c_custkey")
+    place = F.struct("lat", "lon")
+    tags = F.when(F.col("kind") % 3 == 0, F.create_map(F.lit("highway"), F.lit("primary"))).otherwise(F.create_map(F.lit("name"), F.col("c_name"), F.lit("highway"), F.lit("construction")))
+    element = F.struct(F.lit("node").alias("type"), k.alias("id"), F.when(k % 2 == 0, F.col("lat")).alias("lat"), F.when(k % 2 == 0, F.col("lon")).alias("lon"), F.when(k % 2 == 1, place).alias("center"), tags.alias("tags"))
+    answers = rows.groupBy((k % 40).alias("part")).agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("text"))
+    cache, store = shared_path(spark, "answers"), shared_path(spark, "store")
+    answers.select("part", F.when(F.col("part") == 7, F.substring("text", 1, 200)).otherwise(F.col("text")).alias("text")).write.partitionBy("part").text(cache)
+    first, again = (intake.take_in(spark, f"{cache}/part=*", store, intake.ELEMENTS) for _ in range(2))
+    if again or not first:
+        raise ValueError(f"{again} files were read a second time, {first} the first time")
+    return rounded(intake.features(intake.documents(spark, store, intake.ELEMENTS)))
