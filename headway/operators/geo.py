@@ -17,13 +17,16 @@ def cell(x: Column, size: float) -> Column:
     return (x / size).cast("int")
 
 
-def within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, metres: float, spread: str = "right") -> DataFrame:
     """Pairs of left and right points at most ``metres`` apart, anywhere on the sphere, with ``metres`` between them; right columns come prefixed ``r_``.
 
-    Both sides are put in cells: bands of latitude as high as the radius, whose columns are as wide as the band needs and go round. The right side is
+    Both sides are put in cells: bands of latitude as high as the radius, whose columns are as wide as the band needs and go round. One side, better the smaller one, is
     given to the cells around its own, so the join is one of equal keys; a crowded cell is what adaptive skew handling splits. Rows without coordinates have no pairs.
     """
-    return _ring(left, right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), metres)
+    if spread == "right":
+        return _ring(left, right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), metres)
+    pairs = _ring(right, left.select(*[F.col(c).alias(f"r_{c}") for c in left.columns]), metres)
+    return pairs.select(*[F.col(f"r_{c}").alias(c) for c in left.columns], *[F.col(c).alias(f"r_{c}") for c in right.columns], "metres")
 
 
 def _ring(left: DataFrame, named: DataFrame, metres: float) -> DataFrame:
@@ -151,9 +154,9 @@ def nearest(left: DataFrame, key: str, right: DataFrame, order: list[str]) -> Da
 
 
 def closest(left: DataFrame, key: list[str], right: DataFrame, metres: float, k: int, order: list[str]) -> DataFrame:
-    """At most ``k`` right points within ``metres`` of each left row, nearest first, with their rank."""
+    """At most ``k`` right points within ``metres`` of each left row, nearest first, with their rank. The left side is taken to be the smaller one."""
     w = W.partitionBy(*key).orderBy("metres", *[f"r_{c}" for c in order])
-    return within(left, right, metres).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return within(left, right, metres, "left").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def along(points: DataFrame, line: list[str], order: list[str]) -> DataFrame:

@@ -20,6 +20,11 @@ def daily(history: DataFrame, value: str = "value") -> DataFrame:
     return history.groupBy("route", "date").agg(F.sum(value).alias("total"), F.avg(value).alias("mean"), F.count("*").alias("hours"))
 
 
+def network_days(history: DataFrame, value: str = "value") -> DataFrame:
+    """The sum over all routes by date."""
+    return history.groupBy("date").agg(F.sum(value).alias("total"))
+
+
 def decayed(values: Column, decay: float = DECAY) -> Column:
     """The mean of a newest-first array with weights ``decay`` to the power of the place; null if it is empty."""
     weights = F.transform(values, lambda _, i: F.pow(F.lit(decay), i))

@@ -31,6 +31,11 @@ def typical(rows: DataFrame, facts: DataFrame, least: int = 3) -> DataFrame:
     return out.withColumn("usual", F.when(F.size("_o") >= least, median)).drop("_dow", "_all", "_o")
 
 
+def day_rows(cells: DataFrame, day: str) -> DataFrame:
+    """The cells of one day by route and hour: value, status and what is usual."""
+    return cells.filter(F.col("date") == F.lit(day).cast("date")).select("route", "hour", "value", "status", "usual")
+
+
 def roll_up(rows: DataFrame, keys: list[str], period: Column) -> DataFrame:
     """Sums by period with how many cells are covered, and a status that tells facts, forecasts and gaps apart."""
     facts, ahead, n = F.count_if(F.col("status") == "fact"), F.count_if(F.col("status") == "forecast"), F.count("*")

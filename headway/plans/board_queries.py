@@ -36,7 +36,7 @@ def _(spark, d):
 
 @query("srv_4_day_rows", f"WITH {B.CELLS} SELECT route, hour, round(value, 6) AS value, status, round(usual, 6) AS usual FROM u WHERE date = DATE '2024-01-29'")
 def _(spark, d):
-    return rounded(cells(spark, d).filter("date = DATE '2024-01-29'").select("route", "hour", "value", "status", "usual"))
+    return rounded(serving.day_rows(cells(spark, d), "2024-01-29"))
 
 
 def _roll(period: str) -> str:

@@ -47,8 +47,10 @@ def _(spark, d):
 
 def scored(spark, d):
     """The champion forecast beside the actuals, with calendar flags."""
-    made = forecast.champion(B.targets(spark), B.dense(spark, d), B.holidays(spark), B.CUTOFF)
-    rows = made.join(B.history(spark, d).withColumnRenamed("value", "actual"), grid.KEYS, "left").withColumn("actual", F.coalesce("actual", F.lit(0.0)))
+    known = B.dense(spark, d)
+    made = forecast.champion(B.targets(spark), known, B.holidays(spark), B.CUTOFF)
+    actual = known.filter(F.col("date") > F.lit(B.CUTOFF).cast("date")).withColumnRenamed("value", "actual")
+    rows = made.join(actual, grid.KEYS, "left").withColumn("actual", F.coalesce("actual", F.lit(0.0)))
     rows = calendars.flags(rows, B.holidays(spark))
     return rows.withColumn("school_off", (F.col("date") >= F.lit("2001-05-26").cast("date")).cast("int"))
 

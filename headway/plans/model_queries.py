@@ -46,7 +46,7 @@ def _(spark, d):
 
 @dated_query("agg_10_network_days", f"WITH {B.DENSE} SELECT date, round(sum(value), 2) AS total FROM z GROUP BY date")
 def _(spark, d):
-    return rounded(B.dense(spark, d).groupBy("date").agg(F.sum("value").alias("total")), 2)
+    return rounded(history.network_days(B.dense(spark, d)), 2)
 
 
 @query("agg_11_hour_profile", f"WITH {B.DENSE} SELECT hour, round(avg(value), 2) AS mean, count(*) AS n FROM z GROUP BY hour")
