@@ -29,23 +29,6 @@ def within(left: DataFrame, right: DataFrame, metres: float, spread: str = "righ
     return pairs.select(*[F.col(f"r_{c}").alias(c) for c in left.columns], *[F.col(c).alias(f"r_{c}") for c in right.columns], "metres")
 
 
-def _ring(left: DataFrame, named: DataFrame, metres: float) -> DataFrame:
-    angle = min(metres / S.EARTH_M, math.pi)
-    size = math.degrees(angle) * 1.001
-    row = lambda p: F.floor((F.col(p + "lat") + 90) / size)
-    # the most columns whose neighbours hold all within the radius, at the latitude of the band's neighbours that is nearest to a pole
-    polar = F.least(F.lit(90.0), F.greatest(F.abs((F.col("_row") - 1) * size - 90), F.abs((F.col("_row") + 2) * size - 90)))
-    share = math.sin(angle / 2) / F.cos(F.radians(polar))
-    columns = F.when(share < 1, F.floor(math.pi / 1.001 / F.asin(F.least(share, F.lit(1.0))))).otherwise(F.lit(1).cast("long"))
-    col = lambda p: F.floor(F.pmod(F.col(p + "lon"), F.lit(360.0)) / 360 * F.col("_n"))
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    spread = named.withColumn("_i", F.explode(around)).withColumn("_row", row("r_") + F.col("_i")).withColumn("_n", columns)
-    spread = spread.withColumn("_col", F.explode(F.array_distinct(F.transform(around, lambda j: F.pmod(col("r_") + j, F.col("_n")))))).drop("_i", "_n")
-    cells = left.withColumn("_row", row("")).withColumn("_n", columns).withColumn("_col", F.pmod(col(""), F.col("_n"))).drop("_n")
-    pairs = cells.join(spread, ["_row", "_col"]).drop("_row", "_col")
-    return pairs.withColumn("metres", S.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
-
-
 def _bands(metres: float) -> tuple:
     """Cells for a radius: (row of a latitude, columns of a row, column of a longitude in so many columns). Bands are as high as the radius, and their columns as
     wide as the band and its neighbours need, going round."""
@@ -60,6 +43,16 @@ def _bands(metres: float) -> tuple:
     return lambda lat: F.floor((lat + 90) / size), columns, lambda lon, n: F.floor(F.pmod(lon, F.lit(360.0)) / 360 * n)
 
 
+def _ring(left: DataFrame, named: DataFrame, metres: float) -> DataFrame:
+    row, columns, column = _bands(metres)
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    spread = named.withColumn("_i", F.explode(around)).withColumn("_row", row(F.col("r_lat")) + F.col("_i")).withColumn("_n", columns(F.col("_row")))
+    spread = spread.withColumn("_col", F.explode(F.array_distinct(F.transform(around, lambda j: F.pmod(column(F.col("r_lon"), F.col("_n")) + j, F.col("_n")))))).drop("_i", "_n")
+    cells = left.withColumn("_row", row(F.col("lat"))).withColumn("_n", columns(F.col("_row"))).withColumn("_col", F.pmod(column(F.col("lon"), F.col("_n")), F.col("_n"))).drop("_n")
+    pairs = cells.join(spread, ["_row", "_col"]).drop("_row", "_col")
+    return pairs.withColumn("metres", S.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
+
+
 def _vector(lat: Column, lon: Column) -> list[Column]:
     """A point of the unit sphere."""
     return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
