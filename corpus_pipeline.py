@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,25 @@ def _md5(docs: DataFrame) -> Column:
     return F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
 
 
-def _without(docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
-    """The rows that no key (key_id, key_text) names. Rows that are dropped are few beside those that stay, so the keys are theirs."""
-    return docs.join(keys.select("key_id", "key_text").distinct(), _same(docs, digest, keys), "left_anti")
+def _without(docs: DataFrame, digest: Column, keys: DataFrame, sift: bool = True) -> DataFrame:
+    """The rows that no key (key_id, key_text) names. Rows that are dropped are few beside those that stay, so the keys are theirs.
+
+    With ``sift`` a filter of bounded size (16 MB at most) goes out first: rows that it doesn't know are none of the keys' and stay where they are, and only the others, the dropped ones and a
+    few, are shuffled with their texts to meet the keys. A full filter lets more rows into the join, which decides.
+    """
+    keys = keys.select("key_id", "key_text").distinct()
+    named = _same(docs, digest, keys)
+    if not sift:
+        return docs.join(keys, named, "left_anti")
+    known = docs.sparkSession.sparkContext.broadcast(decontam.filter_of(keys.select(F.xxhash64("key_id", "key_text").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(known.value.has(h.to_numpy().view(np.uint64)))
+
+    name = _free(docs, "maybe")
+    marked = docs.withColumn(name, maybe(F.xxhash64(docs["doc_id"], digest)))
+    return marked.filter(~F.col(name)).union(marked.filter(F.col(name)).join(keys, named, "left_anti")).drop(name)
 
 
 def _once(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
@@ -38,7 +56,7 @@ def _once(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
         return docs
     name = _free(docs, "digest")
     many = docs.join(repeated, _same(docs, digest, repeated), "left_semi").withColumn(name, digest).dropDuplicates(["doc_id", name])
-    return _without(docs, digest, repeated).union(many.drop(name))
+    return _without(docs, digest, repeated, sift=False).union(many.drop(name))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +84,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = exact.exact_dedup(docs).select(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_text"), "kept")
     digest = F.sha2(exact.normalised(docs["text"]), 256)
     found = cut(found)
-    return _once(_without(docs, digest, found.filter("NOT kept")), digest, found.filter("kept"))
+    return _once(_without(docs, digest, found.filter("NOT kept"), sift=False), digest, found.filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
