@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from headway.llm import chat, ctw, decontam, exact, langid, licenses, packing, pfor, queries, simhash, tokens, toxicity
+from headway.llm import chat, common, ctw, decontam, exact, langid, licenses, packing, pfor, queries, simhash, tokens, toxicity
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,6 +64,26 @@ def test_exact_splits_collisions(edge):
         assert sorted(map(str, exact.exact_dedup(edge, hashed).collect())) == plain
 
 
+@pytest.mark.parametrize("n", [0, 1, 700, 20000])
+def test_sieve_loses_no_key(spark, n):
+    """Every key passes, few other rows do, and columns named like the sieve's own come through."""
+    rows = spark.range(40000).select("id", F.lit("b").alias("block"), F.lit("x").alias("bits"), F.when(F.col("id") % 9 > 0, F.col("id")).alias("some"))
+    keys = spark.range(n).select(F.xxhash64("id").alias("h"))
+    out = common.sieved(rows, F.xxhash64("id"), keys, "maybe")
+    assert out.columns == [*rows.columns, "maybe"]
+    passed = {r["id"] for r in out.filter("maybe").collect()}
+    assert set(range(n)) <= passed and len(passed) <= n + 0.03 * (40000 - n)
+    assert out.count() == 40000 and out.filter("block = 'b' AND bits = 'x'").count() == 40000
+    assert out.filter("NOT maybe").count() == 40000 - len(passed)
+
+
+def test_full_sieve_changes_no_result(edge, monkeypatch):
+    plain = sorted(map(str, exact.exact_dedup(edge).collect()))
+    monkeypatch.setattr(common, "MOST_BITS", 8)
+    monkeypatch.setattr(common, "BLOCK", 8)
+    assert sorted(map(str, exact.exact_dedup(edge).collect())) == plain
+
+
 def test_decontaminate_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "A b C!", 0), (2, None, 0), (None, "x y z", 0), (3, " ".join(LONG.split()[:12]), 0)], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontam.decontaminate(edge, bench).collect()}
