@@ -166,6 +166,8 @@ OTHERS = (
 NEGATED = r"\b(not|never|nor|neither|no longer|isn t|aren t|wasn t|cannot be)( [a-z0-9]+){0,2} (released|licensed|distributed|available|provided|offered|published|covered|redistributed)\b"
 #: A line that names licences by their identifiers, and what parts these.
 DECLARED, PARTED = r"(?:spdx-license-identifier|licen[sc]e)[\"']?\s*[:=]\s*(\S.*)$", r"\s+(?:or|and|with)\s+|[()/,|]+"
+#: What parts lines.
+LINES = "\r\n|\n|\r"
 #: Rows of the corpus that stand for no licence, at most about; grams in a row; rows of the calibration fold, one in so many.
 NEGATIVES, FOLD = 2000, 4
 #: Least calibrated probability; share of a template's pairs of words that must occur; passes and L1 strength of the fit.
@@ -180,9 +182,27 @@ def _grams(words: list[str]) -> list[str]:
 
 #: The grams that the classifier knows: every one of a template or of the other sentences.
 VOCABULARY = sorted({g for x in (*(t for family in PATTERNS.values() for t in family), *OTHERS) for g in _grams(x.split())})
-#: Words of the longest template; the words that begin a gram.
+#: Words of the longest template; the words that begin a gram, and those that come second.
 LONGEST = max(len(t.split()) for family in PATTERNS.values() for t in family)
 HEADS = sorted({g.split()[0] for g in VOCABULARY})
+SECONDS = sorted({g.split()[1] for g in VOCABULARY})
+
+
+def _either(phrases: set[str]) -> str:
+    """A pattern of the phrases that reads what they begin with in common once; where they have a space, whatever parts two words may stand."""
+    after = {c: {p[1:] for p in phrases if p[:1] == c} for c in sorted({p[0] for p in phrases if p})}
+    tails = "|".join(("[^a-z0-9]++" if c == " " else c) + _either(rest) for c, rest in after.items())
+    # a phrase may end where another goes on: a letter that goes on can't be an end
+    return f"(?:{tails})?+" if tails and "" in phrases else f"(?:{tails})" if len(after) > 1 else tails
+
+
+#: A space and a lower-cased text with two neighbouring words that are a gram, on one line or over several.
+ANY_PAIR = f"[^a-z0-9](?=[a-z0-9]){_either({g for g in VOCABULARY if g.count(' ') == 1})}(?![a-z0-9])"
+
+
+def has_pair(low: Column) -> Column:
+    """Whether a lower-cased text has two neighbouring words that are a gram. One without has no longer gram."""
+    return F.concat(F.lit(" "), low).rlike(ANY_PAIR)
 
 
 def paragraphs(text: Column) -> Column:
@@ -191,9 +211,9 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "")), lambda words: F.size(words) > 0)
 
 
-def blocks(text: Column) -> Column:
-    """The same lines as (words, opens, declared): a line opens a block if it is the first or the one before has no word; ``declared`` has, for each identifier of a line
-    that names licences by them, the words of a line that would name it alone."""
+def blocks(low: Column) -> Column:
+    """The lines of a lower-cased text that have a word, as (words, opens, pair, declared): a line opens a block if it is the first or the one before has no word; ``pair`` tells
+    whether it may have a gram; ``declared`` has, for each identifier of a line that names licences by them, the words of a line that would name it alone."""
 
     def declared(x: Column) -> Column:
         parts = F.split(F.regexp_extract(x, DECLARED, 1), PARTED)
@@ -201,10 +221,10 @@ def blocks(text: Column) -> Column:
         named = F.transform(words, lambda w: F.concat(F.array(*map(F.lit, DECLARES.split())), w))
         return F.when(F.contains(x, F.lit("licen")) & x.rlike(DECLARED), named).otherwise(F.array().cast("array<array<string>>"))
 
-    raw = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\r\n|\n|\r"), lambda x: F.struct(F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "").alias("words"), declared(x).alias("declared")))
+    raw = F.transform(F.split(low, LINES), lambda x: F.struct(F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "").alias("words"), has_pair(x).alias("pair"), declared(x).alias("declared")))
 
     def numbered(raw: Column) -> Column:
-        lines = F.transform(raw, lambda s, i: F.struct(s["words"].alias("words"), (F.coalesce(F.size(F.get(raw, i - 1)["words"]), F.lit(0)) <= 0).alias("opens"), s["declared"].alias("declared")))
+        lines = F.transform(raw, lambda s, i: F.struct(s["words"].alias("words"), (F.coalesce(F.size(F.get(raw, i - 1)["words"]), F.lit(0)) <= 0).alias("opens"), s["pair"].alias("pair"), s["declared"].alias("declared")))
         return F.filter(lines, lambda s: F.size(s["words"]) > 0)
 
     return _let(raw, numbered)
@@ -235,7 +255,8 @@ def windows(lines: Column, own: Column) -> Column:
         def of(after: Column) -> Column:
             stop = F.array_position(F.transform(after, lambda x: x["opens"]), True).cast("int")
             n = F.when(stop > 0, stop - 1).otherwise(F.size(after))
-            ends = F.filter(F.sequence(F.lit(1), n), lambda k: F.size(words(F.slice(after, F.lit(1), k - 1))) < LONGEST)
+            sizes = F.transform(after, lambda x: F.size(x["words"]))
+            ends = _let(sizes, lambda z: F.filter(F.sequence(F.lit(1), n), lambda k: F.aggregate(F.slice(z, F.lit(1), k - 1), F.lit(0), lambda a, v: a + v) < LONGEST))
             def joined(k: Column) -> Column:
                 return _let(F.concat(s["words"], words(F.slice(after, F.lit(1), k))), lambda w: F.struct(i.alias("paragraph"), (i + k).alias("last"), known_grams(w).alias("grams"), negated(w).alias("negated")))
 
@@ -254,7 +275,7 @@ def known_grams(words: Column) -> Column:
     def grams(words: Column) -> Column:
         def at(w: Column, i: Column) -> Column:
             two, three = F.concat_ws(" ", w, F.get(words, i + 1)), F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2))
-            return F.when(w.isin(HEADS), F.array(two, three)).otherwise(F.array().cast("array<string>"))
+            return F.when(w.isin(HEADS) & F.get(words, i + 1).isin(SECONDS), F.array(two, three)).otherwise(F.array().cast("array<string>"))
 
         return F.array_distinct(F.filter(F.flatten(F.transform(words, at)), lambda g: g.isin(VOCABULARY)))
 
@@ -361,14 +382,17 @@ def learn(docs: DataFrame, negatives: int = NEGATIVES, passes: int = PASSES, str
 
 def segments(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs and the parts of the text to judge: lines with a known gram, identifiers that a line declares, and runs of lines. Each text is handled by
-    itself and its lines are formed once."""
+    itself and its lines are formed once. Of a text without a known pair of words, which names no licence, the lines are counted and no more; nor are grams looked for in such lines."""
 
     def of(lines: Column) -> Column:
         def alone(s: Column, i: Column) -> Column:
             def one(w: Column) -> Column:
                 return F.struct(i.alias("paragraph"), i.alias("last"), known_grams(w).alias("grams"), negated(w).alias("negated"))
 
-            return F.transform(F.concat(F.array(s["words"]), s["declared"]), one)
+            def bare(w: Column) -> Column:
+                return F.struct(i.alias("paragraph"), i.alias("last"), F.array().cast("array<string>").alias("grams"), F.lit(False).alias("negated"))
+
+            return F.concat(F.transform(F.array(s["words"]), lambda w: F.when(s["pair"], one(w)).otherwise(bare(w))), F.transform(s["declared"], one))
 
         def all_(single: Column) -> Column:
             parts = F.filter(F.flatten(single), lambda x: F.size(x["grams"]) > 0).cast(SEGMENTS)
@@ -377,7 +401,14 @@ def segments(docs: DataFrame) -> DataFrame:
 
         return _let(F.transform(lines, alone), all_)
 
-    return docs.select("doc_id", _let(blocks(F.col("text")), of).alias("s")).select("doc_id", "s.n_paragraphs", "s.seen")
+    def none(low: Column) -> Column:
+        lines = F.filter(F.split(low, LINES), lambda x: x.rlike("[a-z0-9]"))
+        return F.struct(F.size(lines).cast("long").alias("n_paragraphs"), F.array().cast(SEGMENTS).alias("seen"))
+
+    low = F.lower(F.coalesce("text", F.lit("")))
+    # the branch is taken per row and its expressions are not shared with other branches
+    seen = _let(low, lambda x: F.when(has_pair(x) | F.contains(x, F.lit("licen")), _let(blocks(x), of)).otherwise(none(x)))
+    return docs.select("doc_id", seen.alias("s")).select("doc_id", "s.n_paragraphs", "s.seen")
 
 
 def judged(kinds: DataFrame, model: Model) -> DataFrame:

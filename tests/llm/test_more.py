@@ -308,3 +308,18 @@ def test_verdicts():
     assert langid.verdict_of(FOREIGN[1], 3.9 * deviation, 0.0, 1024) == langid.NONE
     assert langid.verdict_of("ok", 4.1 * deviation, 0.0, 1024) == langid.FOUND
     assert langid.verdict_of("ok", 4.1 * deviation, 3.9 * deviation, 1024) == langid.UNSURE
+
+
+def test_texts_that_are_not_looked_through_have_nothing(spark):
+    """Which texts and lines have a known pair of words is told as the grams tell it; what a line declares is found wherever it stands."""
+    pairs = [g for g in licenses.VOCABULARY if g.count(" ") == 1]
+    near = [f"{a}x {b}" for a, b in map(str.split, pairs[:40])] + ["", "-", "zlib", "qq the", "of\nthe", "the-MIT  license", "été of, the", "of thexyz", "x" * 5000]
+    texts = [*pairs, *(g.upper().replace(" ", " -- ") for g in pairs[:40]), *near]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    for r in frame.select("text", licenses.has_pair(F.lower("text")).alias("got"), (F.size(licenses.known_grams(words)) > 0).alias("want")).collect():
+        assert r["got"] == r["want"], r["text"]
+    named = spark.createDataFrame([(1, "License: MIT\nqq\n\nww"), (2, "qq\r\nlicence = ISC\r\nqq"), (3, "a\n\nb\r\n--\rc"), (4, None)], "doc_id int, text string")
+    got = {r["doc_id"]: (r["n_paragraphs"], [s["grams"] for s in r["seen"]]) for r in licenses.segments(named).collect()}
+    assert got[3] == (3, []) and got[4] == (0, [])
+    assert got[1][0] == 3 and any("identifier mit" in g for g in got[1][1]) and any("identifier isc" in g for g in got[2][1])
