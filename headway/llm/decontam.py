@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -13,17 +11,18 @@ from headway.llm.common import cut, map_rows
 
 #: Words in a k-gram, and words of a shared span that is always found.
 GRAM, SPAN = 5, 10
-#: 64-bit words of a filter at least and at most (16 MB); words whose hash a task remembers.
-LEAST, MOST, REMEMBERED = 1 << 10, 1 << 21, 400_000
+#: 64-bit words of a filter at least and at most (16 MB).
+LEAST, MOST = 1 << 10, 1 << 21
 
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bytes of UTF-8: A-Z in lower case, and a space for what is in no word, [\x00-\x2f\x3a-\x60\x7b-\x7f]. Those of other characters are 128 and more.
+_LOWER = bytes(range(256)).lower()
+_CUTS = bytes(b if b >= 128 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in _LOWER)
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words, with A-Z in lower case; null has none."""
-    text = text or ""
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """Words in UTF-8, with A-Z in lower case; null has none."""
+    text = text or b""
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).translate(_CUTS).split()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -63,27 +62,9 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return best[np.r_[True, best[1:] != best[:-1]]]
 
 
-class Words:
-    """64-bit hashes of words, remembered for as long as the task lives."""
-
-    def __init__(self):
-        self.numbers: dict[str, int] = {}
-        self.hashes = np.zeros(1 << 12, np.uint64)
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.numbers) > REMEMBERED:
-            self.numbers.clear()
-        get = self.numbers.get
-        found = list(map(get, words))
-        if None in found:
-            new = list({w for w, i in zip(words, found) if i is None})
-            first = len(self.numbers)
-            while first + len(new) > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.hashes[first : first + len(new)] = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new]
-            self.numbers.update(zip(new, range(first, first + len(new))))
-            found = list(map(get, words))
-        return self.hashes[np.fromiter(found, np.int32, len(found))]
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
 class Filter:
@@ -111,10 +92,10 @@ def filter_of(hashes: DataFrame, column: str) -> Filter:
     return Filter(table.view(np.uint64))
 
 
-def _second(words: list[str], starts: np.ndarray, size: int) -> np.ndarray:
+def _second(words: list[bytes], starts: np.ndarray, size: int) -> np.ndarray:
     """A second hash, independent of the first, of the windows of ``size`` words at ``starts``."""
-    known: dict[str, int] = {}
-    inside = [[known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 77)) for w in words[p : p + size]] for p in starts.tolist()]
+    known: dict[bytes, int] = {}
+    inside = [[known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w, 77)) for w in words[p : p + size]] for p in starts.tolist()]
     h = np.full(len(starts), size, np.uint64)
     for column in np.array(inside, np.uint64).reshape(len(starts), size).T:
         h = _mixed(h * np.uint64(0xD1342543DE82EF95) + column)
@@ -124,27 +105,22 @@ def _second(words: list[str], starts: np.ndarray, size: int) -> np.ndarray:
 def _windows(items: DataFrame, gram: int, span: int) -> DataFrame:
     """For each text (g, text): its fingerprints, its windows' hashes and their size."""
 
-    def make():
-        hashed = Words()
-
-        def step(c):
-            out = {k: [] for k in ("g", "prints", "size", "windows")}
-            for g, text in zip(*c):
-                words = words_of(text)
-                size = min(span, len(words))
-                if size:
-                    h = hashed(words)
-                    grams = gram_hashes(h, gram)
-                    first, second = gram_hashes(h, size), _second(words, np.arange(len(words) - size + 1), size)
-                    prints = np.unique(grams[winnow(grams, span - gram + 1)]) if size == span else np.zeros(0, np.uint64)
-                    rows = [{"h1": a, "h2": b} for a, b in zip(first.view(np.int64).tolist(), second.view(np.int64).tolist())]
-                    for k, v in zip(out, (g, prints.view(np.int64).tolist(), size, rows)):
-                        out[k].append(v)
-            return out
-
-        return step
+    def step(c):
+        out = {k: [] for k in ("g", "prints", "size", "windows")}
+        for g, text in zip(*c):
+            words = words_of(text)
+            size = min(span, len(words))
+            if size:
+                h = word_hashes(words)
+                grams = gram_hashes(h, gram)
+                first, second = gram_hashes(h, size), _second(words, np.arange(len(words) - size + 1), size)
+                prints = np.unique(grams[winnow(grams, span - gram + 1)]) if size == span else np.zeros(0, np.uint64)
+                rows = [{"h1": a, "h2": b} for a, b in zip(first.view(np.int64).tolist(), second.view(np.int64).tolist())]
+                for k, v in zip(out, (g, prints.view(np.int64).tolist(), size, rows)):
+                    out[k].append(v)
+        return out
 
-    return map_rows(items, ["g", "text"], make, "g long, prints array<long>, size int, windows array<struct<h1:long,h2:long>>")
+    return map_rows(items, ["g", "text"], lambda: step, "g long, prints array<long>, size int, windows array<struct<h1:long,h2:long>>")
 
 
 def _candidates(docs: DataFrame, prints: Filter, windows: Filter, short: list[int], gram: int, span: int, with_span: bool) -> DataFrame:
@@ -152,7 +128,7 @@ def _candidates(docs: DataFrame, prints: Filter, windows: Filter, short: list[in
     shared = docs.sparkSession.sparkContext.broadcast((prints, windows))
 
     def make():
-        hashed, (prints, windows) = Words(), shared.value
+        prints, windows = shared.value
 
         def spots(h):
             """(size, starts) of the windows to be looked up."""
@@ -173,7 +149,7 @@ def _candidates(docs: DataFrame, prints: Filter, windows: Filter, short: list[in
             out = {"doc_id": c[0], "text_md5": c[1], "n_words": [], "found": []}
             for text in c[2]:
                 words, found = words_of(text), {}
-                for size, starts, first in spots(hashed(words)):
+                for size, starts, first in spots(word_hashes(words)):
                     here = np.flatnonzero(windows.has(first))
                     if len(here):
                         second = _second(words, starts[here], size).view(np.int64).tolist()
@@ -185,7 +161,7 @@ def _candidates(docs: DataFrame, prints: Filter, windows: Filter, short: list[in
 
         return step
 
-    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "text")
+    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), F.col("text").cast("binary").alias("text"))
     return map_rows(rows, ["doc_id", "text_md5", "text"], make, "doc_id long, text_md5 string, n_words long, found array<struct<h1:long,h2:long,size:int,starts:array<int>>>")
 
 
