@@ -89,13 +89,26 @@ def _parts(c: str) -> list[Column]:
     return [F.col(c)[i] for i in range(3)]
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows that are about to become many, dealt to all shuffle partitions: they are few bytes before, so Spark would leave them to a task or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+#: Vectors as columns of numbers that are never null, so that what is compared for each pair stays short code.
+_FLAT = {v: [f"{v}{i}" for i in range(3)] for v in ("_a", "_b", "_p")}
+
+
+def _flat(v: str, parts: list[Column]) -> list[Column]:
+    return [F.coalesce(x, F.lit(math.nan)).alias(c) for x, c in zip(parts, _FLAT[v])]
+
+
 def line_cells(arcs: DataFrame, metres: float) -> tuple[DataFrame, tuple]:
     """Each arc in the cells that it crosses and those around them, once each: marks along it stand no farther apart than the radius, so what lies within it of the
     arc is within one and a half of a mark."""
     bands = row, columns, column = _bands(1.5 * metres)
     angle = 2 * F.asin(F.least(F.lit(1.0), F.sqrt(_dot([x - y for x, y in zip(_parts("_a"), _parts("_b"))], [x - y for x, y in zip(_parts("_a"), _parts("_b"))])) / 2))
     steps = F.greatest(F.lit(1), F.ceil(F.col("_angle") * S.EARTH_M / metres).cast("int"))
-    marks = arcs.withColumn("_angle", angle).withColumn("_steps", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_steps"))))
+    marks = _dealt(arcs, "_a", "_b").withColumn("_angle", angle).withColumn("_steps", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_steps"))))
     share = F.col("_k") / F.col("_steps")
     wa, wb = (F.when(F.col("_angle") > 0, F.sin(x * F.col("_angle")) / F.sin("_angle")).otherwise(y) for x, y in ((1 - share, F.lit(1.0)), (share, F.lit(0.0))))
     at = [wa * x + wb * y for x, y in zip(_parts("_a"), _parts("_b"))]
@@ -103,28 +116,46 @@ def line_cells(arcs: DataFrame, metres: float) -> tuple[DataFrame, tuple]:
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     spread = marks.withColumn("_i", F.explode(around)).withColumn("_row", row(F.col("_lat")) + F.col("_i"))
     spread = spread.withColumn("_m", columns(F.col("_row"))).withColumn("_col", F.explode(F.array_distinct(F.transform(around, lambda j: F.pmod(column(F.col("_lon"), F.col("_m")) + j, F.col("_m"))))))
-    return spread.drop("_angle", "_steps", "_k", "_lat", "_lon", "_i", "_m").distinct(), bands
+    others = [c for c in arcs.columns if c not in ("_a", "_b")]
+    return spread.select(*others, "_row", "_col", *_flat("_a", _parts("_a")), *_flat("_b", _parts("_b"))).distinct(), bands
 
 
 def _celled(points: DataFrame, bands: tuple) -> DataFrame:
     row, columns, column = bands
     rows = points.withColumn("_row", row(F.col("lat"))).withColumn("_m", columns(F.col("_row")))
-    return rows.withColumn("_col", F.pmod(column(F.col("lon"), F.col("_m")), F.col("_m"))).drop("_m").withColumn("_p", F.array(*_vector(F.col("lat"), F.col("lon"))))
+    return rows.withColumn("_col", F.pmod(column(F.col("lon"), F.col("_m")), F.col("_m"))).drop("_m").select("*", *_flat("_p", _vector(F.col("lat"), F.col("lon"))))
+
+
+def _beside(metres: float) -> Column:
+    """Whether ``_p`` is at most so many metres from the arc from ``_a`` to ``_b``, as ``to_segment`` has it. What is farther from the great circle goes first, without
+    functions of angles; a little is added, so that the exact distance alone decides."""
+    p, a, b = ([F.col(c) for c in _FLAT[v]] for v in ("_p", "_a", "_b"))
+    n, pa, pb, ab = _cross(a, b), _dot(p, a), _dot(p, b), _dot(a, b)
+    across, length = F.abs(_dot(p, n)), F.sqrt(_dot(n, n))
+    most = math.sin(min(metres / S.EARTH_M, math.pi / 2)) * 1.000001
+    ends = F.least(*[_dot(d, d) for d in ([x - y for x, y in zip(p, a)], [x - y for x, y in zip(p, b)])])
+    # n x a is b - a (a b), and b x n is a - b (a b)
+    beside = (pb - pa * ab >= 0) & (pa - pb * ab >= 0) & (length > 0)
+    exact = F.when(beside, F.asin(F.least(F.lit(1.0), across / length))).otherwise(2 * F.asin(F.least(F.lit(1.0), F.sqrt(ends) / 2)))
+    return (across <= length * most + 1e-12) & (S.EARTH_M * exact <= metres)
 
 
 def near_lines(points: DataFrame, arcs: DataFrame, metres: float) -> DataFrame:
-    """The points at most so many metres from any arc (``segments``), each once: a semi join of equal cells with the exact distance to the arc, anywhere on the sphere."""
+    """The points at most so many metres from any arc (``segments``), each once: a semi join of equal cells with the exact distance to the arc, anywhere on the sphere.
+
+    Cells are far more rows than the lines that Spark would judge them by, so they are merged, never broadcast.
+    """
     spread, bands = line_cells(arcs.select("_a", "_b").distinct(), metres)
-    rows, named = _celled(points, bands), spread.select(F.col("_row").alias("_r"), F.col("_col").alias("_c"), "_a", "_b")
-    near = (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")) & (to_segment(_parts("_p"), _parts("_a"), _parts("_b")) <= metres)
+    rows, named = _celled(points, bands), spread.withColumnsRenamed({"_row": "_r", "_col": "_c"})
+    near = (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")) & _beside(metres)
     return rows.join(named, near, "left_semi").select(*points.columns)
 
 
 def by_line(points: DataFrame, key: str, arcs: DataFrame, line: list[str], metres: float) -> DataFrame:
-    """(line, key): the points within so many metres of each line, each once."""
+    """(line, key): the points within so many metres of each line, each once. Cells are merged, never broadcast (``near_lines``)."""
     spread, bands = line_cells(arcs, metres)
-    rows = _celled(points.select(key, "lat", "lon"), bands).join(spread, ["_row", "_col"])
-    return rows.filter(to_segment(_parts("_p"), _parts("_a"), _parts("_b")) <= metres).select(*line, key).distinct()
+    rows = _celled(points.select(key, "lat", "lon"), bands).join(spread.hint("merge"), ["_row", "_col"])
+    return rows.filter(_beside(metres)).select(*line, key).distinct()
 
 
 def nearest(left: DataFrame, key: str, right: DataFrame, order: list[str]) -> DataFrame:
