@@ -148,7 +148,7 @@ def near_lines(points: DataFrame, arcs: DataFrame, metres: float) -> DataFrame:
     spread, bands = line_cells(arcs.select("_a", "_b").distinct(), metres)
     rows, named = _celled(points, bands), spread.withColumnsRenamed({"_row": "_r", "_col": "_c"})
     near = (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")) & _beside(metres)
-    return rows.join(named, near, "left_semi").select(*points.columns)
+    return rows.join(named.hint("merge"), near, "left_semi").select(*points.columns)
 
 
 def by_line(points: DataFrame, key: str, arcs: DataFrame, line: list[str], metres: float) -> DataFrame:

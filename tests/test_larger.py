@@ -23,3 +23,8 @@ def test_arcs_are_dealt_out_before_they_are_cut_into_cells(spark):
     points, arcs = cross_town(spark)
     cells, _ = geo.line_cells(arcs.coalesce(1), 300.0)
     assert "REPARTITION_BY_NUM" in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_semi_join_with_lines_is_not_broadcast(spark):
+    points, arcs = cross_town(spark)
+    assert not broadcasts(geo.near_lines(points, arcs, 300.0))
