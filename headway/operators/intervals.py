@@ -27,14 +27,14 @@ def stabbed(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFra
     """(keys, _at, n): for each distinct point (keys, ``_at``) that any interval of its keys holds, how many do.
 
     A point looks into one bin of each level that occurs, of which there are 64 at most, so the join is one of equal keys, and a crowded bin is what adaptive skew
-    handling splits. Nothing is expanded day by day.
+    handling splits. Nothing is expanded day by day. Both sides are more rows than the files that Spark would judge them by, so they are merged, never broadcast.
     """
     index = cut(indexed(intervals.select(*keys, "_start", "_end"), keys))
     levels = sorted(r["_level"] for r in index.select("_level").distinct().collect())
     if not levels:
         return points.select(*keys, "_at").distinct().limit(0).withColumn("n", F.lit(0).cast("long"))
     asked = points.select(*keys, "_at").distinct().withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_bin", F.expr("shiftright(_at, _level)"))
-    hit = asked.join(index, [*keys, "_level", "_bin"]).filter((F.col("_start") <= F.col("_at")) & (F.col("_at") <= F.col("_end")))
+    hit = asked.join(index.hint("merge"), [*keys, "_level", "_bin"]).filter((F.col("_start") <= F.col("_at")) & (F.col("_at") <= F.col("_end")))
     return hit.groupBy(*keys, "_at").agg(F.count("*").alias("n"))
 
 

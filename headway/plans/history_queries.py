@@ -267,7 +267,7 @@ OPEN = "op AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS first,
 
 def open_orders(spark, d):
     last = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("last"))
-    return B.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("first")).join(last, "o_orderkey")
+    return B.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("first")).join(last.hint("merge"), "o_orderkey")
 
 
 @query("join_9_open_orders", f"WITH {OPEN} SELECT o.o_orderkey, count(op.o_orderkey) AS n_open FROM orders o LEFT JOIN op ON op.o_custkey = o.o_custkey AND CAST(o.o_orderdate AS DATE) BETWEEN op.first AND op.last GROUP BY o.o_orderkey")

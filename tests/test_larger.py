@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from headway.operators import geo
+from headway.operators import geo, intervals
 
 
 def broadcasts(df) -> bool:
@@ -28,3 +28,15 @@ def test_arcs_are_dealt_out_before_they_are_cut_into_cells(spark):
 def test_semi_join_with_lines_is_not_broadcast(spark):
     points, arcs = cross_town(spark)
     assert not broadcasts(geo.near_lines(points, arcs, 300.0))
+
+
+def test_points_in_intervals_are_not_broadcast(spark):
+    points = spark.range(50).select((F.col("id") % 5).alias("k"), F.col("id").alias("_at"))
+    spans = points.select("k", F.col("_at").alias("_start"), (F.col("_at") + 7).alias("_end"))
+    assert not broadcasts(intervals.stabbed(points, spans, ["k"]))
+
+
+def test_open_orders_are_not_broadcast(spark):
+    from headway.plans.history_queries import open_orders
+
+    assert not broadcasts(open_orders(spark, "/root/testdata/sf0.001"))
