@@ -62,13 +62,14 @@ _FEATURE = "struct<properties: map<string,string>, geometry: struct<type: string
 def geojson_rows(texts: DataFrame) -> DataFrame:
     """Documents (text) of GeoJSON, a feature collection or a bare list of features, as rows: properties, type, and each position: part, seq, lon, lat of every line.
 
-    Coordinates nest to any depth; the innermost pairs are taken in order, and each line string is a part; a point is a line of one.
+    Coordinates nest to any depth; the innermost pairs are taken in order, and each line string is a part; a point is a line of one. The pattern of a line takes its
+    pairs possessively: otherwise Java would go one call deeper for each pair, and lines of some thousand would overflow the stack.
     """
     inner = F.coalesce(F.get_json_object("text", "$.features"), F.trim("text"))
     features = texts.select(F.posexplode(F.from_json(inner, F.lit(f"array<{_FEATURE}>"))).alias("feature", "f"))
     flat = F.regexp_replace("f.geometry.coordinates", r"\s", "")
     flat = F.when(flat.rlike(r"^\[[^\[\]]*\]$"), F.concat(F.lit("["), flat, F.lit("]"))).otherwise(flat)
-    lines = features.select("feature", "f.properties", F.col("f.geometry.type").alias("type"), F.posexplode(F.regexp_extract_all(flat, F.lit(r"\[(\[[^\[\]]*\](?:,\[[^\[\]]*\])*)\]"), 1)).alias("part", "line"))
+    lines = features.select("feature", "f.properties", F.col("f.geometry.type").alias("type"), F.posexplode(F.regexp_extract_all(flat, F.lit(r"\[(\[[^\[\]]*\](?:,\[[^\[\]]*\])*+)\]"), 1)).alias("part", "line"))
     spots = lines.select("feature", "properties", "type", "part", F.posexplode(F.regexp_extract_all("line", F.lit(r"\[([^\[\]]*)\]"), 1)).alias("seq", "pair"))
     pair = F.split("pair", ",")
     return spots.select("feature", "properties", "type", "part", "seq", F.get(pair, 0).cast("double").alias("lon"), F.get(pair, 1).cast("double").alias("lat"))

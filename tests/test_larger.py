@@ -1,8 +1,11 @@
 """What larger tables asked of joins, searches and files, on small rows."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from headway.operators import geo, intervals
+from headway.sources import tables
 
 
 def broadcasts(df) -> bool:
@@ -40,3 +43,10 @@ def test_open_orders_are_not_broadcast(spark):
     from headway.plans.history_queries import open_orders
 
     assert not broadcasts(open_orders(spark, "/root/testdata/sf0.001"))
+
+
+def test_long_lines_of_geojson(spark):
+    spots = [[37 + i / 1e5, 55.0] for i in range(30_000)]
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"line": "1"}, "geometry": {"type": "MultiLineString", "coordinates": [spots, spots[:2]]}}]})
+    got = tables.geojson_rows(spark.createDataFrame([(text,)], "text string")).groupBy("part").agg(F.count("*").alias("n"), F.max("seq").alias("last")).orderBy("part").collect()
+    assert [(r["part"], r["n"], r["last"]) for r in got] == [(0, 30_000, 29_999), (1, 2, 1)]
