@@ -226,7 +226,9 @@ def placed(points: DataFrame, line: str, order: list[str], stops: DataFrame) ->
     # a line of one point is a segment from that point to itself
     segments = segments.filter("_at IS NOT NULL OR _last").withColumns({"_lat": F.coalesce("_lat", "lat"), "_lon": F.coalesce("_lon", "lon"), "_at": F.coalesce("_at", F.lit(0.0))})
     whole = here.groupBy(line).agg(F.max("at").alias("_all"))
-    wanted = stops.join(whole, line).withColumn("_t", F.when(F.col("n") > 1, F.col("_all") * F.col("place") / (F.col("n") - 1)).otherwise(F.lit(0.0)))
+    # the last one stands at the end itself, which its share may pass by a rounding
+    share = F.when(F.col("place") == F.col("n") - 1, F.col("_all")).otherwise(F.col("_all") * F.col("place") / (F.col("n") - 1))
+    wanted = stops.join(whole, line).withColumn("_t", F.when(F.col("n") > 1, share).otherwise(F.lit(0.0)))
     hit = wanted.join(segments, line).filter(F.col("at") >= F.col("_t") - 1e-9).groupBy(line, "place", "n", "_t").agg(F.min_by(F.struct("_lat", "_lon", "lat", "lon", "_at", "step"), "_seq").alias("s"))
     share = F.when(F.col("s.step") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_t") - F.col("s._at")) / F.col("s.step")))).otherwise(0.0)
     return hit.select(line, "place", (F.col("s._lat") + (F.col("s.lat") - F.col("s._lat")) * share).alias("lat"), (F.col("s._lon") + (F.col("s.lon") - F.col("s._lon")) * share).alias("lon"))

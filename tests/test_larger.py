@@ -50,3 +50,12 @@ def test_long_lines_of_geojson(spark):
     text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"line": "1"}, "geometry": {"type": "MultiLineString", "coordinates": [spots, spots[:2]]}}]})
     got = tables.geojson_rows(spark.createDataFrame([(text,)], "text string")).groupBy("part").agg(F.count("*").alias("n"), F.max("seq").alias("last")).orderBy("part").collect()
     assert [(r["part"], r["n"], r["last"]) for r in got] == [(0, 30_000, 29_999), (1, 2, 1)]
+
+
+def test_the_last_stop_of_a_long_line_is_placed(spark):
+    """A third of three times the length may be more than the length, by the last bit."""
+    lines = spark.range(400).select(F.col("id").alias("line"), F.explode(F.array(F.lit(0), F.lit(1))).alias("at"), F.lit(0.0).alias("lat"))
+    points = lines.withColumn("lon", F.when(F.col("at") == 1, 101 + F.col("line") / 9).otherwise(0.0))
+    stops = spark.range(400).select(F.col("id").alias("line"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"), F.lit(4).alias("n"))
+    got = geo.placed(points, "line", ["at"], stops).filter("place = 3").collect()
+    assert len(got) == 400 and all(abs(r["lon"] - (101 + r["line"] / 9)) < 1e-9 for r in got)
