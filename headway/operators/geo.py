@@ -43,13 +43,18 @@ def _bands(metres: float) -> tuple:
     return lambda lat: F.floor((lat + 90) / size), columns, lambda lon, n: F.floor(F.pmod(lon, F.lit(360.0)) / 360 * n)
 
 
+#: So many points at most are broadcast in their cells, nine rows for each.
+_FEW = 20_000
+
+
 def _ring(left: DataFrame, named: DataFrame, metres: float) -> DataFrame:
     row, columns, column = _bands(metres)
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     spread = named.withColumn("_i", F.explode(around)).withColumn("_row", row(F.col("r_lat")) + F.col("_i")).withColumn("_n", columns(F.col("_row")))
     spread = spread.withColumn("_col", F.explode(F.array_distinct(F.transform(around, lambda j: F.pmod(column(F.col("r_lon"), F.col("_n")) + j, F.col("_n")))))).drop("_i", "_n")
     cells = left.withColumn("_row", row(F.col("lat"))).withColumn("_n", columns(F.col("_row"))).withColumn("_col", F.pmod(column(F.col("lon"), F.col("_n")), F.col("_n"))).drop("_n")
-    pairs = cells.join(spread, ["_row", "_col"]).drop("_row", "_col")
+    few = named.limit(_FEW + 1).count() <= _FEW  # Spark would judge by the file, which may be small for many rows
+    pairs = cells.join(spread.hint("broadcast" if few else "merge"), ["_row", "_col"]).drop("_row", "_col")
     return pairs.withColumn("metres", S.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
 
 
@@ -158,29 +163,58 @@ def by_line(points: DataFrame, key: str, arcs: DataFrame, line: list[str], metre
     return rows.filter(_beside(metres)).select(*line, key).distinct()
 
 
+def _first_radius(points: DataFrame, metres: float, k: int) -> float:
+    """``metres``, or a fourth, sixteenth and so on of it: the greatest radius that holds some 16 k points at most where they are densest, by the number in the fullest
+    cell. It only says where a search begins, and so how many pairs it looks at."""
+    row, columns, column = _bands(metres)
+    cells = points.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_row", row(F.col("lat"))).withColumn("_n", columns(F.col("_row")))
+    fullest = cells.groupBy("_row", F.pmod(column(F.col("lon"), F.col("_n")), F.col("_n"))).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    radius = metres
+    while math.pi * fullest * (radius / metres) ** 2 > 16 * k and radius > metres / 4**6:
+        radius /= 4
+    return radius
+
+
 def nearest(left: DataFrame, key: str, right: DataFrame, order: list[str]) -> DataFrame:
     """For each left row (by ``key``) the nearest right point, ties by ``order``; right columns come prefixed ``r_``.
 
-    Rings of grid cells are searched outwards, with four times the radius for those still without a neighbour, until all have one or the
-    ring is the whole sphere. Rows without coordinates stay, with nulls.
+    Of right points at one position only the first by ``order`` can win, so the others go. Rings of grid cells are searched outwards, first with a radius for where points
+    are densest, then with four times the radius for those still without a neighbour, until all have one or the ring is the whole sphere. Rows without coordinates stay,
+    with nulls.
     """
     named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    first = F.min_by(F.struct(*named.columns), F.struct(*[F.col(f"r_{c}") for c in order])).alias("_first")
+    named = cut(named.groupBy(F.col("r_lat").alias("_lat"), F.col("r_lon").alias("_lon")).agg(first).select("_first.*"))
     by = F.struct("metres", *[F.col(f"r_{c}") for c in order])
     keep = F.min_by(F.struct("metres", *named.columns), by).alias("_best")
-    todo, best, radius = left.filter("lat IS NOT NULL AND lon IS NOT NULL").select(key, "lat", "lon"), None, 500.0
+    todo, best = left.filter("lat IS NOT NULL AND lon IS NOT NULL").select(key, "lat", "lon"), None
+    radius = _first_radius(named.select(F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon")), 500.0, 1)
     while True:
         found = cut(_ring(todo, named, radius).groupBy(key).agg(keep).select(key, "_best.*"))
         best = found if best is None else best.unionByName(found)
-        todo = cut(todo.join(found.select(key), key, "left_anti"))
+        todo = cut(todo.join(found.select(key).hint("merge"), key, "left_anti"))
         if radius > 2.1e7 or todo.isEmpty():
-            return left.join(best, key, "left").select(*left.columns, "metres", *named.columns)
+            return left.join(best.hint("merge"), key, "left").select(*left.columns, "metres", *named.columns)
         radius *= 4
 
 
 def closest(left: DataFrame, key: list[str], right: DataFrame, metres: float, k: int, order: list[str]) -> DataFrame:
-    """At most ``k`` right points within ``metres`` of each left row, nearest first, with their rank. The left side is taken to be the smaller one."""
+    """At most ``k`` right points within ``metres`` of each left row, nearest first, with their rank. The left side is taken to be the smaller one.
+
+    Where points are dense, a small radius is searched first; rows that have ``k`` points within it are done, and the others go on with four times the radius.
+    """
     w = W.partitionBy(*key).orderBy("metres", *[f"r_{c}" for c in order])
-    return within(left, right, metres, "left").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    todo, done, radius = left, None, _first_radius(right, metres, k)
+    while True:
+        near = within(todo, right, radius, "left").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if radius >= metres:
+            return near if done is None else done.unionByName(near)
+        near = cut(near)
+        full = near.filter(F.col("rank") == k).select(*key).hint("merge")
+        some = near.join(full, key, "left_semi")
+        done = some if done is None else done.unionByName(some)
+        todo = cut(todo.join(full, key, "left_anti"))
+        radius = min(4 * radius, metres)
 
 
 def along(points: DataFrame, line: list[str], order: list[str]) -> DataFrame:
