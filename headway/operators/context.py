@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import scalars as S
 from headway.functions import text as T
+from headway.functions.sessions import cut
 from headway.operators import geo
 from headway.operators.ranking import numbered
 
@@ -25,14 +26,25 @@ def matched(stops: DataFrame, stations: DataFrame, distance=S.flat_distance) ->
     """For each stop (id, name, route, lat, lon) the station (station, name, routes, lat, lon) of the same normalised name: one that serves the stop's route before others, then the nearest,
     then the first by ``station``. Adds station, serves and metres; stops without a station of their name go.
 
-    The best candidate is kept while candidates are combined, so a common name doesn't gather its pairs in one place.
+    Stops meet only the stations that serve their route, one at each position, and those that have none meet the stations of their name. All pairs of such a group are
+    looked at, but none is kept: a first pass has the least distance of each stop, by hash, and a second one the first station at that distance.
     """
-    named = stations.select(T.normalised(F.col("name")).alias("_n"), "station", F.col("routes").alias("_routes"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    pairs = stops.withColumn("_n", T.normalised(F.col("name"))).join(named, "_n")
+    named = stations.select(T.normalised(F.col("name")).alias("_n"), "station", "routes", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    first = F.min("station").alias("station")
+    serving = named.withColumn("route", F.explode("routes")).groupBy("_n", "route", "_lat", "_lon").agg(first)
+    asked = stops.select("id", "route", "lat", "lon", T.normalised(F.col("name")).alias("_n"))
     far = F.coalesce(distance(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")), F.lit(float("inf")))
-    serves = F.coalesce(F.array_contains("_routes", F.col("route")), F.lit(False))
-    best = F.min_by(F.struct("station", serves.alias("serves"), far.alias("metres")), F.struct((~serves).alias("o"), far.alias("m"), "station")).alias("_b")
-    return stops.join(pairs.groupBy("id").agg(best), "id").select(*stops.columns, "_b.*")
+
+    def best(asked: DataFrame, known: DataFrame, on: list[str], serves: bool) -> DataFrame:
+        known = known.hint("merge")  # a file of stations is small to Spark, however many pairs it makes
+        least = asked.join(known, on).groupBy("id").agg(F.min(far).alias("metres"))
+        at = asked.join(least.hint("merge"), "id").join(known, on).filter(far == F.col("metres"))
+        return cut(at.groupBy("id", "metres").agg(first).select("id", "station", F.lit(serves).alias("serves"), "metres"))
+
+    own = best(asked, serving, ["_n", "route"], True)
+    others = asked.join(own.select("id").hint("merge"), "id", "left_anti")
+    found = own.unionByName(best(others, named.groupBy("_n", "_lat", "_lon").agg(first), ["_n"], False))
+    return stops.join(found.hint("merge"), "id").select(*stops.columns, "station", "serves", "metres")
 
 
 def route_weather(stations: DataFrame, weather: DataFrame) -> DataFrame:
